@@ -1,6 +1,6 @@
 """The queries opN_<name>: each applies one operator to its whole table and derives the contract's columns."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catchwater.llm.session import table
 
@@ -11,7 +11,16 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.suffix import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op6_suffix": op6_suffix,
     "op9_minhash": op9_minhash,
 }
 
