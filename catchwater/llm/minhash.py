@@ -1,15 +1,17 @@
 """Near-duplicate groups by b-bit MinHash.
 
-Per document 128 minima; their low 4 bits are packed into 8 longs, and 32 bands of 4 whole minima give the buckets.
-Documents with the same shingle set are one class and only its smallest id goes on. Candidates come in two passes:
+Per document 256 minima; their low 4 bits are packed into 16 longs, and 32 bands of 4 whole minima give the buckets.
+Documents with the same shingle set are one class and only its smallest id goes on. Candidates come in passes:
 
 1. every member of a bucket against the bucket's smallest id (as many pairs as members), which ties large groups;
-2. buckets whose members are still in different components: blocks of members against each other inside a task, which
-   passes on only pairs of different components whose packed signatures agree enough.
-
-Both passes estimate the similarity by bit counts, corrected for chance agreement of 4 bits, drop pairs far below the
-threshold (0.25 is over 5 standard errors) and confirm the rest on whole shingle sets. A pair at 0.75 shares no
-band with probability (1 - 0.75^4)^32 < 6e-6.
+2. in buckets whose members are still in different components, each member against the NEAREST ones of other
+   components by signature, inside a task that sees blocks of members; twice;
+3. what still differs in component: every pair in a shared bucket, each in its first shared band only.
+
+All passes estimate the similarity by bit counts, corrected for chance agreement of 4 bits, drop pairs far below the
+threshold (0.13 is over 4 standard errors) and confirm the rest on whole shingle sets. Pairs already in one component
+need no check, so a large group costs about as many checks as members. A pair at 0.75 shares no band with probability
+(1 - 0.75^4)^32 < 6e-6.
 """
 
 import numpy as np
@@ -20,10 +22,10 @@ from catchwater.llm import kernel as K
 from catchwater.llm.graph import components
 from catchwater.llm.session import cut, documents
 
-SHINGLE, HASHES, ROWS, BITS = 5, 128, 4, 4
-THRESHOLD, SLACK = 75, 0.25
-#: Members of a bucket that meet in one row of the second pass.
-BLOCK = 256
+SHINGLE, HASHES, BANDS, ROWS, BITS = 5, 256, 32, 4, 4
+THRESHOLD, SLACK = 75, 0.13
+#: Members of a bucket that meet in one row of the later passes, how many partners a member tries first, and how often.
+BLOCK, NEAREST, ROUNDS = 256, 2, 2
 
 _rng = np.random.default_rng(20240917)
 _XOR = _rng.integers(0, 1 << 32, HASHES, np.uint32)
@@ -66,7 +68,7 @@ def _sketch(batches):
             items, start = shingles(part, at)
             n, full = np.diff(start), np.flatnonzero(np.diff(start))
             begin = start[:-1][full]
-            h, bands, bits = np.zeros((2, j - i), np.uint64), np.zeros((j - i, HASHES // ROWS), np.uint64), np.zeros((j - i, HASHES * BITS // 64), np.uint64)
+            h, bands, bits = np.zeros((2, j - i), np.uint64), np.zeros((j - i, BANDS), np.uint64), np.zeros((j - i, HASHES * BITS // 64), np.uint64)
             if len(full):
                 for k, salt in enumerate((np.uint64(0), _SALT)):
                     h[k, full] = np.add.reduceat(K.mix(items ^ salt), begin)
@@ -74,7 +76,7 @@ def _sketch(batches):
                 minima = np.empty((len(full), HASHES), np.uint32)
                 for k in range(HASHES):
                     minima[:, k] = np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], begin)
-                for b in range(HASHES // ROWS):
+                for b in range(BANDS):
                     key = np.full(len(full), b + 1, np.uint64)
                     for k in range(b * ROWS, b * ROWS + ROWS):
                         key = K.mix(key ^ minima[:, k].astype(np.uint64))
@@ -82,7 +84,7 @@ def _sketch(batches):
                 low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64)
                 for k in range(HASHES):
                     bits[full, k * BITS // 64] |= low[:, k] << np.uint64(k * BITS % 64)
-            whole = np.where(n > 0, HASHES // ROWS, 0)
+            whole = np.where(n > 0, BANDS, 0)
             keep = n > 0
             yield pa.RecordBatch.from_arrays([
                 ids.slice(i, j - i), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
@@ -116,27 +118,41 @@ def estimate(x: str, y: str) -> Column:
     return (F.lit(1.0) - differ / F.lit(float(HASHES)) - chance) / (1.0 - chance)
 
 
-def _meet(batches):
-    """Pairs of a row's members in different components whose signatures agree; 'left' members meet 'right' ones."""
+def _meet(every: bool):
+    """Pairs of a row's members in different components whose sizes and signatures agree; side 0 meets side 1, 2 meets 2.
+
+    With ``every`` each pair comes in its first shared band; else each member's NEAREST partners here.
+    """
     nibble = np.uint64(((1 << 64) - 1) // 15)
     least = HASHES * ((THRESHOLD / 100 - SLACK) * (1 - 2.0**-BITS) + 2.0**-BITS)
-    for batch in batches:
-        a, b = [], []
-        for row in batch.column("members").to_pylist():
-            ids = np.array([m["id"] for m in row], np.int64)
-            side = np.array([m["side"] for m in row], np.int8)
-            group = np.array([m["c"] for m in row], np.int64)
-            bits = np.array([m["bits"] for m in row], np.int64).view(np.uint64)
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            for p in left:
-                q = right[(group[right] != group[p]) & ((side[p] == 0) | (ids[right] > ids[p]))]
-                d = bits[q] ^ bits[p]
-                d |= d >> np.uint64(1)
-                d |= d >> np.uint64(2)
-                q = q[HASHES - np.bitwise_count(d & nibble).sum(1, dtype=np.int64) >= least]
-                a.append(np.minimum(ids[p], ids[q]))
-                b.append(np.maximum(ids[p], ids[q]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
+
+    def meet(batches):
+        for batch in batches:
+            a, b = [], []
+            for band, row in zip(batch.column("band").to_pylist(), batch.column("members").to_pylist()):
+                ids, side, group, size = (np.array([m[k] for m in row], np.int64) for k in ("id", "side", "c", "n"))
+                bits = np.array([m["bits"] for m in row], np.int64).view(np.uint64)
+                before = np.array([m["bands"][:band] for m in row], np.int64)
+                right = np.flatnonzero(side != 0)
+                for p in np.flatnonzero(side != 1) if every else range(len(ids)):
+                    q = right if side[p] == 0 else np.flatnonzero(side == 0) if side[p] == 1 else right
+                    if every and side[p] == 2:
+                        q = q[ids[q] > ids[p]]
+                    q = q[(group[q] != group[p]) & (100 * np.minimum(size[q], size[p]) >= THRESHOLD * np.maximum(size[q], size[p]))]
+                    d = bits[q] ^ bits[p]
+                    d |= d >> np.uint64(1)
+                    d |= d >> np.uint64(2)
+                    same = HASHES - np.bitwise_count(d & nibble).sum(1, dtype=np.int64)
+                    q, same = q[same >= least], same[same >= least]
+                    if every:
+                        q = q[~(before[q] == before[p]).any(1)] if band else q
+                    else:
+                        q = q[np.lexsort((ids[q], -same))[:NEAREST]]
+                    a.append(np.minimum(ids[p], ids[q]))
+                    b.append(np.maximum(ids[p], ids[q]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
+
+    return meet
 
 
 def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -150,6 +166,16 @@ def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(f"100 * n >= {THRESHOLD} * (m - n)").select("a", "b")
 
 
+def _pairs(left: DataFrame, every: bool) -> DataFrame:
+    """Candidate pairs within buckets, whose members meet block by block."""
+    left = left.withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id"), "nb"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side")
+    member = F.struct(F.col("doc_id").alias("id"), side, "c", F.col("size").alias("n"), "bits", "bands")
+    met = left.groupBy("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(member).alias("members"))
+    return met.select("band", "members").mapInArrow(_meet(every), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept: one row per doc_id.
 
@@ -161,26 +187,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all_rows = cut(sketch.select(F.struct("doc_id", "h1", "h2", "n_shingles", "bands", "bits").alias("r")).groupBy("r.doc_id").agg(F.min("r").alias("r")).select("r.*"))
     same = all_rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = all_rows.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    bands = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
-    members = cut(bands.join(shared, "key"))
-    bits = reps.select("doc_id", "bits")
-
-    star = members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = star.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("y")), "b")
-    star = cut(star.where(estimate("x", "y") >= THRESHOLD / 100 - SLACK).select("a", "b"))
-    links = cut(_confirm(docs, reps, star))
+    bands = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    shared = bands.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
+    members = cut(bands.join(shared, ["band", "key"]))
+    about = reps.select("doc_id", F.col("n_shingles").alias("size"), "bits", "bands")
+
+    def of(name: str, end: str) -> DataFrame:
+        return about.select(F.col("doc_id").alias(end), F.col("bits").alias(name), F.col("size").alias(f"n{name}"))
+
+    star = members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct().join(of("x", "a"), "a").join(of("y", "b"), "b")
+    star = star.where(f"100 * least(nx, ny) >= {THRESHOLD} * greatest(nx, ny)").where(estimate("x", "y") >= THRESHOLD / 100 - SLACK)
+    tried = cut(star.select("a", "b"))
+    links = cut(_confirm(docs, reps, tried))
     found = components(links)
-
-    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "n", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = placed.join(mixed, "key").join(bits, "doc_id").withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id"), "nb"))
-    spread = left.select("key", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"), F.struct(F.col("doc_id").alias("id"), "c", "bits").alias("m"))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.expr("named_struct('id', m.id, 'side', cast(case when block = other then 2 when block < other then 0 else 1 end as tinyint), 'c', m.c, 'bits', m.bits)").alias("m"))
-    rest = spread.groupBy("key", "i", "j").agg(F.collect_list("m").alias("members")).select("members").mapInArrow(_meet, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    rest = cut(rest)
-    if rest.limit(1).count():
-        found = components(links.union(cut(_confirm(docs, reps, rest))))
+    for step in range(ROUNDS + 1):
+        placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "n", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+        mixed = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
+        more = cut(_pairs(placed.join(mixed, ["band", "key"]).join(about, "doc_id"), step == ROUNDS).join(tried, ["a", "b"], "left_anti"))
+        if not more.limit(1).count():
+            continue
+        tried = tried.union(more)
+        links = links.union(cut(_confirm(docs, reps, more)))
+        found = components(links)
 
     by_class = all_rows.select("doc_id", "n_shingles", "h1", "h2").join(same, ["h1", "h2", "n_shingles"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = by_class.select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
