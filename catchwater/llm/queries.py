@@ -19,7 +19,21 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op7_rules": op7_rules,
+    "op10_toxicity": op10_toxicity,
     "op6_suffix": op6_suffix,
     "op9_minhash": op9_minhash,
 }
