@@ -1,10 +1,17 @@
 """What the operators take from the session."""
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, so that later steps read files and not a long lineage.
 

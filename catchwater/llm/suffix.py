@@ -2,7 +2,7 @@
 
 A whole corpus has no one suffix array here: it is cut so that equal 50-byte strings always meet.
 
-1. Texts go into chunks of about 2 MB, compressed, written once and hash-partitioned, so later joins find them in place.
+1. Texts go into chunks of about 2 MB, compressed and written once.
 2. Anchors: of the 31 grams of 20 bytes in a 50-byte string, those with the least hash; about one byte in 16 is one.
    Equal strings have equal anchors. Each chunk sends its distinct anchor hashes to buckets; back comes which of them
    other documents have too.
@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from catchwater.llm import kernel as K
-from catchwater.llm.session import cut, documents
+from catchwater.llm.session import cut, documents, release
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 BACK, WIDE = SPAN - 1, SPAN - 1 + LENGTH
 CHUNK = 2 << 20
 #: Text bytes for each bucket, rows of one suffix array, and documents from which an anchor is split.
-PER_BUCKET, ROWS, HOT = 16 << 20, 20_000, 20_000
+PER_BUCKET, ROWS, HOT = 16 << 20, 40_000, 20_000
 
 _PACK = "chunk long, n_bytes long, ids array<long>, lens array<long>, blob binary"
 _MAIL = "bucket long, chunk long, blob binary"
@@ -52,65 +52,90 @@ def _spread(blob: bytes, *kinds) -> list[np.ndarray]:
 # --- suffix sorting -------------------------------------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, depth: int = 56) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of a byte array in order of at least their first ``depth`` bytes (a multiple of 8), and big-endian words.
+def _ranked(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The order of the suffixes that start at ``at`` by their first ``depth`` bytes: 8 bytes, then 5 more a pass."""
+    key, k = words[at], 8
+    while True:
+        order = np.argsort(key)
+        if k >= depth or not len(at):
+            return order
+        rank = np.empty(len(at), np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[False], key[order[1:]] != key[order[:-1]]])).astype(np.uint64)
+        key = (rank << np.uint64(40)) | (words[at + k] >> np.uint64(24))
+        k += 5
+
+
+def suffix_array(text: np.ndarray, needed: np.ndarray | None = None, depth: int = 56) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a byte array in order of at least their first ``depth`` bytes, and the big-endian words of all places.
 
     Stage one sorts the suffixes that are smaller than their successor. Stage two scans the buckets of first bytes in
-    order: the predecessor of each entry, if larger than it, is next in its own bucket.
+    order: the predecessor of each entry, if larger than it, is next in its own bucket. Only the suffixes marked in
+    ``needed`` (all, if None) are placed, and those up to the next smaller-than-successor one, which they hang on.
     """
     n = len(text)
-    words = np.zeros(n + depth + 8, np.uint64)
+    words = np.zeros(n + depth + 16, np.uint64)
     words[:n] = text
     for step in (1, 2, 4):
-        words[: -step or None] = (words[: -step or None] << np.uint64(8 * step)) | words[step:]
-    change = np.flatnonzero(text[1:] != text[:-1])
+        words[: -step or None] = (words[: -step or None] << np.uint64(8 * step)) | np.append(words[step:], np.zeros(step, np.uint64))[: len(words) - step]
     smaller = np.zeros(n, bool)
-    if len(change):
-        upto = np.searchsorted(change, np.arange(change[-1] + 1))
-        smaller[: change[-1] + 1] = (text[change] < text[change + 1])[upto]
-    direct = np.flatnonzero(smaller)
-    direct = direct[np.lexsort([words[direct + k] for k in range(depth - 8, -1, -8)])]
+    if n > 1:
+        grows, differs = text[:-1] < text[1:], text[:-1] != text[1:]
+        last = np.flatnonzero(differs)
+        run = np.diff(np.concatenate([[-1], last]))
+        smaller[: last[-1] + 1 if len(last) else 0] = np.repeat(grows[last], run)
+    placed = np.ones(n, bool)
+    if needed is not None:
+        hang = np.flatnonzero(smaller | (np.arange(n) == n - 1))
+        placed = needed.copy()
+        stop = np.zeros(n + 1, np.int32)
+        starts = np.flatnonzero(needed & ~smaller)
+        np.add.at(stop, starts, 1)
+        np.add.at(stop, hang[np.searchsorted(hang, starts)] + 1, -1)
+        placed |= np.cumsum(stop[:-1]) > 0
+    direct = np.flatnonzero(smaller & placed)
+    direct = direct[_ranked(words, direct, depth)]
     first = np.searchsorted(text[direct], np.arange(257))
+    induced = placed & ~smaller
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if n:
+    if n and placed[-1]:
         waiting[text[-1]].append(np.array([n - 1]))
     done = []
     for c in range(256):
         while waiting[c]:
-            wave = waiting[c].pop(0)
+            wave = waiting[c][0] if len(waiting[c]) == 1 else np.concatenate(waiting[c])
+            waiting[c] = []
             done.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[~smaller[before]]
-            _deal(text, before, waiting)
+            _deal(text, induced, wave, waiting)
         part = direct[first[c] : first[c + 1]]
         if len(part):
             done.append(part)
-            before = part[part > 0] - 1
-            _deal(text, before[~smaller[before]], waiting)
+            _deal(text, induced, part, waiting)
     return np.concatenate(done) if done else np.zeros(0, np.int64), words
 
 
-def _deal(text: np.ndarray, entries: np.ndarray, waiting: list[list[np.ndarray]]) -> None:
-    """Appends entries, in order, to the buckets of their first bytes."""
-    if len(entries):
-        key = text[entries]
+def _deal(text: np.ndarray, induced: np.ndarray, entries: np.ndarray, waiting: list[list[np.ndarray]]) -> None:
+    """Appends the larger predecessors of entries, in order, to the buckets of their first bytes."""
+    before = entries[entries > 0] - 1
+    before = before[induced[before]]
+    if len(before):
+        key = text[before]
         order = np.argsort(key, kind="stable")
-        entries, key = entries[order], key[order]
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        for c, some in zip(key[np.concatenate([[0], cuts])], np.split(entries, cuts)):
-            waiting[c].append(some)
+        before, key = before[order], key[order]
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for i, j in zip(cuts, cuts[1:]):
+            waiting[key[i]].append(before[i:j])
 
 
 def common_prefixes(order: np.ndarray, words: np.ndarray, depth: int = 56) -> np.ndarray:
     """For each suffix the bytes that it shares with the one before it, up to ``depth``; 0 for the first."""
-    out, same = np.zeros(len(order), np.int64), np.ones(max(len(order) - 1, 0), bool)
+    out, same = np.zeros(len(order), np.int64), np.arange(1, len(order))
     for k in range(0, depth, 8):
-        x = words[order[1:] + k] ^ words[order[:-1] + k]
-        for b in range(8):
-            same &= (x >> np.uint64(56 - 8 * b)) & np.uint64(255) == 0 if b < 7 else x == 0
-            out[1:] += same
-            if b == 0 and not same.any():
-                return out
+        x = words[order[same] + k] ^ words[order[same - 1] + k]
+        equal = x == 0
+        part, x = same[~equal], x[~equal]
+        out[part] = k + sum((x < np.uint64(1 << 64 - 8 * b)).astype(np.int64) for b in range(1, 8))
+        same = same[equal]
+    out[same] = depth
     return out
 
 
@@ -119,7 +144,8 @@ def first_owners(contexts: np.ndarray, owners: np.ndarray, low: np.ndarray, high
     m = len(contexts)
     wide = np.zeros((m, WIDE + 1), np.uint8)
     wide[:, :WIDE] = contexts
-    order, words = suffix_array(wide.reshape(-1))
+    cols = np.arange(WIDE + 1)
+    order, words = suffix_array(wide.reshape(-1), ((cols >= low[:, None]) & (cols <= high[:, None])).reshape(-1))
     run = np.cumsum(common_prefixes(order, words) < LENGTH) - 1
     row, col = order // (WIDE + 1), order % (WIDE + 1)
     good = (col >= low[row]) & (col <= high[row])
@@ -276,17 +302,32 @@ def _ask_contexts(n):
                         q = pick[i:j]
                         text = span[np.maximum(p[q, None] - BACK + cols, 0)]
                         text[(cols < BACK - back[q, None]) | (cols >= BACK + ahead[q, None])] = 0
-                        rows.append((k, chunk, _squeeze(key[q], whole[q], owner[i:j], back[q].astype(np.uint8), ahead[q].astype(np.uint8), text)))
+                        rows.append((k, chunk, _squeeze(owner[i:j], back[q].astype(np.uint8), ahead[q].astype(np.uint8), text)))
             yield _mails(rows)
 
     return ask
 
 
+def _row_hashes(text: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context: a hash of the gram in its middle, and of all its bytes and place."""
+    power = K.powers(WIDE)[0]
+    total = (back.astype(np.uint64) + np.uint64(1)) * np.uint64(K._P)
+    for k in range(WIDE):
+        if k == BACK:
+            gram = np.zeros(len(text), np.uint64)
+        step = (text[:, k].astype(np.uint64) + np.uint64(1)) * power[k]
+        if BACK <= k < BACK + GRAM:
+            gram += step
+        total += step
+    return K.mix(gram), K.mix(total)
+
+
 def _answer_contexts(table: pa.Table) -> pa.Table:
     chunks = table.column("chunk").to_pylist()
-    sent = [_spread(x, np.uint64, np.uint64, np.int64, np.uint8, np.uint8, np.uint8) for x in table.column("blob").to_pylist()]
-    key, whole, owner, back, ahead = (np.concatenate([x[k] for x in sent]) for k in range(5))
-    text = np.concatenate([x[5] for x in sent]).reshape(-1, WIDE)
+    sent = [_spread(x, np.int64, np.uint8, np.uint8, np.uint8) for x in table.column("blob").to_pylist()]
+    owner, back, ahead = (np.concatenate([x[k] for x in sent]) for k in range(3))
+    text = np.concatenate([x[3] for x in sent]).reshape(-1, WIDE)
+    key, whole = _row_hashes(text, back)
     by = np.lexsort((whole, key))
     new = np.ones(len(by), bool)
     new[1:] = whole[by][1:] != whole[by][:-1]
@@ -363,17 +404,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A null text is empty; rows with a null doc_id are left out. Rows that share a doc_id never take bytes from each
     other. Texts under 50 bytes stay whole. An empty table gives an empty table.
     """
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = cut(documents(docs).mapInArrow(_chunks, _PACK).repartition(n_parts, "chunk"))
+    chunks = cut(documents(docs).mapInArrow(_chunks, _PACK))
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(4, -(-total // PER_BUCKET))
 
     def back(mail: DataFrame, name: str) -> DataFrame:
-        return mail.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias(name))
+        out = cut(mail.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias(name)))
+        release(docs.sparkSession)
+        return out
 
-    one = chunks.mapInArrow(_ask_anchors(n), _MAIL).groupBy("bucket").applyInArrow(_answer_anchors, _MAIL)
-    known = cut(back(one, "one"))
-    asked = chunks.join(known, "chunk", "left")
-    two = asked.mapInArrow(_ask_contexts(n), _MAIL).groupBy("bucket").applyInArrow(_answer_contexts, _MAIL)
-    done = asked.join(cut(back(two, "two")), "chunk", "left")
+    one = back(chunks.mapInArrow(_ask_anchors(n), _MAIL).groupBy("bucket").applyInArrow(_answer_anchors, _MAIL), "one")
+    two = back(chunks.join(one, "chunk", "left").mapInArrow(_ask_contexts(n), _MAIL).groupBy("bucket").applyInArrow(_answer_contexts, _MAIL), "two")
+    done = chunks.join(one, "chunk", "left").join(two, "chunk", "left")
     return done.mapInArrow(_removed(n), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
