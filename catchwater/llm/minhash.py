@@ -4,8 +4,8 @@ Per document 256 minima; their low 4 bits are packed into 16 longs, and 32 bands
 Documents with the same shingle set are one class and only its smallest id goes on. Candidates come in passes:
 
 1. every member of a bucket against the bucket's smallest id (as many pairs as members), which ties large groups;
-2. in buckets whose members are still in different components, each member against the NEAREST ones of other
-   components by signature, inside a task that sees blocks of members; twice;
+2. in buckets whose members are still in different components, each member against the nearest one of another
+   component by signature, inside a task that sees blocks of members; ROUNDS times, each over an eighth of the bands;
 3. what still differs in component: every pair in a shared bucket, each in its first shared band only.
 
 All passes estimate the similarity by bit counts, corrected for chance agreement of 4 bits, drop pairs far below the
@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from catchwater.llm import kernel as K
 from catchwater.llm.graph import components
-from catchwater.llm.session import cut, documents
+from catchwater.llm.session import cut, documents, release
 
 SHINGLE, HASHES, BANDS, ROWS, BITS = 5, 256, 32, 4, 4
 THRESHOLD, SLACK = 75, 0.13
-#: Members of a bucket that meet in one row of the later passes, how many partners a member tries first, and how often.
-BLOCK, NEAREST, ROUNDS = 256, 2, 2
+#: Members of a bucket that meet in one row of the later passes, and how often a member tries its nearest partners first.
+BLOCK, ROUNDS = 1024, 3
 
 _rng = np.random.default_rng(20240917)
 _XOR = _rng.integers(0, 1 << 32, HASHES, np.uint32)
@@ -121,7 +121,7 @@ def estimate(x: str, y: str) -> Column:
 def _meet(every: bool):
     """Pairs of a row's members in different components whose sizes and signatures agree; side 0 meets side 1, 2 meets 2.
 
-    With ``every`` each pair comes in its first shared band; else each member's NEAREST partners here.
+    With ``every`` each pair comes in its first shared band; else each member's nearest partner here.
     """
     nibble = np.uint64(((1 << 64) - 1) // 15)
     least = HASHES * ((THRESHOLD / 100 - SLACK) * (1 - 2.0**-BITS) + 2.0**-BITS)
@@ -147,7 +147,7 @@ def _meet(every: bool):
                     if every:
                         q = q[~(before[q] == before[p]).any(1)] if band else q
                     else:
-                        q = q[np.lexsort((ids[q], -same))[:NEAREST]]
+                        q = q[np.lexsort((ids[q], -same))[:1]]
                     a.append(np.minimum(ids[p], ids[q]))
                     b.append(np.maximum(ids[p], ids[q]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
@@ -201,9 +201,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(_confirm(docs, reps, tried))
     found = components(links)
     for step in range(ROUNDS + 1):
-        placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "n", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+        every = step == ROUNDS
+        placed = (members if every else members.where(F.col("band") % 8 == step)).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "n", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
         mixed = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
-        more = cut(_pairs(placed.join(mixed, ["band", "key"]).join(about, "doc_id"), step == ROUNDS).join(tried, ["a", "b"], "left_anti"))
+        more = cut(_pairs(placed.join(mixed, ["band", "key"]).join(about, "doc_id"), every).join(tried, ["a", "b"], "left_anti"))
+        release(docs.sparkSession)
         if not more.limit(1).count():
             continue
         tried = tried.union(more)
