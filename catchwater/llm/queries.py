@@ -1,8 +1,9 @@
 """The queries opN_<name>: each applies one operator to its whole table and derives the contract's columns."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catchwater.llm.session import table
+from catchwater.llm.session import cut, table
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -11,6 +12,35 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.chat import emit_packs, paths, read_back
+
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], turns.schema)
+    found = cut(paths(turns.union(more)))
+    return read_back(emit_packs(found), found)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.bpe import digests, encode
+
+    return digests(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.topk import integers, top_k
+
+    rows = cut(integers(table(spark, sf_dir, "embeddings")))
+    return top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catchwater.llm.suffix import remove_repeats
 
@@ -32,10 +62,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat": op1_chat,
+    "op2_packing": op2_packing,
+    "op3_bpe": op3_bpe,
+    "op5_topk": op5_topk,
     "op7_rules": op7_rules,
     "op10_toxicity": op10_toxicity,
     "op6_suffix": op6_suffix,
     "op9_minhash": op9_minhash,
 }
 
-ORACLE = {}
+ORACLE = {
+    "op5_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
