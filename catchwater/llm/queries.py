@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catchwater.llm.session import cut, table
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catchwater.llm.minhash import near_duplicates
 
@@ -34,6 +40,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catchwater.llm.topk import integers, top_k
 
@@ -65,10 +77,12 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op4_html": op4_html,
     "op5_topk": op5_topk,
     "op7_rules": op7_rules,
     "op10_toxicity": op10_toxicity,
     "op6_suffix": op6_suffix,
+    "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
 }
 

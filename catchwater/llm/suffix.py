@@ -349,7 +349,16 @@ def _answer_contexts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_mails([(bucket, c, _squeeze(found[place[i:j]] - owner[i:j, None])) for c, i, j in zip(chunks, cuts[:-1], cuts[1:])])])
 
 
-def _removed(n):
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Of the removed bytes those whose UTF-8 character is removed whole."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(lead):
+        return gone
+    whole = np.logical_and.reduceat(gone[:-1], lead)
+    return np.append(np.repeat(whole, np.diff(np.append(lead, len(data)))), False)
+
+
+def _removed(n, as_text):
     """Cuts each chunk's covered bytes out; the answers give each distinct context's first owners, less its own."""
 
     def apply(batches):
@@ -370,6 +379,8 @@ def _removed(n):
                     gone = run.copy()
                     gone[LENGTH:] -= run[:-LENGTH]
                     gone = gone > 0
+                    if as_text:
+                        gone = _whole_characters(data, gone)
                 edge = np.zeros(len(data) + 1, bool)
                 edge[off] = True
                 begin = gone & (edge | ~np.concatenate([[False], gone[:-1]]))
@@ -398,11 +409,12 @@ def _chunks(batches):
             number += 1
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """documents -> doc_id, n_bytes, starts and ends of the removed runs, kept (the bytes that stay), a row for each document.
 
     A null text is empty; rows with a null doc_id are left out. Rows that share a doc_id never take bytes from each
-    other. Texts under 50 bytes stay whole. An empty table gives an empty table.
+    other. Texts under 50 bytes stay whole. An empty table gives an empty table. With ``as_text`` a run gives up the
+    characters that it covers only in part, so that what is kept is text again.
     """
     chunks = cut(documents(docs).mapInArrow(_chunks, _PACK))
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
@@ -416,4 +428,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     one = back(chunks.mapInArrow(_ask_anchors(n), _MAIL).groupBy("bucket").applyInArrow(_answer_anchors, _MAIL), "one")
     two = back(chunks.join(one, "chunk", "left").mapInArrow(_ask_contexts(n), _MAIL).groupBy("bucket").applyInArrow(_answer_contexts, _MAIL), "two")
     done = chunks.join(one, "chunk", "left").join(two, "chunk", "left")
-    return done.mapInArrow(_removed(n), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return done.mapInArrow(_removed(n, as_text), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")

@@ -1,14 +1,64 @@
-"""Filters, cleans and packs a corpus: each stage works on what its predecessor kept."""
+"""Filters, cleans and packs a corpus: each stage works on what its predecessor kept.
 
-from pyspark.sql import DataFrame, SparkSession
+Rows with a null doc_id leave in the first stage; all stages but the last return the columns of documents.
+"""
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from catchwater.llm.minhash import near_duplicates
+from catchwater.llm.packing import pack
+from catchwater.llm.rules import judge
+from catchwater.llm.session import cut, table
+from catchwater.llm.suffix import remove_repeats
+from catchwater.llm.toxicity import toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that pass the adaptive rules."""
+    return docs.join(judge(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that are not predicted toxic."""
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
+    return docs.join(scored.where("predicted = 0").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates, once."""
+    kept = near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages out of the texts; a character that a removed run covers only in part stays whole."""
+    texts = remove_repeats(docs, as_text=True).select("doc_id", F.col("kept").cast("string").alias("text"))
+    return docs.select("doc_id", "lang", "source").join(texts, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the texts into sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", clean_of_toxicity),
+    ("near duplicates", one_of_each),
+    ("repeated passages", without_repeats),
+    ("packing", best_fit),
+]
+
+#: No stage's model or search can be said in SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; between stages the rows are written to the shared checkpoint folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
