@@ -5,7 +5,7 @@ Documents with the same shingle set are one class and only its smallest id goes
 
 1. every member of a bucket against the bucket's smallest id (as many pairs as members), which ties large groups;
 2. in buckets whose members are still in different components, each member against the nearest one of another
-   component by signature, inside a task that sees blocks of members; ROUNDS times, each over an eighth of the bands;
+   component by signature, inside a task that sees blocks of members; over every other band;
 3. what still differs in component: every pair in a shared bucket, each in its first shared band only.
 
 All passes estimate the similarity by bit counts, corrected for chance agreement of 4 bits, drop pairs far below the
@@ -24,8 +24,8 @@ from catchwater.llm.session import cut, documents, release
 
 SHINGLE, HASHES, BANDS, ROWS, BITS = 5, 256, 32, 4, 4
 THRESHOLD, SLACK = 75, 0.13
-#: Members of a bucket that meet in one row of the later passes, and how often a member tries its nearest partners first.
-BLOCK, ROUNDS = 1024, 3
+#: Members of a bucket that meet in one row of the later passes.
+BLOCK = 1024
 
 _rng = np.random.default_rng(20240917)
 _XOR = _rng.integers(0, 1 << 32, HASHES, np.uint32)
@@ -200,9 +200,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = cut(star.select("a", "b"))
     links = cut(_confirm(docs, reps, tried))
     found = components(links)
-    for step in range(ROUNDS + 1):
-        every = step == ROUNDS
-        placed = (members if every else members.where(F.col("band") % 8 == step)).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "n", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    for every in (False, True):
+        placed = (members if every else members.where(F.col("band") % 2 == 0)).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "n", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
         mixed = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
         more = cut(_pairs(placed.join(mixed, ["band", "key"]).join(about, "doc_id"), every).join(tried, ["a", "b"], "left_anti"))
         release(docs.sparkSession)
