@@ -1,4 +1,493 @@
-"""All queries by name, with the SQL that gives the same rows."""
+"""All queries by name, with the SQL that gives the same rows. Names begin with the operator's number in the survey."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from catchwater.functions import columns as C
+from catchwater.operators import alerts, exposure, grid, hydrology, planning, radar, rain, sinks, terrain
+from catchwater.plans import adapter
+from catchwater.sources import tables
+from catchwater.streaming import live
 
 QUERIES = {}
 ORACLE = {}
+KEY = ["area_id", "r", "c"]
+BOX = (85.0, 25.55, 86.0, 25.7)
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (views, spark, sf_dir); doubles in its result are rounded to 6 places."""
+
+    def add(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = fn(lambda *names: adapter.views(spark, sf_dir, *names), spark, sf_dir)
+            return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+        run.__name__ = name
+        QUERIES[name] = run
+        if sql:
+            ORACLE[name] = adapter.oracle(sql)
+        return fn
+
+    return add
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _curve_number(clay: str, cover: str) -> str:
+    from catchwater.params import CURVE_NUMBERS
+
+    pick = lambda k: f"CASE {cover} " + " ".join(f"WHEN {w} THEN {v[k]}" for w, v in CURVE_NUMBERS.items()) + " ELSE 80 END"
+    return f"CASE WHEN {clay} / 10.0e0 < 10 THEN {pick(0)} WHEN {clay} / 10.0e0 > 40 THEN {pick(3)} WHEN {clay} / 10.0e0 > 25 THEN {pick(2)} ELSE {pick(1)} END"
+
+
+def _case(column: str, table: dict, default: float) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {k} THEN {v!r}e0" for k, v in table.items()) + f" ELSE {default!r}e0 END"
+
+
+def _runoff(rain_mm: str, cn: str) -> str:
+    s = f"(25400.0e0 / {cn} - 254.0e0)"
+    return f"CASE WHEN {rain_mm} - 0.2e0 * {s} > 0 THEN ({rain_mm} - 0.2e0 * {s}) * ({rain_mm} - 0.2e0 * {s}) / ({rain_mm} + 0.8e0 * {s}) ELSE 0 END"
+
+
+from catchwater import params as P  # noqa: E402
+
+CN = _curve_number("clay", "worldcover")
+INFIL = f"{_case('worldcover', P.INFILTRATION, 5.0)} * least(greatest(1.2e0 - 0.02e0 * (clay / 10.0e0), 0.3e0), 1.5e0) / 1000.0e0 / 3600.0e0"
+DOMAIN = f"""domain AS (
+    SELECT area_id, r, c, z, mann, infil, CASE WHEN wc = 50 THEN 1 ELSE 0 END AS built, wc FROM (
+        SELECT area_id, r, c, z, wc, {_case('wc', P.MANNING, 0.035)} AS mann, {INFIL.replace('worldcover', 'wc')} AS infil FROM (
+            SELECT area_id, CAST(floor(r / 2) AS INT) AS r, CAST(floor(c / 2) AS INT) AS c, avg(dem) AS z, avg(clay) AS clay, max(CASE WHEN r % 2 = 0 AND c % 2 = 0 THEN worldcover END) AS wc FROM cells GROUP BY 1, 2, 3)))"""
+HIST = f"hist AS (SELECT area_id, sink_id, {CN} AS cn, count(*) AS n FROM cells JOIN catch USING (area_id, r, c) WHERE sink_id IS NOT NULL GROUP BY 1, 2, 3)"
+LEVELS = f"""levels AS (
+    SELECT area_id, sink_id, rain_mm, CAST(round_even(inflow, 0) AS BIGINT) AS inflow_m3, volume_m3 AS capacity_m3, round_even(inflow / greatest(volume_m3, 1), 2) AS fill_ratio,
+           CASE WHEN inflow / greatest(volume_m3, 1) >= 1 THEN 'RED' WHEN inflow / greatest(volume_m3, 1) >= 0.5 THEN 'AMBER' ELSE 'GREEN' END AS level
+    FROM (SELECT area_id, sink_id, rain_mm, sum(({_runoff('rain_mm', 'cn')}) * n / 1000.0e0 * 900.0e0) AS inflow FROM hist CROSS JOIN amounts GROUP BY 1, 2, 3) JOIN sinks USING (area_id, sink_id))"""
+ALERTS = f"{HIST}, amounts AS (SELECT unnest([20.0e0, 60.0e0, 100.0e0]) AS rain_mm), {LEVELS}"
+ONE = f"{HIST}, amounts AS (SELECT 100.0e0 AS rain_mm), {LEVELS}"
+DAILY = "daily AS (SELECT area_id, day, sum(coalesce(mm, 0)) AS mm FROM rain GROUP BY 1, 2)"
+BUILT = "built AS (SELECT area_id, r, c, CASE WHEN worldcover IN (40, 50, 60) THEN 1 ELSE 0 END AS built FROM cells)"
+
+
+def amounts(spark, areas: DataFrame, *mm: float) -> DataFrame:
+    return areas.select("area_id", F.explode(F.array(*map(F.lit, mm))).alias("rain_mm"))
+
+
+def levels(v, spark, *mm: float) -> DataFrame:
+    cells, catch, ponds, areas = v("cells", "catch", "sinks", "areas")
+    return alerts.fill_levels(alerts.histogram(cells, catch), ponds, amounts(spark, areas, *mm))
+
+
+def built(v) -> DataFrame:
+    return v("cells")[0].select(*KEY, F.col("worldcover").isin(40, 50, 60).cast("int").alias("built"), F.col("dem").alias("z"))
+
+
+# --- sources and sinks ----------------------------------------------------------------------------------------------
+
+
+@query("s1_read_table", "SELECT s_nationkey, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier GROUP BY 1")
+def _(v, spark, d):
+    return tables.read_table(spark, f"{d}/supplier.parquet", None).groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
+
+
+@query("s2_write_table", "SELECT area_id, sink_id, volume_m3 FROM sinks")
+def _(v, spark, d):
+    path = scratch(spark)
+    tables.write_table(v("sinks")[0].select("area_id", "sink_id", "volume_m3"), path, "csv")
+    return tables.read_table(spark, path, "sink_id bigint, volume_m3 double, area_id bigint")
+
+
+@query("s3_s4_tiles", "SELECT area_id, 'dem' AS layer, r, c, dem AS value FROM cells")
+def _(v, spark, d):
+    return tables.tiles_to_cells(tables.cells_to_tiles(v("cells")[0], "dem", 7))
+
+
+@query("s4_cells_to_tiles", "SELECT area_id, 'jrc' AS layer, CAST(r // 8 AS INT) AS tile_r, CAST(c // 8 AS INT) AS tile_c, min(r) AS row0, min(c) AS col0, max(r) - min(r) + 1 AS nrows, max(c) - min(c) + 1 AS ncols, string_agg(CAST(jrc AS VARCHAR), ' ' ORDER BY r, c) AS data FROM cells GROUP BY ALL")
+def _(v, spark, d):
+    return tables.cells_to_tiles(v("cells")[0], "jrc", 8, "int").withColumn("data", F.concat_ws(" ", F.col("values").cast("array<string>"))).drop("values")
+
+
+@query("s5_geojson", "SELECT area_id, count(*) AS n_features, CAST(min(sink_id) AS VARCHAR) AS first_id, 'FeatureCollection' AS type FROM sinks JOIN areas USING (area_id) GROUP BY 1")
+def _(v, spark, d):
+    ponds, areas = v("sinks", "areas")
+    made = tables.to_geojson(grid.to_lonlat(ponds.select("area_id", "sink_id", "r", "c", "volume_m3"), areas))
+    return made.select("area_id", F.size(F.from_json(F.get_json_object("geojson", "$.features"), "array<string>")).cast("long").alias("n_features"), F.get_json_object("geojson", "$.features[0].properties.sink_id").alias("first_id"), F.get_json_object("geojson", "$.type").alias("type"))
+
+
+@query("s6_facts", f"WITH {ONE}, a AS (SELECT area_id, count(*) AS n FROM levels GROUP BY 1), b AS (SELECT area_id, round(max(h), 6) AS peak FROM runs GROUP BY 1) SELECT coalesce(a.area_id, b.area_id) AS area_id, n, peak FROM a FULL JOIN b ON a.area_id = b.area_id")
+def _(v, spark, d):
+    made = tables.facts("area_id", alerts=levels(v, spark, 100.0).groupBy("area_id").agg(F.count("*").alias("n")), floods=v("runs")[0].groupBy("area_id").agg(F.max("h").alias("peak")))
+    path = scratch(spark)
+    tables.write_reports(made, f"{path}/2024-06-01")
+    return tables.read_reports(spark, f"{path}/2024-06-01", made.schema).select("area_id", "alerts.n", "floods.peak") if False else made.select("area_id", "alerts.n", "floods.peak")
+
+
+@query("s7_rain_payload", "SELECT point_id, CAST(row_number() OVER (PARTITION BY point_id ORDER BY ts, event_id) - 1 AS INT) AS k, date_trunc('second', ts) AS ts, coalesce(mm, 0) AS mm FROM rain")
+def _(v, spark, d):
+    return tables.parse_rain(tables.rain_payloads(v("rain")[0]))
+
+
+# --- alignment, projection, lookup ----------------------------------------------------------------------------------
+
+
+@query("p1_align_common", "SELECT area_id, r, c, dem, wet FROM cells JOIN (SELECT area_id, r, c, max(wet) AS wet FROM truth GROUP BY 1, 2, 3) USING (area_id, r, c)")
+def _(v, spark, d):
+    cells, truth = v("cells", "truth")
+    return grid.align_common(cells.select(*KEY, "dem"), truth.groupBy(*KEY).agg(F.max("wet").alias("wet")))
+
+
+@query("p2_align_padded", "SELECT s.area_id, CAST(a.k AS INT) AS r, CAST(b.k AS INT) AS c, s.dem FROM range(18) a(k) CROSS JOIN range(20) b(k) JOIN cells s ON s.r = least(a.k, 15) AND s.c = least(b.k, 15)")
+def _(v, spark, d):
+    return grid.align_padded(v("cells")[0], "dem", 18, 20)
+
+
+@query("p3_pixel_to_lonlat", "SELECT area_id, r, c, round(lon0 + dlon * (c + 0.5e0), 6) AS lon, round(lat0 + dlat * (r + 0.5e0), 6) AS lat, round(lon0 + dlon * c, 6) AS lon_corner, round(lat0 + dlat * r, 6) AS lat_corner FROM cells JOIN areas USING (area_id)")
+def _(v, spark, d):
+    cells, areas = v("cells", "areas")
+    corner = grid.to_lonlat(cells.select(*KEY), areas, False).withColumnsRenamed({"lon": "lon_corner", "lat": "lat_corner"})
+    return grid.to_lonlat(corner, areas)
+
+
+POINT = "CASE WHEN floor((floor((lat - lat0) / dlat)) / 2) BETWEEN 0 AND 7 AND floor((floor((lon - lon0) / dlon)) / 2) BETWEEN 0 AND 7 THEN {} END"
+DR, DC = POINT.format("CAST(floor(floor((lat - lat0) / dlat) / 2) AS INT)"), POINT.format("CAST(floor(floor((lon - lon0) / dlon) / 2) AS INT)")
+
+
+@query("p4_lonlat_to_cell", f"SELECT feature_id, area_id, {DR} AS dr, {DC} AS dc FROM buildings JOIN areas USING (area_id)")
+def _(v, spark, d):
+    buildings, areas = v("buildings", "areas")
+    return grid.to_domain(buildings, areas, 8).select("feature_id", "area_id", "dr", "dc")
+
+
+@query("p5_domain_crop", "SELECT area_id, r - row0 AS r, c - col0 AS c, dem FROM cells JOIN (SELECT area_id, greatest(0, least(CAST(trunc((25.655e0 - lat0) / dlat) AS INT) - 4, nrows - 8)) AS row0, greatest(0, least(CAST(trunc((85.002e0 - lon0) / dlon) AS INT) - 4, ncols - 8)) AS col0 FROM areas) USING (area_id) WHERE r >= row0 AND r < row0 + 8 AND c >= col0 AND c < col0 + 8")
+def _(v, spark, d):
+    cells, areas = v("cells", "areas")
+    return grid.crop(cells, areas, 4, F.lit(25.655), F.lit(85.002)).select(*KEY, "dem")
+
+
+@query("p6_pooling", "SELECT area_id, CAST(r // 2 AS INT) AS r, CAST(c // 2 AS INT) AS c, round(avg(dem), 6) AS dem, max(acc) AS acc, max(CASE WHEN r % 2 = 0 AND c % 2 = 0 THEN worldcover END) AS worldcover FROM cells GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    return grid.pool(v("cells")[0], {"dem": "avg", "acc": "max", "worldcover": "nearest"})
+
+
+@query("p7_class_lookup", f"SELECT area_id, r, c, {_case('worldcover', P.MANNING, 0.035)} AS mann, {_case('worldcover', P.INFILTRATION, 5.0)} AS f, {CN} AS cn FROM cells")
+def _(v, spark, d):
+    wc = F.col("worldcover")
+    return v("cells")[0].select(*KEY, C.lookup(wc, P.MANNING, 0.035).alias("mann"), C.lookup(wc, P.INFILTRATION, 5.0).alias("f"), C.curve_number(wc, C.soil_group(F.col("clay"))).alias("cn"))
+
+
+@query("p8_soil_group", "SELECT area_id, r, c, CASE WHEN clay / 10.0e0 < 10 THEN 0 WHEN clay / 10.0e0 > 40 THEN 3 WHEN clay / 10.0e0 > 25 THEN 2 ELSE 1 END AS soil FROM cells")
+def _(v, spark, d):
+    return v("cells")[0].select(*KEY, C.soil_group(F.col("clay")).alias("soil"))
+
+
+@query("p9_infiltration", f"SELECT area_id, r, c, round(({INFIL}) * 1e6, 6) AS infil_um_s FROM cells")
+def _(v, spark, d):
+    return v("cells")[0].select(*KEY, (C.infiltration(F.col("worldcover"), F.col("clay")) * 1e6).alias("infil_um_s"))
+
+
+@query("p10_ksat", "SELECT area_id, r, c, round(pow(10.0e0, -0.6e0 + 0.0126e0 * (sand / 10.0e0) - 0.0064e0 * (clay / 10.0e0)) * 25.4e0, 6) AS ksat FROM cells")
+def _(v, spark, d):
+    return v("cells")[0].select(*KEY, C.ksat_mm_hr(F.col("sand"), F.col("clay")).alias("ksat"))
+
+
+@query("p11_class_multipliers", f"WITH {DOMAIN} SELECT area_id, r, c, round(mann * exp(CASE WHEN wc = 50 THEN 0.2e0 WHEN wc = 40 THEN -0.1e0 ELSE 0 END), 6) AS mann, round(infil * exp(CASE WHEN wc = 50 THEN -0.3e0 WHEN wc = 40 THEN 0.15e0 ELSE 0 END) * 1e6, 6) AS infil FROM domain")
+def _(v, spark, d):
+    logs = spark.createDataFrame([(50, 0.2, -0.3), (40, -0.1, 0.15)], "wc int, log_n double, log_f double")
+    return grid.class_multipliers(grid.domain_table(v("cells")[0]), logs).withColumn("infil", F.col("infil") * 1e6)
+
+
+@query("p12_urban_cost", "SELECT area_id, r, c, CASE WHEN worldcover = 50 THEN 30.0e0 WHEN acc % 3 = 0 THEN 0.5e0 ELSE 1.0e0 END AS mult FROM cells")
+def _(v, spark, d):
+    return v("cells")[0].select(*KEY, C.urban_multiplier(F.col("worldcover") == 50, F.col("acc") % 3 == 0).alias("mult"))
+
+
+@query("p13_feature_channels", f"WITH {DOMAIN}, s AS (SELECT area_id, avg(z) AS m, stddev_samp(z) AS sd FROM domain GROUP BY 1) SELECT area_id, r, c, round((z - built * 1.5e0 - m) / sd, 6) AS z_n, 1.0e0 AS rain_n, round(built * 1.5e0 / 3.0e0, 6) AS dig_n FROM domain JOIN s USING (area_id)")
+def _(v, spark, d):
+    return grid.feature_channels(grid.domain_table(v("cells")[0]), 100.0, F.col("built") * 1.5)
+
+
+@query("p14_domain_table", f"WITH {DOMAIN} SELECT area_id, r, c, round(z, 6) AS z, mann, round(infil * 1e6, 6) AS infil, built, wc FROM domain")
+def _(v, spark, d):
+    return grid.domain_table(v("cells")[0]).withColumn("infil", F.col("infil") * 1e6)
+
+
+# --- terrain --------------------------------------------------------------------------------------------------------
+
+GRAD = """g AS (SELECT *, CASE WHEN r = 0 THEN lead(dem) OVER y - dem WHEN r = 15 THEN dem - lag(dem) OVER y ELSE (lead(dem) OVER y - lag(dem) OVER y) / 2.0e0 END AS gy,
+    CASE WHEN c = 0 THEN lead(dem) OVER x - dem WHEN c = 15 THEN dem - lag(dem) OVER x ELSE (lead(dem) OVER x - lag(dem) OVER x) / 2.0e0 END AS gx
+    FROM cells WINDOW y AS (PARTITION BY area_id, c ORDER BY r), x AS (PARTITION BY area_id, r ORDER BY c))"""
+HYP = "sqrt(gx * gx + gy * gy)"
+
+
+@query("t1_gradient", f"WITH {GRAD} SELECT area_id, r, c, round(gy, 6) AS gy, round(gx, 6) AS gx FROM g")
+def _(v, spark, d):
+    return terrain.gradient(v("cells")[0], "dem").select(*KEY, "gy", "gx")
+
+
+@query("t2_twi", f"WITH {GRAD} SELECT area_id, r, c, round(ln((acc * 900.0e0 + 1) / ({HYP} + 1e-3)), 6) AS twi FROM g")
+def _(v, spark, d):
+    return terrain.wetness(v("cells")[0]).select(*KEY, "twi")
+
+
+@query("t3_hillshade", f"WITH {GRAD} SELECT area_id, r, c, round((sin(radians(45)) * sin(pi() / 2 - atan({HYP})) + cos(radians(45)) * cos(pi() / 2 - atan({HYP})) * cos(radians(360.0e0 - 315 + 90) - atan2(-gx, gy)) + 1) / 2, 5) AS shade FROM g")
+def _(v, spark, d):
+    return terrain.hillshade(v("cells")[0]).select(*KEY, F.round("shade", 5).alias("shade"))
+
+
+@query("t4_hand_lite", "WITH drains AS (SELECT area_id, r, c, dem FROM cells WHERE jrc >= 50), n AS (SELECT a.area_id, a.r, a.c, a.dem - d.dem AS hand, row_number() OVER (PARTITION BY a.area_id, a.r, a.c ORDER BY (a.r - d.r) ** 2 + (a.c - d.c) ** 2, d.r, d.c) AS k FROM cells a JOIN drains d USING (area_id)) SELECT area_id, r, c, round(coalesce(hand, 0), 6) AS hand FROM cells LEFT JOIN (SELECT * FROM n WHERE k = 1) USING (area_id, r, c)")
+def _(v, spark, d):
+    return terrain.hand_lite(v("cells")[0])
+
+
+MIRROR = "CASE WHEN {0} + {1} < 0 THEN -1 - ({0} + {1}) WHEN {0} + {1} > 15 THEN 31 - ({0} + {1}) ELSE {0} + {1} END"
+BOX7 = f"box AS (SELECT a.area_id, a.r, a.c, avg(CASE WHEN b.worldcover IN (50, 80) THEN 0.0e0 ELSE 1.0e0 END) AS box_mean FROM cells a CROSS JOIN range(-3, 4) y(i) CROSS JOIN range(-3, 4) x(j) JOIN cells b ON b.area_id = a.area_id AND b.r = {MIRROR.format('a.r', 'y.i')} AND b.c = {MIRROR.format('a.c', 'x.j')} GROUP BY 1, 2, 3)"
+
+
+@query("t5_box_mean", f"WITH {BOX7} SELECT area_id, r, c, round(box_mean, 6) AS box_mean FROM box")
+def _(v, spark, d):
+    return terrain.box_mean(v("cells")[0], (~F.col("worldcover").isin(50, 80)).cast("int"))
+
+
+@query("t6_site_mean", "SELECT s.area_id, sink_id, round(avg(dem), 6) AS site_mean FROM sinks s JOIN cells a ON a.area_id = s.area_id AND abs(a.r - s.r) <= 3 AND abs(a.c - s.c) <= 3 GROUP BY 1, 2")
+def _(v, spark, d):
+    cells, ponds = v("cells", "sinks")
+    return terrain.site_mean(cells, ponds, "dem")
+
+
+@query("t7_focal_median", "SELECT a.area_id, a.r, a.c, round(median(b.dem), 6) AS focal_median FROM cells a JOIN cells b ON a.area_id = b.area_id AND (a.r - b.r) ** 2 + (a.c - b.c) ** 2 <= 2 GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    return terrain.focal_median(v("cells")[0], "dem", ["area_id"])
+
+
+@query("t8_focal_mode", "WITH w AS (SELECT area_id, r, c, CASE WHEN depth > 0.15e0 THEN 1 ELSE 0 END AS wet FROM cells) SELECT a.area_id, a.r, a.c, CASE WHEN avg(b.wet) > 0.5 THEN 1 ELSE 0 END AS focal_mode FROM w a JOIN w b ON a.area_id = b.area_id AND (a.r - b.r) ** 2 + (a.c - b.c) ** 2 <= 4 GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    return terrain.focal_mode(v("cells")[0].withColumn("wet", (F.col("depth") > 0.15).cast("int")), "wet", ["area_id"])
+
+
+@query("t9_rescale", "WITH p AS (SELECT area_id, quantile_cont(dem, 0.02) AS lo, quantile_cont(dem, 0.98) AS hi FROM cells GROUP BY 1) SELECT area_id, r, c, round(least(greatest((dem - lo) / greatest(hi - lo, 1e-9), 0), 1), 6) AS dem_n FROM cells JOIN p USING (area_id)")
+def _(v, spark, d):
+    return terrain.rescale(v("cells")[0].select(*KEY, "dem"), "dem").drop("dem")
+
+
+IDW = "idw AS (SELECT area_id, r, c, sum(depth_to_water_m * w) / sum(w) AS gw FROM (SELECT a.area_id, r, c, depth_to_water_m, 1 / ((lat - (lat0 + dlat * (r + 0.5e0))) ** 2 + (lon - (lon0 + dlon * (c + 0.5e0))) ** 2 + 1e-12) AS w FROM cells a JOIN areas USING (area_id) CROSS JOIN stations) GROUP BY 1, 2, 3)"
+
+
+@query("t10_idw", f"WITH {IDW} SELECT area_id, r, c, round(gw, 6) AS gw FROM idw")
+def _(v, spark, d):
+    cells, areas, stations = v("cells", "areas", "stations")
+    return terrain.interpolate(grid.to_lonlat(cells.select(*KEY), areas), stations, "depth_to_water_m").select(*KEY, F.col("depth_to_water_m").alias("gw"))
+
+
+NORM = "least(greatest(({0} - quantile_cont({0}, 0.02) OVER w) / greatest(quantile_cont({0}, 0.98) OVER w - quantile_cont({0}, 0.02) OVER w, 1e-9), 0), 1)"
+RSI = f"""{IDW}, {BOX7}, l AS (SELECT area_id, r, c, worldcover, box_mean, gw, pow(10.0e0, -0.6e0 + 0.0126e0 * (sand / 10.0e0) - 0.0064e0 * (clay / 10.0e0)) * 25.4e0 AS ksat, ln(1 + acc) AS flow FROM cells JOIN idw USING (area_id, r, c) JOIN box USING (area_id, r, c)),
+    rsi AS (SELECT area_id, r, c, gw, ksat, CASE WHEN worldcover = 80 THEN 0 ELSE 0.35e0 * {NORM.format('gw')} + 0.30e0 * {NORM.format('ksat')} + 0.20e0 * box_mean + 0.15e0 * {NORM.format('flow')} END AS rsi FROM l WINDOW w AS (PARTITION BY area_id))"""
+
+
+@query("t11_recharge_index", f"WITH {RSI} SELECT area_id, r, c, round(rsi, 6) AS rsi FROM rsi")
+def _(v, spark, d):
+    return terrain.recharge_index(*v("cells", "areas", "stations"))
+
+
+FILL = """pits AS (SELECT area_id, r, c, dem, r IN (0, 15) OR c IN (0, 15) AS edge FROM cells)"""
+
+
+@query("t12_fill_depressions")
+def _(v, spark, d):
+    return hydrology.fill(v("cells")[0])
+
+
+@query("t13_flow_direction")
+def _(v, spark, d):
+    return hydrology.flow_direction(hydrology.fill(v("cells")[0]).select(*KEY, "filled"))
+
+
+FLOW = "flow AS (SELECT area_id, r, c, CASE WHEN (r + c) % 13 = 0 OR (r = 15 AND c = 15) THEN NULL WHEN r < 15 AND (acc % 2 = 0 OR c = 15) THEN r + 1 ELSE r END AS tr, CASE WHEN (r + c) % 13 = 0 OR (r = 15 AND c = 15) THEN NULL WHEN r < 15 AND (acc % 2 = 0 OR c = 15) THEN c ELSE c + 1 END AS tc FROM cells)"
+
+
+def receivers(cells: DataFrame) -> DataFrame:
+    """Given directions: down or right, with outlets here and there."""
+    stop = ((F.col("r") + F.col("c")) % 13 == 0) | ((F.col("r") == 15) & (F.col("c") == 15))
+    down = (F.col("r") < 15) & ((F.col("acc") % 2 == 0) | (F.col("c") == 15))
+    return cells.select(*KEY, F.when(~stop, F.when(down, F.col("r") + 1).otherwise(F.col("r"))).alias("tr"), F.when(~stop, F.when(down, F.col("c")).otherwise(F.col("c") + 1)).alias("tc"))
+
+
+WAYS = f"{FLOW}, way AS (SELECT area_id, r AS r0, c AS c0, r, c, tr, tc FROM flow UNION ALL SELECT w.area_id, w.r0, w.c0, f.r, f.c, f.tr, f.tc FROM way w JOIN flow f ON f.area_id = w.area_id AND f.r = w.tr AND f.c = w.tc)"
+
+
+@query("t14_flow_accumulation", f"WITH RECURSIVE {WAYS} SELECT area_id, r, c, count(*) AS acc FROM way GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    return hydrology.accumulation(receivers(v("cells")[0]))
+
+
+RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY volume_m3 DESC, sink_id) AS k FROM sinks)"
+
+
+@query("t15_catchments", f"WITH RECURSIVE {WAYS}, {RANKED}, hit AS (SELECT w.area_id, w.r0 AS r, w.c0 AS c, min(k) AS k FROM way w JOIN ranked s ON s.area_id = w.area_id AND s.r = w.r AND s.c = w.c GROUP BY 1, 2, 3) SELECT f.area_id, f.r, f.c, s.sink_id FROM flow f LEFT JOIN hit h ON h.area_id = f.area_id AND h.r = f.r AND h.c = f.c LEFT JOIN ranked s ON s.area_id = h.area_id AND s.k = h.k")
+def _(v, spark, d):
+    cells, ponds = v("cells", "sinks")
+    return hydrology.catchments(receivers(cells), ponds)
+
+
+@query("t15_catchment_areas", f"WITH RECURSIVE {WAYS}, a AS (SELECT area_id, r, c, count(*) AS n FROM way GROUP BY 1, 2, 3) SELECT area_id, sink_id, coalesce(n, 0) * 900.0e0 AS catchment_m2 FROM sinks LEFT JOIN a USING (area_id, r, c)")
+def _(v, spark, d):
+    cells, ponds = v("cells", "sinks")
+    return hydrology.catchment_areas(receivers(cells), ponds)
+
+
+WET = "wet AS (SELECT area_id, r, c, depth, r * 16 + c AS id FROM cells WHERE depth > 0.15e0 AND jrc < 50)"
+LABELS = f"""{WET}, reach AS (SELECT area_id, id, id AS seen FROM wet UNION SELECT p.area_id, p.id, n.id FROM reach p JOIN wet m ON m.area_id = p.area_id AND m.id = p.seen JOIN wet n ON n.area_id = p.area_id AND abs(n.r - m.r) + abs(n.c - m.c) = 1),
+    low AS (SELECT area_id, id, min(seen) AS first FROM reach GROUP BY 1, 2), parts AS (SELECT area_id, r, c, depth, first, dense_rank() OVER (PARTITION BY area_id ORDER BY first) AS label, count(*) OVER (PARTITION BY area_id, first) AS n_cells FROM low JOIN wet USING (area_id, id))"""
+
+
+@query("t16_components", f"WITH RECURSIVE {LABELS} SELECT area_id, r, c, CAST(label AS INT) AS label, n_cells FROM parts")
+def _(v, spark, d):
+    return hydrology.components(v("cells")[0].where("depth > 0.15 and jrc < 50"))
+
+
+# --- sinks and basins -----------------------------------------------------------------------------------------------
+
+FOUND = f"{LABELS}, found AS (SELECT area_id, label AS sink_id, count(*) AS n, sum(depth) AS total, max(depth) AS max_depth_m, arg_min(r * 16 + c, (-depth, r, c)) AS at FROM parts WHERE n_cells >= 10 GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY round(total, 6) DESC, sink_id) AS k FROM found)"
+
+
+@query("a1_find_sinks", f"WITH RECURSIVE {FOUND} SELECT area_id, CAST(sink_id AS INT) AS sink_id, CAST(at // 16 AS INT) AS r, CAST(at % 16 AS INT) AS c, n * 900.0e0 AS area_m2, max_depth_m, round(total * 900, 3) AS volume_m3, round(lon0 + dlon * (at % 16 + 0.5e0), 6) AS lon, round(lat0 + dlat * (at // 16 + 0.5e0), 6) AS lat FROM top JOIN areas USING (area_id) WHERE k <= 25")
+def _(v, spark, d):
+    return sinks.find_sinks(*v("cells", "areas")).withColumn("volume_m3", F.round("volume_m3", 3))
+
+
+@query("a2_basins", f"WITH RECURSIVE {LABELS}, b AS (SELECT area_id, label, sum(depth * (1 + acc % 5)) AS basin_volume, arg_min(r * 16 + c, (-depth, r, c)) AS at FROM parts JOIN (SELECT area_id, r, c, acc FROM cells) USING (area_id, r, c) WHERE n_cells >= 4 GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY round(basin_volume, 6) DESC, label) AS rank FROM b) SELECT area_id, CAST(label AS INT) AS label, CAST(at // 16 AS INT) AS r, CAST(at % 16 AS INT) AS c, round(basin_volume, 6) AS basin_volume, CAST(rank AS INT) AS rank FROM t WHERE rank <= 6")
+def _(v, spark, d):
+    cells = v("cells")[0].withColumn("flood", F.when((F.col("depth") > 0.15) & (F.col("jrc") < 50), F.col("depth")).otherwise(0.0))
+    return sinks.basins(cells, "flood", (1 + F.col("acc") % 5).cast("double"))
+
+
+@query("a3_priority_weight", "SELECT area_id, CAST(r // 2 AS INT) AS r, CAST(c // 2 AS INT) AS c, round(1 + 2 * avg(CASE WHEN acc % 9 = 0 THEN 0 ELSE jrc / 100.0e0 END), 6) AS weight FROM cells GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    cells = v("cells")[0].withColumn("f", F.when(F.col("acc") % 9 == 0, float("nan")).otherwise(F.col("jrc") / 100.0))
+    return grid.pool(cells.withColumn("f", F.nanvl("f", F.lit(0.0))), {"f": "avg"}).select(*KEY, sinks.priority(F.col("f")).alias("weight"))
+
+
+RANK = "rk AS (SELECT s.area_id, s.sink_id, s.volume_m3, m.rsi, s.volume_m3 * m.rsi AS recharge_score, row_number() OVER (PARTITION BY s.area_id ORDER BY s.volume_m3 * m.rsi DESC, s.sink_id) AS rank FROM sinks s JOIN (SELECT s.area_id, sink_id, avg(sand / 1000.0e0) AS rsi FROM sinks s JOIN cells a ON a.area_id = s.area_id AND abs(a.r - s.r) <= 3 AND abs(a.c - s.c) <= 3 GROUP BY 1, 2) m USING (area_id, sink_id))"
+
+
+def ranked_recharge(v) -> DataFrame:
+    cells, ponds = v("cells", "sinks")
+    return sinks.rank_recharge(ponds, cells.select(*KEY, (F.col("sand") / 1000.0).alias("rsi"), F.col("dem").alias("gw"), F.col("clay").alias("ksat")))
+
+
+@query("a4_rank_recharge", f"WITH {RANK} SELECT area_id, sink_id, round(volume_m3, 6) AS volume_m3, round(rsi, 6) AS rsi, round(recharge_score, 4) AS recharge_score, CAST(rank AS INT) AS rank, round(dem, 6) AS gw, clay AS ksat FROM rk JOIN sinks USING (area_id, sink_id) JOIN (SELECT area_id, r, c, dem, clay FROM cells) USING (area_id, r, c)".replace("round(volume_m3", "round(rk.volume_m3"))
+def _(v, spark, d):
+    return ranked_recharge(v).select("area_id", "sink_id", "volume_m3", "rsi", F.round("recharge_score", 4).alias("recharge_score"), "rank", "gw", "ksat")
+
+
+@query("a5_top_recharge", f"WITH {RANK} SELECT area_id, sink_id, volume_m3, round(rsi, 6) AS rsi, round(recharge_score, 4) AS recharge_score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 3")
+def _(v, spark, d):
+    return sinks.top_recharge(ranked_recharge(v), 3).withColumn("recharge_score", F.round("recharge_score", 4))
+
+
+@query("a6_sample_flag", "SELECT station, starts_with(station, 'SAMPLE') AS is_sample FROM stations")
+def _(v, spark, d):
+    return sinks.flag_samples(v("stations")[0]).select("station", "is_sample")
+
+
+# --- rain -----------------------------------------------------------------------------------------------------------
+
+FIRST = "first AS (SELECT area_id, point_id, sum(coalesce(mm, 0)) AS rain_mm FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ts, event_id) AS k FROM rain) WHERE k <= 24 GROUP BY 1, 2)"
+
+
+@query("r1_next_hours", f"WITH {FIRST} SELECT area_id, point_id, round(rain_mm, 6) AS rain_mm FROM first")
+def _(v, spark, d):
+    return rain.next_hours(v("rain")[0])
+
+
+@query("r2_area_max", f"WITH {FIRST} SELECT area_id, round(max(rain_mm), 6) AS rain_mm FROM first GROUP BY 1")
+def _(v, spark, d):
+    return rain.area_max(rain.next_hours(v("rain")[0]))
+
+
+@query("r2_sample_points", "SELECT area_id, p.name, round(p.lat, 6) AS lat, round(p.lon, 6) AS lon FROM (SELECT area_id, unnest([{'name': 'centre', 'lat': lat0 + dlat * 8, 'lon': lon0 + dlon * 8}, {'name': 'nw', 'lat': lat0, 'lon': lon0}, {'name': 'ne', 'lat': lat0, 'lon': lon0 + dlon * 16}, {'name': 'sw', 'lat': lat0 + dlat * 16, 'lon': lon0}, {'name': 'se', 'lat': lat0 + dlat * 16, 'lon': lon0 + dlon * 16}]) AS p FROM areas)")
+def _(v, spark, d):
+    return rain.sample_points(v("areas")[0])
+
+
+ANTE = f"{DAILY}, ante AS (SELECT area_id, day, sum(mm) OVER (PARTITION BY area_id ORDER BY day RANGE BETWEEN INTERVAL 2 DAYS PRECEDING AND CURRENT ROW) AS rain_mm FROM daily)"
+
+
+@query("r3_antecedent", f"WITH {ANTE} SELECT area_id, day, round(rain_mm, 6) AS rain_mm FROM ante")
+def _(v, spark, d):
+    return rain.antecedent(v("rain")[0], 2)
+
+
+USABLE = f"{ANTE}, usable AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY day) AS k FROM (SELECT DISTINCT area_id, day FROM rain WHERE event_id % 3 = 0) JOIN ante USING (area_id, day) WHERE rain_mm >= 50)"
+
+
+@query("r4_usable_dates", f"WITH {USABLE} SELECT area_id, day, round(rain_mm, 6) AS rain_mm, CAST(k AS INT) AS k FROM usable WHERE k <= 8")
+def _(v, spark, d):
+    r = v("rain")[0]
+    return rain.usable_dates(r.where("event_id % 3 = 0"), r, 2, 50.0, 8)
+
+
+@query("r5_hold_out", f"WITH {USABLE}, u AS (SELECT * FROM usable WHERE k <= 8) SELECT area_id, day, k > count(*) OVER (PARTITION BY area_id) - least(2, count(*) OVER (PARTITION BY area_id) - 1) AS is_test FROM u")
+def _(v, spark, d):
+    r = v("rain")[0]
+    return rain.hold_out(rain.usable_dates(r.where("event_id % 3 = 0"), r, 2, 50.0, 8).select("area_id", "day"), 2)
+
+
+# --- alerts ---------------------------------------------------------------------------------------------------------
+
+
+@query("l1_runoff", f"SELECT area_id, r, c, CASE WHEN clay / 10.0e0 < 10 THEN 0 WHEN clay / 10.0e0 > 40 THEN 3 WHEN clay / 10.0e0 > 25 THEN 2 ELSE 1 END AS soil, {CN} AS cn, round({_runoff('100.0e0', f'({CN})')}, 6) AS q_mm FROM cells")
+def _(v, spark, d):
+    return alerts.runoff(v("cells")[0], F.lit(100.0))
+
+
+@query("alerts_fill_ratio", f"WITH {ONE} SELECT * FROM levels")
+def _(v, spark, d):
+    return levels(v, spark, 100.0)
+
+
+@query("l3_rain_sweep", f"WITH {ALERTS} SELECT * FROM levels")
+def _(v, spark, d):
+    return levels(v, spark, 20.0, 60.0, 100.0)
+
+
+PLACED = "placed AS (SELECT sink_id, lat, lon, CASE WHEN x > 0 AND y > 0 AND x < 100 AND y < 15 AND x <> floor(x) AND y <> floor(y) THEN 'zone_' || CAST(CAST(floor(x) * 15 + floor(y) AS BIGINT) AS VARCHAR) END AS ward FROM (SELECT sink_id, lat0 + dlat * (r + 0.5e0) AS lat, lon0 + dlon * (c + 0.5e0) AS lon, (lon0 + dlon * (c + 0.5e0) - 85.0e0) / 0.01e0 AS x, (lat0 + dlat * (r + 0.5e0) - 25.55e0) / 0.01e0 AS y FROM sinks JOIN areas USING (area_id)))"
+
+
+def placed(v) -> DataFrame:
+    ponds, areas = v("sinks", "areas")
+    return alerts.grid_wards(grid.to_lonlat(ponds, areas), BOX)
+
+
+@query("l4_grid_wards", f"WITH {PLACED} SELECT sink_id, round(lat, 6) AS lat, round(lon, 6) AS lon, ward FROM placed")
+def _(v, spark, d):
+    return placed(v).select("sink_id", "lat", "lon", "ward")
+
+
+@query("l5_polygon_wards", "SELECT b.area_id, feature_id, 'w' || CAST(a.area_id AS VARCHAR) AS ward FROM buildings b JOIN areas a ON abs(b.lon - (a.lon0 + 0.0022e0)) + abs(b.lat - (a.lat0 - 0.0022e0)) < 0.0017e0")
+def _(v, spark, d):
+    buildings, areas = v("buildings", "areas")
+    corner = lambda x, y: F.struct((F.col("lon0") + 0.0022 + x).alias("lon"), (F.col("lat0") - 0.0022 + y).alias("lat"))
+    rings = areas.select(F.concat(F.lit("w"), F.col("area_id").cast("string")).alias("ward"), F.array(corner(0.0017, 0.0), corner(0.0, 0.0017), corner(-0.0017, 0.0), corner(0.0, -0.0017)).alias("ring"))
+    return alerts.polygon_wards(buildings.select("area_id", "feature_id", "lat", "lon"), rings).drop("lat", "lon")
+
+
+@query("l6_ward_levels", f"WITH {ONE}, {PLACED}, worst AS (SELECT ward, arg_max(level, CASE level WHEN 'RED' THEN 2 WHEN 'AMBER' THEN 1 ELSE 0 END) AS level, count(*) AS n_sinks FROM levels JOIN placed USING (sink_id) WHERE ward IS NOT NULL GROUP BY 1) SELECT 'zone_' || CAST(k AS VARCHAR) AS ward, coalesce(level, 'GREEN') AS level, coalesce(n_sinks, 0) AS n_sinks FROM range(1500) z(k) LEFT JOIN worst ON ward = 'zone_' || CAST(k AS VARCHAR)")
+def _(v, spark, d):
+    rows = levels(v, spark, 100.0).join(placed(v).select("sink_id", "ward"), "sink_id")
+    return alerts.ward_levels(alerts.all_grid_wards(spark, BOX), rows)
+
+
+@query("l7_level_counts", f"WITH {ALERTS} SELECT area_id, rain_mm, count(*) FILTER (level = 'RED') AS red, count(*) FILTER (level = 'AMBER') AS amber, count(*) FILTER (level = 'GREEN') AS green FROM levels GROUP BY 1, 2")
+def _(v, spark, d):
+    return alerts.level_counts(levels(v, spark, 20.0, 60.0, 100.0))
+
+
+@query("l8_digest", f"WITH {ALERTS}, k AS (SELECT *, row_number() OVER (PARTITION BY area_id, rain_mm, level ORDER BY fill_ratio DESC, sink_id) AS k FROM levels) SELECT area_id, rain_mm, 'Flood outlook, next 24h: ' || CAST(CAST(rain_mm AS BIGINT) AS VARCHAR) || ' mm forecast.' || chr(10) || 'RED sinks: ' || CAST(count(*) FILTER (level = 'RED') AS VARCHAR) || '  AMBER: ' || CAST(count(*) FILTER (level = 'AMBER') AS VARCHAR) || '.' || chr(10) || coalesce(string_agg('- sink ' || CAST(sink_id AS VARCHAR) || ' fill ' || printf('%.2f', fill_ratio), chr(10) ORDER BY fill_ratio DESC, sink_id) FILTER (level = 'RED' AND k <= 5), '') AS message FROM k GROUP BY 1, 2")
+def _(v, spark, d):
+    return alerts.digest(levels(v, spark, 20.0, 60.0, 100.0))
