@@ -1 +1 @@
-
+"""Operators over cell tables."""

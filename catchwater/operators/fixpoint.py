@@ -40,7 +40,7 @@ def relax(cells: DataFrame, layers: list[str], step: Callable[[dict[str, np.ndar
         own = np.zeros(shape, bool)
         own[1 : tile + 1, 1 : tile + 1] = True
         while True:
-            low = np.where(own, np.minimum(v, step(grids, v)), v)
+            low = np.where(own, np.fmin(v, step(grids, v)), v)  # NaN where there is no cell
             if (low == v).all():
                 break
             v = low

@@ -96,8 +96,10 @@ def oracle(sql: str) -> str:
                 todo.append(VIEWS[name])
     parts = [f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed]
     body = " ".join(sql.split())
+    if not parts:
+        return body
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {', '.join(parts)}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(parts)}, {body[5:]}"
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    return f"WITH {', '.join(parts)} {body}"

@@ -60,6 +60,7 @@ from catchwater import params as P  # noqa: E402
 
 CN = _curve_number("clay", "worldcover")
 INFIL = f"{_case('worldcover', P.INFILTRATION, 5.0)} * least(greatest(1.2e0 - 0.02e0 * (clay / 10.0e0), 0.3e0), 1.5e0) / 1000.0e0 / 3600.0e0"
+#: How cells of the 8 x 8 domain are made from the 16 x 16 grid.
 DOMAIN = f"""domain AS (
     SELECT area_id, r, c, z, mann, infil, CASE WHEN wc = 50 THEN 1 ELSE 0 END AS built, wc FROM (
         SELECT area_id, r, c, z, wc, {_case('wc', P.MANNING, 0.035)} AS mann, {INFIL.replace('worldcover', 'wc')} AS infil FROM (
@@ -72,7 +73,7 @@ LEVELS = f"""levels AS (
 ALERTS = f"{HIST}, amounts AS (SELECT unnest([20.0e0, 60.0e0, 100.0e0]) AS rain_mm), {LEVELS}"
 ONE = f"{HIST}, amounts AS (SELECT 100.0e0 AS rain_mm), {LEVELS}"
 DAILY = "daily AS (SELECT area_id, day, sum(coalesce(mm, 0)) AS mm FROM rain GROUP BY 1, 2)"
-BUILT = "built AS (SELECT area_id, r, c, CASE WHEN worldcover IN (40, 50, 60) THEN 1 ELSE 0 END AS built FROM cells)"
+BUILT = "built AS (SELECT area_id, r, c, CASE WHEN worldcover IN (40, 50, 60) THEN 1 ELSE 0 END AS built, dem AS z FROM cells)"
 
 
 def amounts(spark, areas: DataFrame, *mm: float) -> DataFrame:
@@ -123,9 +124,9 @@ def _(v, spark, d):
 @query("s6_facts", f"WITH {ONE}, a AS (SELECT area_id, count(*) AS n FROM levels GROUP BY 1), b AS (SELECT area_id, round(max(h), 6) AS peak FROM runs GROUP BY 1) SELECT coalesce(a.area_id, b.area_id) AS area_id, n, peak FROM a FULL JOIN b ON a.area_id = b.area_id")
 def _(v, spark, d):
     made = tables.facts("area_id", alerts=levels(v, spark, 100.0).groupBy("area_id").agg(F.count("*").alias("n")), floods=v("runs")[0].groupBy("area_id").agg(F.max("h").alias("peak")))
-    path = scratch(spark)
-    tables.write_reports(made, f"{path}/2024-06-01")
-    return tables.read_reports(spark, f"{path}/2024-06-01", made.schema).select("area_id", "alerts.n", "floods.peak") if False else made.select("area_id", "alerts.n", "floods.peak")
+    path = f"{scratch(spark)}/2024-06-01"
+    tables.write_reports(made, path)
+    return spark.read.schema(made.schema).json(path).select("area_id", "alerts.n", "floods.peak")
 
 
 @query("s7_rain_payload", "SELECT point_id, CAST(row_number() OVER (PARTITION BY point_id ORDER BY ts, event_id) - 1 AS INT) AS k, date_trunc('second', ts) AS ts, coalesce(mm, 0) AS mm FROM rain")
@@ -294,9 +295,6 @@ def _(v, spark, d):
     return terrain.recharge_index(*v("cells", "areas", "stations"))
 
 
-FILL = """pits AS (SELECT area_id, r, c, dem, r IN (0, 15) OR c IN (0, 15) AS edge FROM cells)"""
-
-
 @query("t12_fill_depressions")
 def _(v, spark, d):
     return hydrology.fill(v("cells")[0])
@@ -352,15 +350,15 @@ def _(v, spark, d):
 
 # --- sinks and basins -----------------------------------------------------------------------------------------------
 
-FOUND = f"{LABELS}, found AS (SELECT area_id, label AS sink_id, count(*) AS n, sum(depth) AS total, max(depth) AS max_depth_m, arg_min(r * 16 + c, (-depth, r, c)) AS at FROM parts WHERE n_cells >= 10 GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY round(total, 6) DESC, sink_id) AS k FROM found)"
+FOUND = f"{LABELS}, found AS (SELECT area_id, label AS sink_id, count(*) AS n, sum(depth) AS total, max(depth) AS max_depth_m, arg_min(r * 16 + c, (-depth, r, c)) AS pos FROM parts WHERE n_cells >= 10 GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY round(total, 6) DESC, sink_id) AS k FROM found)"
 
 
-@query("a1_find_sinks", f"WITH RECURSIVE {FOUND} SELECT area_id, CAST(sink_id AS INT) AS sink_id, CAST(at // 16 AS INT) AS r, CAST(at % 16 AS INT) AS c, n * 900.0e0 AS area_m2, max_depth_m, round(total * 900, 3) AS volume_m3, round(lon0 + dlon * (at % 16 + 0.5e0), 6) AS lon, round(lat0 + dlat * (at // 16 + 0.5e0), 6) AS lat FROM top JOIN areas USING (area_id) WHERE k <= 25")
+@query("a1_find_sinks", f"WITH RECURSIVE {FOUND} SELECT area_id, CAST(sink_id AS INT) AS sink_id, CAST(pos // 16 AS INT) AS r, CAST(pos % 16 AS INT) AS c, n * 900.0e0 AS area_m2, max_depth_m, round(total * 900, 3) AS volume_m3, round(lon0 + dlon * (pos % 16 + 0.5e0), 6) AS lon, round(lat0 + dlat * (pos // 16 + 0.5e0), 6) AS lat FROM top JOIN areas USING (area_id) WHERE k <= 25")
 def _(v, spark, d):
     return sinks.find_sinks(*v("cells", "areas")).withColumn("volume_m3", F.round("volume_m3", 3))
 
 
-@query("a2_basins", f"WITH RECURSIVE {LABELS}, b AS (SELECT area_id, label, sum(depth * (1 + acc % 5)) AS basin_volume, arg_min(r * 16 + c, (-depth, r, c)) AS at FROM parts JOIN (SELECT area_id, r, c, acc FROM cells) USING (area_id, r, c) WHERE n_cells >= 4 GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY round(basin_volume, 6) DESC, label) AS rank FROM b) SELECT area_id, CAST(label AS INT) AS label, CAST(at // 16 AS INT) AS r, CAST(at % 16 AS INT) AS c, round(basin_volume, 6) AS basin_volume, CAST(rank AS INT) AS rank FROM t WHERE rank <= 6")
+@query("a2_basins", f"WITH RECURSIVE {LABELS}, b AS (SELECT area_id, label, sum(depth * (1 + acc % 5)) AS basin_volume, arg_min(r * 16 + c, (-depth, r, c)) AS pos FROM parts JOIN (SELECT area_id, r, c, acc FROM cells) USING (area_id, r, c) WHERE n_cells >= 4 GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY round(basin_volume, 6) DESC, label) AS rank FROM b) SELECT area_id, CAST(label AS INT) AS label, CAST(pos // 16 AS INT) AS r, CAST(pos % 16 AS INT) AS c, round(basin_volume, 6) AS basin_volume, CAST(rank AS INT) AS rank FROM t WHERE rank <= 6")
 def _(v, spark, d):
     cells = v("cells")[0].withColumn("flood", F.when((F.col("depth") > 0.15) & (F.col("jrc") < 50), F.col("depth")).otherwise(0.0))
     return sinks.basins(cells, "flood", (1 + F.col("acc") % 5).cast("double"))
@@ -488,6 +486,340 @@ def _(v, spark, d):
     return alerts.level_counts(levels(v, spark, 20.0, 60.0, 100.0))
 
 
-@query("l8_digest", f"WITH {ALERTS}, k AS (SELECT *, row_number() OVER (PARTITION BY area_id, rain_mm, level ORDER BY fill_ratio DESC, sink_id) AS k FROM levels) SELECT area_id, rain_mm, 'Flood outlook, next 24h: ' || CAST(CAST(rain_mm AS BIGINT) AS VARCHAR) || ' mm forecast.' || chr(10) || 'RED sinks: ' || CAST(count(*) FILTER (level = 'RED') AS VARCHAR) || '  AMBER: ' || CAST(count(*) FILTER (level = 'AMBER') AS VARCHAR) || '.' || chr(10) || coalesce(string_agg('- sink ' || CAST(sink_id AS VARCHAR) || ' fill ' || printf('%.2f', fill_ratio), chr(10) ORDER BY fill_ratio DESC, sink_id) FILTER (level = 'RED' AND k <= 5), '') AS message FROM k GROUP BY 1, 2")
+@query("l8_digest", f"WITH {ALERTS}, k AS (SELECT *, row_number() OVER (PARTITION BY area_id, rain_mm, level ORDER BY fill_ratio DESC, sink_id) AS k FROM levels) SELECT area_id, rain_mm, 'Flood outlook, next 24h: ' || CAST(CAST(rain_mm AS BIGINT) AS VARCHAR) || ' mm forecast.' || chr(10) || 'RED sinks: ' || CAST(count(*) FILTER (level = 'RED') AS VARCHAR) || ' ' || ' AMBER: ' || CAST(count(*) FILTER (level = 'AMBER') AS VARCHAR) || '.' || chr(10) || coalesce(string_agg('- sink ' || CAST(sink_id AS VARCHAR) || ' fill ' || printf('%.2f', fill_ratio), chr(10) ORDER BY fill_ratio DESC, sink_id) FILTER (level = 'RED' AND k <= 5), '') AS message FROM k GROUP BY 1, 2")
 def _(v, spark, d):
     return alerts.digest(levels(v, spark, 20.0, 60.0, 100.0))
+
+
+# --- radar and verification -----------------------------------------------------------------------------------------
+
+
+def passes(v) -> DataFrame:
+    days = v("sar")[0].select("area_id", "day").distinct()
+    return days.select("area_id", "day", F.when(F.dayofmonth("day") % 5 == 0, "EW").otherwise("IW").alias("mode"), F.when(F.dayofmonth("day") % 7 == 0, F.array(F.lit("VH"))).otherwise(F.array(F.lit("VV"), F.lit("VH"))).alias("polarisations"))
+
+
+@query("v1_select_passes", "SELECT DISTINCT area_id, day FROM sar WHERE day >= DATE '1995-01-01' AND day < DATE '1996-01-01' AND extract(day FROM day) % 5 <> 0 AND extract(day FROM day) % 7 <> 0")
+def _(v, spark, d):
+    from datetime import date
+
+    return radar.select_passes(passes(v), date(1995, 1, 1), date(1996, 1, 1)).select("area_id", "day")
+
+
+DRY = "dry AS (SELECT area_id, r, c, median(vv) AS dry FROM sar WHERE mon IN (2, 3) GROUP BY 1, 2, 3)"
+
+
+@query("v2_dry_reference", f"WITH {DRY} SELECT area_id, r, c, round(dry, 6) AS dry FROM dry")
+def _(v, spark, d):
+    return radar.dry_reference(v("sar")[0])
+
+
+EVENTS = "ev AS (SELECT DISTINCT area_id, day AS event FROM sar WHERE extract(day FROM day) = 15)"
+MOSAIC = f"{EVENTS}, mosaic AS (SELECT s.area_id, r, c, event, arg_max(vv, (day, seq)) AS vv FROM sar s JOIN ev ON ev.area_id = s.area_id AND s.day >= event - 1 AND s.day < event + 2 GROUP BY 1, 2, 3, 4)"
+
+
+def event_days(v) -> DataFrame:
+    return v("sar")[0].where("dayofmonth(day) = 15").select("area_id", F.col("day").alias("event")).distinct()
+
+
+@query("v3_event_mosaic", f"WITH {MOSAIC} SELECT * FROM mosaic")
+def _(v, spark, d):
+    return radar.mosaic(v("sar")[0], event_days(v))
+
+
+RULE = "CASE WHEN (coalesce(vv < -16, false) OR coalesce(vv - dry < -4, false)) AND jrc < 50 THEN 1 ELSE 0 END"
+MASK = f"{DRY}, {MOSAIC}, raw AS (SELECT area_id, r, c, event, {RULE} AS wet FROM mosaic LEFT JOIN dry USING (area_id, r, c) JOIN (SELECT area_id, r, c, jrc FROM cells) USING (area_id, r, c)), mask AS (SELECT a.area_id, a.event, a.r, a.c, CASE WHEN avg(b.wet) > 0.5 THEN 1 ELSE 0 END AS wet FROM raw a JOIN raw b ON a.area_id = b.area_id AND a.event = b.event AND (a.r - b.r) ** 2 + (a.c - b.c) ** 2 <= 4 GROUP BY 1, 2, 3, 4)"
+
+
+def mask(v) -> DataFrame:
+    sar, cells = v("sar", "cells")
+    return radar.water_mask(radar.mosaic(sar, event_days(v)), radar.dry_reference(sar), cells)
+
+
+@query("v4_water_mask", f"WITH {MASK} SELECT * FROM mask")
+def _(v, spark, d):
+    return mask(v)
+
+
+@query("v5_wet_frequency", f"WITH {DRY}, m AS (SELECT * FROM sar WHERE extract(month FROM day) * 100 + extract(day FROM day) >= 601 AND extract(month FROM day) * 100 + extract(day FROM day) < 1015), n AS (SELECT area_id, count(DISTINCT day) AS n FROM m GROUP BY 1), i AS (SELECT area_id, r, c, day, arg_max(vv, seq) AS vv FROM m GROUP BY 1, 2, 3, 4), w AS (SELECT area_id, r, c, sum({RULE.replace(' AND jrc < 50', '')}) AS wet FROM i LEFT JOIN dry USING (area_id, r, c) GROUP BY 1, 2, 3) SELECT area_id, r, c, CASE WHEN jrc < 50 THEN round(coalesce(wet, 0) / n, 6) END AS frequency FROM (SELECT area_id, r, c, jrc FROM cells) JOIN n USING (area_id) LEFT JOIN w USING (area_id, r, c)")
+def _(v, spark, d):
+    sar, cells = v("sar", "cells")
+    return radar.wet_frequency(sar, radar.dry_reference(sar), cells)
+
+
+SCORES = "sc AS (SELECT area_id, event_id, count(*) FILTER (pred > 0.4 AND wet = 1) AS hits, count(*) FILTER (pred <= 0.4 AND wet = 1) AS misses, count(*) FILTER (pred > 0.4 AND wet = 0) AS false_alarms FROM truth GROUP BY 1, 2), scored AS (SELECT *, hits / greatest(hits + misses, 1) AS pod, false_alarms / greatest(hits + false_alarms, 1) AS far, hits / greatest(hits + misses + false_alarms, 1) AS csi FROM sc)"
+
+
+@query("v6_scores", f"WITH {SCORES} SELECT area_id, event_id, hits, misses, false_alarms, round(pod, 6) AS pod, round(far, 6) AS far, round(csi, 6) AS csi FROM scored")
+def _(v, spark, d):
+    return radar.scores(v("truth")[0], F.col("pred") > 0.4, ["area_id", "event_id"])
+
+
+@query("v7_domain_truth", f"WITH {MASK}, t AS (SELECT area_id, event, CAST(r // 2 AS INT) AS r, CAST(c // 2 AS INT) AS c, max(wet) AS wet FROM mask GROUP BY 1, 2, 3, 4), o AS (SELECT area_id, CAST(r // 2 AS INT) AS r, CAST(c // 2 AS INT) AS c, CASE WHEN avg(jrc) < 50 THEN 1 ELSE 0 END AS valid FROM cells GROUP BY 1, 2, 3) SELECT * FROM t JOIN o USING (area_id, r, c)")
+def _(v, spark, d):
+    return radar.domain_truth(mask(v), v("cells")[0])
+
+
+@query("v8_mean_csi", f"WITH {SCORES} SELECT area_id, round_even(avg(csi), 4) AS mean_csi FROM scored GROUP BY 1")
+def _(v, spark, d):
+    return radar.mean_csi(radar.scores(v("truth")[0], F.col("pred") > 0.4, ["area_id", "event_id"]), ["area_id"])
+
+
+def _sweep(sign: str, name: str = "sw", value: str = "pred", grid_sql: str = "SELECT k / 20.0e0 AS t FROM range(20) g(k)") -> str:
+    return f"{name} AS (SELECT t, avg(csi) AS mean_csi FROM (SELECT t, event_id, count(*) FILTER ({value} {sign} t AND wet = 1) / greatest(count(*) FILTER (wet = 1) + count(*) FILTER ({value} {sign} t AND wet = 0), 1) AS csi FROM truth CROSS JOIN ({grid_sql}) GROUP BY 1, 2) GROUP BY 1)"
+
+
+def thresholds(spark) -> DataFrame:
+    return spark.range(20).select((F.col("id") / 20.0).alias("t"))
+
+
+@query("v9_threshold_sweep", f"WITH {_sweep('>')}, {_sweep('<', 'lo')} SELECT 'above' AS side, t, round(mean_csi, 6) AS mean_csi FROM sw UNION ALL SELECT 'below', t, round(mean_csi, 6) FROM lo")
+def _(v, spark, d):
+    truth = v("truth")[0]
+    up, down = radar.sweep(truth, "pred", thresholds(spark)), radar.sweep(truth, "pred", thresholds(spark), above=False)
+    return up.select(F.lit("above").alias("side"), "t", "mean_csi").union(down.select(F.lit("below"), "t", "mean_csi"))
+
+
+@query("v9_best_threshold", f"WITH {_sweep('>')} SELECT arg_max(t, (round(mean_csi, 9), -t)) AS threshold, round_even(max(mean_csi), 4) AS mean_csi FROM sw")
+def _(v, spark, d):
+    return radar.best_threshold(radar.sweep(v("truth")[0], "pred", thresholds(spark)).withColumn("mean_csi", F.round("mean_csi", 9)), [])
+
+
+@query("v10_threshold_grids", "WITH q AS (SELECT unnest([quantile_cont(depth, 0.5e0), quantile_cont(depth, 0.6225e0), quantile_cont(depth, 0.745e0), quantile_cont(depth, 0.8675e0), quantile_cont(depth, 0.99e0)]) AS t, unnest([0, 1, 2, 3, 4]) AS k FROM cells) SELECT 'quantile' AS kind, k, round(t, 6) AS t FROM q UNION ALL SELECT 'linear', k, round(0.05e0 + 0.95e0 * k / 4, 6) FROM range(5) g(k)")
+def _(v, spark, d):
+    q = radar.quantile_grid(v("cells")[0], "depth", 5)
+    return q.select(F.lit("quantile").alias("kind"), F.col("k").cast("long").alias("k"), "t").union(radar.linear_grid(spark, 0.05, 1.0, 5).select(F.lit("linear"), F.col("k").cast("long"), "t"))
+
+
+@query("v11_compare_methods", f"WITH {_sweep('>')}, {_sweep('<', 'lo')}, b AS (SELECT 'depth' AS method, arg_max(t, (round(mean_csi, 9), -t)) AS threshold, round_even(max(mean_csi), 4) AS mean_csi FROM sw UNION ALL SELECT 'height', arg_max(t, (round(mean_csi, 9), -t)), round_even(max(mean_csi), 4) FROM lo) SELECT *, CAST(row_number() OVER (ORDER BY mean_csi DESC, method) AS INT) AS rank FROM b")
+def _(v, spark, d):
+    truth = v("truth")[0]
+    both = {"depth": radar.sweep(truth, "pred", thresholds(spark)), "height": radar.sweep(truth, "pred", thresholds(spark), above=False)}
+    return radar.compare_methods({k: x.withColumn("mean_csi", F.round("mean_csi", 9)) for k, x in both.items()})
+
+
+@query("v12_soft_dice", "SELECT area_id, event_id, round(1 - (2 * sum(wet / (1 + exp(-(pred - 0.4e0) / 0.1e0))) + 1) / (sum(1 / (1 + exp(-(pred - 0.4e0) / 0.1e0))) + sum(wet) + 1), 6) AS loss FROM truth GROUP BY 1, 2")
+def _(v, spark, d):
+    return radar.soft_dice(v("truth")[0], F.col("pred"), 0.4, 0.1, ["area_id", "event_id"])
+
+
+@query("v13_ensemble_cells", "SELECT area_id, r, c, round(avg(CASE WHEN h > 0.15e0 THEN 1.0e0 ELSE 0 END), 6) AS p, round(coalesce(stddev_samp(h), 0), 6) AS spread FROM runs GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    return radar.ensemble_cells(v("runs")[0])
+
+
+@query("v13_ensemble_summary", "WITH m AS (SELECT area_id, scenario_id, count(*) FILTER (h > 0.15e0) * 3600.0e0 / 1e6 AS km2 FROM runs GROUP BY 1, 2), p AS (SELECT area_id, r, c, avg(CASE WHEN h > 0.15e0 THEN 1.0e0 ELSE 0 END) AS p FROM runs GROUP BY 1, 2, 3), l AS (SELECT area_id, round(count(*) FILTER (p >= 0.5) * 3600.0e0 / 1e6, 6) AS km2_p50, round(count(*) FILTER (p >= 0.9) * 3600.0e0 / 1e6, 6) AS km2_p90 FROM p GROUP BY 1) SELECT area_id, round(avg(km2), 6) AS mean_km2, round(stddev_pop(km2), 6) AS std_km2, any_value(km2_p50) AS km2_p50, any_value(km2_p90) AS km2_p90 FROM m JOIN l USING (area_id) GROUP BY 1")
+def _(v, spark, d):
+    return radar.ensemble_summary(v("runs")[0])
+
+
+@query("v14_surrogate_error", "SELECT area_id, round(sqrt(avg((pred - wet) ** 2)), 6) AS rmse, round(coalesce(sqrt(avg((pred - wet) ** 2) FILTER (wet > 0.15)), 0), 6) AS rmse_wet, round(avg((pred - wet) ** 2 * (1 + 20 * CASE WHEN wet > 0.05 THEN 1 ELSE 0 END)), 6) AS weighted_mse FROM truth GROUP BY 1")
+def _(v, spark, d):
+    return radar.surrogate_error(v("truth")[0], F.col("pred"), F.col("wet").cast("double"), ["area_id"])
+
+
+@query("v15_disagreements", "SELECT area_id, event_id, r, c, wet, CASE WHEN pred > 0.4 THEN 1 ELSE 0 END AS predicted FROM truth WHERE wet <> CASE WHEN pred > 0.4 THEN 1 ELSE 0 END")
+def _(v, spark, d):
+    return radar.disagreements(v("truth")[0], F.col("pred") > 0.4).drop("pred")
+
+
+# --- scenarios and plans --------------------------------------------------------------------------------------------
+
+OVER = "greatest(h - 0.15e0, 0)"
+
+
+@query("c1_flood_metrics", f"WITH {BUILT} SELECT area_id, scenario_id, count(*) FILTER (h > 0.15e0 AND built = 1) * 3600.0e0 AS area_m2, round(sum({OVER} * built) * 3600, 4) AS volume_m3, max(h) AS peak_m FROM runs JOIN built USING (area_id, r, c) GROUP BY 1, 2")
+def _(v, spark, d):
+    return planning.flood_metrics(v("runs")[0], built(v)).withColumn("volume_m3", F.round("volume_m3", 4))
+
+
+@query("c2_compare_strategies", f"WITH {BUILT}, x AS (SELECT area_id, scenario_id, sum({OVER}) * 3600 AS after_m3 FROM runs JOIN built USING (area_id, r, c) WHERE built = 1 AND NOT (r BETWEEN 4 AND 6 AND c BETWEEN 4 AND 6) GROUP BY 1, 2) SELECT a.area_id, a.scenario_id, round(a.after_m3, 4) AS after_m3, round(b.after_m3, 4) AS before_m3, round_even(100 * (1 - round(a.after_m3, 4) / greatest(round(b.after_m3, 4), 1)), 1) AS reduction_pct FROM x a JOIN x b ON a.area_id = b.area_id AND b.scenario_id = 1 WHERE a.scenario_id <> 1")
+def _(v, spark, d):
+    off = v("cells")[0].where("r between 4 and 6 and c between 4 and 6")
+    out = planning.compare_strategies(v("runs")[0], built(v), off, 1)
+    a, b = F.round("after_m3", 4), F.round("before_m3", 4)
+    return out.withColumns({"after_m3": a, "before_m3": b}).withColumn("reduction_pct", F.bround(100.0 * (1.0 - F.col("after_m3") / F.greatest("before_m3", F.lit(1.0))), 1))
+
+
+FRAMES = "frames AS (SELECT area_id, scenario_id AS step, r, c, h FROM runs)"
+
+
+def frames(v) -> DataFrame:
+    return v("runs")[0].withColumnRenamed("scenario_id", "step")
+
+
+@query("c3_mass_curve", f"WITH {FRAMES} SELECT area_id, step, round(sum(h) * 3600, 4) AS volume_m3 FROM frames WHERE step % 3 = 0 OR step = (SELECT max(step) FROM frames g WHERE g.area_id = frames.area_id) GROUP BY 1, 2")
+def _(v, spark, d):
+    return planning.mass_curve(planning.frames_kept(frames(v), 3)).withColumn("volume_m3", F.round("volume_m3", 4))
+
+
+@query("c3_probe_series", f"WITH {FRAMES} SELECT area_id, r, c, step, h, max(h) OVER (PARTITION BY area_id, r, c) AS hmax FROM frames JOIN (SELECT DISTINCT area_id, r, c FROM sinks) USING (area_id, r, c)")
+def _(v, spark, d):
+    return planning.probe_series(frames(v), v("sinks")[0])
+
+
+def sites(v) -> DataFrame:
+    return v("sinks")[0].select("area_id", (F.col("sink_id") % 5).cast("int").alias("site"), F.floor(F.col("r") / 2).cast("int").alias("r"), F.floor(F.col("c") / 2).cast("int").alias("c"))
+
+
+SITES = "sites AS (SELECT area_id, CAST(sink_id % 5 AS INT) AS site, CAST(r // 2 AS INT) AS r, CAST(c // 2 AS INT) AS c FROM sinks)"
+FOOT = f"{SITES}, foot AS (SELECT area_id, site, CAST(r + i AS INT) AS r, CAST(c + j AS INT) AS c FROM sites CROSS JOIN range(-2, 3) a(i) CROSS JOIN range(-2, 3) b(j) WHERE i * i + j * j <= 4 AND r + i BETWEEN 0 AND 7 AND c + j BETWEEN 0 AND 7)"
+
+
+@query("c4_candidate_sites")
+def _(v, spark, d):
+    deep = v("cells")[0].select(*KEY, F.col("depth").alias("h"))
+    return planning.candidate_sites(v("sinks")[0].withColumn("r", F.col("r") * 2).withColumn("c", F.col("c") * 2), deep, 16, 4, 2)
+
+
+@query("c5_footprints", f"WITH {FOOT} SELECT area_id, site, count(*) * 3600.0e0 AS site_m2 FROM foot GROUP BY 1, 2")
+def _(v, spark, d):
+    return planning.site_areas(planning.footprints(sites(v), 8))
+
+
+@query("c6_dig_depths", f"WITH {FOOT} SELECT area_id, r, c, round(sum(least(greatest(site * 1.0e0 - 0.5e0, 0), 3)), 6) AS dig_m FROM foot GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    where = sites(v)
+    return planning.dig_depths(planning.footprints(where, 8), where.select("area_id", "site", (F.col("site") * 1.0 - 0.5).alias("depth_m")))
+
+
+@query("c6_dig_from_theta", f"WITH {FOOT} SELECT area_id, r, c, round(sum(3 / (1 + exp(-(site - 2.0e0)))), 6) AS dig_m FROM foot GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    where = sites(v)
+    return planning.dig_depths(planning.footprints(where, 8), where.select("area_id", "site", (F.col("site") - 2.0).alias("theta")))
+
+
+@query("c7_excavation_plan", f"WITH {FOOT}, m AS (SELECT area_id, site, count(*) * 3600.0e0 AS site_m2 FROM foot GROUP BY 1, 2) SELECT area_id, site, round_even(lat0 + dlat * r * 2, 5) AS lat, round_even(lon0 + dlon * c * 2, 5) AS lon, round_even(site * 0.5e0, 2) AS dig_depth_m, CAST(round_even(site * 0.5e0 * site_m2, 0) AS BIGINT) AS excavation_m3, round(least(150000.0e0 / sum(site_m2) OVER (PARTITION BY area_id), 3), 6) AS equal_depth_m FROM sites JOIN m USING (area_id, site) JOIN areas USING (area_id)")
+def _(v, spark, d):
+    where = sites(v)
+    return planning.excavation_plan(where, planning.site_areas(planning.footprints(where, 8)), where.select("area_id", "site", (F.col("site") * 0.5).alias("depth_m")), v("areas")[0])
+
+
+@query("c8_outfalls", f"WITH {DOMAIN}, {SITES}, e AS (SELECT area_id, r, c, row_number() OVER (PARTITION BY area_id ORDER BY z, CASE WHEN r = 0 THEN 0 WHEN r = 7 THEN 1 WHEN c = 0 THEN 2 ELSE 3 END, CASE WHEN r IN (0, 7) THEN c ELSE r END) AS k FROM domain WHERE r IN (0, 7) OR c IN (0, 7)) SELECT area_id, CAST(r // 2 AS INT) AS r, CAST(c // 2 AS INT) AS c, 'river' AS kind FROM cells GROUP BY 1, 2, 3 HAVING avg(jrc) > 50 UNION ALL SELECT area_id, r, c, 'edge' FROM e WHERE k = 1 UNION ALL SELECT area_id, r, c, 'site' FROM sites")
+def _(v, spark, d):
+    cells = v("cells")[0]
+    return planning.outfalls(grid.domain_table(cells), grid.pool(cells, {"jrc": "avg"}), sites(v))
+
+
+def costs(v) -> DataFrame:
+    cells = v("cells")[0]
+    rows = cells.select(*KEY, F.col("dem").alias("z"), C.urban_multiplier(F.col("worldcover") == 50, F.col("acc") % 3 == 0).alias("mult"), (F.col("jrc") >= 50).alias("is_outfall"))
+    return hydrology.cost_to_outfall(rows)
+
+
+@query("c9_route_costs")
+def _(v, spark, d):
+    return costs(v).select(*KEY, "cost")
+
+
+@query("c9_routes")
+def _(v, spark, d):
+    return hydrology.routes(hydrology.next_cells(costs(v)), v("sinks")[0].select("area_id", F.col("sink_id").alias("route_id"), "r", "c"))
+
+
+PATHS = "paths AS (SELECT area_id, r AS route_id, c AS k, r, c, dem AS z FROM cells WHERE c % 2 = 0 OR c < 9)"
+
+
+def lines(v) -> DataFrame:
+    return v("cells")[0].where("c % 2 = 0 or c < 9").select("area_id", F.col("r").alias("route_id"), F.col("c").alias("k"), "r", "c", F.col("dem").alias("z"))
+
+
+@query("c10_descending_bed", f"WITH {PATHS} SELECT *, round(min(z - 1.5e0 + k * 0.12e0) OVER (PARTITION BY area_id, route_id ORDER BY k) - k * 0.12e0, 6) AS bed FROM paths")
+def _(v, spark, d):
+    return planning.descending_bed(lines(v), 1.5)
+
+
+@query("c11_carve", f"WITH {PATHS}, b AS (SELECT area_id, r, c, min(z - 1.5e0 + k * 0.12e0) OVER (PARTITION BY area_id, route_id ORDER BY k) - k * 0.12e0 AS bed FROM paths) SELECT area_id, r, c, round(least(dem, coalesce(bed, dem)) - CASE WHEN jrc > 30 THEN 1.0e0 ELSE 0 END, 6) AS z, CASE WHEN bed IS NOT NULL THEN 0.02e0 ELSE {_case('worldcover', P.MANNING, 0.035)} END AS mann FROM cells LEFT JOIN b USING (area_id, r, c)")
+def _(v, spark, d):
+    cells = v("cells")[0]
+    domain = cells.select(*KEY, F.col("dem").alias("z"), C.lookup(F.col("worldcover"), P.MANNING, 0.035).alias("mann"))
+    return planning.carve(domain, planning.descending_bed(lines(v), 1.5), cells.where("jrc > 30").select(*KEY, F.lit(1.0).alias("dig_m")))
+
+
+@query("c12_canal_report", f"WITH {PATHS}, s AS (SELECT *, CASE abs(r - lag(r) OVER w) + abs(c - lag(c) OVER w) WHEN 2 THEN 1.41421e0 WHEN 1 THEN 1 ELSE 0 END * 60 AS len FROM paths WINDOW w AS (PARTITION BY area_id, route_id ORDER BY k)) SELECT area_id, route_id, CAST(round_even(sum(len), 0) AS BIGINT) AS length_m, count(*) AS n_cells, count(*) FILTER (k % 3 = 0) AS n_points FROM s GROUP BY 1, 2")
+def _(v, spark, d):
+    return planning.canal_report(lines(v), v("areas")[0]).withColumn("n_points", F.size(F.split("path", ";")).cast("long")).drop("path")
+
+
+MINIMA = f"{BUILT}, minima AS (SELECT area_id, r, c, pooled, row_number() OVER (PARTITION BY area_id ORDER BY pooled DESC, r, c) AS rank FROM (SELECT area_id, r, c, {OVER} AS pooled FROM runs JOIN built USING (area_id, r, c) WHERE scenario_id = 1 AND built = 1) WHERE pooled > 0), later AS (SELECT area_id, r, c, {OVER} AS later FROM runs WHERE scenario_id = 2)"
+
+
+def minima(v) -> DataFrame:
+    return planning.ranked_minima(v("runs")[0], built(v), 1)
+
+
+@query("c13_ranked_minima", f"WITH {MINIMA} SELECT area_id, r, c, round(pooled, 6) AS pooled, CAST(rank AS INT) AS rank FROM minima")
+def _(v, spark, d):
+    return minima(v)
+
+
+CURVE = f"{MINIMA}, m AS (SELECT *, count(*) OVER (PARTITION BY area_id) AS n FROM minima LEFT JOIN later USING (area_id, r, c)), k AS (SELECT DISTINCT area_id, CAST(k AS INT) AS k, n FROM m CROSS JOIN (SELECT unnest([2, 5, 9]) AS k) WHERE k < n UNION SELECT DISTINCT area_id, CAST(n AS INT), n FROM m), curve AS (SELECT area_id, k AS sites, CASE WHEN k = any_value(k.n) THEN 100 ELSE round_even(100 * (1 - coalesce(sum(later) FILTER (rank > k), 0) * 3600 / greatest(coalesce(sum(pooled) FILTER (rank > k), 0) * 3600, 1)), 1) END AS reduction_pct, CAST(round_even(round(sum(pooled) FILTER (rank <= k) * 3600, 4), 0) AS BIGINT) AS storage_m3, CAST(round_even(round(median(pooled) FILTER (rank <= k) * 3600, 4), 0) AS BIGINT) AS median_site_m3 FROM m JOIN k USING (area_id) GROUP BY area_id, k)"
+
+
+def curve(v) -> DataFrame:
+    after = v("runs")[0].where("scenario_id = 2").select(*KEY, planning.over(F.col("h")).alias("pooled"))
+    return planning.storage_curve(minima(v), after, [2, 5, 9])
+
+
+@query("c14_storage_curve", f"WITH {CURVE} SELECT *, reduction_pct < -50 AS unstable FROM curve")
+def _(v, spark, d):
+    return curve(v)
+
+
+@query("c15_sites_for_targets")
+def _(v, spark, d):
+    return planning.sites_for_targets(curve(v), spark.createDataFrame([(30.0,), (50.0,), (70.0,)], "target double"))
+
+
+@query("c16_rank_interventions", "WITH i AS (SELECT s_suppkey AS area_id, n.name, greatest(s_acctbal * n.f, 0) AS reduced_m3, n.cost FROM supplier CROSS JOIN (VALUES ('canals', 1.0e0, 600 * 9000.0e0 + 200 * 300.0e0), ('excavation', 0.5e0, 500 * 300.0e0), ('storage', 0.8e0, 90 * 6000.0e0)) n(name, f, cost) WHERE NOT (n.name = 'storage' AND s_suppkey % 3 = 0)), e AS (SELECT *, CASE WHEN reduced_m3 > 0 THEN round_even(cost / reduced_m3, 1) END AS cost_per_m3 FROM i) SELECT area_id, name, round(reduced_m3, 6) AS reduced_m3, cost, cost_per_m3, CAST(row_number() OVER (PARTITION BY area_id ORDER BY cost_per_m3 ASC NULLS LAST, name) AS INT) AS rank FROM e")
+def _(v, spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    items = s.select(F.col("s_suppkey").alias("area_id"), "s_acctbal", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(f).alias("f"), F.lit(a).alias("canal_m"), F.lit(b).alias("excavation_m3"), F.lit(c).alias("given"), F.lit(n == "storage").alias("needs_storage")) for n, f, a, b, c in (("canals", 1.0, 600.0, 200.0, None), ("excavation", 0.5, None, 500.0, None), ("storage", 0.8, None, None, 90.0))))).alias("i"))
+    items = items.select("area_id", "i.*", (F.col("s_acctbal") * F.col("i.f")).alias("reduced_m3"))
+    return planning.rank_interventions(items.withColumn("storage_m3", F.when(F.col("area_id") % 3 != 0, F.col("given"))))
+
+
+# --- exposure -------------------------------------------------------------------------------------------------------
+
+HMAX = "hmax AS (SELECT area_id, CAST(r // 2 AS INT) AS dr, CAST(c // 2 AS INT) AS dc, max(depth) AS h FROM cells GROUP BY 1, 2, 3)"
+
+
+def hmax(v) -> DataFrame:
+    return grid.pool(v("cells")[0], {"depth": "max"}).withColumnRenamed("depth", "h")
+
+
+AT = f"at_b AS (SELECT feature_id, area_id, coalesce(h, 0) AS h FROM (SELECT feature_id, area_id, {DR} AS dr, {DC} AS dc FROM buildings JOIN areas USING (area_id)) LEFT JOIN hmax USING (area_id, dr, dc) WHERE dr IS NOT NULL)"
+
+
+@query("e1_building_exposure", f"WITH {HMAX}, {AT} SELECT area_id, count(*) AS in_domain, count(*) FILTER (h > 0.15e0) AS at_risk, round_even(100.0e0 * count(*) FILTER (h > 0.15e0) / greatest(count(*), 1), 1) AS at_risk_pct FROM at_b GROUP BY 1")
+def _(v, spark, d):
+    return exposure.building_exposure(*v("buildings", "areas"), hmax(v), 8)
+
+
+@query("e1_building_points", f"WITH {HMAX}, {AT}, k AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY feature_id) AS k FROM at_b WHERE h > 0.15e0) SELECT area_id, feature_id, h, CAST(row_number() OVER (PARTITION BY area_id ORDER BY h DESC, feature_id) AS INT) AS rank FROM k WHERE k <= 1500")
+def _(v, spark, d):
+    return exposure.building_points(*v("buildings", "areas"), hmax(v), 8)
+
+
+@query("e2_road_exposure", f"WITH {HMAX}, p AS (SELECT feature_id, area_id, {DR} AS dr, {DC} AS dc FROM vertices JOIN areas USING (area_id)), x AS (SELECT area_id, feature_id, max(CASE WHEN dr IS NOT NULL THEN coalesce(h, 0) END) AS h FROM p LEFT JOIN hmax USING (area_id, dr, dc) GROUP BY 1, 2) SELECT *, CASE WHEN h IS NULL THEN 'outside' WHEN h > 0.15e0 THEN 'flooded' ELSE 'dry' END AS state FROM x")
+def _(v, spark, d):
+    return exposure.road_exposure(*v("vertices", "areas"), hmax(v), 8)
+
+
+@query("e3_domain_box", "SELECT area_id, round(lat0, 6) AS north, round(lat0 + dlat * 16, 6) AS south, round(lon0, 6) AS west, round(lon0 + dlon * 16, 6) AS east FROM areas")
+def _(v, spark, d):
+    return exposure.domain_box(v("areas")[0], 8)
+
+
+@query("e4_rasterise", f"WITH b AS (SELECT area_id, {DR} AS r, {DC} AS c, 1 AS building, 0 AS road FROM buildings JOIN areas USING (area_id)), s AS (SELECT area_id, lat AS la, lon AS lo, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM vertices WINDOW w AS (PARTITION BY area_id, feature_id ORDER BY n, lat, lon)), k AS (SELECT *, greatest(2, CAST(floor(greatest(abs(lat2 - la), abs(lon2 - lo)) / 0.00027e0) AS INT) + 1) AS k FROM s WHERE lat2 IS NOT NULL), q AS (SELECT area_id, la + i / (k - 1) * (lat2 - la) AS lat, lo + i / (k - 1) * (lon2 - lo) AS lon FROM (SELECT *, unnest(range(k)) AS i FROM k)), rd AS (SELECT area_id, {DR} AS r, {DC} AS c, 0 AS building, 1 AS road FROM q JOIN areas USING (area_id)) SELECT area_id, r, c, max(building) AS building, max(road) AS road FROM (SELECT * FROM b UNION ALL SELECT * FROM rd) WHERE r IS NOT NULL GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    return exposure.rasterise(*v("buildings", "vertices", "areas"), 8)
+
+
+# --- live alerts ----------------------------------------------------------------------------------------------------
+
+
+@query("w1_live_alerts", f"WITH {HIST}, pt AS (SELECT area_id, point_id, CAST(day AS TIMESTAMP) AS day, sum(coalesce(mm, 0)) AS mm FROM rain GROUP BY 1, 2, 3), ar AS (SELECT area_id, day, max(mm) AS rain_mm FROM pt GROUP BY 1, 2), f AS (SELECT area_id, day, sink_id, rain_mm, sum(({_runoff('rain_mm', 'cn')}) * n / 1000.0e0 * 900.0e0) / greatest(any_value(volume_m3), 1) AS ratio FROM ar JOIN hist USING (area_id) JOIN sinks USING (area_id, sink_id) GROUP BY 1, 2, 3, 4) SELECT area_id, day, sink_id, round(rain_mm, 6) AS rain_mm, round_even(ratio, 2) AS fill_ratio, CASE WHEN ratio >= 1 THEN 'RED' WHEN ratio >= 0.5 THEN 'AMBER' ELSE 'GREEN' END AS level FROM f")
+def _(v, spark, d):
+    readings, cells, catch, ponds = v("rain", "cells", "catch", "sinks")
+    return live.live_alerts(readings, alerts.histogram(cells, catch), ponds)
