@@ -102,6 +102,15 @@ def _neighbours(known):
     return apply
 
 
+def _summed(batches):
+    """Adds up rows of _neighbours, one row a task."""
+    total = np.zeros((VOCABULARY + SHAPES) * SIZE, np.float64)
+    for batch in batches:
+        for v in batch.column("v"):
+            total += np.frombuffer(v.as_buffer(), np.float32)
+    yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["v"])
+
+
 def _pooled(known, vectors):
     """doc_id and the mean of the text's word vectors."""
 
@@ -174,7 +183,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Dat
     learn = cut(docs.join(F.broadcast(chosen), "doc_id").repartition(16, "doc_id"))  # max_rows rows at most
     common = learn.where("part = 0").select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(VOCABULARY)
     known = context.broadcast(np.sort(np.array([r.h for r in common.select("h").collect()], np.int64)))
-    parts = learn.where("part = 0").select("text").mapInArrow(_neighbours(known), "v binary").collect()  # 16 at most
+    parts = learn.where("part = 0").select("text").mapInArrow(_neighbours(known), "v binary").coalesce(8).mapInArrow(_summed, "v binary").collect()  # 8 matrices at most
     vectors = sum((np.frombuffer(r.v, np.float32).reshape(-1, SIZE).astype(np.float64) for r in parts), np.zeros((VOCABULARY + SHAPES, SIZE)))
     vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     model = context.broadcast(vectors)
