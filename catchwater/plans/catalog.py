@@ -295,7 +295,7 @@ def _(v, spark, d):
     return terrain.recharge_index(*v("cells", "areas", "stations"))
 
 
-@query("t12_fill_depressions")
+@query("t12_fill_depressions", "WITH RECURSIVE f AS (SELECT area_id, r, c, dem AS lev FROM cells WHERE r IN (0, 15) OR c IN (0, 15) UNION SELECT n.area_id, n.r, n.c, greatest(n.dem, f.lev) FROM f JOIN cells n ON n.area_id = f.area_id AND abs(n.r - f.r) <= 1 AND abs(n.c - f.c) <= 1), low AS (SELECT area_id, r, c, min(lev) AS filled FROM f GROUP BY 1, 2, 3) SELECT area_id, r, c, dem, filled, round(filled - dem, 6) AS fill_depth FROM low JOIN (SELECT area_id, r, c, dem FROM cells) USING (area_id, r, c)")
 def _(v, spark, d):
     return hydrology.fill(v("cells")[0])
 
@@ -766,7 +766,13 @@ def _(v, spark, d):
     return curve(v)
 
 
-@query("c15_sites_for_targets")
+TARGETS = f"""{CURVE}, s AS (SELECT *, max(reduction_pct) OVER w AS best FROM curve WHERE NOT reduction_pct < -50 WINDOW w AS (PARTITION BY area_id ORDER BY sites)),
+    g AS (SELECT *, lead(sites) OVER w AS sites2, lead(best) OVER w AS best2, lead(storage_m3) OVER w AS storage2, max(best) OVER (PARTITION BY area_id) AS top, min(sites) OVER (PARTITION BY area_id) AS s0 FROM s WINDOW w AS (PARTITION BY area_id ORDER BY sites)),
+    t AS (SELECT area_id, target, CASE WHEN target <= any_value(top) THEN CAST(trunc(coalesce(max(CASE WHEN best <= target AND target < coalesce(best2, 1e300) THEN sites + coalesce((target - best) / (best2 - best) * (sites2 - sites), 0) END), any_value(s0))) AS INT) END AS sites FROM g CROSS JOIN (SELECT unnest([30.0e0, 50.0e0, 70.0e0]) AS target) GROUP BY 1, 2),
+    v AS (SELECT t.area_id, target, t.sites, arg_max(g.storage_m3 + coalesce((t.sites - g.sites) / (sites2 - g.sites) * (storage2 - g.storage_m3), 0), g.sites) AS m3 FROM t JOIN g ON g.area_id = t.area_id AND (t.sites IS NULL OR g.sites <= t.sites) GROUP BY 1, 2, 3)"""
+
+
+@query("c15_sites_for_targets", f"WITH {TARGETS} SELECT area_id, target, sites, CASE WHEN sites IS NOT NULL THEN CAST(round_even(m3, 0) AS BIGINT) END AS storage_m3, CASE WHEN sites IS NOT NULL THEN CAST(round_even(m3 / 50, 0) AS BIGINT) END AS units, CASE WHEN sites IS NULL THEN 'target beyond the stable part of the curve' END AS note FROM v")
 def _(v, spark, d):
     return planning.sites_for_targets(curve(v), spark.createDataFrame([(30.0,), (50.0,), (70.0,)], "target double"))
 
