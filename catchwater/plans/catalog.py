@@ -370,12 +370,12 @@ def _(v, spark, d):
     return grid.pool(cells.withColumn("f", F.nanvl("f", F.lit(0.0))), {"f": "avg"}).select(*KEY, sinks.priority(F.col("f")).alias("weight"))
 
 
-RANK = "rk AS (SELECT s.area_id, s.sink_id, s.volume_m3, m.rsi, s.volume_m3 * m.rsi AS recharge_score, row_number() OVER (PARTITION BY s.area_id ORDER BY s.volume_m3 * m.rsi DESC, s.sink_id) AS rank FROM sinks s JOIN (SELECT s.area_id, sink_id, avg(sand / 1000.0e0) AS rsi FROM sinks s JOIN cells a ON a.area_id = s.area_id AND abs(a.r - s.r) <= 3 AND abs(a.c - s.c) <= 3 GROUP BY 1, 2) m USING (area_id, sink_id))"
+RANK = "rk AS (SELECT s.area_id, s.sink_id, s.volume_m3, m.rsi, s.volume_m3 * m.rsi AS recharge_score, row_number() OVER (PARTITION BY s.area_id ORDER BY s.volume_m3 * m.rsi DESC, s.sink_id) AS rank FROM sinks s JOIN (SELECT s.area_id, sink_id, avg(sand / 700.0e0) AS rsi FROM sinks s JOIN cells a ON a.area_id = s.area_id AND abs(a.r - s.r) <= 3 AND abs(a.c - s.c) <= 3 GROUP BY 1, 2) m USING (area_id, sink_id))"
 
 
 def ranked_recharge(v) -> DataFrame:
     cells, ponds = v("cells", "sinks")
-    return sinks.rank_recharge(ponds, cells.select(*KEY, (F.col("sand") / 1000.0).alias("rsi"), F.col("dem").alias("gw"), F.col("clay").alias("ksat")))
+    return sinks.rank_recharge(ponds, cells.select(*KEY, (F.col("sand") / 700.0).alias("rsi"), F.col("dem").alias("gw"), F.col("clay").alias("ksat")))
 
 
 @query("a4_rank_recharge", f"WITH {RANK} SELECT area_id, sink_id, round(volume_m3, 6) AS volume_m3, round(rsi, 6) AS rsi, round(recharge_score, 4) AS recharge_score, CAST(rank AS INT) AS rank, round(dem, 6) AS gw, clay AS ksat FROM rk JOIN sinks USING (area_id, sink_id) JOIN (SELECT area_id, r, c, dem, clay FROM cells) USING (area_id, r, c)".replace("round(volume_m3", "round(rk.volume_m3"))
