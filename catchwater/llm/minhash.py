@@ -4,11 +4,11 @@ Per document 256 minima; their low 4 bits are packed into 16 longs, and 32 bands
 Documents with the same shingle set are one class and only its smallest id goes on. Candidates come in passes:
 
 1. every member of a bucket against the bucket's smallest id (as many pairs as members), which ties large groups;
-2. in buckets whose members are still in different components, each member against the nearest one of another
-   component by signature, inside a task that sees blocks of members; over every other band;
-3. what still differs in component: every pair in a shared bucket, each in its first shared band only.
+2. buckets whose members are still in different components: those with the same lowest component form one cluster, and
+   the cluster's members meet block by block inside a task, which estimates the similarity of all pairs of different
+   components, checks likely ones on whole sets at once and passes on only links that tie components together.
 
-All passes estimate the similarity by bit counts, corrected for chance agreement of 4 bits, drop pairs far below the
+Both passes estimate the similarity by bit counts, corrected for chance agreement of 4 bits, drop pairs far below the
 threshold (0.13 is over 4 standard errors) and confirm the rest on whole shingle sets. Pairs already in one component
 need no check, so a large group costs about as many checks as members. A pair at 0.75 shares no band with probability
 (1 - 0.75^4)^32 < 6e-6.
@@ -24,8 +24,8 @@ from catchwater.llm.session import cut, documents, release
 
 SHINGLE, HASHES, BANDS, ROWS, BITS = 5, 256, 32, 4, 4
 THRESHOLD, SLACK = 75, 0.13
-#: Members of a bucket that meet in one row of the later passes.
-BLOCK = 1024
+#: Members of a cluster that meet others in one row of the second pass.
+BLOCK = 256
 
 _rng = np.random.default_rng(20240917)
 _XOR = _rng.integers(0, 1 << 32, HASHES, np.uint32)
@@ -118,62 +118,70 @@ def estimate(x: str, y: str) -> Column:
     return (F.lit(1.0) - differ / F.lit(float(HASHES)) - chance) / (1.0 - chance)
 
 
-def _meet(every: bool):
-    """Pairs of a row's members in different components whose sizes and signatures agree; side 0 meets side 1, 2 meets 2.
+def _meet(batches):
+    """Links (a, b) between components among each row's members, as few as tie together what is linked in the row.
 
-    With ``every`` each pair comes in its first shared band; else each member's nearest partner here.
+    Members of side 0 meet those of side 1, those of side 2 each other. Sizes and signatures go first, then whole sets.
     """
     nibble = np.uint64(((1 << 64) - 1) // 15)
     least = HASHES * ((THRESHOLD / 100 - SLACK) * (1 - 2.0**-BITS) + 2.0**-BITS)
-
-    def meet(batches):
-        for batch in batches:
-            a, b = [], []
-            for band, row in zip(batch.column("band").to_pylist(), batch.column("members").to_pylist()):
-                ids, side, group, size = (np.array([m[k] for m in row], np.int64) for k in ("id", "side", "c", "n"))
-                bits = np.array([m["bits"] for m in row], np.int64).view(np.uint64)
-                before = np.array([m["bands"][:band] for m in row], np.int64)
-                right = np.flatnonzero(side != 0)
-                for p in np.flatnonzero(side != 1) if every else range(len(ids)):
-                    q = right if side[p] == 0 else np.flatnonzero(side == 0) if side[p] == 1 else right
-                    if every and side[p] == 2:
-                        q = q[ids[q] > ids[p]]
-                    q = q[(group[q] != group[p]) & (100 * np.minimum(size[q], size[p]) >= THRESHOLD * np.maximum(size[q], size[p]))]
-                    d = bits[q] ^ bits[p]
-                    d |= d >> np.uint64(1)
-                    d |= d >> np.uint64(2)
-                    same = HASHES - np.bitwise_count(d & nibble).sum(1, dtype=np.int64)
-                    q, same = q[same >= least], same[same >= least]
-                    if every:
-                        q = q[~(before[q] == before[p]).any(1)] if band else q
-                    else:
-                        q = q[np.lexsort((ids[q], -same))[:1]]
-                    a.append(np.minimum(ids[p], ids[q]))
-                    b.append(np.maximum(ids[p], ids[q]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
-
-    return meet
+    for batch in batches:
+        column, links = batch.column("members"), []
+        rows, field = column.offsets.to_numpy(), column.values.field
+        ids_, side_, group_, size_ = (field(k).to_numpy(zero_copy_only=False) for k in ("id", "side", "c", "n"))
+        bits_ = field("bits").values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, HASHES * BITS // 64)
+        at_, items_ = field("items").offsets.to_numpy(), field("items").values.to_numpy(zero_copy_only=False).view(np.uint64)
+        for i, j in zip(rows[:-1], rows[1:]):
+            ids, side, group, size, bits = ids_[i:j], side_[i:j], group_[i:j].copy(), size_[i:j], bits_[i:j]
+            for p in np.flatnonzero(side != 1):
+                q = np.flatnonzero((side != 0) & (group != group[p]) & (100 * np.minimum(size, size[p]) >= THRESHOLD * np.maximum(size, size[p])))
+                q = q[q > p] if side[p] == 2 else q
+                d = bits[q] ^ bits[p]
+                d |= d >> np.uint64(1)
+                d |= d >> np.uint64(2)
+                same = HASHES - np.bitwise_count(d & nibble).sum(1, dtype=np.int64)
+                own = items_[at_[i + p] : at_[i + p + 1]]
+                for k in q[same >= least][np.argsort(-same[same >= least], kind="stable")]:
+                    if group[k] == group[p]:
+                        continue
+                    other = items_[at_[i + k] : at_[i + k + 1]]
+                    spot = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    common = int((own[spot] == other).sum())
+                    if 100 * common >= THRESHOLD * (len(own) + len(other) - common):
+                        links.append(sorted((int(ids[p]), int(ids[k]))))
+                        group[group == group[k]] = group[p]
+        yield pa.RecordBatch.from_arrays([pa.array([x[e] for x in links], pa.int64()) for e in (0, 1)], ["a", "b"])
+
+
+def _sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and items: the whole shingle sets of the wanted ids."""
+    named = wanted.join(reps.select("doc_id", "h1", "h2"), "doc_id")
+    texts = docs.join(wanted, "doc_id", "left_semi")
+    return cut(texts.mapInArrow(_sets, SETS).join(named, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "items"))
 
 
 def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those (a, b) whose whole sets have 100 * intersection >= 75 * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    named = wanted.join(reps.select("doc_id", "h1", "h2"), "doc_id")
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, SETS).join(named, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "items"))
+    sets = _sets_of(docs, reps, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(f"100 * n >= {THRESHOLD} * (m - n)").select("a", "b")
 
 
-def _pairs(left: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs within buckets, whose members meet block by block."""
-    left = left.withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id"), "nb"))
+def _ties(docs: DataFrame, reps: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """The second pass: links between components of members that share a bucket."""
+    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    mixed = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    clusters = cut(placed.join(mixed, ["band", "key"]).select("low", "doc_id", "c").distinct())
+    sets = _sets_of(docs, reps, clusters.select("doc_id").distinct())
+    blocks = clusters.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    left = clusters.join(blocks, "low").withColumn("block", F.pmod(F.xxhash64("doc_id"), "nb"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side")
-    member = F.struct(F.col("doc_id").alias("id"), side, "c", F.col("size").alias("n"), "bits", "bands")
-    met = left.groupBy("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(member).alias("members"))
-    return met.select("band", "members").mapInArrow(_meet(every), "a long, b long").distinct()
+    full = left.join(reps.select("doc_id", F.col("n_shingles").alias("n"), "bits"), "doc_id").join(sets, "doc_id")
+    member = F.struct(F.col("doc_id").alias("id"), side, "c", "n", "bits", "items")
+    met = full.groupBy("low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(member).alias("members"))
+    return cut(met.select("members").mapInArrow(_meet, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -190,26 +198,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
     members = cut(bands.join(shared, ["band", "key"]))
-    about = reps.select("doc_id", F.col("n_shingles").alias("size"), "bits", "bands")
+    about = reps.select("doc_id", F.col("n_shingles").alias("size"), "bits")
 
     def of(name: str, end: str) -> DataFrame:
         return about.select(F.col("doc_id").alias(end), F.col("bits").alias(name), F.col("size").alias(f"n{name}"))
 
     star = members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct().join(of("x", "a"), "a").join(of("y", "b"), "b")
     star = star.where(f"100 * least(nx, ny) >= {THRESHOLD} * greatest(nx, ny)").where(estimate("x", "y") >= THRESHOLD / 100 - SLACK)
-    tried = cut(star.select("a", "b"))
-    links = cut(_confirm(docs, reps, tried))
+    links = cut(_confirm(docs, reps, cut(star.select("a", "b"))))
     found = components(links)
-    for every in (False, True):
-        placed = (members if every else members.where(F.col("band") % 2 == 0)).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "n", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-        mixed = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
-        more = cut(_pairs(placed.join(mixed, ["band", "key"]).join(about, "doc_id"), every).join(tried, ["a", "b"], "left_anti"))
-        release(docs.sparkSession)
-        if not more.limit(1).count():
-            continue
-        tried = tried.union(more)
-        links = links.union(cut(_confirm(docs, reps, more)))
-        found = components(links)
+    release(docs.sparkSession)
+    ties = _ties(docs, reps, members, found)
+    if ties.limit(1).count():
+        found = components(links.union(ties))
 
     by_class = all_rows.select("doc_id", "n_shingles", "h1", "h2").join(same, ["h1", "h2", "n_shingles"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = by_class.select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
