@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from catchwater.llm import bpe, packing, suffix
+from catchwater.llm import bpe, minhash, packing, suffix
 from catchwater.llm.minhash import near_duplicates
 from catchwater.llm.packing import breed, pack
 from catchwater.llm.rules import judge
@@ -33,7 +33,9 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates(make_docs, odd_texts):
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_duplicates(make_docs, odd_texts, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     got = {r.doc_id: r for r in near_duplicates(clash(with_odd_rows(make_docs(odd_texts)))).collect()}
     sets = {i: shingles(t) for i, t in enumerate(odd_texts)}
     least = {i: i for i in sets}
