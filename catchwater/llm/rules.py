@@ -21,26 +21,26 @@ def repeated_words(windows: str) -> Column:
     return F.sort_array(F.transform(twin, lambda x: x["i"]))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the base measures of each text."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+def measure(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the columns in ``more`` and the base measures of each text."""
+    text = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     words = text.withColumn("w", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = words.select(
-        "doc_id", "lang", "source", "w", lines.alias("lines"),
+        *more, "doc_id", "lang", "source", "w", lines.alias("lines"),
         F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
     )
     hashed = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")))
     sorted_ = words.select(
-        "doc_id", "lang", "source", "word_chars", "n_symbols", F.size("w").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
+        *more, "doc_id", "lang", "source", "word_chars", "n_symbols", F.size("w").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("w") >= 3, F.sort_array(hashed)).alias("windows"),
     )
     at = sorted_.withColumn("at", repeated_words("windows")).drop("windows")
     gaps = F.zip_with(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(3)))
     covered = F.when(F.size("at") > 0, F.aggregate(gaps, F.lit(3), lambda t, x: t + x)).otherwise(0)
-    return at.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    return at.select(*more, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 
 def _fences(rows: DataFrame) -> DataFrame:
@@ -57,16 +57,16 @@ def _fences(rows: DataFrame) -> DataFrame:
     return wide.select("lang", "source", *(f"{r}_fence" for r in RATES))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id, the measures, base_failed, kept; one row for each row of docs.
+def judge(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """documents -> doc_id, the measures, base_failed, kept, and the columns in ``more``; one row for each row of docs.
 
     base_failed: fewer than 50 words, or over half of the words repeated. Null texts have no words; a null language or
     source is a group of its own; rows with a null doc_id are left out; repeated rows each count. Thresholds come only
     from documents that pass the base rules; if none do, nothing is kept. An empty table gives an empty table.
     """
-    rows = measure(docs).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    rows = measure(docs, more).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     rows = cut(rows.withColumns({"symbol_rate": part("n_symbols", "word_chars"), "dup_line_rate": part("n_dup_lines", "n_lines"), "repeat_rate": part("n_repeat_words", "n_words"), "word_length": part("word_chars", "n_words")}))
     judged = rows.join(_fences(rows.where("not base_failed")), ["lang", "source"], "left")
     within = F.expr(" and ".join(f"{r} <= {r}_fence" for r in RATES))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"), *more)

@@ -358,12 +358,13 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.append(np.repeat(whole, np.diff(np.append(lead, len(data)))), False)
 
 
-def _removed(n, as_text):
+def _removed(n, as_text, more):
     """Cuts each chunk's covered bytes out; the answers give each distinct context's first owners, less its own."""
 
     def apply(batches):
         for batch in batches:
-            for _, ids, data, off, (one, two) in _opened(batch):
+            carried = batch.column("more") if more else [None] * len(batch)
+            for (_, ids, data, off, (one, two)), rest in zip(_opened(batch), carried):
                 gone = np.zeros(len(data) + 1, bool)
                 if two:
                     at, h, doc = anchors(data, off)
@@ -392,31 +393,38 @@ def _removed(n, as_text):
                 local = np.searchsorted(off, s, "right") - 1
                 kept = np.concatenate([[0], np.cumsum(~gone[:-1])])[off]
                 left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~gone[:-1]]))])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(off)), K.list_array(s - off[local], per), K.list_array(e - off[local], per), left.cast(pa.binary())], ["doc_id", "n_bytes", "starts", "ends", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(off)), K.list_array(s - off[local], per), K.list_array(e - off[local], per), left.cast(pa.binary()), *(rest.values.flatten() if more else ())], ["doc_id", "n_bytes", "starts", "ends", "kept", *more])
 
     return apply
 
 
-def _chunks(batches):
-    part, number = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        ids, (data, off) = batch.column("doc_id").to_numpy(zero_copy_only=False), K.flat(batch.column("text"))
-        for i, j, some, at in K.groups(data, off, CHUNK):
-            blob = zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(some).tobytes())
-            yield pa.RecordBatch.from_arrays([
-                pa.array([part << 32 | number]), pa.array([len(some)]), K.list_array(ids[i:j].astype(np.int64), np.array([0, j - i])), K.list_array(np.diff(at), np.array([0, j - i])), pa.array([blob], pa.binary()),
-            ], ["chunk", "n_bytes", "ids", "lens", "blob"])
-            number += 1
+def _chunks(more):
+    def pack(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids, (data, off) = batch.column("doc_id").to_numpy(zero_copy_only=False), K.flat(batch.column("text"))
+            for i, j, some, at in K.groups(data, off, CHUNK):
+                blob = zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(some).tobytes())
+                rest = [pa.ListArray.from_arrays([0, j - i], pa.StructArray.from_arrays([batch.column(c).slice(i, j - i) for c in more], list(more)))] if more else []
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([part << 32 | number]), pa.array([len(some)]), K.list_array(ids[i:j].astype(np.int64), np.array([0, j - i])), K.list_array(np.diff(at), np.array([0, j - i])), pa.array([blob], pa.binary()), *rest,
+                ], ["chunk", "n_bytes", "ids", "lens", "blob", *(["more"] if more else [])])
+                number += 1
+
+    return pack
 
 
-def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
-    """documents -> doc_id, n_bytes, starts and ends of the removed runs, kept (the bytes that stay), a row for each document.
+def remove_repeats(docs: DataFrame, as_text: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """documents -> doc_id, n_bytes, starts and ends of the removed runs, kept (the bytes that stay) and the columns in
+    ``more``, a row for each document.
 
     A null text is empty; rows with a null doc_id are left out. Rows that share a doc_id never take bytes from each
     other. Texts under 50 bytes stay whole. An empty table gives an empty table. With ``as_text`` a run gives up the
     characters that it covers only in part, so that what is kept is text again.
     """
-    chunks = cut(documents(docs).mapInArrow(_chunks, _PACK))
+    docs = documents(docs, *more)
+    rest = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in more)
+    chunks = cut(docs.mapInArrow(_chunks(more), _PACK + (f", more array<struct<{rest}>>" if more else "")))
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(4, -(-total // PER_BUCKET))
 
@@ -428,4 +436,4 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     one = back(chunks.mapInArrow(_ask_anchors(n), _MAIL).groupBy("bucket").applyInArrow(_answer_anchors, _MAIL), "one")
     two = back(chunks.join(one, "chunk", "left").mapInArrow(_ask_contexts(n), _MAIL).groupBy("bucket").applyInArrow(_answer_contexts, _MAIL), "two")
     done = chunks.join(one, "chunk", "left").join(two, "chunk", "left")
-    return done.mapInArrow(_removed(n, as_text), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return done.mapInArrow(_removed(n, as_text, more), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more))

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from catchwater.llm import kernel as K
 from catchwater.llm.labels import MAX_ROWS, held_out, logistic, sample
@@ -66,7 +67,7 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams, *n)], ["gram", "n0", "n1", "n"])
 
 
-def _evidence(model):
+def _evidence(model, more=()):
     def score(batches):
         keys, value = model.value
         for batch in batches:
@@ -82,7 +83,7 @@ def _evidence(model):
                     words[np.abs(words) <= DEAD] = 0.0
                     total = np.concatenate([[0], np.cumsum(words[where])])[first]
                     out[i:j] = np.diff(total) / np.maximum(np.diff(first), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), *(batch.column(c) for c in more)], ["doc_id", "x", *more])
 
     return score
 
@@ -104,14 +105,14 @@ def _model(rows: pd.DataFrame, letters: dict[int, float]) -> tuple[np.ndarray, n
     return g, logs[1] - logs[0]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """documents and labels(doc_id, toxic) -> doc_id, held_out, score, predicted: one row for each document.
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_grams: int = MAX_GRAMS, more: tuple[str, ...] = ()) -> DataFrame:
+    """documents and labels(doc_id, toxic) -> doc_id, held_out, score, predicted, and the columns in ``more``: one row for each document.
 
     A text without words (null, empty, white space) has no evidence and gets the score of evidence 0. Rows with a null
     doc_id are left out; repeated rows each get their row. Without labels every score is 0.5 and less sure classes
     follow the labels' rates. An empty table gives an empty table.
     """
-    docs = documents(docs)
+    docs = documents(docs, *more)
     spark = docs.sparkSession
     chosen = cut(sample(labels, "toxic", max_rows))
     learn = F.broadcast(chosen.where("part = 0").select("doc_id", "y"))  # bounded by max_rows
@@ -128,6 +129,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_g
     seen = docs.join(F.broadcast(chosen.where("part = 1").select("doc_id", "y")), "doc_id")
     x, y = (np.array(c, np.float64) for c in zip(*[(r.x, r.y) for r in seen.select("doc_id", "text").mapInArrow(_evidence(model), "doc_id long, x double").join(chosen, "doc_id").select("x", "y").collect()] or [(0.0, 0)]))
     w = logistic(x[:, None], y)
-    out = docs.mapInArrow(_evidence(model), "doc_id long, x double")
+    out = docs.mapInArrow(_evidence(model, more), StructType([StructField("doc_id", LongType()), StructField("x", DoubleType()), *(docs.schema[c] for c in more)]))
     score = 1 / (1 + F.exp(-(F.col("x") * float(w[0]) + float(w[1]))))
-    return out.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return out.select("doc_id", held_out().alias("held_out"), score.alias("score"), *more).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -16,27 +16,45 @@ from catchwater.llm.toxicity import toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row's content, for rows may share a doc_id; rows equal in both are equal in all that a stage looks at."""
+    missing = (F.col(c).isNull() for c in COLUMNS[1:])
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS[1:], *missing).alias("row_key"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the adaptive rules."""
-    return docs.join(judge(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the rows that pass the adaptive rules."""
+    docs = _keyed(docs)
+    kept = judge(docs, ("row_key",)).where("kept").select("doc_id", "row_key")
+    return docs.join(kept, ["doc_id", "row_key"], "left_semi").select(*COLUMNS)
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are not predicted toxic."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 0").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the rows that are not predicted toxic."""
+    docs = _keyed(docs)
+    kept = toxicity(docs, table(spark, sf_dir, "labels"), more=("row_key",)).where("predicted = 0").select("doc_id", "row_key")
+    return docs.join(kept, ["doc_id", "row_key"], "left_semi").select(*COLUMNS)
+
+
+def _row_of_each_id(docs: DataFrame) -> DataFrame:
+    """The row with the smallest key of each doc_id; texts are dealt anew only if ids repeat."""
+    repeated = cut(_keyed(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("row_key").alias("least")).where("n > 1").select("doc_id", "least"))
+    if not repeated.limit(1).count():
+        return docs
+    return cut(_keyed(docs).join(repeated, "doc_id", "left").where("least is null or row_key = least").dropDuplicates(["doc_id"]).select(*COLUMNS))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates, once."""
+    """Keeps the document with the smallest id of each group of near duplicates, and one row of each id."""
+    docs = _row_of_each_id(docs)
     kept = near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts; a character that a removed run covers only in part stays whole."""
-    texts = remove_repeats(docs, as_text=True).select("doc_id", F.col("kept").cast("string").alias("text"))
-    return docs.select("doc_id", "lang", "source").join(texts, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    texts = remove_repeats(docs, as_text=True, more=("lang", "source")).withColumn("text", F.col("kept").cast("string"))
+    return texts.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,26 @@ def test_pipeline_stages(spark, make_docs, odd_texts, tmp_path):
     assert all(kept.get(n + i) == t for i, t in enumerate(clean[:50]))
     assert n + 60 not in kept and n + 61 not in kept and 1 not in kept
     assert corpus.run(spark, str(tmp_path)).agg({"length": "sum"}).first()[0] > 0
+
+
+def test_pipeline_with_repeated_ids(spark, make_docs, tmp_path):
+    corpus = pytest.importorskip("corpus_pipeline")
+    import random
+
+    rng = random.Random(8)
+    say = lambda: " ".join("word%d" % rng.randrange(3000) for _ in range(90))
+    texts = [say() for _ in range(30)]
+    other = say()
+    docs = make_docs([*enumerate(texts), (1, texts[1]), (1, texts[1]), (2, other), (3, "too short")])
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus.STAGES)
+    passed = cut(stages["quality rules"](spark, docs, str(tmp_path)))
+    assert sorted(r.doc_id for r in passed.collect()) == sorted([*range(30), 1, 1, 2]) and passed.where("text = 'too short'").count() == 0
+    clean = cut(stages["toxicity"](spark, passed, str(tmp_path)))
+    assert clean.count() == 33
+    one = {r.doc_id: r.text for r in stages["near duplicates"](spark, clean, str(tmp_path)).collect()}
+    assert sorted(one) == list(range(30)) and one[1] == texts[1] and one[2] in (texts[2], other)
+    assert stages["near duplicates"](spark, clean, str(tmp_path)).count() == 30
+    # Without an operator before it, cutting gives each row once, with its own text.
+    whole = stages["repeated passages"](spark, clean, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text, r.lang, r.source) for r in whole) == sorted((r.doc_id, r.text, r.lang, r.source) for r in clean.collect())
