@@ -7,10 +7,12 @@ of elements) hold text, and how often; a page's text is what its fields in the a
 headers, footers, sidebars, notices, adverts, forms and comments. Pages without an article or main element give the
 fields outside such parts that the template does not fix.
 
-Hosts with many pages are split into parts of about PART pages, each with its own wrapper, so no host fills a task.
+Hosts with many pages are split into parts of about PART pages, each with its own wrapper, so no host fills a task. What
+the template fixes is counted over all pages of a host, whatever its parts.
 """
 
 import difflib
+import hashlib
 import html
 import re
 from collections import defaultdict
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 PART = 256
-#: Tokens of a group that may repeat, and pages from which unchanging text counts as the template's.
+#: Tokens of a group that may repeat, and different pages from which unchanging text counts as the template's.
 WIDEST, SUPPORT = 12, 3
 
 # Element names and usual class words.
@@ -181,8 +183,8 @@ def expression(wrapper: list) -> str:
     return "".join(map(show, wrapper))
 
 
-def infer(pages: list[Page]) -> tuple[list, dict[str, bool]]:
-    """The wrapper of pages of one host, and of each text field whether the template fixes its text."""
+def infer(pages: list[Page]) -> tuple[list, set]:
+    """The wrapper of pages of one host, and its repeated groups."""
     groups: set = set()
     kinds = list(dict.fromkeys(tuple(p.stream) for p in pages))
     for _ in range(2):  # groups that later pages repeat count in earlier ones too
@@ -190,29 +192,53 @@ def infer(pages: list[Page]) -> tuple[list, dict[str, bool]]:
     wrapper = list(streams[0])
     for s in streams[1:]:
         wrapper = align(wrapper, list(s))
-    seen: dict[str, set] = defaultdict(set)
-    on: dict[str, int] = defaultdict(int)
-    for p in pages:
-        own = defaultdict(list)
-        for path, text, _, _ in p.texts:
+    return wrapper, groups
+
+
+def _code(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def fields(page: Page) -> dict[str, tuple[str, str]]:
+    """Of each path outside menus and the like: its text, and the text of all other such paths."""
+    own = defaultdict(list)
+    for path, text, _, away in page.texts:
+        if not away:
             own[path].append(text)
-        for path, texts in own.items():
-            on[path] += 1
-            if len(seen[path]) < 2:
-                seen[path].add("\n".join(texts))
-    return wrapper, {path: on[path] >= SUPPORT and len(seen[path]) == 1 for path in on}
+    whole = {path: "\n".join(texts) for path, texts in own.items()}
+    return {path: (text, "\n".join(x for other, x in whole.items() if other != path)) for path, text in whole.items()}
+
+
+def _fields(batches):
+    for batch in batches:
+        rows = [(host, _code(path), _code(text), _code(rest) if len(rest) >= len(text) else None) for host, x in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()) for path, (text, rest) in fields(Page(x or "")).items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), *[pa.int64()] * 3))], ["host", "path", "text", "rest"])
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """host, fixed: codes of the paths that have one text on all pages of a host and do so beside SUPPORT different rests.
+
+    Copies of a page have one rest and so count once; a rest shorter than the text does not count, since pages that
+    differ in little else than a date or a counter are copies too.
+    """
+    found = rows.select("host", "html").mapInArrow(_fields, "host string, path long, text long, rest long")
+    # Partial sums by distinct rest come first, so no host fills a task.
+    some = found.groupBy("host", "path", "rest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    one = some.groupBy("host", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("rest").alias("n")).where(f"low = high and n >= {SUPPORT}")
+    return one.groupBy("host").agg(F.collect_list("path").alias("fixed"))
 
 
-def main_text(page: Page, fixed: dict[str, bool]) -> str:
+def main_text(page: Page, fixed: set[int]) -> str:
     kept = [text for _, text, inside, away in page.texts if inside and not away]
     if not any(inside for _, _, inside, _ in page.texts):
-        kept = [text for path, text, _, away in page.texts if not away and not fixed.get(path)]
+        kept = [text for path, text, _, away in page.texts if not away and _code(path) not in fixed]
     return "\n".join(kept)
 
 
 def _part(table: pa.Table) -> pa.Table:
     pages = [Page(x or "") for x in table.column("html").to_pylist()]
-    wrapper, fixed = infer(pages)
+    wrapper, _ = infer(pages)
+    fixed = set(table.column("fixed")[0].as_py() or ())  # the host's, so the same in each row
     texts = [main_text(p, fixed) for p in pages]
     shown = expression(wrapper)
     return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "wrapper": pa.array([shown] * len(pages), pa.string())})
@@ -226,5 +252,6 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit(""))))
     sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    sizes = sizes.join(templates(rows), "host", "left")
     dealt = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), "parts"))
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(_part, "page_id long, url string, text string, wrapper string")
+    return dealt.select("host", "part", "page_id", "url", "html", "fixed").groupBy("host", "part").applyInArrow(_part, "page_id long, url string, text string, wrapper string")

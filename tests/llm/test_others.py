@@ -60,6 +60,19 @@ def test_wrapper_has_groups_and_optionals():
     assert "(<p>#</p>)+" in shown and "?" in shown
 
 
+def test_copies_keep_their_text(spark, monkeypatch):
+    monkeypatch.setattr(html, "PART", 2)
+    body = "<div class='top'>Our site</div><div class='t{0}'><p>All about {0}, at length, for the whole of a page.</p></div>"
+    rows = [(i, f"http://copies.org/{i}", body.format("x")) for i in range(4)]
+    rows += [(10 + i, f"http://mixed.org/{i}", body.format("y" if i < 4 else i)) for i in range(8)]
+    rows += [(20 + i, f"http://seen.org/{i}", body.format("z") + f"<div>seen {i}</div>") for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda x: f"All about {x}, at length, for the whole of a page."
+    assert all(text("x") in got[i] for i in range(4))
+    assert [got[10 + i] for i in range(8)] == [text("y" if i < 4 else i) for i in range(8)]
+    assert all(text("z") in got[20 + i] for i in range(4))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(130)]
