@@ -1,11 +1,12 @@
-"""Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host.
+"""Main text of web pages by fields, and wrappers: union-free regular expressions inferred from pages of one host.
 
-A page is a stream of block tags and text slots. Runs of an equal group of tokens become one repeated group; pages of a
-host are then aligned one after the other, and where streams differ, the tokens that only one has become an optional
-group. Text that is the same on all pages is the template's, other text is a slot. The wrapper says which fields (paths
-of elements) hold text, and how often; a page's text is what its fields in the article hold, without those in menus,
-headers, footers, sidebars, notices, adverts, forms and comments. Pages without an article or main element give the
-fields outside such parts that the template does not fix.
+A page's text is what its fields (paths of elements) in the article hold, or on pages without article or main element all
+its fields, without those in menus, headers, footers, sidebars, notices, adverts, forms and comments, by element names and
+class words, and without fields that the template fixes: those with one text beside different pages of the host.
+
+The wrapper describes the pages; it takes no part in the choice of text. A page is a stream of block tags and text slots.
+Runs of an equal group of tokens become one repeated group; pages of a host are then aligned one after the other, and where
+streams differ, the tokens that only one has become an optional group.
 
 Hosts with many pages are split into parts of about PART pages, each with its own wrapper, so no host fills a task. What
 the template fixes is counted over all pages of a host, whatever its parts.
@@ -229,10 +230,9 @@ def templates(rows: DataFrame) -> DataFrame:
 
 
 def main_text(page: Page, fixed: set[int]) -> str:
-    kept = [text for _, text, inside, away in page.texts if inside and not away]
-    if not any(inside for _, _, inside, _ in page.texts):
-        kept = [text for path, text, _, away in page.texts if not away and _code(path) not in fixed]
-    return "\n".join(kept)
+    """The text of fields that are neither away nor fixed; of those in the article if there is one."""
+    article = any(inside for _, _, inside, _ in page.texts)
+    return "\n".join(text for path, text, inside, away in page.texts if (inside or not article) and not away and _code(path) not in fixed)
 
 
 def _part(table: pa.Table) -> pa.Table:

@@ -73,6 +73,12 @@ def test_copies_keep_their_text(spark, monkeypatch):
     assert all(text("z") in got[20 + i] for i in range(4))
 
 
+def test_template_inside_the_article_leaves(spark):
+    page = "<article><h1>Title {0}</h1><p>All about {0}.</p><div class='hinweis'>Alle Rechte.</div></article>"
+    got = html.extract(spark.createDataFrame([(i, f"http://h.org/{i}", page.format(i)) for i in range(4)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Title {i}\nAll about {i}." for i in range(4)}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(130)]
