@@ -7,12 +7,11 @@ that neither class knows tells nothing, and one that only toxic documents hold t
 within DEAD of 0 are chance and count 0. A document's evidence is the difference of both log-likelihoods over its
 number of words; a logistic curve fitted on a fifth of the labelled sample makes it a probability.
 
-The whole corpus gives the shared counts. Labels are learnt from at most labels.MAX_ROWS rows, and the tables that go
-to the executors hold at most MAX_GRAMS class grams: those seen most often.
+The whole corpus gives the shared counts. Labels are learnt from at most labels.MAX_ROWS rows; the table that goes to the
+executors holds all grams of these rows' texts, 16 bytes each.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -22,7 +21,6 @@ from catchwater.llm.labels import MAX_ROWS, held_out, logistic, sample
 from catchwater.llm.session import cut, documents
 
 ORDER, DISCOUNT, SHRINK, DEAD, THRESHOLD = 6, 0.75, 3.0, 1.5, 0.3
-MAX_GRAMS = 1 << 19
 _START, _END = 2, 3
 
 
@@ -88,24 +86,27 @@ def _evidence(model, more=()):
     return score
 
 
-def _model(rows: pd.DataFrame, letters: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Class grams in order, and the log ratio of toxic to ordinary of each."""
-    g = rows["gram"].to_numpy(np.int64)
-    n, seen, kinds, cont, total, sorts = (rows[c].to_numpy(np.float64) for c in ("n", "seen", "kinds", "cont", "total", "sorts"))
-    letter = np.array([letters.get(int(x) & 255, 0.0) for x in g]) / max(sum(letters.values()), 1)
-    below = (np.maximum(cont - DISCOUNT, 0) + DISCOUNT * sorts * letter) / total
-    shared = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * below) / seen
-    _, back = np.unique(g >> 8, return_inverse=True)
-    logs = []
-    for name in ("n0", "n1"):
-        c = rows[name].to_numpy(np.float64)
-        own, many = np.bincount(back, c)[back], np.bincount(back, c > 0)[back]
-        events = np.maximum(c - DISCOUNT, 0) + np.where(own > 0, DISCOUNT * many, 0) * shared
-        logs.append(np.log(events + SHRINK) - np.log(own * shared + SHRINK))
-    return g, logs[1] - logs[0]
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_grams: int = MAX_GRAMS, more: tuple[str, ...] = ()) -> DataFrame:
+def _ratios(grams: DataFrame) -> DataFrame:
+    """gram, value: of each gram that a class has, the log ratio of toxic to ordinary; ``grams``: gram, n0, n1, n.
+
+    A gram that neither class has is not listed: both go back to the shared model for it, so its log ratio is 0.
+    """
+    first = F.expr("case " + " ".join(f"when gram < {1 << 8 * (k + 1)}L then gram & {(1 << 8 * k) - 1}L" for k in range(1, ORDER)) + f" else gram & {(1 << 8 * (ORDER - 1)) - 1}L end")
+    shorter = cut(grams.select(first.alias("short")).groupBy("short").agg(F.count("*").alias("cont")))
+    after = shorter.groupBy(F.shiftright("short", 8).alias("low")).agg(F.sum("cont").alias("total"), F.count("*").alias("sorts"))
+    own = [f(c) for c in ("n0", "n1") for f in (lambda c: F.sum(c).alias(f"own_{c}"), lambda c: F.count_if(F.col(c) > 0).alias(f"many_{c}"))]
+    whole = grams.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"), *own)
+    letters = shorter.groupBy(F.col("short").bitwiseAND(F.lit(255)).alias("letter")).agg(F.sum("cont").alias("often"))
+    letters = letters.join(F.broadcast(letters.agg(F.sum("often").alias("all"))), how="cross").select("letter", (F.col("often") / F.col("all")).alias("p"))  # a row for each byte
+    mine = grams.where("n0 + n1 > 0").withColumns({"short": first, "ctx": F.shiftright("gram", 8), "letter": F.col("gram").bitwiseAND(F.lit(255))})
+    mine = mine.join(shorter, "short").withColumn("low", F.shiftright("short", 8)).join(after, "low").join(whole, "ctx").join(F.broadcast(letters), "letter")
+    mine = mine.withColumn("below", F.expr(f"(greatest(cont - {DISCOUNT}D, 0D) + {DISCOUNT}D * sorts * p) / total"))
+    mine = mine.withColumn("shared", F.expr(f"(greatest(n - {DISCOUNT}D, 0D) + {DISCOUNT}D * kinds * below) / seen"))
+    log = lambda c: F.expr(f"ln(greatest({c} - {DISCOUNT}D, 0D) + {DISCOUNT}D * many_{c} * shared + {SHRINK}D) - ln(own_{c} * shared + {SHRINK}D)")
+    return mine.select("gram", (log("n1") - log("n0")).alias("value"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, more: tuple[str, ...] = ()) -> DataFrame:
     """documents and labels(doc_id, toxic) -> doc_id, held_out, score, predicted, and the columns in ``more``: one row for each document.
 
     A text without words (null, empty, white space) has no evidence and gets the score of evidence 0. Rows with a null
@@ -117,15 +118,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_g
     chosen = cut(sample(labels, "toxic", max_rows))
     learn = F.broadcast(chosen.where("part = 0").select("doc_id", "y"))  # bounded by max_rows
     grams = cut(docs.join(learn, "doc_id", "left").select("text", "y").mapInArrow(_count, "gram long, n0 long, n1 long, n long").groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n"))))
-    first = F.expr("case " + " ".join(f"when gram < {1 << 8 * (k + 1)}L then gram & {(1 << 8 * k) - 1}L" for k in range(1, ORDER)) + f" else gram & {(1 << 8 * (ORDER - 1)) - 1}L end")
-    shorter = cut(grams.select(first.alias("short")).groupBy("short").agg(F.count("*").alias("cont")))
-    after = shorter.groupBy(F.shiftright("short", 8).alias("low")).agg(F.sum("cont").alias("total"), F.count("*").alias("sorts"))
-    whole = grams.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"))
-    mine = grams.where("n0 + n1 > 1").orderBy(F.desc(F.col("n0") + F.col("n1")), "gram").limit(max_grams).withColumn("short", first)
-    mine = mine.join(shorter, "short").withColumns({"low": F.shiftright("short", 8), "ctx": F.shiftright("gram", 8)}).join(after, "low").join(whole, "ctx")
-    rows = mine.select("gram", "n0", "n1", "n", "seen", "kinds", "cont", "total", "sorts").orderBy("gram").toPandas()  # max_grams at most
-    letters = {r[0]: float(r[1]) for r in shorter.groupBy(F.col("short").bitwiseAND(F.lit(255))).agg(F.sum("cont")).collect()}
-    model = spark.sparkContext.broadcast(_model(rows, letters))
+    rows = _ratios(grams).orderBy("gram").toPandas()  # grams of the max_rows labelled texts
+    model = spark.sparkContext.broadcast((rows["gram"].to_numpy(np.int64), rows["value"].to_numpy(np.float64)))
     seen = docs.join(F.broadcast(chosen.where("part = 1").select("doc_id", "y")), "doc_id")
     x, y = (np.array(c, np.float64) for c in zip(*[(r.x, r.y) for r in seen.select("doc_id", "text").mapInArrow(_evidence(model), "doc_id long, x double").join(chosen, "doc_id").select("x", "y").collect()] or [(0.0, 0)]))
     w = logistic(x[:, None], y)

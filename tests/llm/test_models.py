@@ -64,3 +64,28 @@ def test_temperature_and_logistic():
     assert np.mean((net.score(x[400:]) > 0.5) == y[400:]) > 0.85 and 0.2 <= net.temperature <= 10
     w = logistic(x[:, :1], y)
     assert w[0] > 1
+
+
+def test_class_grams_are_whole(spark):
+    from catchwater.llm import toxicity as t
+
+    pack = lambda word: [int.from_bytes(("\2" + word + "\3").encode()[max(0, k - 5) : k + 1], "big") for k in range(1, len(word) + 2)]
+    # bub is in one toxic text, once; bab in six ordinary ones; bib has no label.
+    rows = {}
+    for word, n0, n1, n in (("bab", 6, 0, 9), ("bub", 0, 1, 1), ("bib", 0, 0, 4)):
+        for g in pack(word):
+            rows[g] = [a + b for a, b in zip(rows.get(g, (0, 0, 0)), (n0, n1, n))]
+    got = {r.gram: r.value for r in t._ratios(spark.createDataFrame([(g, *c) for g, c in rows.items()], "gram long, n0 long, n1 long, n long")).collect()}
+    assert set(got) == set(pack("bab") + pack("bub"))
+    gram = pack("bub")[1]
+    # After start and b come a, u and i: of 14 events 1 is u; 3 sorts. One letter shorter, b has a, u, i and the end mark.
+    letters = {}
+    for short in {g & (1 << 8 * ((g.bit_length() + 7) // 8 - 1)) - 1 for g in rows}:
+        cont = sum(1 for g in rows if g & (1 << 8 * ((g.bit_length() + 7) // 8 - 1)) - 1 == short)
+        letters[short & 255] = letters.get(short & 255, 0) + cont
+    low = (ord("b") << 8) | ord("u")
+    sizes = {s: sum(1 for g in rows if g & (1 << 8 * ((g.bit_length() + 7) // 8 - 1)) - 1 == s) for s in {g & (1 << 8 * ((g.bit_length() + 7) // 8 - 1)) - 1 for g in rows} if s >> 8 == ord("b")}
+    below = (sizes[low] - 0.75 + 0.75 * len(sizes) * letters[ord("u")] / sum(letters.values())) / sum(sizes.values())
+    shared = (0.25 + 0.75 * 3 * below) / 14
+    want = np.log(0.25 + 0.75 * shared + 3) - np.log(shared + 3) - np.log(0.75 * shared + 3) + np.log(6 * shared + 3)
+    assert got[gram] == pytest.approx(want)
