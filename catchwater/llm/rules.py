@@ -44,17 +44,24 @@ def measure(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _fences(rows: DataFrame) -> DataFrame:
-    """(lang, source) -> the fence of each rate, from the first of source, language and all with enough documents."""
+    """(lang, source) -> both fences of each rate, round the median of the first of source, language and all with enough documents."""
     merged = {"source": ["lang", "source"], "lang": ["lang"], "all": []}
     at = {"source": rows.groupBy("lang", "source").agg(F.count("*").alias("n_source"), *(F.kll_sketch_agg_double(r).alias(f"{r}_source") for r in RATES))}
     for level, below in (("lang", "source"), ("all", "lang")):
         at[level] = at[below].groupBy(*merged[level]).agg(F.sum(f"n_{below}").alias(f"n_{level}"), *(F.kll_merge_agg_double(f"{r}_{below}").alias(f"{r}_{level}") for r in RATES))
     wide = at["source"].join(at["lang"], "lang").join(F.broadcast(at["all"]), how="cross")  # one row
+    quantile = lambda sketch, q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
     for rate, least in RATES.items():
+        spreads = []
+        for level in ("source", "lang", "all"):
+            sketch = F.col(f"{rate}_{level}")
+            middle = quantile(sketch, 0.5)
+            spread = F.least(quantile(sketch, 0.75) - middle, middle - quantile(sketch, 0.25))
+            spreads.append(spread if level == "all" else F.when(F.col(f"n_{level}") >= LEAST, spread))
         sketch = F.when(F.col("n_source") >= LEAST, F.col(f"{rate}_source")).when(F.col("n_lang") >= LEAST, F.col(f"{rate}_lang")).otherwise(F.col(f"{rate}_all"))
-        middle, upper = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.75))
-        wide = wide.withColumn(f"{rate}_fence", middle + FENCE * F.greatest(upper - middle, F.lit(least)))
-    return wide.select("lang", "source", *(f"{r}_fence" for r in RATES))
+        width = FENCE * F.greatest(F.least(*spreads), F.lit(least))  # levels with too few documents are null and do not count
+        wide = wide.withColumns({f"{rate}_fence": quantile(sketch, 0.5) + width, f"{rate}_floor": quantile(sketch, 0.5) - width})
+    return wide.select("lang", "source", *(f"{r}_{end}" for r in RATES for end in ("floor", "fence")))
 
 
 def judge(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
@@ -68,5 +75,5 @@ def judge(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     rows = cut(rows.withColumns({"symbol_rate": part("n_symbols", "word_chars"), "dup_line_rate": part("n_dup_lines", "n_lines"), "repeat_rate": part("n_repeat_words", "n_words"), "word_length": part("word_chars", "n_words")}))
     judged = rows.join(_fences(rows.where("not base_failed")), ["lang", "source"], "left")
-    within = F.expr(" and ".join(f"{r} <= {r}_fence" for r in RATES))
+    within = F.expr(" and ".join(f"{r} between {r}_floor and {r}_fence" for r in RATES))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"), *more)

@@ -173,6 +173,17 @@ def test_rules_drop_what_sticks_out(make_docs):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 320))
 
 
+def test_rules_hold_in_a_source_with_much_junk(make_docs):
+    import random
+
+    rng = random.Random(2)
+    texts = [" ".join("w%d" % rng.randrange(5000) for _ in range(80)) for _ in range(560)]
+    texts += [t.replace(" ", "*** ") if i % 2 else "\n".join([*(t[k : k + 100] for k in range(0, len(t), 100)), *["same line"] * 9]) for i, t in enumerate(texts[:240])]
+    texts += [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80)) for _ in range(9)]
+    got = {r.doc_id: r.kept for r in judge(make_docs(texts)).collect()}
+    assert all(got[i] for i in range(560)) and not any(got[i] for i in range(560, 809))
+
+
 def test_empty_tables(make_docs):
     none = make_docs([(1, "x")]).where("doc_id < 0")
     path = public_tokenizers.path("byte_bpe_50k.json")
