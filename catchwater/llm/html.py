@@ -1,29 +1,38 @@
-"""Main text of web pages by fields, and wrappers: union-free regular expressions inferred from pages of one host.
+"""Main text of web pages through wrappers: union-free regular expressions inferred from the pages of one host.
 
-A page's text is what its fields (paths of elements) in the article hold, or on pages without article or main element all
-its fields, without those in menus, headers, footers, sidebars, notices, adverts, forms and comments, by element names and
-class words, and without fields that the template fixes: those with one text beside different pages of the host.
+A page is a tree of block elements (inline ones are part of their text) and text tokens. A wrapper says what may stand in
+an element: a sequence of elements, text slots, optional items and repeated groups. It starts as one page and is aligned
+with the host's pages one after the other. Where texts differ a constant becomes a slot; where tags differ, runs of an
+equal group of items become one repeated group, and what only one side still has becomes optional. A sequence that stays
+long after that becomes a repeated group of optional items, so a wrapper is no larger than its host's kinds of elements.
 
-The wrapper describes the pages; it takes no part in the choice of text. A page is a stream of block tags and text slots.
-Runs of an equal group of tokens become one repeated group; pages of a host are then aligned one after the other, and where
-streams differ, the tokens that only one has become an optional group.
+A page's text is what the wrapper has slots for: the page is aligned with its host's wrapper, and texts at constants that
+SUPPORT pages with different other texts share are the template's and leave, inside an article as well. Element names
+and class words only label slots as menus, footers, adverts and the like; if a page has an article, only its slots count.
+A page of which the template would take over half is a copy of its neighbours and keeps all.
 
-Hosts with many pages are split into parts of about PART pages, each with its own wrapper, so no host fills a task. What
-the template fixes is counted over all pages of a host, whatever its parts.
+Tasks align the pages that they read, host by host, and pass on one wrapper a host; wrappers of one host are aligned in
+rounds of at most FAN, so neither a host's pages nor its wrappers meet in one task.
 """
 
 import difflib
 import hashlib
 import html
+import json
+import operator
 import re
-from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PART = 256
-#: Tokens of a group that may repeat, and different pages from which unchanging text counts as the template's.
-WIDEST, SUPPORT = 12, 3
+from catchwater.llm.session import cut
+
+#: Pages whose different other texts make a constant text the template's.
+SUPPORT = 4
+#: Items of a group that may repeat, items in a sequence, nested elements; what is deeper belongs to the element there.
+WIDEST, LONGEST, DEEPEST = 12, 48, 48
+#: Wrappers aligned in one group, and hosts whose wrappers a task holds at once.
+FAN, HOSTS = 64, 2048
 
 # Element names and usual class words.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -31,6 +40,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 SILENT = set("script style noscript template head title textarea svg math iframe object canvas audio video select option".split())
 AWAY = set("nav footer aside form menu dialog button fieldset".split())
 WORDS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion footer menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond responses share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words that say nothing of an element beside one of WORDS.
+PLAIN = set("area bar block bottom box btn button buttons container content element footer group header icons inner item items left links list main outer page panel post posts right row section side signup site slot small text title top unit wrap wrapper".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -40,34 +51,49 @@ _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 
 
 def _away(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether an element is none of the article; a header counts unless it is the article's own."""
+    """Whether an element is none of the article; a header counts unless it is the article's own.
+
+    Inside the article a class or id must consist of listed and plain words only: press-notice is no notice.
+    """
     if tag in SILENT or tag in AWAY or tag == "header" and not inside or attrs.get("role", "").lower() in ROLES:
         return True
     if tag in ("article", "main", "body", "html"):
         return "comment" in re.split(r"[^a-z]+", (attrs.get("class", "") + " " + attrs.get("id", "")).lower())
-    return any(w in WORDS for k in ("class", "id") for w in re.split(r"[^a-z0-9]+", attrs.get(k, "").lower()))
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        listed = [w in WORDS for w in words]
+        if any(listed) and (not inside or all(x or w in PLAIN for w, x in zip(words, listed))):
+            return True
+    return False
+
+
+def _code(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little") >> 12
+
+
+# Items of a wrapper: [name, optional, content] for an element, a repeated group "+" of its content, or a repeated group
+# "*" of any of its content; ["#", optional, code of a constant text or None, codes of other texts beside it, token numbers].
 
 
 class Page:
-    """The stream of a page: tokens, and of each text token its path, text, and whether it is inside and away."""
+    """content: the page's own wrapper; texts: of each text token its text, and whether it is inside and away."""
 
     def __init__(self, source: str):
-        self.stream: list[str] = []
-        self.texts: list[tuple[str, str, bool, bool]] = []
-        stack: list[tuple[str, str, bool, bool]] = []
+        self.content: list = []
+        self.texts: list[tuple[str, bool, bool]] = []
+        stack: list[tuple[str, list, bool, bool]] = []
         words: list[str] = []
 
         def flush():
             text = " ".join(html.unescape("".join(words)).split())
             words.clear()
             if text:
-                self.stream.append("#")
-                self.texts.append(("/".join(x[1] for x in stack), text, any(x[2] for x in stack), any(x[3] for x in stack)))
+                (stack[-1][1] if stack else self.content).append(["#", 0, _code(text), [], [len(self.texts)]])
+                self.texts.append((text, any(x[2] for x in stack), any(x[3] for x in stack)))
 
         def close(at: int):
             flush()
-            while len(stack) > at:
-                self.stream.append(f"</{stack.pop()[1]}>")
+            del stack[at:]
 
         pos = 0
         while m := _TOKEN.match(source, pos):
@@ -112,146 +138,210 @@ class Page:
                     if stack[k][0] in SIBLINGS[tag]:
                         close(k)
                         break
-            name = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split()))
-            self.stream.append(f"<{name}>")
+            own = stack[-1][1] if stack else self.content
+            if len(stack) < DEEPEST:
+                item = ["<" + tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + ">", 0, []]
+                own.append(item)
+                own = item[2]
             if not m[3].rstrip().endswith("/") or tag not in ("svg", "path"):
-                stack.append((tag, name, inside and not away, away))
+                stack.append((tag, own, inside and not away, away))
         close(0)
+        codes = [_code(text) for text, _, away in self.texts if not away]
+        todo, total = [self.content], sum(codes)
+        while todo:
+            for item in todo.pop():
+                if item[0] == "#":
+                    item[3] = [(total - item[2]) % (1 << 52)]
+                else:
+                    todo.append(item[2])
+
+
+def _key(item: list):
+    return ("+", *map(_key, item[2])) if item[0] == "+" else item[0]
+
+
+def _join(a: list, b: list) -> list:
+    """One item for two of one key."""
+    if a[0] == "#":
+        return ["#", a[1] | b[1], a[2] if a[2] == b[2] else None, sorted({*a[3], *b[3]})[:SUPPORT], a[4] + b[4]]
+    return [a[0], a[1] | b[1], align(a[2], b[2])]
 
 
-def fold(stream: list, groups: set) -> list:
-    """Replaces runs of an equal group of tokens by one repeated group (a tuple); known groups even where single."""
+def fold(content: list, groups: set) -> list:
+    """Runs of an equal group of items as one repeated group; those in ``groups`` even where single. Adds new ones there."""
     again = True
     while again:
         again = False
         for w in range(1, WIDEST + 1):
+            keys = [_key(x) for x in content]
+            known = any(len(g) == w for g in groups)
+            if not known and (len(keys) < 2 * w or not any(map(operator.eq, keys, keys[w:]))):
+                continue
             out, i = [], 0
-            while i < len(stream):
-                g = tuple(stream[i : i + w])
-                whole = len(g) == w and g.count("#") < w and (w > 1 or not isinstance(g[0], tuple)) and _balanced(g)
-                n = 1
-                while whole and tuple(stream[i + n * w : i + (n + 1) * w]) == g:
-                    n += 1
-                if whole and (n > 1 or ("+", g) in groups):
-                    groups.add(("+", g))
-                    rest = i + n * w
-                    if not (out and out[-1] == ("+", g)):
-                        out.append(("+", g))
-                    i, again = rest, True
-                else:
-                    out.append(stream[i])
-                    i += 1
-            stream = out
-    return stream
-
-
-def _balanced(group: tuple) -> bool:
-    depth = 0
-    for t in group:
-        if isinstance(t, str) and t != "#":
-            depth += -1 if t[1] == "/" else 1
-            if depth < 0:
-                return False
-    return depth == 0
-
-
-def align(wrapper: list, stream: list) -> list:
-    """A wrapper that matches what it matched before and stream too: tokens that one side lacks turn optional."""
-    plain = [x[1] if isinstance(x, tuple) and x[0] == "?" else (x,) for x in wrapper]
-    flat = [(t, isinstance(x, tuple) and x[0] == "?") for x, ts in zip(wrapper, plain) for t in ts]
-    out: list = []
-
-    def add(tokens, optional):
-        for t in tokens:
-            if optional and out and isinstance(out[-1], tuple) and out[-1][0] == "?":
-                out[-1] = ("?", out[-1][1] + (t,))
-            else:
-                out.append(("?", (t,)) if optional else t)
-
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, [t for t, _ in flat], stream, autojunk=False).get_opcodes():
+            while i < len(content):
+                g, n = tuple(keys[i : i + w]), 1
+                if len(g) == w and (w > 1 or g[0] != "#" and isinstance(g[0], str)):
+                    while tuple(keys[i + n * w : i + (n + 1) * w]) == g:
+                        n += 1
+                    if n > 1 or g in groups:
+                        groups.add(g)
+                        parts = content[i : i + w]
+                        for k in range(1, n):
+                            parts = [_join(x, y) for x, y in zip(parts, content[i + k * w : i + (k + 1) * w])]
+                        item = ["+", 0, parts]
+                        if out and _key(out[-1]) == ("+", *g):
+                            item = _join(out.pop(), item)
+                        out.append(item)
+                        i, again = i + n * w, True
+                        continue
+                out.append(content[i])
+                i += 1
+            content = out
+    return content
+
+
+def _mixed(items: list) -> list:
+    """A repeated group of the items' kinds, each optional."""
+    kinds: dict = {}
+    todo = list(reversed(items))
+    while todo:
+        item = todo.pop()
+        if item[0] in ("+", "*"):
+            todo += reversed(item[2])
+        else:
+            item = [item[0], 1, *item[2:]]
+            kinds[item[0]] = _join(kinds[item[0]], item) if item[0] in kinds else item
+    return [["*", 0, list(kinds.values())]]
+
+
+def align(a: list, b: list) -> list:
+    """The content that matches what either content matches."""
+    same = lambda: len(a) == len(b) and all(_key(x) == _key(y) for x, y in zip(a, b))
+    if not same():
+        if any(x[0] == "*" for x in a + b):
+            return _mixed(a + b)
+        groups = {_key(x)[1:] for x in a + b if x[0] == "+"}
+        size = -1
+        while size != len(groups):
+            size = len(groups)
+            a, b = fold(a, groups), fold(b, groups)
+    if same():
+        return [_join(x, y) for x, y in zip(a, b)]
+    if len(a) > 4 * LONGEST or len(b) > 4 * LONGEST:
+        return _mixed(a + b)
+    out = []
+    for kind, i, j, k, n in difflib.SequenceMatcher(None, [_key(x) for x in a], [_key(x) for x in b], autojunk=False).get_opcodes():
         if kind == "equal":
-            for t, optional in flat[a:b]:
-                add([t], optional)
+            out += [_join(x, y) for x, y in zip(a[i:j], b[k:n])]
         else:
-            add([t for t, _ in flat[a:b]], True)
-            add(stream[c:d], True)
-    return out
+            out += [[x[0], 1, *x[2:]] for x in a[i:j] + b[k:n]]
+    return _mixed(out) if len(out) > LONGEST else out
 
 
-def expression(wrapper: list) -> str:
-    """The wrapper as a regular expression over tags, with # for text slots."""
-    show = lambda t: t if isinstance(t, str) else "(" + "".join(map(show, t[1])) + ")" + t[0]
-    return "".join(map(show, wrapper))
-
+def expression(content: list) -> str:
+    """The wrapper as a regular expression over tags, with # for text slots and = for constant texts."""
+    out = ""
+    for item in content:
+        if item[0] == "#":
+            own = "#" if item[2] is None else "="
+        else:
+            own = expression(item[2])
+            own = f"({own})+" if item[0] in ("+", "*") else f"{item[0]}{own}</{item[0][1:]}"
+        out += f"({own})?" if item[1] else own
+    return out
 
-def infer(pages: list[Page]) -> tuple[list, set]:
-    """The wrapper of pages of one host, and its repeated groups."""
-    groups: set = set()
-    kinds = list(dict.fromkeys(tuple(p.stream) for p in pages))
-    for _ in range(2):  # groups that later pages repeat count in earlier ones too
-        streams = list(dict.fromkeys(tuple(fold(list(s), groups)) for s in kinds))
-    wrapper = list(streams[0])
-    for s in streams[1:]:
-        wrapper = align(wrapper, list(s))
-    return wrapper, groups
 
+def infer(pages: list[Page]) -> list:
+    """The wrapper of pages of one host."""
+    out = pages[0].content
+    for page in pages[1:]:
+        out = align(out, page.content)
+    return out
 
-def _code(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
+def _bare(content: list) -> list:
+    """Without token numbers."""
+    return [[*x[:4], []] if x[0] == "#" else [x[0], x[1], _bare(x[2])] for x in content]
 
-def fields(page: Page) -> dict[str, tuple[str, str]]:
-    """Of each path outside menus and the like: its text, and the text of all other such paths."""
-    own = defaultdict(list)
-    for path, text, _, away in page.texts:
-        if not away:
-            own[path].append(text)
-    whole = {path: "\n".join(texts) for path, texts in own.items()}
-    return {path: (text, "\n".join(x for other, x in whole.items() if other != path)) for path, text in whole.items()}
 
+def main_text(page: Page, wrapper: list) -> str:
+    """The texts at slots of the wrapper that are not away; of those in the article if there is one."""
+    fixed, todo = set(), [align(wrapper, page.content)]
+    while todo:
+        for item in todo.pop():
+            if item[0] != "#":
+                todo.append(item[2])
+            elif item[2] is not None and len(item[3]) >= SUPPORT:
+                fixed.update(item[4])
+    article = any(inside for _, inside, _ in page.texts)
+    own = [(k, text) for k, (text, inside, away) in enumerate(page.texts) if (inside or not article) and not away]
+    taken = sum(len(text) for k, text in own if k in fixed)
+    copies = 2 * taken > sum(len(text) for _, text in own)
+    return "\n".join(text for k, text in own if copies or k not in fixed)
 
-def _fields(batches):
-    for batch in batches:
-        rows = [(host, _code(path), _code(text), _code(rest) if len(rest) >= len(text) else None) for host, x in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()) for path, (text, rest) in fields(Page(x or "")).items()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), *[pa.int64()] * 3))], ["host", "path", "text", "rest"])
 
+_WRAPPERS = "host string, wrapper string"
 
-def templates(rows: DataFrame) -> DataFrame:
-    """host, fixed: codes of the paths that have one text on all pages of a host and do so beside SUPPORT different rests.
 
-    Copies of a page have one rest and so count once; a rest shorter than the text does not count, since pages that
-    differ in little else than a date or a counter are copies too.
-    """
-    found = rows.select("host", "html").mapInArrow(_fields, "host string, path long, text long, rest long")
-    # Partial sums by distinct rest come first, so no host fills a task.
-    some = found.groupBy("host", "path", "rest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
-    one = some.groupBy("host", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("rest").alias("n")).where(f"low = high and n >= {SUPPORT}")
-    return one.groupBy("host").agg(F.collect_list("path").alias("fixed"))
+def _batch(found: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([json.dumps(_bare(x)) for x in found.values()], pa.string())], ["host", "wrapper"])
 
 
-def main_text(page: Page, fixed: set[int]) -> str:
-    """The text of fields that are neither away nor fixed; of those in the article if there is one."""
-    article = any(inside for _, _, inside, _ in page.texts)
-    return "\n".join(text for path, text, inside, away in page.texts if (inside or not article) and not away and _code(path) not in fixed)
+def _infer(batches):
+    found: dict = {}
+    for batch in batches:
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            own = Page(source or "").content
+            found[host] = align(found[host], own) if host in found else own
+        if len(found) >= HOSTS:
+            yield _batch(found)
+            found = {}
+    yield _batch(found)
+
+
+def _aligned(table: pa.Table) -> pa.Table:
+    """One wrapper for a group of wrappers of one host."""
+    out = None
+    for own in map(json.loads, sorted(table.column("wrapper").to_pylist())):
+        out = own if out is None else align(out, own)
+    return pa.Table.from_batches([_batch({table.column("host")[0].as_py(): out})])
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """host, html -> host, wrapper (JSON of items): one row a host."""
+    found = cut(rows.select("host", "html").mapInArrow(_infer, _WRAPPERS))
+    while True:
+        sizes = found.groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("parts"), F.count("*").alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return found
+        part = F.pmod(F.xxhash64("wrapper"), "parts")
+        found = cut(found.join(sizes, "host").select("host", "wrapper", F.xxhash64("host", part).alias("group")).groupBy("host", "group").applyInArrow(_aligned, _WRAPPERS))
+
+
+def _extracted(batches):
+    text, wrapper = None, []
+    for batch in batches:
+        found = []
+        for source, own in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
+            if own != text:
+                text, wrapper = own, json.loads(own)
+            found.append(main_text(Page(source or ""), wrapper))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), batch.column("host")], ["page_id", "url", "text", "host"])
 
 
-def _part(table: pa.Table) -> pa.Table:
-    pages = [Page(x or "") for x in table.column("html").to_pylist()]
-    wrapper, _ = infer(pages)
-    fixed = set(table.column("fixed")[0].as_py() or ())  # the host's, so the same in each row
-    texts = [main_text(p, fixed) for p in pages]
-    shown = expression(wrapper)
-    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "wrapper": pa.array([shown] * len(pages), pa.string())})
+def _hosts(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages -> page_id, url, text (the main text's blocks, a line each), wrapper; one row for each row of pages.
+    """pages -> page_id, url, text (the main text's blocks, a line each), host; one row for each row of pages.
 
-    A null or empty html gives an empty text; a null url is a host of its own; ids may be null or repeat. What is cut
-    off inside a tag ends there. An empty table gives an empty table.
+    A null or empty html gives an empty text; pages without a url are of one host ""; ids may be null or repeat, and
+    equal pages count once as support, so copies keep their text. What is cut off inside a tag ends there. An empty table
+    gives an empty table; other columns are left behind.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit(""))))
-    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    sizes = sizes.join(templates(rows), "host", "left")
-    dealt = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), "parts"))
-    return dealt.select("host", "part", "page_id", "url", "html", "fixed").groupBy("host", "part").applyInArrow(_part, "page_id long, url string, text string, wrapper string")
+    rows = _hosts(pages)
+    # A plain join: wrappers are broadcast while they are small, and pages of a hot host are split beyond that.
+    return rows.join(wrappers(rows), "host").select("page_id", "url", "html", "host", "wrapper").mapInArrow(_extracted, "page_id long, url string, text string, host string")

@@ -55,13 +55,78 @@ def test_pages(spark):
 
 
 def test_wrapper_has_groups_and_optionals():
-    pages = [html.Page(f"<div><h1>a</h1>{x}</div>") for x in ("<p>1</p>", "<p>1</p><p>2</p>", "<p>1</p><table><tr><td>x</td></tr></table>")]
-    shown = html.expression(html.infer(pages)[0])
-    assert "(<p>#</p>)+" in shown and "?" in shown
+    pages = [html.Page(f"<div><h1>{k}</h1>{x}</div>") for k, x in enumerate(("<p>1</p>", "<p>1</p><p>2</p>", "<p>1</p><table><tr><td>x</td></tr></table>"))]
+    shown = html.expression(html.infer(pages))
+    assert "<h1>#</h1>" in shown and "(<p>#</p>)+" in shown and "(<table><tr><td>=</td></tr></table>)?" in shown
 
 
-def test_copies_keep_their_text(spark, monkeypatch):
-    monkeypatch.setattr(html, "PART", 2)
+def test_wrapper_matches_every_page():
+    """The inferred expression, read by a regular expression engine, against the tags of each page."""
+    import random
+    import re
+
+    rng = random.Random(7)
+
+    def element(depth):
+        kids = [element(depth - 1) for _ in range(rng.choice((0, 1, 1, 2, 3)))] if depth else []
+        text = [rng.choice("xyz")] if rng.random() < 0.6 else []
+        tag = rng.choice(("div", "section", "p" if not kids else "div", "h2" if not kids else "div"))
+        return f"<{tag}>{''.join(text + kids * rng.choice((1, 1, 2, 3)))}</{tag}>"
+
+    def tags(content):
+        return "".join("t" if x[0] == "#" else f"{x[0]}{tags(x[2])}</{x[0][1:]}" for x in content)
+
+    for _ in range(60):
+        pages = [html.Page("".join(element(3) for _ in range(rng.randrange(1, 5)))) for _ in range(rng.randrange(2, 9))]
+        wrapper = html.infer(pages)
+        # Twice the pages, and wrappers aligned with wrappers, must not shrink what is matched.
+        for made in (wrapper, html.align(wrapper, html.infer(pages[::-1]))):
+            pattern = re.compile(html.expression(made).replace("#", "t").replace("=", "t"))
+            assert all(pattern.fullmatch(tags(p.content)) for p in pages)
+
+
+def test_inference_chooses_the_text(spark, monkeypatch):
+    body = "<div id='a'>Home and about us</div><div><p>Story {0} tells of {0} and more, at length, for {0} pages.</p></div><div><p>Printed by Nobody.</p></div>"
+    rows = [(i, f"http://one.org/{i}", body.format(i)) for i in range(6)] + [(10 + i, "http://two.org/", body.format("x")) for i in range(3)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, host string, wrapper string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    story = lambda x: f"Story {x} tells of {x} and more, at length, for {x} pages."
+    assert [got[i] for i in range(6)] == [story(i) for i in range(6)]
+    whole = f"Home and about us\n{story('x')}\nPrinted by Nobody."
+    assert [got[10 + i] for i in range(3)] == [whole] * 3  # copies tell nothing of the template
+    texts = [html.Page(r[2]) for r in rows[:6]]
+    assert html.main_text(texts[2], texts[2].content) != got[2]
+
+
+def test_wrappers_of_wrappers(spark, monkeypatch):
+    monkeypatch.setattr(html, "FAN", 2)
+    body = "<div>Our site</div>{1}<div><p>All about {0}, at length, for the whole of a page.</p></div>"
+    rows = [(i, "http://big.org/", body.format(i, "<div class='b'>more</div>" * (i % 3))) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(16)
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(got[i].split("\n")[-1] == f"All about {i}, at length, for the whole of a page." and "Our site" not in got[i] for i in range(40))
+    assert html.wrappers(html._hosts(df)).count() == 1
+    assert html.extract(df.where("page_id < 0")).count() == 0
+
+
+def test_words_of_classes():
+    page = lambda name: html.Page(f"<article><p>One.</p><div class='{name}'>Two.</div></article>")
+    text = lambda name: html.main_text(page(name), page(name).content)
+    assert all(text(x) == "One.\nTwo." for x in ("social-history", "press-notice", "t1"))
+    assert all(text(x) == "One." for x in ("social", "cookie-notice", "related-posts", "comments-area ad_slot_3"))
+
+
+def test_very_long_pages():
+    import random
+
+    rng = random.Random(3)
+    deep = html.Page("<div>" * 5000 + "x" + "</div>" * 5000)
+    wide = html.Page("".join(f"<{t}>{t}{i}</{t}>" for i in range(20000) for t in [rng.choice(("p", "h2", "section", "pre"))]))
+    assert html.main_text(deep, html.infer([deep, wide])) == "x"
+    assert html.main_text(wide, html.infer([deep, wide, wide])).count("\n") == 19999
+
+
+def test_copies_keep_their_text(spark):
     body = "<div class='top'>Our site</div><div class='t{0}'><p>All about {0}, at length, for the whole of a page.</p></div>"
     rows = [(i, f"http://copies.org/{i}", body.format("x")) for i in range(4)]
     rows += [(10 + i, f"http://mixed.org/{i}", body.format("y" if i < 4 else i)) for i in range(8)]
