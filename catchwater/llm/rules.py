@@ -1,18 +1,23 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Four rates per text (symbols a character, repeated lines a line, repeated words a word, characters a word) feed one
-quantile sketch each per language and source. Sketches merge: small sources use their language's merged sketch, small
-languages the one of all. A rate is out where it passes its group's upper fence, the median plus FENCE times the
-spread from median to upper quartile, never less than its tolerance, since most clean texts have a rate of exactly 0.
+quantile sketch each per language and source, which merge into those of languages and of all. A fence is the median plus
+GROWTH times the group's reach. The reach starts with what one event makes in a long document of the group and walks out
+over the group's quantiles while each lies no further than GROWTH times what was reached so far: a clean group's whole
+tail is within, and the jump to a minority of junk ends the walk. Fences of few documents are drawn towards those of their
+language, and these towards those of all, as if PRIOR more documents stood there. A document is never out for GROWTH
+events or fewer above the median.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catchwater.llm.session import cut
 
-#: Rates with the least spread that counts, a group's least size, and fence width in spreads.
-RATES = {"symbol_rate": 0.004, "dup_line_rate": 0.05, "repeat_rate": 0.03, "word_length": 0.3}
-LEAST, FENCE = 200, 8.0
+#: Rates: events, of how many, and the events of one occurrence (a window that repeats marks two times three words).
+RATES = {"symbol_rate": ("n_symbols", "word_chars", 1), "dup_line_rate": ("n_dup_lines", "n_lines", 1), "repeat_rate": ("n_repeat_words", "n_words", 6), "word_length": ("word_chars", "n_words", 1)}
+GROWTH, PRIOR, SKETCH = 3.0, 200, 2048
+#: Ranks that the walk visits upwards, each with its mirror image downwards, and that of a long document.
+WALK, LONG = (0.75, 0.9, 0.95, 0.975, 0.99), 0.9
 
 
 def repeated_words(windows: str) -> Column:
@@ -43,25 +48,40 @@ def measure(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     return at.select(*more, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 
+def _reach(walk: Column, start: Column) -> Column:
+    """The largest of the distances of a walk up to its first jump."""
+    first = F.struct(start.alias("r"), F.lit(True).alias("on"))
+
+    def step(now: Column, d: Column) -> Column:
+        on = now["on"] & (d <= GROWTH * now["r"])
+        return F.struct(F.when(on, F.greatest(now["r"], d)).otherwise(now["r"]).alias("r"), on.alias("on"))
+
+    return F.aggregate(walk, first, step, lambda now: now["r"])
+
+
 def _fences(rows: DataFrame) -> DataFrame:
-    """(lang, source) -> both fences of each rate, round the median of the first of source, language and all with enough documents."""
+    """(lang, source) -> middle, floor and fence of each rate, from the merged sketches of source, language and all."""
     merged = {"source": ["lang", "source"], "lang": ["lang"], "all": []}
-    at = {"source": rows.groupBy("lang", "source").agg(F.count("*").alias("n_source"), *(F.kll_sketch_agg_double(r).alias(f"{r}_source") for r in RATES))}
+    columns = [*RATES, *dict.fromkeys(of for _, of, _ in RATES.values())]
+    at = {"source": rows.groupBy("lang", "source").agg(F.count("*").alias("n_source"), *(F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH)).alias(f"{c}_source") for c in columns))}
     for level, below in (("lang", "source"), ("all", "lang")):
-        at[level] = at[below].groupBy(*merged[level]).agg(F.sum(f"n_{below}").alias(f"n_{level}"), *(F.kll_merge_agg_double(f"{r}_{below}").alias(f"{r}_{level}") for r in RATES))
+        at[level] = at[below].groupBy(*merged[level]).agg(F.sum(f"n_{below}").alias(f"n_{level}"), *(F.kll_merge_agg_double(f"{c}_{below}").alias(f"{c}_{level}") for c in columns))
     wide = at["source"].join(at["lang"], "lang").join(F.broadcast(at["all"]), how="cross")  # one row
-    quantile = lambda sketch, q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
-    for rate, least in RATES.items():
-        spreads = []
-        for level in ("source", "lang", "all"):
-            sketch = F.col(f"{rate}_{level}")
-            middle = quantile(sketch, 0.5)
-            spread = F.least(quantile(sketch, 0.75) - middle, middle - quantile(sketch, 0.25))
-            spreads.append(spread if level == "all" else F.when(F.col(f"n_{level}") >= LEAST, spread))
-        sketch = F.when(F.col("n_source") >= LEAST, F.col(f"{rate}_source")).when(F.col("n_lang") >= LEAST, F.col(f"{rate}_lang")).otherwise(F.col(f"{rate}_all"))
-        width = FENCE * F.greatest(F.least(*spreads), F.lit(least))  # levels with too few documents are null and do not count
-        wide = wide.withColumns({f"{rate}_fence": quantile(sketch, 0.5) + width, f"{rate}_floor": quantile(sketch, 0.5) - width})
-    return wide.select("lang", "source", *(f"{r}_{end}" for r in RATES for end in ("floor", "fence")))
+    ranks = lambda sketch, qs: F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, qs)))
+    for rate, (_, of, unit) in RATES.items():
+        for level in merged:
+            up, down = ranks(f"{rate}_{level}", (0.5, *WALK)), ranks(f"{rate}_{level}", (0.5, *(1.0 - q for q in WALK)))
+            wide = wide.withColumns({"up": up, "down": down, "event": unit / F.greatest(ranks(f"{of}_{level}", (LONG,))[0], F.lit(1.0))})
+            middle = F.get("up", F.lit(0))
+            start = F.greatest("event", F.least(F.get("up", F.lit(1)) - middle, middle - F.get("down", F.lit(1))))
+            higher, lower = (_reach(F.transform(F.slice(c, 2, len(WALK)), lambda q: F.abs(q - middle)), start) for c in ("up", "down"))
+            wide = wide.withColumns({f"{rate}_middle_{level}": middle, f"{rate}_fence_{level}": middle + GROWTH * higher, f"{rate}_floor_{level}": middle - GROWTH * lower})
+        for end in ("middle", "fence", "floor"):
+            drawn = F.col(f"{rate}_{end}_all")
+            for level in ("lang", "source"):
+                drawn = (F.col(f"n_{level}") * F.col(f"{rate}_{end}_{level}") + PRIOR * drawn) / (F.col(f"n_{level}") + PRIOR)
+            wide = wide.withColumn(f"{rate}_{end}", drawn)
+    return wide.select("lang", "source", *(f"{r}_{end}" for r in RATES for end in ("middle", "floor", "fence")))
 
 
 def judge(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
@@ -72,8 +92,8 @@ def judge(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     from documents that pass the base rules; if none do, nothing is kept. An empty table gives an empty table.
     """
     rows = measure(docs, more).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    rows = cut(rows.withColumns({"symbol_rate": part("n_symbols", "word_chars"), "dup_line_rate": part("n_dup_lines", "n_lines"), "repeat_rate": part("n_repeat_words", "n_words"), "word_length": part("word_chars", "n_words")}))
+    rows = cut(rows.withColumns({rate: F.col(events) / F.greatest(F.col(of), F.lit(1)) for rate, (events, of, _) in RATES.items()}))
     judged = rows.join(_fences(rows.where("not base_failed")), ["lang", "source"], "left")
-    within = F.expr(" and ".join(f"{r} between {r}_floor and {r}_fence" for r in RATES))
+    # One part in a million allows for rounding.
+    within = F.expr(" and ".join(f"{r} <= greatest({r}_fence, {r}_middle + {GROWTH}D * {unit} / greatest({of}, 1)) + 1e-6 and {r} >= least({r}_floor, {r}_middle - {GROWTH}D * {unit} / greatest({of}, 1)) - 1e-6" for r, (_, of, unit) in RATES.items()))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"), *more)

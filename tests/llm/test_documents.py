@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from catchwater.llm import bpe, minhash, packing, suffix
+from catchwater.llm import bpe, minhash, packing, rules, suffix
 from catchwater.llm.minhash import near_duplicates
 from catchwater.llm.packing import breed, pack
 from catchwater.llm.rules import judge
@@ -184,6 +184,71 @@ def test_rules_hold_in_a_source_with_much_junk(make_docs):
     assert all(got[i] for i in range(560)) and not any(got[i] for i in range(560, 809))
 
 
+def exact_fences(rates, units):
+    """The walk over exact quantiles of one group: rates by name, each with its denominators."""
+    out = {}
+    for name, (values, of) in rates.items():
+        at = lambda xs, q: sorted(xs)[max(0, int(np.ceil(round(q * len(xs), 9))) - 1)]
+        middle = at(values, 0.5)
+        event = units[name] / max(at(of, rules.LONG), 1)
+        start = max(event, min(at(values, 0.75) - middle, middle - at(values, 0.25)))
+        ends = []
+        for qs in (rules.WALK, [1 - q for q in rules.WALK]):
+            reach = start
+            for q in qs:
+                d = abs(at(values, q) - middle)
+                if d > rules.GROWTH * reach:
+                    break
+                reach = max(reach, d)
+            ends.append(reach)
+        out[name] = np.array([middle, middle + rules.GROWTH * ends[0], middle - rules.GROWTH * ends[1]])
+    return out
+
+
+def test_rules_verdict_by_exact_quantiles(spark):
+    import random
+
+    rng, rows = random.Random(5), []
+    say = lambda n, size: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(size, size + 4))) for _ in range(n))
+    for i in range(900):
+        lang, source = rng.choice(("en", None, "xx")), rng.choice(("a", "b", None))
+        text = say(rng.randrange(40, 120), 3 if lang else 6)
+        if source == "a":
+            text = "\n".join(text[k : k + 80] for k in range(0, len(text), 80))
+        if rng.random() < 0.3:
+            line = say(6, 3)
+            text += f"\n{line}" * rng.randrange(2, 9)
+        if rng.random() < 0.2:
+            text = text.replace(" ", " & ", rng.randrange(1, 40))
+        rows.append((i, text, lang, source))
+    rows += [(900, None, None, None), (901, "", "zz", "b"), (902, say(80, 3), "zz", "once"), (903, "a " * 80, "zz", "b")]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    lines = {i: [x for x in (t or "").split("\n") if x.strip()] for i, t, _, _ in rows}
+    of = {i: {"word_chars": r.word_chars, "n_words": r.n_words, "n_lines": len(lines[i])} for i, r in got.items()}
+    rate = {i: {name: (getattr(r, e) if hasattr(r, e) else 0) / max(of[i][d], 1) for name, (e, d, _) in rules.RATES.items()} for i, r in got.items()}
+    units = {name: unit for name, (_, _, unit) in rules.RATES.items()}
+    fine = [x for x in rows if not got[x[0]].base_failed]
+
+    def fences(group):
+        return exact_fences({name: ([rate[i][name] for i, *_ in group], [of[i][d] for i, *_ in group]) for name, (_, d, _) in rules.RATES.items()}, units)
+
+    everything, kept, differ = fences(fine), {}, set()
+    for i, _, lang, source in rows:
+        tongue = [x for x in fine if x[2] == lang]
+        own = [x for x in tongue if x[3] == source]
+        kept[i] = bool(own)
+        if own:
+            a, b = fences(tongue), fences(own)
+            for name, (_, d, unit) in rules.RATES.items():
+                middle, fence, floor = [(len(own) * s + rules.PRIOR * (len(tongue) * t + rules.PRIOR * e) / (len(tongue) + rules.PRIOR)) / (len(own) + rules.PRIOR) for s, t, e in zip(b[name], a[name], everything[name])]
+                differ.add((name, lang, round(fence, 9)))
+                some = rules.GROWTH * unit / max(of[i][d], 1)
+                kept[i] &= min(floor, middle - some) - 1e-6 <= rate[i][name] <= max(fence, middle + some) + 1e-6
+        kept[i] &= not got[i].base_failed
+    assert {i: r.kept for i, r in got.items()} == kept and 0 < sum(kept.values()) < len(fine)
+    assert all(len({f for n, _, f in differ if n == name}) > 5 for name in rules.RATES)
+
+
 def test_empty_tables(make_docs):
     none = make_docs([(1, "x")]).where("doc_id < 0")
     path = public_tokenizers.path("byte_bpe_50k.json")
