@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catchwater.llm.labels import logistic
 from catchwater.llm.quality import Network, quality
@@ -66,26 +67,68 @@ def test_temperature_and_logistic():
     assert w[0] > 1
 
 
-def test_class_grams_are_whole(spark):
+def brute_kneser_ney(texts, marks, order=6):
+    """(class, context, letter) -> probability, over dictionaries and strings; class 2 is the shared model."""
     from catchwater.llm import toxicity as t
 
-    pack = lambda word: [int.from_bytes(("\2" + word + "\3").encode()[max(0, k - 5) : k + 1], "big") for k in range(1, len(word) + 2)]
-    # bub is in one toxic text, once; bab in six ordinary ones; bib has no label.
-    rows = {}
-    for word, n0, n1, n in (("bab", 6, 0, 9), ("bub", 0, 1, 1), ("bib", 0, 0, 4)):
-        for g in pack(word):
-            rows[g] = [a + b for a, b in zip(rows.get(g, (0, 0, 0)), (n0, n1, n))]
-    got = {r.gram: r.value for r in t._ratios(spark.createDataFrame([(g, *c) for g, c in rows.items()], "gram long, n0 long, n1 long, n long")).collect()}
-    assert set(got) == set(pack("bab") + pack("bub"))
-    gram = pack("bub")[1]
-    # After start and b come a, u and i: of 14 events 1 is u; 3 sorts. One letter shorter, b has a, u, i and the end mark.
-    letters = {}
-    for short in {g & (1 << 8 * ((g.bit_length() + 7) // 8 - 1)) - 1 for g in rows}:
-        cont = sum(1 for g in rows if g & (1 << 8 * ((g.bit_length() + 7) // 8 - 1)) - 1 == short)
-        letters[short & 255] = letters.get(short & 255, 0) + cont
-    low = (ord("b") << 8) | ord("u")
-    sizes = {s: sum(1 for g in rows if g & (1 << 8 * ((g.bit_length() + 7) // 8 - 1)) - 1 == s) for s in {g & (1 << 8 * ((g.bit_length() + 7) // 8 - 1)) - 1 for g in rows} if s >> 8 == ord("b")}
-    below = (sizes[low] - 0.75 + 0.75 * len(sizes) * letters[ord("u")] / sum(letters.values())) / sum(sizes.values())
-    shared = (0.25 + 0.75 * 3 * below) / 14
-    want = np.log(0.25 + 0.75 * shared + 3) - np.log(shared + 3) - np.log(0.75 * shared + 3) + np.log(6 * shared + 3)
-    assert got[gram] == pytest.approx(want)
+    count = [{}, {}, {}]
+    for text, mark in zip(texts, marks):
+        for word in set(text.encode().lower().split()):
+            whole = b"\2" + bytes(max(x, 4) for x in word) + b"\3"
+            for k in range(1, len(whole)):
+                g = whole[max(0, k - order + 1) : k + 1]
+                for c in {2, mark} - {None}:
+                    count[c][g] = count[c].get(g, 0) + 1
+    cont, above = {}, {g for g in count[2] if len(g) == order}
+    for m in range(order - 1, 0, -1):
+        cont[m] = {}
+        for g in above:
+            cont[m][g[1:]] = cont[m].get(g[1:], 0) + 1
+        above = set(cont[m]) | {g for g in count[2] if len(g) == m}
+
+    def kn(table, s, below):
+        after = [n for g, n in table.items() if g[:-1] == s[:-1] and len(g) == len(s)]
+        return (max(table.get(s, 0) - t.DISCOUNT, 0) + t.DISCOUNT * len(after) * below) / sum(after)
+
+    def lower(s):
+        return kn(cont[len(s)], s, lower(s[1:])) if s else 1 / 256
+
+    def p(c, g):
+        shared = kn(count[2], g, lower(g[1:]))
+        if c == 2:
+            return shared
+        after = [n for x, n in count[c].items() if x[:-1] == g[:-1]]
+        return (max(count[c].get(g, 0) - t.DISCOUNT, 0) + (t.DISCOUNT * len(after) + t.BACK) * shared) / (sum(after) + t.BACK)
+
+    return count, p
+
+
+def test_kneser_ney_by_dictionaries(spark, make_docs):
+    from catchwater.llm import toxicity as t
+
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abc\x00\x02é") for _ in range(rng.randrange(1, 9))) for _ in range(12)) for _ in range(50)] + ["abcabc abc", "abc abc"]
+    marks = [rng.choice((0, 0, 1, None)) for _ in texts]
+    rows = make_docs(texts).join(spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "doc_id long, y int"), "doc_id")
+    grams = rows.select("text", "y").mapInArrow(t._count, "gram long, n0 long, n1 long, n long").groupBy("gram").sum("n0", "n1", "n").toDF("gram", "n0", "n1", "n")
+    count, p = brute_kneser_ney(texts, marks)
+    name = lambda g: g.to_bytes(6, "big").lstrip(b"\0")
+    assert {name(r.gram): (r.n0, r.n1, r.n) for r in grams.collect()} == {g: tuple(count[c].get(g, 0) for c in range(3)) for g in count[2]}
+    values, contexts = ({name(r[0]): r[1] for r in df.collect()} for df in t.ratios(grams))
+    assert set(values) == set(count[0]) | set(count[1]) and set(contexts) == {g[:-1] for g in values}
+    for g in values:
+        assert values[g] == pytest.approx(np.log(p(1, g) / p(0, g)), abs=1e-9)
+    for g in set(count[2]) - set(values):
+        assert contexts.get(g[:-1], 0.0) == pytest.approx(np.log(p(1, g) / p(0, g)), abs=1e-9)
+    for ctx in (b"\2", b"\2a", b"\2abca"):
+        for c in range(3):
+            assert sum(p(c, ctx + bytes([x])) for x in range(256)) == pytest.approx(1, abs=0.02)  # the base gives unseen letters 1 / 256
+
+
+def test_long_texts_and_clashing_columns(spark, make_docs):
+    docs = make_docs([(1, "word " * 300_000), (2, "x" * 500_000), (3, None), (4, " \n"), (4, " \n")]).withColumns({n: F.lit("x") for n in ("x", "y", "h", "n", "score", "held_out", "toxic", "quality", "gram")})
+    y = spark.createDataFrame([(1, 1, 0, "x"), (2, 0, 1, "x"), (2, 0, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    for score in (toxicity, quality):
+        rows = score(docs, y).collect()
+        assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 4] and all(0 <= r.score <= 1 for r in rows)
+        assert len({round(r.score, 9) for r in rows if r.doc_id > 2}) == 1
