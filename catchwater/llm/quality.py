@@ -1,10 +1,11 @@
 """Quality scores: random-indexing word vectors, pooled per document, into a two-layer network with calibrated output.
 
-Words are runs of letters, digits or signs. The VOCABULARY words seen most in the labelled sample have their own place;
-any other word goes by its shape (kind of signs, case, length), and one that repeats a word just before by a place for that. Each place has a fixed random ternary index vector, and
-its word vector is the sum of its neighbours' index vectors, rolled by their distance, over the sample, made unit length.
-A document is the mean of its word vectors. A numpy network of two layers is trained on the sample on the driver (its
-size has a fixed bound), and one temperature, fitted on rows that the training left out, calibrates its probabilities.
+Words are runs of letters, digits or signs. A word's place is a hash of it, so every word of the corpus has one and no
+vocabulary is cut off; besides, each word has a place for its shape (kind of signs, case, length), or, if it repeats a
+word just before, one for that. Each place has a fixed random ternary index vector, and its vector is the sum of the
+index vectors of its words' neighbours, rolled by their distance, over all documents, made unit length. A document is
+the mean of its words' vectors beside the mean of their shapes' vectors. A numpy network of two layers is trained on a
+bounded sample of labelled rows, and one temperature, fitted on rows that the training left out, calibrates it.
 """
 
 import numpy as np
@@ -17,7 +18,8 @@ from catchwater.llm.session import cut, documents
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_ROWS = 12_000
-VOCABULARY, SHAPES, SIZE, WINDOW, NEAR, HIDDEN, THRESHOLD = 6000, 64, 96, 2, 4, 32, 0.7
+#: Places of words and of shapes, and which neighbours count: the table of all vectors has a fixed size of 6 MB.
+PLACES, SHAPES, SIZE, ONES, WINDOW, NEAR, HIDDEN, THRESHOLD = 1 << 14, 64, 96, 8, 2, 4, 32, 0.7
 
 _KIND = np.full(256, 2, np.uint8)  # signs
 _KIND[K.SPACE] = 0
@@ -29,13 +31,11 @@ _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
 
 
-def index_vectors() -> np.ndarray:
-    """A fixed sparse ternary vector for each place."""
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """A fixed sparse ternary vector for each place: where its entries are, and their signs."""
     rng = np.random.default_rng(71)
-    out = np.zeros((VOCABULARY + SHAPES, SIZE), np.float32)
-    for row in out:
-        row[rng.choice(SIZE, 8, replace=False)] = rng.choice([-1.0, 1.0], 8)
-    return out
+    at = np.argpartition(rng.random((PLACES + SHAPES, SIZE)), ONES, axis=1)[:, :ONES]
+    return at, rng.choice([-1.0, 1.0], (PLACES + SHAPES, ONES))
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,74 +62,57 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return h, shape, first
 
 
-def _places(h: np.ndarray, shape: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return VOCABULARY + shape
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where((known[at] == h) & (shape < SHAPES - 1), at, VOCABULARY + shape)
+def _places(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of words and of their shapes, and how many words come before each text."""
+    h, shape, first = _words(data, off)
+    return (h.view(np.uint64) >> np.uint64(64 - 14)).astype(np.int64), PLACES + shape, first
 
 
-def _counted(batches):
+def neighbours(batches):
+    """Of a task's texts: for each place that occurs the sum of its neighbours' index vectors, as rows of bytes."""
+    at, sign = index_vectors()
+    total = np.zeros((PLACES + SHAPES) * SIZE)
     for batch in batches:
         data, off = K.flat(batch.column("text"))
-        for _, _, part, at in K.groups(data, off):
-            h, n = np.unique(_words(part, at)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
-
-
-def _neighbours(known):
-    """Of each batch: the sums of neighbours' index vectors for every place, as one row of bytes."""
-
-    def apply(batches):
-        index, total = index_vectors(), np.zeros((VOCABULARY + SHAPES, SIZE), np.float64)
-        rolled = {d: np.roll(index, d, axis=1) for d in range(-WINDOW, WINDOW + 1)}
-        for batch in batches:
-            data, off = K.flat(batch.column("text"))
-            for _, _, part, at in K.groups(data, off):
-                h, shape, first = _words(part, at)
-                place = _places(h, shape, known.value)
-                text = np.repeat(np.arange(len(at) - 1), np.diff(first))
-                for d in range(1, WINDOW + 1):
-                    same = text[d:] == text[:-d]
-                    pair, n = np.unique(place[d:][same] * (VOCABULARY + SHAPES) + place[:-d][same], return_counts=True)
-                    after, before = pair // (VOCABULARY + SHAPES), pair % (VOCABULARY + SHAPES)
-                    for i in range(0, len(pair), 1 << 16):
-                        x = slice(i, i + (1 << 16))
-                        np.add.at(total, after[x], rolled[-d][before[x]] * n[x, None])
-                        np.add.at(total, before[x], rolled[d][after[x]] * n[x, None])
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["v"])
-
-    return apply
-
-
-def _summed(batches):
-    """Adds up rows of _neighbours, one row a task."""
-    total = np.zeros((VOCABULARY + SHAPES) * SIZE, np.float64)
-    for batch in batches:
-        for v in batch.column("v"):
-            total += np.frombuffer(v.as_buffer(), np.float32)
-    yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["v"])
-
-
-def _pooled(known, vectors):
-    """doc_id and the mean of the text's word vectors."""
+        for _, _, part, begin in K.groups(data, off, 2 << 20):
+            word, shape, first = _places(part, begin)
+            text = np.repeat(np.arange(len(begin) - 1), np.diff(first))
+            for d in range(1, WINDOW + 1):
+                same = np.flatnonzero(text[d:] == text[:-d])
+                for far, one, other in ((-d, same + d, same), (d, same, same + d)):
+                    spot = (at[word[other]] + far) % SIZE
+                    for place in (word[one], shape[one]):
+                        total += np.bincount((place[:, None] * SIZE + spot).reshape(-1), sign[word[other]].reshape(-1), len(total))
+    rows = total.reshape(-1, SIZE)
+    some = np.flatnonzero(rows.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some), K.list_array(rows[some].reshape(-1), np.arange(len(some) + 1) * SIZE)], ["place", "v"])
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """The unit vectors of all places, over all documents; tasks' sums meet by place."""
+    found = docs.select("text").mapInArrow(neighbours, "place long, v array<double>")
+    summed = found.groupBy("place").agg(F.array(*(F.sum(F.get("v", F.lit(k))) for k in range(SIZE))).alias("v"))
+    out = np.zeros((PLACES + SHAPES, SIZE))
+    for batch in summed.select("place", F.transform("v", lambda x: x.cast("float")).alias("v")).toArrow().to_batches():  # a row a place
+        out[batch.column("place").to_numpy()] = batch.column("v").flatten().to_numpy().reshape(-1, SIZE)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def _pooled(vectors):
+    """doc_id, and the means of the text's word vectors and of its shape vectors."""
 
     def apply(batches):
         v = vectors.value
         for batch in batches:
             data, off = K.flat(batch.column("text"))
-            for i, j, part, at in K.groups(data, off, 1 << 20):
-                h, shape, first = _words(part, at)
-                place, n = _places(h, shape, known.value), np.diff(first)
-                text = np.repeat(np.arange(j - i), n)
-                out = np.zeros((j - i, SIZE), np.float32)
-                for k in range(0, j - i, 128):  # texts at a time, so that the counts stay small
-                    m = min(128, j - i - k)
-                    a, b = first[k], first[k + m]
-                    counts = np.bincount((text[a:b] - k) * len(v) + place[a:b], minlength=m * len(v)).reshape(m, len(v)).astype(np.float32)
-                    out[k : k + m] = counts @ v
+            for i, j, part, at in K.groups(data, off, 1 << 19):
+                word, shape, first = _places(part, at)
+                n, out = np.diff(first), np.zeros((j - i, 2 * SIZE), np.float32)
+                full = np.flatnonzero(n)
+                for half, place in enumerate((word, shape) if len(full) else ()):
+                    out[full, half * SIZE : (half + 1) * SIZE] = np.add.reduceat(v[place], first[:-1][full], axis=0)
                 out /= np.maximum(n, 1)[:, None]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), K.list_array(out.reshape(-1), np.arange(j - i + 1) * SIZE)], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), K.list_array(out.reshape(-1), np.arange(j - i + 1) * 2 * SIZE)], ["doc_id", "x"])
 
     return apply
 
@@ -181,24 +164,19 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Dat
     context = docs.sparkSession.sparkContext
     chosen = cut(sample(labels, "quality", max_rows))
     learn = cut(docs.join(F.broadcast(chosen), "doc_id").repartition(16, "doc_id"))  # max_rows rows at most
-    common = learn.where("part = 0").select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(VOCABULARY)
-    known = context.broadcast(np.sort(np.array([r.h for r in common.select("h").collect()], np.int64)))
-    parts = learn.where("part = 0").select("text").mapInArrow(_neighbours(known), "v binary").coalesce(8).mapInArrow(_summed, "v binary").collect()  # 8 matrices at most
-    vectors = sum((np.frombuffer(r.v, np.float32).reshape(-1, SIZE).astype(np.float64) for r in parts), np.zeros((VOCABULARY + SHAPES, SIZE)))
-    vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    model = context.broadcast(vectors)
-    rows = learn.select("doc_id", "text").mapInArrow(_pooled(known, model), "doc_id long, x array<float>").join(chosen, "doc_id").orderBy("doc_id").collect()
-    x = np.array([r.x for r in rows], np.float64).reshape(-1, SIZE)
+    model = context.broadcast(word_vectors(docs))
+    rows = learn.select("doc_id", "text").mapInArrow(_pooled(model), "doc_id long, x array<float>").join(chosen, "doc_id").orderBy("doc_id").collect()
+    x = np.array([r.x for r in rows], np.float64).reshape(-1, 2 * SIZE)
     y, part = np.array([r.y for r in rows], np.float64), np.array([r.part for r in rows])
     if len(rows) and (part == 0).any():
         network = Network(x[part == 0], y[part == 0]).calibrate(x[part == 1], y[part == 1])
     else:
-        network = Network(np.zeros((1, SIZE)), np.array([0.5]))
+        network = Network(np.zeros((1, 2 * SIZE)), np.array([0.5]))
     net = context.broadcast(network)
 
     def scored(batches):
-        for batch in _pooled(known, model)(batches):
-            at = batch.column("x").values.to_numpy().reshape(-1, SIZE)
+        for batch in _pooled(model)(batches):
+            at = batch.column("x").values.to_numpy().reshape(-1, 2 * SIZE)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(net.value.score(at))], ["doc_id", "score"])
 
     out = docs.mapInArrow(scored, "doc_id long, score double")

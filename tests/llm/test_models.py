@@ -125,6 +125,41 @@ def test_kneser_ney_by_dictionaries(spark, make_docs):
             assert sum(p(c, ctx + bytes([x])) for x in range(256)) == pytest.approx(1, abs=0.02)  # the base gives unseen letters 1 / 256
 
 
+def test_word_vectors_and_pooling_by_loops(spark, make_docs):
+    import re
+
+    from catchwater.llm import quality as q
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ab", "Cd", "EFG", "12", "#*", "naïve", "longword"]) for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [None, "", " \n", "ab#12 ab"]
+    at, sign = q.index_vectors()
+
+    def words(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        w, s, _ = q._places(data, np.array([0, len(data)]))
+        assert len(w) == len(re.findall(rb"[0-9]+|[A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+", text.encode()))
+        return list(zip(w.tolist(), s.tolist()))
+
+    want = np.zeros((q.PLACES + q.SHAPES, q.SIZE))
+    for text in texts:
+        own = words(text or "")
+        for i, pair in enumerate(own):
+            for d in range(-q.WINDOW, q.WINDOW + 1):
+                if d and 0 <= i + d < len(own):
+                    for k, x in zip(at[own[i + d][0]], sign[own[i + d][0]]):
+                        for place in pair:
+                            want[place, (k + d) % q.SIZE] += x
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    docs = make_docs(texts).repartition(5)
+    got = q.word_vectors(docs)
+    assert np.allclose(got, want, atol=1e-5)
+    model = spark.sparkContext.broadcast(got)
+    for r in docs.selectExpr("doc_id", "coalesce(text, '') as text").mapInArrow(q._pooled(model), "doc_id long, x array<float>").collect():
+        own = words(texts[r.doc_id] or "")
+        mean = [np.mean([want[p[k]] for p in own], axis=0) if own else np.zeros(q.SIZE) for k in (0, 1)]
+        assert np.allclose(r.x, np.concatenate(mean), atol=1e-5)
+
+
 def test_long_texts_and_clashing_columns(spark, make_docs):
     docs = make_docs([(1, "word " * 300_000), (2, "x" * 500_000), (3, None), (4, " \n"), (4, " \n")]).withColumns({n: F.lit("x") for n in ("x", "y", "h", "n", "score", "held_out", "toxic", "quality", "gram")})
     y = spark.createDataFrame([(1, 1, 0, "x"), (2, 0, 1, "x"), (2, 0, 1, "x")], "doc_id long, quality int, toxic int, text string")
