@@ -10,6 +10,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -92,6 +93,10 @@ class Replay:
     def load(cls, text: str) -> "Replay":
         return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in text.splitlines())})
 
+    def whole(self, raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of strings that are pieces of their own, whatever the pattern says."""
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words end to end, and where each word's begin."""
         known = [self.ranks.get(w) for w in words]
@@ -170,8 +175,13 @@ class Encoder:
             return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero((data & 0xC0) != 0x80)
-        p = pieces(points, np.searchsorted(lead, off))
+        raw = data.tobytes()
+        a, b = self.replay.whole(raw, off)
+        p = pieces(points, np.searchsorted(lead, np.union1d(off, np.concatenate([a, b]))))
         s = lead[p]
+        if len(a):
+            k = np.searchsorted(a, s, "right") - 1
+            s = s[(k < 0) | (s == a[k]) | (s >= b[k])]
         e = np.append(s[1:], len(data))
         key, first, where = np.unique(K.hash_spans(data, s, e), return_index=True, return_inverse=True)
         if len(self.keys) > KEPT:
@@ -179,7 +189,6 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
         new = self.keys[at] != key if len(self.keys) else np.ones(len(key), bool)
         if new.any():
-            raw = data.tobytes()
             ids, begin = self.replay.encode([raw[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())])
             keys = np.concatenate([self.keys, key[new]])
             order = np.argsort(keys)
@@ -199,23 +208,44 @@ def decode(replay: Replay, ids: list[int]) -> bytes:
 
 
 class Library(Replay):
-    """The same ids from the tiktoken library, piece by piece; for jobs that need ids and not this operator."""
+    """The same ids from the tiktoken library, piece by piece; for jobs that need ids and not this operator.
 
-    def __init__(self, ranks: dict[bytes, int]):
+    Added tokens are single pieces wherever a text holds them, as the tokenizers library has it.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], added: dict[bytes, int]):
         self.core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.added = added
+        self.find = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     @classmethod
     @lru_cache(maxsize=None)
     def of_json(cls, text: str) -> "Library":
-        """From a tokenizer file whose ids follow the order of merges; signs stand for bytes as byte-level files have it."""
+        """From a byte-level tokenizer file whose ids follow the order of merges; signs stand for bytes. Others raise ValueError."""
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         signs = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         spec = json.loads(text)
-        special = {x["content"] for x in spec.get("added_tokens", ())}
-        return cls({bytes(signs[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special})
+        model, before, vocab = spec["model"], spec.get("pre_tokenizer") or {}, spec["model"]["vocab"]
+        merges = [vocab[x.replace(" ", "") if isinstance(x, str) else "".join(x)] for x in model["merges"]]
+        plain = model["type"] == "BPE" and not model.get("ignore_merges") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        if not plain or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or any(a >= b for a, b in zip(merges, merges[1:])):
+            raise ValueError("not a plain byte-level file with merges in the order of ids")
+        added = {x["content"]: x for x in spec.get("added_tokens", ())}
+        if any(x.get(k) for x in added.values() for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("added tokens that take in more than themselves")
+        ranks = {bytes(signs[c] for c in token): i for token, i in vocab.items() if token not in added}
+        return cls(ranks, {token.encode(): x["id"] for token, x in added.items()})
+
+    def whole(self, raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.find:
+            return super().whole(raw, off)
+        spans = np.array([m.span() for m in self.find.finditer(raw)], np.int64).reshape(-1, 2)
+        text = np.searchsorted(off, spans[:, 0], "right") - 1  # a match over two texts' ends is none
+        spans = spans[spans[:, 1] <= off[text + 1]] if len(spans) else spans
+        return spans[:, 0], spans[:, 1]
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = list(map(self.core, words))
+        ids = [[self.added[w]] if w in self.added else self.core(w) for w in words]
         return np.fromiter((i for x in ids for i in x), np.int64), np.cumsum([0, *map(len, ids)])
 
 

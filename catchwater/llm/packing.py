@@ -1,10 +1,12 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands.
 
 Texts become pieces of at most CAPACITY tokens map-side; only (id, length, checksum) rows move on. Full pieces are
-sequences. The others are dealt to islands of about ISLAND pieces. An island breeds packings: a crossover injects whole
-well-filled bins of one parent into another, drops the bins that hold their documents already, and puts the displaced
-documents where they fit best. Islands hold different documents, so what migrates is bins: after each epoch a
-bin that is (nearly) full is elite and stays whole for good, and the documents of all others meet on fewer, newly dealt islands.
+sequences. The others are dealt to blocks of about BLOCK pieces, and each block lives on ISLANDS islands. An island's
+population starts from best fit in random orders; a crossover injects whole well-filled bins of one parent into another,
+drops the bins that hold their documents already, and puts the displaced documents where they fit best. After each epoch
+the best packing of an island migrates to the next one of its block, as a bin number for each piece. A block is done when
+one of its islands needs no more bins than its tokens do; after EPOCHS its best island counts. An island that is not
+done half the way takes plain best fit into its population, so no result is worse than that. Bins that are (nearly) full are then kept, and the documents of all others meet on fewer, newly dealt blocks.
 """
 
 import random
@@ -13,15 +15,15 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from catchwater.llm import kernel as K
 from catchwater.llm.bpe import RUN, Encoder, Library, rank_text
 from catchwater.llm.session import cut, documents
 
-CAPACITY, ISLAND, EPOCHS = 2048, 4096, 3
-PARENTS, GENERATIONS = 4, 12
-#: Tokens that an elite bin may leave free in each epoch; the last epoch keeps all.
+CAPACITY, BLOCK, ISLANDS, EPOCHS = 2048, 4096, 2, 3
+PARENTS, GENERATIONS = 4, 48
+#: Tokens that a kept bin may leave free in each round but the last, which keeps all.
 SPARE = (0, 2)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -73,7 +75,11 @@ class Bins:
 
     def best_fit(self, items) -> "Bins":
         """Puts items, largest first, each into the bin that it fills most, or a new one."""
-        for i in sorted(items, key=lambda i: -self.sizes[i]):
+        return self.fit(sorted(items, key=lambda i: -self.sizes[i]))
+
+    def fit(self, items) -> "Bins":
+        """As best_fit, in the given order."""
+        for i in items:
             size = self.sizes[i]
             fits = self.free >> size
             if not fits:
@@ -100,7 +106,7 @@ class Bins:
         child, displaced = Bins(self.sizes, self.capacity), []
         for items in inject:
             child.open(list(items))
-        least = sorted(self.fill)[len(self.fill) // 20] if rng.random() < 0.5 else -1  # a mutation: break the emptiest bins up
+        least = sorted(self.fill)[int(len(self.fill) * rng.uniform(0, 0.6))]  # a mutation: break the emptiest bins up
         for items, fill in zip(self.bins, self.fill):
             if fill <= least or not taken.isdisjoint(items):
                 displaced += [i for i in items if i not in taken]
@@ -109,65 +115,114 @@ class Bins:
         return child.best_fit(displaced)
 
 
-def breed(sizes: list[int], capacity: int, seed: int) -> Bins:
-    """The best packing of a population that starts from best-fit packings, one of them plain."""
-    rng = random.Random(seed)
-    goal = -(-sum(sizes) // capacity)
-    people = [Bins(sizes, capacity).best_fit(range(len(sizes)))]
-    if len(people[0].bins) <= goal:
-        return people[0]
+def bound(sizes: list[int], capacity: int) -> int:
+    """No packing has fewer bins: what the tokens fill, or the pieces of over half a bin."""
+    return max(-(-sum(sizes) // capacity), sum(2 * x > capacity for x in sizes))
+
+
+def breed(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = ()) -> tuple[Bins, int]:
+    """The best packing of a population that starts from elites and best fit in random orders, and how many generations it ran."""
+    rng, goal, people = random.Random(seed), bound(sizes, capacity), []
+    for bins in elites:
+        people.append(Bins(sizes, capacity))
+        for items in bins:
+            people[-1].open(items)
     while len(people) < PARENTS:
-        first = rng.sample(range(len(sizes)), max(1, len(sizes) // 8))
-        chosen = set(first)
-        people.append(Bins(sizes, capacity).best_fit(first).best_fit(i for i in range(len(sizes)) if i not in chosen))
-    for _ in range(GENERATIONS):
+        order = list(range(len(sizes)))
+        rng.shuffle(order)
+        people.append(Bins(sizes, capacity).fit(order))
+    for generation in range(GENERATIONS + 1):
         people.sort(key=Bins.fitness, reverse=True)
-        if len(people[0].bins) <= goal:
-            break
+        if len(people[0].bins) <= goal or generation == GENERATIONS:
+            return people[0], generation
+        if generation == GENERATIONS // 2:  # half the way without the goal: plain best fit joins
+            people[-1] = Bins(sizes, capacity).best_fit(range(len(sizes)))
+            people.sort(key=Bins.fitness, reverse=True)
         a, b = rng.sample(people[:3], 2)
-        people[-1] = max(people[-1], a.cross(b, rng), key=Bins.fitness)
-    return max(people, key=Bins.fitness)
+        child = a.cross(b, rng)
+        if child.fitness() > people[-1].fitness():
+            people[-1] = child
+    return people[0], GENERATIONS
+
+
+def _numbers(bins: list[list[int]], n: int) -> np.ndarray:
+    out = np.zeros(n, np.int32)
+    for number, items in enumerate(bins):
+        out[items] = number
+    return out
+
+
+def _bins(numbers: np.ndarray) -> list[list[int]]:
+    order = np.argsort(numbers, kind="stable")
+    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)]
 
 
-def _island(epoch: int, spare: int | None, capacity: int):
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+def _epoch(number: int, capacity: int):
+    """Breeds one island of a block; own and guest are bin numbers of its elite and of its neighbour's."""
+
+    def evolve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row", ignore_index=True)
-        island = int(rows["island"][0])
-        best = breed(rows["length"].tolist(), capacity, 7919 * epoch + island)
-        sequence, offset = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
-        for number, (items, fill) in enumerate(zip(best.bins, best.fill)):
-            if spare is None or capacity - fill <= spare:
-                at = np.array(items)
-                sequence[at] = (epoch << 56) + (island << 24) + number
-                size = rows["length"].to_numpy()[at]
-                offset[at] = np.cumsum(size) - size
-        return rows.assign(sequence_id=sequence, offset=offset).drop(columns="island")
+        sizes, block, island = rows["length"].tolist(), int(rows["block"][0]), int(rows["island"][0])
+        elites = [_bins(rows[c].to_numpy()) for c in ("own", "guest") if rows[c][0] >= 0]
+        best, ran = breed(sizes, capacity, 7919 * number + 31 * block + island, elites)
+        squares = float(best.fitness()[1])
+        return rows.assign(own=_numbers(best.bins, len(rows)), guest=np.int32(-1), n_bins=len(best.bins), squares=squares, done=len(best.bins) <= bound(sizes, capacity), generations=rows["generations"] + ran)
+
+    return evolve
+
+
+_STATE = "row long, length long, block long, island int, own int, guest int, n_bins long, squares double, done boolean, generations int"
 
-    return pack
+
+def evolve(rows: DataFrame, capacity: int, seed: int = 0) -> DataFrame:
+    """row, length, block -> row, block, number, generations: the bin of each piece in its block's best packing."""
+    first = {"own": F.lit(-1), "guest": F.lit(-1), "n_bins": F.lit(0).cast("long"), "squares": F.lit(0.0), "done": F.lit(False), "generations": F.lit(0)}
+    state = rows.select("row", "length", "block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")).withColumns(first)
+    over = None
+    for epoch in range(EPOCHS):
+        state = cut(state.groupBy("block", "island").applyInPandas(_epoch(seed * EPOCHS + epoch, capacity), _STATE))
+        # A row an island: the smallest is the best.
+        best = state.groupBy("block").agg(F.min(F.struct("n_bins", -F.col("squares"), "island")).alias("b"), F.max("done").alias("over")).select("block", F.col("b.island").alias("best"), "over")
+        if epoch == EPOCHS - 1:
+            best = best.withColumn("over", F.lit(True))
+        ranked = cut(state.join(best, "block"))
+        out = ranked.where("over and island = best").select("row", "block", F.col("own").alias("number"), "generations")
+        over = out if over is None else over.union(out)
+        state = ranked.where("not over").drop("best", "over")
+        if not state.limit(1).count():
+            break
+        guests = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "row", F.col("own").alias("guest"))
+        state = state.drop("guest").join(guests, ["block", "island", "row"]).select(*(c.split()[0] for c in _STATE.split(", ")))
+    return over
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """documents -> PIECES' columns, sequence_id, offset: one row per piece, in as few sequences as found.
+    """documents -> PIECES' columns, sequence_id, offset, generations: one row per piece, in as few sequences as found.
 
     A null or empty text is the single id 0; rows with a null doc_id are left out; repeated rows are packed as often
-    as they come. An empty table gives an empty table. Sequence ids are unique, not dense.
+    as they come. An empty table gives an empty table. Sequence ids are unique, not dense. generations: how many
+    crossovers the island behind a piece's bin has tried, 0 for full pieces.
     """
     pieces = cut(token_pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()))
-    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})
-    done, rest = [full], pieces.where(F.col("length") < capacity)
-    schema = f"{PIECES}, row long, sequence_id long, offset long"
-    for epoch in range(EPOCHS):
+    none = F.lit(0).cast("long")
+    out = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("row"), "offset": none, "generations": F.lit(0)})
+    rest = pieces.where(F.col("length") < capacity)
+    for turn in range(len(SPARE) + 1):
         count = rest.count()
         if not count:
             break
-        spare = SPARE[epoch] if epoch < len(SPARE) and count > ISLAND else None
-        island = F.pmod(F.xxhash64("row", F.lit(epoch)), F.lit(-(-count // ISLAND)))
-        packed = cut(rest.withColumn("island", island).groupBy("island").applyInPandas(_island(epoch, spare, capacity), schema))
-        done.append(packed.where("sequence_id >= 0"))
-        rest = packed.where("sequence_id < 0").drop("sequence_id", "offset")
+        spare = SPARE[turn] if turn < len(SPARE) and count > BLOCK else None
+        dealt = rest.withColumn("block", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(-(-count // BLOCK))))
+        placed = evolve(dealt.select("row", "length", "block"), capacity, turn)
+        # A bin's pieces: bins are as large as a sequence at most.
+        w = Window.partitionBy("block", "number").orderBy("row")
+        fill = F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        offset = F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+        number = F.lit(turn).cast("long") * (1 << 56) + F.col("block") * (1 << 24) + F.col("number")
+        packed = cut(dealt.drop("block").join(placed, "row").withColumns({"sequence_id": number, "offset": offset, "fill": fill}).select(*rest.columns, "sequence_id", "offset", "generations", "fill"))
+        kept = F.lit(True) if spare is None else F.lit(capacity) - F.col("fill") <= spare
+        out = out.unionByName(packed.where(kept).drop("fill"))
         if spare is None:
             break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+        rest = packed.where(~kept).select(*rest.columns)
     return out.drop("row")

@@ -115,9 +115,10 @@ def test_pieces_follow_the_pattern():
 def test_packing(make_docs, odd_texts, monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "ISLAND", 16)
+    monkeypatch.setattr(packing, "BLOCK", 16)
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder = Tokenizer.from_file(path)
+    odd_texts = [*odd_texts, "a<|endoftext|>b", "<|endoftext|><|endoftext|> 's", "<|endoftext", "|> x"]
     rows = pack(clash(with_odd_rows(make_docs(odd_texts))), path, 256).collect()
     fill, copies = {}, Counter((r.doc_id, r.piece) for r in rows)
     for r in rows:
@@ -145,7 +146,28 @@ def test_crossover_keeps_every_item():
         child = a.cross(b, rng)
         assert sorted(i for items in child.bins for i in items) == list(range(300))
         assert all(sum(sizes[i] for i in items) == f <= 100 for items, f in zip(child.bins, child.fill))
-    assert len(breed(sizes, 100, 1).bins) <= len(a.bins)
+    best, ran = breed(sizes, 100, 1)
+    assert len(best.bins) <= len(a.bins) and 0 <= ran <= packing.GENERATIONS
+
+
+def test_breeding_beats_plain_best_fit(spark):
+    import random
+
+    rng = random.Random(3)
+    sizes = []
+    for _ in range(40):  # three pieces fill each bin, and none of two do
+        a = rng.randrange(380, 490)
+        b = rng.randrange(250, (1000 - a) // 2 + 1)
+        sizes += [a, b, 1000 - a - b]
+    plain = packing.Bins(sizes, 1000).best_fit(range(len(sizes)))
+    best, ran = breed(sizes, 1000, 1)
+    assert 40 <= len(best.bins) < len(plain.bins) and ran > 0
+    rows = spark.createDataFrame([(i, x, 0) for i, x in enumerate(sizes)], "row long, length long, block long")
+    got = packing.evolve(rows, 1000).collect()
+    assert len(got) == len(sizes) and len({r.number for r in got}) < len(plain.bins)
+    # With migration: what the neighbour found comes back no worse.
+    guest, _ = breed(sizes, 1000, 2, [best.bins])
+    assert guest.fitness() >= best.fitness()
 
 
 def test_rules(make_docs, odd_texts):
