@@ -1,14 +1,15 @@
 """Exact top-k by inner product with a three-phase uniform threshold.
 
-A vector's dimensions form LISTS lists, each with its own partial scores.
+A vector's dimensions form LISTS lists; in each, every candidate has a partial score for a query.
 
-1. Each block of candidates gives, per query and list, its k largest partial scores; their vectors' whole scores are
+1. Each block of candidates gives, per query and list, its k largest partial scores; their candidates' whole scores are
    true scores, so the k-th best of all blocks is a safe cutoff t: the true k-th score is t or more.
-2. A score of t or more needs a partial score of t / LISTS or more in some list: only those entries are collected.
-3. Their remaining partial scores are looked up, and exact sums decide.
+2. The cutoffs go to all blocks. A score of t or more needs a partial score of t / LISTS or more in some list: only the
+   entries of a list that reach it are collected.
+3. Only collected entries get their other lists' partial scores, pair by pair, and exact sums decide.
 
-Candidates are packed in blocks and dealt to slices; query blocks visit every slice. Each block passes on k rows a query
-at most, as a row that k others of its block beat cannot be among the first k.
+Candidates are packed in blocks and dealt to slices; blocks of queries visit every slice, as small whole numbers. Each
+block passes on k rows a query at most, as a row that k others of its block beat cannot be among the first k.
 """
 
 import numpy as np
@@ -18,94 +19,113 @@ from pyspark.sql import DataFrame, Window, functions as F
 from catchwater.llm.session import cut
 
 K, LISTS, ROWS, QUERIES = 5, 2, 1024, 256
-_BLOCK = "dim int, block long, ids binary, vectors binary, cut binary"
+_NONE = np.iinfo(np.int64).min
+_BLOCK = "dim int, block long, kind string, rows binary, ids binary, vectors binary, cut binary"
 
 
 def integers(table: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id, v: each component times 256, rounded down; without vectors that are null or hold null or non-finite ones."""
+    """vec_id, v, row: each component times 256, rounded down; without vectors that are null or hold null or non-finite ones.
+
+    Every row stays, also where vec_ids repeat. Write the result before it is used twice: row is a number given as it runs.
+    """
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = table.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & fine)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * 256)).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * 256)).alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def _blocks(size: int):
     def pack(batches):
-        number = 0
         for batch in batches:
-            ids, v = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
+            ids, row, v = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy(zero_copy_only=False), batch.column("v")
             off, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
-            least = batch.column("t").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            dims, rows = np.diff(off), []
+            least = batch.column("t").fill_null(_NONE).to_numpy(zero_copy_only=False)
+            dims, out = np.diff(off), []
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 for i in range(0, len(at), size):
                     some = at[i : i + size]
                     matrix = flat[off[some][:, None] + np.arange(dim)]
-                    rows.append({"dim": int(dim), "block": int(ids[some[0]]), "ids": ids[some].tobytes(), "vectors": matrix.astype(np.int64).tobytes(), "cut": least[some].tobytes()})
-                    number += 1
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("cut", pa.binary())]))
+                    kind = next((x for x in ("i2", "i4") if np.abs(matrix).max(initial=0) <= np.iinfo(x).max), "i8")
+                    out.append({"dim": int(dim), "block": int(row[some[0]]), "kind": kind, "rows": row[some].tobytes(), "ids": ids[some].tobytes(), "vectors": matrix.astype(kind).tobytes(), "cut": least[some].tobytes()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("kind", pa.string()), *((x, pa.binary()) for x in ("rows", "ids", "vectors", "cut"))]))
 
     return pack
 
 
-def _partial(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Partial scores of each list; in float64 where all sums are exact there, which is far faster."""
-    cuts = np.linspace(0, q.shape[1], LISTS + 1).astype(int)
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(q.shape[1], 1)
+def _lists(dim: int) -> list[tuple[int, int]]:
+    cuts = np.linspace(0, dim, LISTS + 1).astype(int)
+    return list(zip(cuts, cuts[1:]))
+
+
+def _floats(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in float64 where all sums are exact there, which is far faster, or else in int64."""
+    bound = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(q.shape[1], 1)
     kind = np.float64 if bound < 2.0**52 else np.int64
-    return [(q[:, a:b].astype(kind) @ c[:, a:b].astype(kind).T).astype(np.int64) for a, b in zip(cuts, cuts[1:])]
+    return q.astype(kind), c.astype(kind)
+
+
+def heads(q: np.ndarray, c: np.ndarray, k: int) -> list[np.ndarray]:
+    """Phase 1: for each query the candidates with the k largest partial scores of each list."""
+    n, found = min(k, len(c)), []
+    for a, b in _lists(q.shape[1]):
+        partial = q[:, a:b] @ c[:, a:b].T
+        found.append(np.argpartition(-partial, n - 1, axis=1)[:, :n])
+    return [np.unique(x) for x in np.concatenate(found, axis=1)]
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
+def collected(q: np.ndarray, c: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3: (query, candidate, whole score) of all entries with a partial score of least / LISTS in some list."""
+    pairs = [np.zeros(0, np.int64)]
+    low = np.where(least == _NONE, -np.inf, least.astype(float))
+    for a, b in _lists(q.shape[1]):
+        # Rounded down by a hair: a few entries too many do not hurt, and the exact sums decide.
+        pairs.append(np.flatnonzero(q[:, a:b] @ c[:, a:b].T >= (low / LISTS - 1 - np.abs(low) * 1e-15)[:, None]))
+    i, j = np.divmod(np.unique(np.concatenate(pairs)), len(c))
+    score = np.concatenate([np.zeros(0, np.int64), *(np.einsum("nd,nd->n", q[i[s : s + 65536]], c[j[s : s + 65536]]).astype(np.int64) for s in range(0, len(i), 65536))])
+    keep = score >= np.where(least == _NONE, _NONE, least)[i]
+    return i[keep], j[keep], score[keep]
 
 
 def _meet(k: int, last: bool):
     def meet(batches):
         for batch in batches:
-            out = [[], [], []]
-            for row in batch.to_pylist():
-                c_ids, q_ids, least = (np.frombuffer(row[x], np.int64) for x in ("ids", "q_ids", "q_cut"))
-                c, q = (np.frombuffer(row[x], np.int64).reshape(len(n), row["dim"]) for x, n in (("vectors", c_ids), ("q_vectors", q_ids)))
-                lists = _partial(q, c)
-                for i, own in enumerate(q_ids):
-                    if last:  # phase 2: enough in one list; phase 3: the rest of their sums
-                        low = int(least[i])
-                        at = np.flatnonzero(np.logical_or.reduce([LISTS * p[i] >= low for p in lists])) if low > np.iinfo(np.int64).min else np.arange(len(c_ids))
-                        at = at[c_ids[at] != own]
-                        score = sum(p[i][at] for p in lists)
-                        at, score = at[score >= low], score[score >= low]
-                    else:  # phase 1: the heads of the lists
-                        n = min(k + 1, len(c_ids))
-                        at = np.unique(np.concatenate([np.argpartition(-p[i], n - 1)[:n] for p in lists]))
-                        at = at[c_ids[at] != own]
-                        score = sum(p[i][at] for p in lists)
-                    best = _best(score, c_ids[at], k)
-                    out[0].append(np.full(len(best), own))
-                    out[1].append(c_ids[at][best])
-                    out[2].append(score[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], ["query_id", "vec_id", "score"])
+            out = [[] for _ in range(4)]
+            for x in batch.to_pylist():
+                c_row, c_ids, q_row, q_ids, least = (np.frombuffer(x[name], np.int64) for name in ("rows", "ids", "q_rows", "q_ids", "q_cut"))
+                c, q = np.frombuffer(x["vectors"], x["kind"]).reshape(len(c_ids), x["dim"]), np.frombuffer(x["q_vectors"], x["q_kind"]).reshape(len(q_ids), x["dim"])
+                q, c = _floats(q, c)
+                if last:
+                    i, j, score = collected(q, c, least)
+                    spots = [(j[a:b], score[a:b]) for a, b in zip(*(np.searchsorted(i, np.arange(len(q)) + z) for z in (0, 1)))]
+                else:
+                    spots = [(at, (c[at] @ one).astype(np.int64)) for at, one in zip(heads(q, c, k + 1), q)]
+                for n, (at, score) in enumerate(spots):
+                    other = c_row[at] != q_row[n]
+                    at, score = at[other], score[other]
+                    best = np.lexsort((c_row[at], c_ids[at], -score))[:k]
+                    for column, value in zip(out, (np.full(len(best), q_row[n]), np.full(len(best), q_ids[n]), c_ids[at][best], score[best])):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], ["row", "query_id", "vec_id", "score"])
 
     return meet
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """integers()'s rows of candidates and of queries -> query_id, rank, vec_id, score: each query's k best others.
+    """integers()'s rows of candidates and of queries -> query_id, rank, vec_id, score: each query's k best other rows.
 
-    Ties go to the smaller vec_id. Vectors meet only vectors of their own length. Of rows that repeat a vec_id one
-    counts. A query without candidates has no rows; an empty table gives an empty table.
+    Ties go to the smaller vec_id. Vectors meet only vectors of their own length. Rows that repeat a vec_id are queries
+    and candidates of their own. A query without candidates has no rows; an empty table gives an empty table.
     """
     slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none = F.lit(None).cast("long").alias("t")
-    blocks = cut(rows.select("vec_id", "v", none).mapInArrow(_blocks(ROWS), _BLOCK)).withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices))).drop("cut")
+    blocks = cut(rows.select("vec_id", "row", "v", none).mapInArrow(_blocks(ROWS), _BLOCK)).withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices))).drop("cut")
 
     def meet(asked: DataFrame, last: bool) -> DataFrame:
-        packed = asked.mapInArrow(_blocks(QUERIES), _BLOCK).select("dim", F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("slice"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("cut").alias("q_cut"))
-        return blocks.join(packed, ["dim", "slice"]).select("dim", "ids", "vectors", "q_ids", "q_vectors", "q_cut").mapInArrow(_meet(k, last), "query_id long, vec_id long, score long")
+        own = [F.col(x).alias(f"q_{x}") for x in ("kind", "rows", "ids", "vectors", "cut")]
+        packed = asked.mapInArrow(_blocks(QUERIES), _BLOCK).select("dim", F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("slice"), *own)
+        return blocks.join(packed, ["dim", "slice"]).drop("slice", "block").mapInArrow(_meet(k, last), "row long, query_id long, vec_id long, score long")
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    heads = meet(queries.select("vec_id", "v", none), False).withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
-    cutoff = heads.where(f"rank = {k}").select(F.col("query_id").alias("vec_id"), F.col("score").alias("t"))
-    asked = cut(queries.select("vec_id", "v").join(cutoff, "vec_id", "left"))
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    found = meet(queries.select("vec_id", "row", "v", none), False).withColumn("rank", F.row_number().over(order)).where(f"rank = {k}")
+    asked = cut(queries.select("vec_id", "row", "v").join(found.select("row", F.col("score").alias("t")), "row", "left"))
     return meet(asked, True).withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catchwater.llm import chat, html
 from catchwater.llm.session import cut
@@ -148,21 +149,35 @@ def test_top_k(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(130)]
     rows += [(i, rows[3][1]) for i in range(200, 240)] + [(300, None), (301, [1.0, float("nan")] * 3), (302, [None] * 6), (350, [float("inf")] * 6), (400, [1.0, 2.0]), (None, rows[0][1])]
-    got = {}
-    df = cut(integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
-    for r in top_k(df, df.where("vec_id % 50 = 0")).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    fine = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
-    want = {}
-    for q in (i for i in fine if i % 50 == 0):
-        best = sorted((-int(fine[q] @ v), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))[:5]
-        if best:
-            want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert {q: sorted(x) for q, x in got.items()} == want
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (7, rows[7][1]), (450, [1e9, -1e9, 1e9, 0.0, 0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({n: F.lit("x") for n in ("row", "v", "t", "rank", "score")})
+    df = cut(integers(df))
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df, df.where("vec_id % 50 = 0")).collect())
+    fine = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    want = []
+    for n, (q, x) in enumerate(fine):
+        if q % 50 == 0:
+            best = sorted((-int(x @ v), i) for m, (i, v) in enumerate(fine) if m != n and len(v) == len(x))[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
     none = df.where("vec_id < 0")
     assert top_k(none, none).count() == 0
 
 
+def test_threshold_leaves_few_pairs_to_resolve():
+    from catchwater.llm import topk
+
+    rng = np.random.default_rng(1)
+    c, q = rng.integers(-300, 300, (4000, 32)).astype(float), rng.integers(-300, 300, (40, 32)).astype(float)
+    score = q @ c.T
+    low = np.sort(score, axis=1)[:, -5].astype(np.int64)
+    i, j, found = topk.collected(q, c, low)
+    assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(score >= low[:, None]))) and (found == score[i, j]).all()
+    lists = [q[:, a:b] @ c[:, a:b].T * topk.LISTS >= low[:, None] for a, b in topk._lists(32)]
+    assert np.logical_or.reduce(lists).mean() < 0.2
+    assert all((np.isin(np.argsort(-(q[n, a:b] @ c[:, a:b].T))[:1], at)).all() for a, b in topk._lists(32) for n, at in enumerate(topk.heads(q, c, 5)))
+
+
 def test_pipeline_stages(spark, make_docs, odd_texts, tmp_path):
     corpus = pytest.importorskip("corpus_pipeline")
     import random
