@@ -33,10 +33,42 @@ def test_chat_round_trip(spark, monkeypatch):
 
 
 def test_shared_turns_come_once():
-    pack = chat._emit([("a", [("user", "hi"), ("assistant", "yes")]), ("b", [("user", "hi"), ("assistant", "no")]), ("c", [("user", "hi")])])
-    assert pack["text"].count("hi") == 1 and len(pack["segments"]) == 3 and len(pack["leaves"]) == 3
+    encode = lambda texts: [np.frombuffer(x.encode(), np.uint8) for x in texts]
+    pack = chat.emit([("a", [("user", "hi"), ("assistant", "yes")]), ("b", [("user", "hi"), ("assistant", "no")]), ("c", [("user", "hi")])], encode)
+    text = bytes(pack["ids"].tolist()).decode()
+    assert text.count("hi") == 1 and len(pack["segments"]) == 3 and len(pack["leaves"]) == 3
     first = pack["segments"][0]
     assert all(s["position"] == first["end"] and s["attends"] == [{"start": 0, "end": first["end"]}] for s in pack["segments"][1:])
+    assert [text[s["loss_start"] : s["loss_end"]] for s in pack["segments"]] == ["", "yes", "no"]
+
+
+def test_large_trees_are_cut_by_subtrees(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PACK", 4)
+    names = "abcdef"
+    rows = [(100 * i + 10 * j + k, t, "user", text) for i in range(6) for j in range(3) for k in range(3) for t, text in enumerate(("root", names[i], f"{names[i]}{j}", f"{i}{j}{k}"))]
+    rows += [(7000, 0, "user", "long " * 100_000), (7000, 1, "assistant", "x" * 300_000), (7001, 0, "user", ""), (7002, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({n: F.lit("x") for n in ("path", "turns", "pack", "n", "ids")})
+    found = cut(chat.paths(df))
+    packed = chat._cut_trees(found.groupBy("path").agg(F.any_value("turns").alias("turns"))).collect()
+    where = {}
+    for r in packed:
+        if len(r.turns) == 4:
+            where.setdefault(tuple(t.text for t in r.turns[1:3]), set()).add(r.pack)
+    assert all(len(x) == 1 for x in where.values()) and len({p for x in where.values() for p in x}) > 4  # three of one node stay together
+    got = {r.conv_id: r for r in chat.read_back(chat.emit_packs(found), found).collect()}
+    assert len(got) == 57 and got[7000].loss_chars == 300_000 and got[7002].n_turns == 1
+    assert got[122].turns_sha256 == hashlib.sha256(b"user\nroot\nuser\nb\nuser\nb2\nuser\n122\n").hexdigest()
+
+
+def test_chat_query(spark, tmp_path):
+    from catchwater.llm.queries import op1_chat
+
+    spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in op1_chat(spark, str(tmp_path)).collect()}
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    assert set(got) == {-1, 1} and got[1].loss_chars == 0 and got[-1].loss_chars == len(tricky)
+    assert got[-1].loss_sha256 == hashlib.sha256(tricky.encode()).hexdigest()
+    assert got[-1].formatted_chars == sum(len("".join(chat.turn_parts(r, tricky))) for r in ("user", "assistant"))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav>
