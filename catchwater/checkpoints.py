@@ -1,13 +1,29 @@
-"""Lineage cuts in the folder that all executors share."""
+"""Lineage cuts and scratch files in the folder that all executors share."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where a local session sets none, as in tests. A cluster must set it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to spark.checkpoint.dir (a temporary folder where a session sets none, as in tests) and reads it back."""
+    """Writes df to the shared folder and reads it back."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"

@@ -1,4 +1,4 @@
-"""Monotone relaxation over a grid, tile by tile: each round solves tiles whole and hands one-cell halos on."""
+"""Monotone relaxation over a grid: tiles are solved whole, many to a task, and hand one-cell halos on."""
 
 from collections.abc import Callable
 
@@ -9,59 +9,81 @@ from pyspark.sql import DataFrame, functions as F
 from catchwater.checkpoints import cut
 
 TILE = 256
+#: Cells that a task solves at once, about.
+CELLS = 1 << 19
 
+EIGHT = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
+FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+
+Edge = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, bool], np.ndarray]
 
-def shifted(a: np.ndarray, dr: int, dc: int, fill) -> np.ndarray:
-    """a moved so that each cell sees its neighbour at (dr, dc)."""
-    out = np.full_like(a, fill)
-    n, m = a.shape
-    out[max(-dr, 0) : n - max(dr, 0), max(-dc, 0) : m - max(dc, 0)] = a[max(dr, 0) : n - max(-dr, 0), max(dc, 0) : m - max(-dc, 0)]
-    return out
 
+def _spread(layers: dict[str, np.ndarray], v: np.ndarray, own: np.ndarray, width: np.ndarray, edge: Edge, around) -> None:
+    """Lowers v in place over flat tiles: only cells beside one that has just fallen are looked at again."""
+    front = np.flatnonzero(np.isfinite(v))
+    while len(front):
+        fallen = []
+        for a, b in around:
+            to = front + a * width[front] + b
+            keep = own[to]
+            start, to = front[keep], to[keep]
+            value = edge(layers | {"v": v}, start, to, bool(a and b))
+            lower = value < v[to]
+            to, value = to[lower], value[lower]
+            np.minimum.at(v, to, value)
+            fallen.append(to)
+        front = np.unique(np.concatenate(fallen))
 
-def relax(cells: DataFrame, layers: list[str], step: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray], tile: int = TILE) -> DataFrame:
-    """Lowers v (a double; inf where nothing reaches) until step(layers, v) gives nothing smaller.
 
-    cells: area_id, r, c, v and the layers. ``step`` sees a tile with its halo (NaN layers where there is no cell) and
-    returns v lowered once. Rounds end when no tile changes; each is one shuffle of cells and halos.
+def relax(cells: DataFrame, layers: list[str], edge: Edge, around=EIGHT, tile: int = TILE) -> DataFrame:
+    """Lowers v (a double; inf where nothing reaches) until no neighbour lowers a cell any more.
+
+    cells: area_id, r, c, v and the layers. ``edge(layers, start, to, diagonal)`` gives the value that the cells ``to``
+    may fall to from their neighbours ``start``, indices into flat arrays of the layers and v. Areas of one tile are done
+    after one shuffle; larger areas go on while a cell beside another tile has fallen.
     """
     names = ["area_id", "r", "c", "v", *layers]
-    schema = "area_id long, r int, c int, v double, " + ", ".join(f"{x} double" for x in layers) + ", moved boolean" if layers else "area_id long, r int, c int, v double, moved boolean"
+    schema = ", ".join(["area_id long, r int, c int", *(f"{x} double" for x in ["v", *layers]), "many boolean, moved boolean"])
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = int(rows["tr"].iloc[0]), int(rows["tc"].iloc[0])
-        r, c = rows["r"].to_numpy() - tr * tile + 1, rows["c"].to_numpy() - tc * tile + 1
-        shape = int(r.max()) + 2, int(c.max()) + 2  # small areas fill only a corner of their tile
-        grids = {x: np.full(shape, np.nan) for x in layers}
-        v = np.full(shape, np.inf)
+        key, at = np.unique(rows[["area_id", "tr", "tc"]].to_numpy(np.int64), axis=0, return_inverse=True)
+        at = at.reshape(-1)
+        r, c = rows["r"].to_numpy() - key[at, 1] * tile + 1, rows["c"].to_numpy() - key[at, 2] * tile + 1
+        high, wide = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)  # small areas fill only a corner of their tile
+        np.maximum.at(high, at, r + 2)
+        np.maximum.at(wide, at, c + 2)
+        begin = np.concatenate([[0], np.cumsum(high * wide)])
+        spot = begin[at] + r * wide[at] + c
+        flat = {x: np.full(begin[-1], np.nan) for x in layers}
         for x in layers:
-            grids[x][r, c] = rows[x].to_numpy()
-        v[r, c] = rows["v"].to_numpy()
-        own = np.zeros(shape, bool)
-        own[1 : tile + 1, 1 : tile + 1] = True
-        while True:
-            low = np.where(own, np.fmin(v, step(grids, v)), v)  # NaN where there is no cell
-            if (low == v).all():
-                break
-            v = low
-        mine = rows[(r >= 1) & (r <= tile) & (c >= 1) & (c <= tile)]
-        after = v[mine["r"].to_numpy() - tr * tile + 1, mine["c"].to_numpy() - tc * tile + 1]
-        return mine.assign(moved=after != mine["v"].to_numpy(), v=after)[[*names, "moved"]]
+            flat[x][spot] = rows[x].to_numpy()
+        v, own = np.full(begin[-1], np.inf), np.zeros(begin[-1], bool)
+        before = rows["v"].to_numpy()
+        v[spot] = before
+        mine = (r >= 1) & (r <= tile) & (c >= 1) & (c <= tile)
+        own[spot[mine]] = True
+        _spread(flat, v, own, np.repeat(wide, high * wide), edge, around)
+        rim = (r == 1) | (r == tile) | (c == 1) | (c == tile)
+        moved = rows["many"].to_numpy(bool) & rim & (v[spot] != before)
+        return rows.assign(v=v[spot], moved=moved)[mine][[*names, "many", "moved"]]
 
     def near(x: str):
-        low, high = F.col(x) % tile == 0, F.col(x) % tile == tile - 1
         at = F.floor(F.col(x) / tile).cast("int")
+        low, high = F.col("many") & (F.col(x) % tile == 0) & (at > 0), F.col("many") & (F.col(x) % tile == tile - 1)
         return F.array_compact(F.array(at, F.when(low, at - 1), F.when(high, at + 1)))
 
-    now = cut(cells.select(F.col("area_id").cast("long").alias("area_id"), "r", "c", *(F.col(x).cast("double").alias(x) for x in ["v", *layers])))
-    while True:
-        spread = now.withColumn("tr", F.explode(near("r"))).withColumn("tc", F.explode(near("c")))
+    def once(now: DataFrame, tasks: int) -> DataFrame:
         # tiles that only a halo names have no cells of their own and return none
-        after = cut(spread.groupBy("area_id", "tr", "tc").applyInPandas(solve, schema))
-        if not after.where("moved").limit(1).count():
-            return after.drop("moved")
-        now = after.drop("moved")
-
+        spread = now.withColumn("tr", F.explode(near("r"))).withColumn("tc", F.explode(near("c")))
+        dealt = spread.withColumn("task", F.pmod(F.xxhash64("area_id", "tr", "tc"), F.lit(tasks)))
+        return cut(dealt.groupBy("task").applyInPandas(solve, schema))
 
-EIGHT = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
-FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+    start = cells.select(F.col("area_id").cast("long").alias("area_id"), "r", "c", *(F.col(x).cast("double").alias(x) for x in ["v", *layers]))
+    size = start.groupBy("area_id").agg(((F.max("r") >= tile) | (F.max("c") >= tile)).alias("many"))
+    now = cut(start.join(size, "area_id"))
+    tasks = max(1, -(-now.count() // CELLS))
+    now = once(now, tasks)
+    small = now.where("not many").select(*names)
+    while now.where("moved").limit(1).count():
+        now = once(now.where("many"), tasks)
+    return small.union(now.where("many").select(*names))

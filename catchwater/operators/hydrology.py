@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from catchwater.checkpoints import cut
-from catchwater.operators.fixpoint import EIGHT, FOUR, TILE, relax, shifted
+from catchwater.operators.fixpoint import EIGHT, FOUR, TILE, relax
 from catchwater.operators.grid import KEY, near, neighbourhood
 
 
@@ -14,19 +14,18 @@ def _edges(cells: DataFrame) -> DataFrame:
     return cells.join(size, "area_id").withColumn("edge", (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("mr")) | (F.col("c") == F.col("mc"))).drop("mr", "mc")
 
 
-def _fill_step(layers, v):
-    low = np.minimum.reduce([shifted(v, a, b, np.inf) for a, b in EIGHT])
-    return np.maximum(layers["dem"], low)
+def _fill_edge(layers, start, to, diagonal):
+    return np.maximum(layers["dem"][to], layers["v"][start])
 
 
 def fill(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """The filled surface and ponding depth: the lowest level from which water can leave over the grid's edge."""
     seeds = _edges(cells.select(*KEY, "dem")).withColumn("v", F.when(F.col("edge"), F.col("dem")).otherwise(float("inf")))
-    return relax(seeds, ["dem"], _fill_step, tile).select(*KEY, "dem", F.col("v").alias("filled"), (F.col("v") - F.col("dem")).alias("fill_depth"))
+    return relax(seeds, ["dem"], _fill_edge, tile=tile).select(*KEY, "dem", F.col("v").alias("filled"), (F.col("v") - F.col("dem")).alias("fill_depth"))
 
 
-def _flat_step(layers, v):
-    return np.minimum.reduce([np.where(shifted(layers["filled"], a, b, np.nan) == layers["filled"], shifted(v, a, b, np.inf), np.inf) for a, b in EIGHT]) + 1
+def _flat_edge(layers, start, to, diagonal):
+    return np.where(layers["filled"][to] == layers["filled"][start], layers["v"][start] + 1, np.inf)
 
 
 def flow_direction(filled: DataFrame, tile: int = TILE) -> DataFrame:
@@ -40,7 +39,7 @@ def flow_direction(filled: DataFrame, tile: int = TILE) -> DataFrame:
         one = near(a, b, "filled") < F.col("filled")
         lower = one if lower is None else lower | F.coalesce(one, F.lit(False))
     seeds = around.withColumn("v", F.when(F.col("edge") | F.coalesce(lower, F.lit(False)), 0.0).otherwise(float("inf")))
-    steps = relax(seeds.select(*KEY, "filled", "v"), ["filled"], _flat_step, tile)
+    steps = relax(seeds.select(*KEY, "filled", "v"), ["filled"], _flat_edge, tile=tile)
     around = _edges(neighbourhood(steps.withColumnRenamed("v", "steps"), "filled", "steps"))
     options = []
     for k, (a, b) in enumerate(EIGHT):
@@ -97,35 +96,31 @@ def catchment_areas(flow: DataFrame, sinks: DataFrame, cell_m2: float = 900.0) -
     return sinks.join(accumulation(flow), KEY, "left").select("area_id", "sink_id", (F.coalesce("acc", F.lit(0)) * cell_m2).alias("catchment_m2"))
 
 
-def _label_step(layers, v):
-    return np.where(np.isnan(layers["on"]), np.inf, np.minimum.reduce([shifted(v, a, b, np.inf) for a, b in FOUR]))
+def _label_edge(layers, start, to, diagonal):
+    return layers["v"][start]
 
 
 def components(masked: DataFrame, tile: int = TILE) -> DataFrame:
     """4-connected regions of the given cells, numbered from 1 by their first cell in row order."""
     width = masked.groupBy("area_id").agg((F.max("c") + 1).alias("w"))
-    seeds = masked.select(*KEY).join(width, "area_id").select(*KEY, (F.col("r") * F.col("w") + F.col("c")).cast("double").alias("v"), F.lit(1.0).alias("on"))
-    low = relax(seeds, ["on"], _label_step, tile)
+    seeds = masked.select(*KEY).join(width, "area_id").select(*KEY, (F.col("r") * F.col("w") + F.col("c")).cast("double").alias("v"))
+    low = relax(seeds, [], _label_edge, FOUR, tile)
     heads = low.groupBy("area_id", "v").agg(F.count("*").alias("n_cells")).withColumn("label", F.row_number().over(Window.partitionBy("area_id").orderBy("v")))
     return low.join(heads, ["area_id", "v"]).select(*KEY, "label", "n_cells")
 
 
-def _route_step(dx: float, penalty: float):
-    def step(layers, v):
-        best = np.full(v.shape, np.inf)
-        for a, b in EIGHT:  # leaving a cell for its neighbour costs by the climb to it and its land use
-            far = 1.41421 if a and b else 1.0
-            climb = np.maximum(shifted(layers["z"], a, b, np.nan) - layers["z"], 0)
-            best = np.fmin(best, shifted(v, a, b, np.inf) + dx * far * (1 + penalty * climb) * shifted(layers["mult"], a, b, np.nan))
-        return best
+def _route_edge(dx: float, penalty: float):
+    def edge(layers, start, to, diagonal):  # water runs from ``to`` to ``start``: it pays for the climb and the land use there
+        climb = np.maximum(layers["z"][start] - layers["z"][to], 0)
+        return layers["v"][start] + dx * (1.41421 if diagonal else 1.0) * (1 + penalty * climb) * layers["mult"][start]
 
-    return step
+    return edge
 
 
 def cost_to_outfall(cells: DataFrame, dx: float = 60.0, penalty: float = 40.0, tile: int = TILE) -> DataFrame:
     """C9 costs: the least cost from each cell (z, mult, is_outfall) to any outfall; inf if none can be reached."""
     seeds = cells.withColumn("v", F.when(F.col("is_outfall"), 0.0).otherwise(float("inf")))
-    return relax(seeds, ["z", "mult"], _route_step(dx, penalty), tile).withColumnRenamed("v", "cost")
+    return relax(seeds, ["z", "mult"], _route_edge(dx, penalty), tile=tile).withColumnRenamed("v", "cost")
 
 
 def next_cells(costs: DataFrame, dx: float = 60.0, penalty: float = 40.0) -> DataFrame:
@@ -143,13 +138,18 @@ def next_cells(costs: DataFrame, dx: float = 60.0, penalty: float = 40.0) -> Dat
 
 
 def routes(steps: DataFrame, sources: DataFrame) -> DataFrame:
-    """C9 paths: from each source (area_id, route_id, r, c) the cells k = 0.. to its outfall; none if unreachable."""
-    ahead = steps.select("area_id", F.col("r"), F.col("c"), "cost", F.col("tr"), F.col("tc"))
-    front = sources.join(ahead, KEY).where(F.col("cost") < float("inf")).withColumn("k", F.lit(0))
-    front = cut(front.select("area_id", "route_id", "k", "r", "c", "tr", "tc"))
-    out = front
-    while front.where("tr is not null").limit(1).count():
-        moved = front.where("tr is not null").select("area_id", "route_id", (F.col("k") + 1).alias("k"), F.col("tr").alias("r"), F.col("tc").alias("c"))
-        front = cut(moved.join(ahead, KEY).select("area_id", "route_id", "k", "r", "c", "tr", "tc"))
-        out = out.union(front)
-    return out.select("area_id", "route_id", "k", "r", "c")
+    """C9 paths: from each source (area_id, route_id, r, c) the cells k = 0.. to its outfall; none if unreachable.
+
+    Jumps of 1, 2, 4, ... cells are made by doubling; then each level, from the longest, adds the cells that lie one such
+    jump behind those known, so rounds grow with the logarithm of a route's length.
+    """
+    jumps = [cut(steps.where("tr is not null").select(*KEY, "tr", "tc"))]
+    while jumps[-1].limit(1).count():
+        ahead = jumps[-1].select("area_id", F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("tr").alias("tr2"), F.col("tc").alias("tc2"))
+        jumps.append(cut(jumps[-1].join(ahead, ["area_id", "tr", "tc"]).select(*KEY, F.col("tr2").alias("tr"), F.col("tc2").alias("tc"))))
+    reached = steps.where(F.col("cost") < float("inf")).select(*KEY)
+    out = cut(sources.join(reached, KEY, "left_semi").select("area_id", "route_id", F.lit(0).alias("k"), "r", "c"))
+    for level in reversed(range(len(jumps) - 1)):
+        behind = out.join(jumps[level], KEY).select("area_id", "route_id", (F.col("k") + (1 << level)).alias("k"), F.col("tr").alias("r"), F.col("tc").alias("c"))
+        out = cut(out.union(behind))
+    return out

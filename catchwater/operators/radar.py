@@ -105,13 +105,14 @@ def linear_grid(spark, low: float, high: float, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("k"), (low + (high - low) * F.col("id") / (n - 1)).alias("t"))
 
 
-def compare_methods(swept: dict[str, DataFrame]) -> DataFrame:
-    """Each method's best threshold and mean CSI in one ranked table."""
+def compare_methods(swept: list[tuple[str, int | None, DataFrame]]) -> DataFrame:
+    """Of each (method, rain window or None, sweep) the best threshold; of a method its best window; one ranked table."""
     rows = None
-    for name, df in swept.items():
-        one = best_threshold(df, []).select(F.lit(name).alias("method"), "threshold", "mean_csi")
+    for name, window, df in swept:
+        one = best_threshold(df, []).select(F.lit(name).alias("method"), F.lit(window).cast("int").alias("window_days"), "threshold", "mean_csi")
         rows = one if rows is None else rows.unionByName(one)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_csi"), "method")))  # a row a method
+    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("method").orderBy(F.desc("mean_csi"), "window_days"))).where("k = 1").drop("k")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_csi"), "method")))  # a row a method
 
 
 def soft_dice(rows: DataFrame, value: Column, tau: float, beta: float, keys: list[str]) -> DataFrame:

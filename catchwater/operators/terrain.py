@@ -40,8 +40,13 @@ def _lower_envelope(rows: pd.DataFrame) -> pd.DataFrame:
     have = np.flatnonzero(rows["dr"].notna().to_numpy())
     if not len(have):
         return rows.assign(zr=np.nan)[["area_id", "r", "c", "dem", "zr"]]
-    d2 = (cols[:, None] - cols[have]) ** 2 + (rows["dr"].to_numpy()[have] - rows["r"].to_numpy()[0]) ** 2
-    best = have[np.lexsort((np.broadcast_to(have, d2.shape), rows["dr"].to_numpy()[have] + 0 * d2, d2), axis=1)[:, 0]]
+    row, span = rows["dr"].to_numpy()[have], max(1, (1 << 20) // len(have))
+    up, best = (row - rows["r"].to_numpy()[0]) ** 2, np.empty(len(cols), np.int64)
+    rank = np.empty(len(have), np.int64)
+    rank[np.lexsort((have, row))] = np.arange(len(have))
+    for i in range(0, len(cols), span):  # some columns at a time bound the memory
+        d2 = (cols[i : i + span, None] - cols[have]) ** 2 + up
+        best[i : i + span] = have[np.where(d2 == d2.min(axis=1, keepdims=True), rank, len(have)).argmin(axis=1)]
     return rows.assign(zr=rows["dz"].to_numpy()[best])[["area_id", "r", "c", "dem", "zr"]]
 
 

@@ -1,10 +1,8 @@
 """All queries by name, with the SQL that gives the same rows. Names begin with the operator's number in the survey."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from catchwater.checkpoints import cut, scratch
 from catchwater.functions import columns as C
 from catchwater.operators import alerts, exposure, grid, hydrology, planning, radar, rain, sinks, terrain
 from catchwater.plans import adapter
@@ -34,12 +32,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _curve_number(clay: str, cover: str) -> str:
     from catchwater.params import CURVE_NUMBERS
 
@@ -114,11 +106,13 @@ def _(v, spark, d):
     return tables.cells_to_tiles(v("cells")[0], "jrc", 8, "int").withColumn("data", F.concat_ws(" ", F.col("values").cast("array<string>"))).drop("values")
 
 
-@query("s5_geojson", "SELECT area_id, count(*) AS n_features, CAST(min(sink_id) AS VARCHAR) AS first_id, 'FeatureCollection' AS type FROM sinks JOIN areas USING (area_id) GROUP BY 1")
+@query("s5_geojson", "SELECT area_id, sink_id, round(lon0 + dlon * (c + 0.5e0), 6) AS lon, round(lat0 + dlat * (r + 0.5e0), 6) AS lat, r, c, volume_m3, 'FeatureCollection' AS type, 'Feature' AS kind, 'Point' AS shape FROM sinks JOIN areas USING (area_id)")
 def _(v, spark, d):
     ponds, areas = v("sinks", "areas")
     made = tables.to_geojson(grid.to_lonlat(ponds.select("area_id", "sink_id", "r", "c", "volume_m3"), areas))
-    return made.select("area_id", F.size(F.from_json(F.get_json_object("geojson", "$.features"), "array<string>")).cast("long").alias("n_features"), F.get_json_object("geojson", "$.features[0].properties.sink_id").alias("first_id"), F.get_json_object("geojson", "$.type").alias("type"))
+    schema = "type string, features array<struct<type: string, geometry: struct<type: string, coordinates: array<double>>, properties: struct<sink_id: bigint, r: int, c: int, volume_m3: double>>>"
+    rows = made.select("area_id", F.from_json("geojson", schema).alias("g")).select("area_id", "g.type", F.explode("g.features").alias("f"))
+    return rows.select("area_id", "f.properties.*", F.element_at("f.geometry.coordinates", 1).alias("lon"), F.element_at("f.geometry.coordinates", 2).alias("lat"), "type", F.col("f.type").alias("kind"), F.col("f.geometry.type").alias("shape"))
 
 
 @query("s6_facts", f"WITH {ONE}, a AS (SELECT area_id, count(*) AS n FROM levels GROUP BY 1), b AS (SELECT area_id, round(max(h), 6) AS peak FROM runs GROUP BY 1) SELECT coalesce(a.area_id, b.area_id) AS area_id, n, peak FROM a FULL JOIN b ON a.area_id = b.area_id")
@@ -126,7 +120,17 @@ def _(v, spark, d):
     made = tables.facts("area_id", alerts=levels(v, spark, 100.0).groupBy("area_id").agg(F.count("*").alias("n")), floods=v("runs")[0].groupBy("area_id").agg(F.max("h").alias("peak")))
     path = f"{scratch(spark)}/2024-06-01"
     tables.write_reports(made, path)
-    return spark.read.schema(made.schema).json(path).select("area_id", "alerts.n", "floods.peak")
+    return tables.read_reports(spark, path, made.schema).select("area_id", "alerts.n", "floods.peak")
+
+
+@query("s6_collated_reports", "SELECT area_id, CAST(strftime(DATE '2024-06-01' + CAST(scenario_id AS INT), '%Y-%m-%d') AS VARCHAR) AS report_date, max(h) AS peak FROM runs GROUP BY 1, scenario_id")
+def _(v, spark, d):
+    top = scratch(spark)
+    peaks = v("runs")[0].groupBy("area_id", "scenario_id").agg(F.max("h").alias("peak"))
+    for k in range(1, 8):  # a folder a date
+        tables.write_reports(peaks.where(F.col("scenario_id") == k).select("area_id", "peak"), f"{top}/2024-06-{k + 1:02}")
+    read = tables.read_reports(spark, f"{top}/*", "area_id long, peak double")
+    return tables.collate(read).select("area_id", F.explode("scores").alias("report_date", "x")).select("area_id", "report_date", "x.peak")
 
 
 @query("s7_rain_payload", "SELECT point_id, CAST(row_number() OVER (PARTITION BY point_id ORDER BY ts, event_id) - 1 AS INT) AS k, date_trunc('second', ts) AS ts, coalesce(mm, 0) AS mm FROM rain")
@@ -300,9 +304,24 @@ def _(v, spark, d):
     return hydrology.fill(v("cells")[0])
 
 
-@query("t13_flow_direction")
+AROUND = "abs(n.r - f.r) <= 1 AND abs(n.c - f.c) <= 1"
+FILLED = f"f AS (SELECT area_id, r, c, dem AS lev FROM cells WHERE r IN (0, 15) OR c IN (0, 15) UNION SELECT n.area_id, n.r, n.c, greatest(n.dem, f.lev) FROM f JOIN cells n ON n.area_id = f.area_id AND {AROUND}), filled AS (SELECT area_id, r, c, min(lev) AS z FROM f GROUP BY 1, 2, 3)"
+SIDES = "sides(k, a, b) AS (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1))"
+DIRECTION = f"""{FILLED}, {SIDES}, beside AS (SELECT n.area_id, n.r, n.c, n.z, k, a, b, m.z AS z2, m.r AS r2, m.c AS c2 FROM filled n CROSS JOIN sides JOIN filled m ON m.area_id = n.area_id AND m.r = n.r + a AND m.c = n.c + b),
+    steps(area_id, r, c, n) USING KEY (area_id, r, c) AS (
+        SELECT DISTINCT area_id, r, c, 0 FROM beside WHERE z2 < z OR r IN (0, 15) OR c IN (0, 15)
+        UNION SELECT x.area_id, x.r, x.c, min(steps.n + 1) FROM steps JOIN beside x ON x.area_id = steps.area_id AND x.r2 = steps.r AND x.c2 = steps.c AND x.z = x.z2 LEFT JOIN recurring.steps o ON o.area_id = x.area_id AND o.r = x.r AND o.c = x.c WHERE o.n IS NULL OR steps.n + 1 < o.n GROUP BY 1, 2, 3),
+    ways AS (SELECT x.*, CASE WHEN z2 < z THEN -(z - z2) / CASE WHEN a <> 0 AND b <> 0 THEN sqrt(2.0e0) ELSE 1 END WHEN z2 = z AND t.n < o.n THEN 1e9 + t.n END AS s FROM beside x JOIN steps o USING (area_id, r, c) JOIN steps t ON t.area_id = x.area_id AND t.r = r2 AND t.c = c2),
+    flow AS (SELECT area_id, r, c, CASE WHEN r NOT IN (0, 15) AND c NOT IN (0, 15) THEN r + w.a END AS tr, CASE WHEN r NOT IN (0, 15) AND c NOT IN (0, 15) THEN c + w.b END AS tc FROM filled LEFT JOIN (SELECT area_id, r, c, arg_min({{'a': a, 'b': b}}, (s, k)) AS w FROM ways WHERE s IS NOT NULL GROUP BY 1, 2, 3) USING (area_id, r, c))"""
+
+
+def directions(cells: DataFrame) -> DataFrame:
+    return hydrology.flow_direction(hydrology.fill(cells).select(*KEY, "filled"))
+
+
+@query("t13_flow_direction", f"WITH RECURSIVE {DIRECTION} SELECT area_id, r, c, CAST(tr AS INT) AS tr, CAST(tc AS INT) AS tc FROM flow")
 def _(v, spark, d):
-    return hydrology.flow_direction(hydrology.fill(v("cells")[0]).select(*KEY, "filled"))
+    return directions(v("cells")[0])
 
 
 FLOW = "flow AS (SELECT area_id, r, c, CASE WHEN (r + c) % 13 = 0 OR (r = 15 AND c = 15) THEN NULL WHEN r < 15 AND (acc % 2 = 0 OR c = 15) THEN r + 1 ELSE r END AS tr, CASE WHEN (r + c) % 13 = 0 OR (r = 15 AND c = 15) THEN NULL WHEN r < 15 AND (acc % 2 = 0 OR c = 15) THEN c ELSE c + 1 END AS tc FROM cells)"
@@ -338,6 +357,14 @@ def _(v, spark, d):
     return hydrology.catchment_areas(receivers(cells), ponds)
 
 
+DOWN = f"{DIRECTION}, way AS (SELECT area_id, r AS r0, c AS c0, r, c, tr, tc FROM flow UNION ALL SELECT w.area_id, w.r0, w.c0, f.r, f.c, f.tr, f.tc FROM way w JOIN flow f ON f.area_id = w.area_id AND f.r = w.tr AND f.c = w.tc)"
+
+
+@query("t14_terrain_accumulation", f"WITH RECURSIVE {DOWN} SELECT area_id, r, c, count(*) AS acc FROM way GROUP BY 1, 2, 3")
+def _(v, spark, d):
+    return hydrology.accumulation(directions(v("cells")[0]))
+
+
 WET = "wet AS (SELECT area_id, r, c, depth, r * 16 + c AS id FROM cells WHERE depth > 0.15e0 AND jrc < 50)"
 LABELS = f"""{WET}, reach AS (SELECT area_id, id, id AS seen FROM wet UNION SELECT p.area_id, p.id, n.id FROM reach p JOIN wet m ON m.area_id = p.area_id AND m.id = p.seen JOIN wet n ON n.area_id = p.area_id AND abs(n.r - m.r) + abs(n.c - m.c) = 1),
     low AS (SELECT area_id, id, min(seen) AS first FROM reach GROUP BY 1, 2), parts AS (SELECT area_id, r, c, depth, first, dense_rank() OVER (PARTITION BY area_id ORDER BY first) AS label, count(*) OVER (PARTITION BY area_id, first) AS n_cells FROM low JOIN wet USING (area_id, id))"""
@@ -358,6 +385,14 @@ def _(v, spark, d):
     return sinks.find_sinks(*v("cells", "areas")).withColumn("volume_m3", F.round("volume_m3", 3))
 
 
+@query("a1_terrain_to_catchments", f"WITH RECURSIVE {FOUND}, {DOWN}, size AS (SELECT area_id, r, c, count(*) AS n FROM way GROUP BY 1, 2, 3) SELECT area_id, CAST(sink_id AS INT) AS sink_id, round(total * 900, 3) AS volume_m3, size.n * 900.0e0 AS catchment_m2 FROM top JOIN size USING (area_id) WHERE k <= 25 AND size.r = pos // 16 AND size.c = pos % 16")
+def _(v, spark, d):
+    cells, areas = v("cells", "areas")
+    found = sinks.find_sinks(cells, areas)
+    sizes = hydrology.catchment_areas(directions(cells), found)
+    return found.select("area_id", "sink_id", F.round("volume_m3", 3).alias("volume_m3")).join(sizes, ["area_id", "sink_id"])
+
+
 @query("a2_basins", f"WITH RECURSIVE {LABELS}, b AS (SELECT area_id, label, sum(depth * (1 + acc % 5)) AS basin_volume, arg_min(r * 16 + c, (-depth, r, c)) AS pos FROM parts JOIN (SELECT area_id, r, c, acc FROM cells) USING (area_id, r, c) WHERE n_cells >= 4 GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY round(basin_volume, 6) DESC, label) AS rank FROM b) SELECT area_id, CAST(label AS INT) AS label, CAST(pos // 16 AS INT) AS r, CAST(pos % 16 AS INT) AS c, round(basin_volume, 6) AS basin_volume, CAST(rank AS INT) AS rank FROM t WHERE rank <= 6")
 def _(v, spark, d):
     cells = v("cells")[0].withColumn("flood", F.when((F.col("depth") > 0.15) & (F.col("jrc") < 50), F.col("depth")).otherwise(0.0))
@@ -421,19 +456,19 @@ def _(v, spark, d):
     return rain.antecedent(v("rain")[0], 2)
 
 
-USABLE = f"{ANTE}, usable AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY day) AS k FROM (SELECT DISTINCT area_id, day FROM rain WHERE event_id % 3 = 0) JOIN ante USING (area_id, day) WHERE rain_mm >= 50)"
+USABLE = f"{ANTE}, usable AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY day) AS k FROM (SELECT DISTINCT area_id, day FROM rain) JOIN ante USING (area_id, day) WHERE rain_mm >= 50)"
 
 
 @query("r4_usable_dates", f"WITH {USABLE} SELECT area_id, day, round(rain_mm, 6) AS rain_mm, CAST(k AS INT) AS k FROM usable WHERE k <= 8")
 def _(v, spark, d):
     r = v("rain")[0]
-    return rain.usable_dates(r.where("event_id % 3 = 0"), r, 2, 50.0, 8)
+    return rain.usable_dates(r, r, 2, 50.0, 8)
 
 
 @query("r5_hold_out", f"WITH {USABLE}, u AS (SELECT * FROM usable WHERE k <= 8) SELECT area_id, day, k > count(*) OVER (PARTITION BY area_id) - least(2, count(*) OVER (PARTITION BY area_id) - 1) AS is_test FROM u")
 def _(v, spark, d):
     r = v("rain")[0]
-    return rain.hold_out(rain.usable_dates(r.where("event_id % 3 = 0"), r, 2, 50.0, 8).select("area_id", "day"), 2)
+    return rain.hold_out(rain.usable_dates(r, r, 2, 50.0, 8).select("area_id", "day"), 2)
 
 
 # --- alerts ---------------------------------------------------------------------------------------------------------
@@ -472,7 +507,7 @@ def _(v, spark, d):
     buildings, areas = v("buildings", "areas")
     corner = lambda x, y: F.struct((F.col("lon0") + 0.0022 + x).alias("lon"), (F.col("lat0") - 0.0022 + y).alias("lat"))
     rings = areas.select(F.concat(F.lit("w"), F.col("area_id").cast("string")).alias("ward"), F.array(corner(0.0017, 0.0), corner(0.0, 0.0017), corner(-0.0017, 0.0), corner(0.0, -0.0017)).alias("ring"))
-    return alerts.polygon_wards(buildings.select("area_id", "feature_id", "lat", "lon"), rings).drop("lat", "lon")
+    return alerts.assign_wards(buildings.select("area_id", "feature_id", "lat", "lon"), rings, BOX).where("ward is not null").drop("lat", "lon")
 
 
 @query("l6_ward_levels", f"WITH {ONE}, {PLACED}, worst AS (SELECT ward, arg_max(level, CASE level WHEN 'RED' THEN 2 WHEN 'AMBER' THEN 1 ELSE 0 END) AS level, count(*) AS n_sinks FROM levels JOIN placed USING (sink_id) WHERE ward IS NOT NULL GROUP BY 1) SELECT 'zone_' || CAST(k AS VARCHAR) AS ward, coalesce(level, 'GREEN') AS level, coalesce(n_sinks, 0) AS n_sinks FROM range(1500) z(k) LEFT JOIN worst ON ward = 'zone_' || CAST(k AS VARCHAR)")
@@ -481,6 +516,12 @@ def _(v, spark, d):
     return alerts.ward_levels(alerts.all_grid_wards(spark, BOX), rows)
 
 
+@query("l6_wards_in_alert", f"WITH {ONE}, {PLACED} SELECT ward, arg_max(level, CASE level WHEN 'RED' THEN 2 WHEN 'AMBER' THEN 1 ELSE 0 END) AS level, count(*) AS n_sinks FROM levels JOIN placed USING (sink_id) WHERE ward IS NOT NULL GROUP BY 1 HAVING max(level <> 'GREEN')")
+def _(v, spark, d):
+    rows = levels(v, spark, 100.0).join(placed(v).select("sink_id", "ward"), "sink_id")
+    return alerts.wards_in_alert(alerts.ward_levels(alerts.all_grid_wards(spark, BOX), rows))
+
+
 @query("l7_level_counts", f"WITH {ALERTS} SELECT area_id, rain_mm, count(*) FILTER (level = 'RED') AS red, count(*) FILTER (level = 'AMBER') AS amber, count(*) FILTER (level = 'GREEN') AS green FROM levels GROUP BY 1, 2")
 def _(v, spark, d):
     return alerts.level_counts(levels(v, spark, 20.0, 60.0, 100.0))
@@ -514,12 +555,12 @@ def _(v, spark, d):
     return radar.dry_reference(v("sar")[0])
 
 
-EVENTS = "ev AS (SELECT DISTINCT area_id, day AS event FROM sar WHERE extract(day FROM day) = 15)"
+EVENTS = "ev AS (SELECT DISTINCT area_id, day AS event FROM sar)"
 MOSAIC = f"{EVENTS}, mosaic AS (SELECT s.area_id, r, c, event, arg_max(vv, (day, seq)) AS vv FROM sar s JOIN ev ON ev.area_id = s.area_id AND s.day >= event - 1 AND s.day < event + 2 GROUP BY 1, 2, 3, 4)"
 
 
 def event_days(v) -> DataFrame:
-    return v("sar")[0].where("dayofmonth(day) = 15").select("area_id", F.col("day").alias("event")).distinct()
+    return v("sar")[0].select("area_id", F.col("day").alias("event")).distinct()
 
 
 @query("v3_event_mosaic", f"WITH {MOSAIC} SELECT * FROM mosaic")
@@ -591,11 +632,42 @@ def _(v, spark, d):
     return q.select(F.lit("quantile").alias("kind"), F.col("k").cast("long").alias("k"), "t").union(radar.linear_grid(spark, 0.05, 1.0, 5).select(F.lit("linear"), F.col("k").cast("long"), "t"))
 
 
-@query("v11_compare_methods", f"WITH {_sweep('>')}, {_sweep('<', 'lo')}, b AS (SELECT 'depth' AS method, arg_max(t, (round(mean_csi, 9), -t)) AS threshold, round_even(max(mean_csi), 4) AS mean_csi FROM sw UNION ALL SELECT 'height', arg_max(t, (round(mean_csi, 9), -t)), round_even(max(mean_csi), 4) FROM lo) SELECT *, CAST(row_number() OVER (ORDER BY mean_csi DESC, method) AS INT) AS rank FROM b")
+DEPTHS = "SELECT 0.05e0 + 1.45e0 * k / 29 AS t FROM range(30) g(k)"
+HEIGHTS = "SELECT 0.25e0 + 14.75e0 * k / 39 AS t FROM range(40) g(k)"
+QUANTILES = "SELECT unnest([" + ", ".join(f"quantile_cont(twi, {(0.5 + 0.49 * k / 24)!r}e0)" for k in range(25)) + "]) AS t FROM twi"
+TAUS = "SELECT unnest([0.02e0, 0.05e0, 0.1e0, 0.15e0, 0.2e0, 0.3e0]) AS t"
+HAND = "hand AS (SELECT area_id, r, c, coalesce(hand, 0) AS hand FROM cells LEFT JOIN (SELECT a.area_id, a.r, a.c, arg_min(a.dem - d.dem, ((a.r - d.r) ** 2 + (a.c - d.c) ** 2, d.r, d.c)) AS hand FROM cells a JOIN (SELECT area_id, r, c, dem FROM cells WHERE jrc >= 50) d ON d.area_id = a.area_id GROUP BY 1, 2, 3) USING (area_id, r, c))"
+
+
+def _best(rows: str, sign: str, grid_sql: str, method: str, window: str = "NULL") -> str:
+    swept = f"SELECT t, avg(csi) AS mean_csi FROM (SELECT t, event_id, count(*) FILTER (x {sign} t AND wet = 1) / greatest(count(*) FILTER (wet = 1) + count(*) FILTER (x {sign} t AND wet = 0), 1) AS csi FROM ({rows}) CROSS JOIN ({grid_sql}) GROUP BY 1, 2) GROUP BY 1"
+    return f"SELECT '{method}' AS method, CAST({window} AS INT) AS window_days, round(arg_max(t, (round(mean_csi, 9), -t)), 6) AS threshold, round_even(max(round(mean_csi, 9)), 4) AS mean_csi FROM ({swept})"
+
+
+#: Depths after rain of a window are the area's depth scaled by it, as a stand-in for the simulator's grids.
+METHODS = f"""WITH {GRAD}, twi AS (SELECT area_id, r, c, round(ln((acc * 900.0e0 + 1) / ({HYP} + 1e-3)), 6) AS twi FROM g), {HAND}, dry AS (SELECT area_id, r, c, depth FROM cells WHERE jrc < 50), obs AS (SELECT area_id, r, c, event_id, wet FROM truth),
+    found AS ({_best('SELECT event_id, wet, depth AS x FROM obs JOIN dry USING (area_id, r, c)', '>', DEPTHS, 'static depth')}
+    UNION ALL {_best('SELECT event_id, wet, twi AS x FROM obs JOIN dry USING (area_id, r, c) JOIN twi USING (area_id, r, c)', '>', QUANTILES, 'wetness')}
+    UNION ALL {_best('SELECT event_id, wet, round(hand, 6) AS x FROM obs JOIN dry USING (area_id, r, c) JOIN hand USING (area_id, r, c)', '<', HEIGHTS, 'height above drains')}
+    UNION ALL {' UNION ALL '.join(_best(f'SELECT event_id, wet, round(depth * (event_id + {w}) / 4.0e0, 6) AS x FROM obs JOIN dry USING (area_id, r, c)', '>', TAUS, 'depth after rain', str(w)) for w in (1, 3, 5))}),
+    best AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY mean_csi DESC, window_days) AS k FROM found)"""
+
+
+@query("v11_compare_methods", f"{METHODS} SELECT method, window_days, threshold, mean_csi, CAST(row_number() OVER (ORDER BY mean_csi DESC, method) AS INT) AS rank FROM best WHERE k = 1")
 def _(v, spark, d):
-    truth = v("truth")[0]
-    both = {"depth": radar.sweep(truth, "pred", thresholds(spark)), "height": radar.sweep(truth, "pred", thresholds(spark), above=False)}
-    return radar.compare_methods({k: x.withColumn("mean_csi", F.round("mean_csi", 9)) for k, x in both.items()})
+    cells, truth = v("cells", "truth")
+    wet = truth.select(*KEY, "event_id", "wet").join(cells.where("jrc < 50").select(*KEY, "depth"), KEY)
+    twi = terrain.wetness(cells).select(*KEY, F.round("twi", 6).alias("twi"))
+    hand = terrain.hand_lite(cells).select(*KEY, F.round("hand", 6).alias("hand"))
+    after = {w: wet.withColumn("x", F.round(F.col("depth") * (F.col("event_id") + w) / 4.0, 6)) for w in (1, 3, 5)}
+    taus = spark.createDataFrame([(t,) for t in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)], "t double")
+    swept = [
+        ("static depth", None, radar.sweep(wet, "depth", radar.linear_grid(spark, 0.05, 1.5, 30).select("t"))),
+        ("wetness", None, radar.sweep(wet.join(twi, KEY), "twi", radar.quantile_grid(twi, "twi").select("t"))),
+        ("height above drains", None, radar.sweep(wet.join(hand, KEY), "hand", radar.linear_grid(spark, 0.25, 15.0, 40).select("t"), above=False)),
+        *(("depth after rain", w, radar.sweep(rows, "x", taus)) for w, rows in after.items()),
+    ]
+    return radar.compare_methods([(name, w, df.withColumn("mean_csi", F.round("mean_csi", 9))) for name, w, df in swept])
 
 
 @query("v12_soft_dice", "SELECT area_id, event_id, round(1 - (2 * sum(wet / (1 + exp(-(pred - 0.4e0) / 0.1e0))) + 1) / (sum(1 / (1 + exp(-(pred - 0.4e0) / 0.1e0))) + sum(wet) + 1), 6) AS loss FROM truth GROUP BY 1, 2")
@@ -666,7 +738,14 @@ SITES = "sites AS (SELECT area_id, CAST(sink_id % 5 AS INT) AS site, CAST(r // 2
 FOOT = f"{SITES}, foot AS (SELECT area_id, site, CAST(r + i AS INT) AS r, CAST(c + j AS INT) AS c FROM sites CROSS JOIN range(-2, 3) a(i) CROSS JOIN range(-2, 3) b(j) WHERE i * i + j * j <= 4 AND r + i BETWEEN 0 AND 7 AND c + j BETWEEN 0 AND 7)"
 
 
-@query("c4_candidate_sites")
+GIVEN = "given AS (SELECT area_id, r, c, row_number() OVER (PARTITION BY area_id ORDER BY volume_m3 DESC, sink_id) AS k FROM sinks WHERE r BETWEEN 2 AND 13 AND c BETWEEN 2 AND 13)"
+PICKS = f"""{GIVEN}, have AS (SELECT area_id, least(count(g.k), 4) AS n FROM areas LEFT JOIN given g USING (area_id) GROUP BY 1), deep AS (SELECT area_id, depth AS h, r, c, n AS given FROM cells JOIN have USING (area_id) WHERE depth > 0),
+    picks(area_id, turn, n, seen, r, c, inner_) AS (SELECT area_id, 0, n, CAST([] AS STRUCT(r INT, c INT)[]), NULL::INT, NULL::INT, false FROM have
+        UNION ALL SELECT p.area_id, p.turn + 1, p.n + CASE WHEN x.r BETWEEN 2 AND 13 AND x.c BETWEEN 2 AND 13 THEN 1 ELSE 0 END, list_append(p.seen, {{'r': x.r, 'c': x.c}}), x.r, x.c, x.r BETWEEN 2 AND 13 AND x.c BETWEEN 2 AND 13
+        FROM picks p JOIN LATERAL (SELECT arg_min({{'r': d.r, 'c': d.c}}, (-d.h, d.r, d.c)) AS x FROM deep d WHERE d.area_id = p.area_id AND len(list_filter(p.seen, lambda q: d.r >= q.r - 8 AND d.r < q.r + 8 AND d.c >= q.c - 8 AND d.c < q.c + 8)) = 0) ON x IS NOT NULL WHERE p.n < 4)"""
+
+
+@query("c4_candidate_sites", f"WITH RECURSIVE {PICKS} SELECT area_id, CAST(k - 1 AS INT) AS site, r, c FROM given WHERE k <= 4 UNION ALL SELECT area_id, CAST(n - 1 AS INT), r, c FROM picks WHERE inner_")
 def _(v, spark, d):
     deep = v("cells")[0].select(*KEY, F.col("depth").alias("h"))
     return planning.candidate_sites(v("sinks")[0].withColumn("r", F.col("r") * 2).withColumn("c", F.col("c") * 2), deep, 16, 4, 2)
@@ -695,6 +774,14 @@ def _(v, spark, d):
     return planning.excavation_plan(where, planning.site_areas(planning.footprints(where, 8)), where.select("area_id", "site", (F.col("site") * 0.5).alias("depth_m")), v("areas")[0])
 
 
+@query("c7_excavation_totals", f"WITH {FOOT}, {BUILT}, m AS (SELECT area_id, site, count(*) * 3600.0e0 AS site_m2 FROM foot GROUP BY 1, 2), t AS (SELECT area_id, sum(CAST(round_even(site * 0.5e0 * site_m2, 0) AS BIGINT)) AS total FROM m GROUP BY 1), v AS (SELECT area_id, sum(CASE WHEN scenario_id = 1 THEN {OVER} ELSE 0 END) * 3600 AS a, sum(CASE WHEN scenario_id = 2 THEN {OVER} ELSE 0 END) * 3600 AS b, sum(CASE WHEN scenario_id = 3 THEN {OVER} ELSE 0 END) * 3600 AS o FROM runs JOIN built USING (area_id, r, c) WHERE built = 1 AND NOT EXISTS (SELECT 1 FROM foot WHERE foot.area_id = runs.area_id AND foot.r = runs.r AND foot.c = runs.c) GROUP BY 1) SELECT area_id, CAST(total AS BIGINT) AS total_excavation_m3, CAST(round_even(round(a, 4), 0) AS BIGINT) AS do_nothing_m3, CAST(round_even(round(b, 4), 0) AS BIGINT) AS equal_split_m3, CAST(round_even(round(o, 4), 0) AS BIGINT) AS optimal_m3, round_even(100 * (1 - o / greatest(a, 1)), 1) AS reduction_pct FROM t JOIN v USING (area_id)")
+def _(v, spark, d):
+    where = sites(v)
+    foot = planning.footprints(where, 8)
+    plan = planning.excavation_plan(where, planning.site_areas(foot), where.select("area_id", "site", (F.col("site") * 0.5).alias("depth_m")), v("areas")[0])
+    return planning.excavation_totals(plan, v("runs")[0], built(v), foot, {"do_nothing": 1, "equal_split": 2, "optimal": 3})
+
+
 @query("c8_outfalls", f"WITH {DOMAIN}, {SITES}, e AS (SELECT area_id, r, c, row_number() OVER (PARTITION BY area_id ORDER BY z, CASE WHEN r = 0 THEN 0 WHEN r = 7 THEN 1 WHEN c = 0 THEN 2 ELSE 3 END, CASE WHEN r IN (0, 7) THEN c ELSE r END) AS k FROM domain WHERE r IN (0, 7) OR c IN (0, 7)) SELECT area_id, CAST(r // 2 AS INT) AS r, CAST(c // 2 AS INT) AS c, 'river' AS kind FROM cells GROUP BY 1, 2, 3 HAVING avg(jrc) > 50 UNION ALL SELECT area_id, r, c, 'edge' FROM e WHERE k = 1 UNION ALL SELECT area_id, r, c, 'site' FROM sites")
 def _(v, spark, d):
     cells = v("cells")[0]
@@ -707,38 +794,60 @@ def costs(v) -> DataFrame:
     return hydrology.cost_to_outfall(rows)
 
 
-@query("c9_route_costs")
+MULT = "CASE WHEN worldcover = 50 THEN 30.0e0 WHEN acc % 3 = 0 THEN 0.5e0 ELSE 1.0e0 END"
+COSTS = f"""land AS (SELECT area_id, r, c, dem AS z, {MULT} AS mult, jrc >= 50 AS stop FROM cells), {SIDES},
+    moves AS (SELECT n.area_id, n.r, n.c, k, m.r AS r2, m.c AS c2, 60.0e0 * CASE WHEN a <> 0 AND b <> 0 THEN 1.41421e0 ELSE 1.0e0 END * (1 + 40.0e0 * greatest(m.z - n.z, 0)) * m.mult AS price FROM land n CROSS JOIN sides JOIN land m ON m.area_id = n.area_id AND m.r = n.r + a AND m.c = n.c + b),
+    cheap(area_id, r, c, cost) USING KEY (area_id, r, c) AS (
+        SELECT area_id, r, c, 0.0e0 FROM land WHERE stop
+        UNION SELECT x.area_id, x.r, x.c, min(cheap.cost + x.price) FROM cheap JOIN moves x ON x.area_id = cheap.area_id AND x.r2 = cheap.r AND x.c2 = cheap.c LEFT JOIN recurring.cheap o ON o.area_id = x.area_id AND o.r = x.r AND o.c = x.c WHERE o.cost IS NULL OR cheap.cost + x.price < o.cost GROUP BY 1, 2, 3)"""
+STEPS = f"{COSTS}, best AS (SELECT x.area_id, x.r, x.c, arg_min({{'r': r2, 'c': c2}}, (t.cost + price, k)) AS w FROM moves x JOIN cheap t ON t.area_id = x.area_id AND t.r = r2 AND t.c = c2 JOIN cheap o ON o.area_id = x.area_id AND o.r = x.r AND o.c = x.c WHERE o.cost > 0 GROUP BY 1, 2, 3)"
+ROUTES = f"{STEPS}, trail AS (SELECT s.area_id, sink_id AS route_id, 0 AS k, s.r, s.c FROM sinks s JOIN cheap ON cheap.area_id = s.area_id AND cheap.r = s.r AND cheap.c = s.c UNION ALL SELECT t.area_id, route_id, t.k + 1, w.r, w.c FROM trail t JOIN best b ON b.area_id = t.area_id AND b.r = t.r AND b.c = t.c)"
+
+
+@query("c9_route_costs", f"WITH RECURSIVE {COSTS} SELECT area_id, r, c, coalesce(round(cost, 6), CAST('inf' AS DOUBLE)) AS cost FROM land LEFT JOIN cheap USING (area_id, r, c)")
 def _(v, spark, d):
     return costs(v).select(*KEY, "cost")
 
 
-@query("c9_routes")
+@query("c9_routes", f"WITH RECURSIVE {ROUTES} SELECT area_id, route_id, CAST(k AS INT) AS k, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM trail")
 def _(v, spark, d):
+    return canals(v)
+
+
+def canals(v) -> DataFrame:
     return hydrology.routes(hydrology.next_cells(costs(v)), v("sinks")[0].select("area_id", F.col("sink_id").alias("route_id"), "r", "c"))
 
 
-PATHS = "paths AS (SELECT area_id, r AS route_id, c AS k, r, c, dem AS z FROM cells WHERE c % 2 = 0 OR c < 9)"
+PATHS = f"{ROUTES}, paths AS (SELECT t.area_id, route_id, t.k, t.r, t.c, a.dem AS z FROM trail t JOIN (SELECT area_id, r, c, dem FROM cells) a ON a.area_id = t.area_id AND a.r = t.r AND a.c = t.c)"
+BEDS = f"{PATHS}, beds AS (SELECT *, min(z - 1.5e0 + k * 0.12e0) OVER (PARTITION BY area_id, route_id ORDER BY k) - k * 0.12e0 AS bed FROM paths)"
 
 
 def lines(v) -> DataFrame:
-    return v("cells")[0].where("c % 2 = 0 or c < 9").select("area_id", F.col("r").alias("route_id"), F.col("c").alias("k"), "r", "c", F.col("dem").alias("z"))
+    return cut(canals(v).join(v("cells")[0].select(*KEY, F.col("dem").alias("z")), KEY))
 
 
-@query("c10_descending_bed", f"WITH {PATHS} SELECT *, round(min(z - 1.5e0 + k * 0.12e0) OVER (PARTITION BY area_id, route_id ORDER BY k) - k * 0.12e0, 6) AS bed FROM paths")
+@query("c10_descending_bed", f"WITH RECURSIVE {BEDS} SELECT area_id, route_id, CAST(k AS INT) AS k, r, c, z, round(bed, 6) AS bed FROM beds")
 def _(v, spark, d):
     return planning.descending_bed(lines(v), 1.5)
 
 
-@query("c11_carve", f"WITH {PATHS}, b AS (SELECT area_id, r, c, min(z - 1.5e0 + k * 0.12e0) OVER (PARTITION BY area_id, route_id ORDER BY k) - k * 0.12e0 AS bed FROM paths) SELECT area_id, r, c, round(least(dem, coalesce(bed, dem)) - CASE WHEN jrc > 30 THEN 1.0e0 ELSE 0 END, 6) AS z, CASE WHEN bed IS NOT NULL THEN 0.02e0 ELSE {_case('worldcover', P.MANNING, 0.035)} END AS mann FROM cells LEFT JOIN b USING (area_id, r, c)")
+@query("c11_carve", f"WITH RECURSIVE {BEDS}, b AS (SELECT area_id, r, c, min(bed) AS bed FROM beds GROUP BY 1, 2, 3) SELECT area_id, r, c, round(least(dem, coalesce(bed, dem)) - CASE WHEN jrc > 30 THEN 1.0e0 ELSE 0 END, 6) AS z, CASE WHEN bed IS NOT NULL THEN 0.02e0 ELSE {_case('worldcover', P.MANNING, 0.035)} END AS mann FROM cells LEFT JOIN b USING (area_id, r, c)")
 def _(v, spark, d):
     cells = v("cells")[0]
     domain = cells.select(*KEY, F.col("dem").alias("z"), C.lookup(F.col("worldcover"), P.MANNING, 0.035).alias("mann"))
     return planning.carve(domain, planning.descending_bed(lines(v), 1.5), cells.where("jrc > 30").select(*KEY, F.lit(1.0).alias("dig_m")))
 
 
-@query("c12_canal_report", f"WITH {PATHS}, s AS (SELECT *, CASE abs(r - lag(r) OVER w) + abs(c - lag(c) OVER w) WHEN 2 THEN 1.41421e0 WHEN 1 THEN 1 ELSE 0 END * 60 AS len FROM paths WINDOW w AS (PARTITION BY area_id, route_id ORDER BY k)) SELECT area_id, route_id, CAST(round_even(sum(len), 0) AS BIGINT) AS length_m, count(*) AS n_cells, count(*) FILTER (k % 3 = 0) AS n_points FROM s GROUP BY 1, 2")
+@query("c12_canal_report", f"WITH RECURSIVE {PATHS} SELECT area_id, route_id, count(*) * 60 AS length_m, count(*) AS n_cells, string_agg(printf('%.5f %.5f', round_even(lat0 + dlat * r * 2, 5), round_even(lon0 + dlon * c * 2, 5)), ';' ORDER BY k) FILTER (k % 3 = 0) AS path FROM paths JOIN areas USING (area_id) GROUP BY 1, 2")
+def _(v, spark, d):
+    return planning.canal_report(lines(v), v("areas")[0])
+
+
+@query("c12_canal_effect", f"WITH RECURSIVE {PATHS}, {BUILT}, streets AS (SELECT area_id, r, c FROM built b WHERE built = 1 AND NOT EXISTS (SELECT 1 FROM paths p WHERE p.area_id = b.area_id AND p.r = b.r AND p.c = b.c) AND NOT EXISTS (SELECT 1 FROM sinks s WHERE s.area_id = b.area_id AND s.r = b.r AND s.c = b.c)), x AS (SELECT area_id, coalesce(sum({OVER}) FILTER (scenario_id = 1), 0) * 3600 AS v0, coalesce(sum({OVER}) FILTER (scenario_id = 2), 0) * 3600 AS v1 FROM streets JOIN runs USING (area_id, r, c) GROUP BY 1), n AS (SELECT area_id, count(DISTINCT route_id) AS n_canals FROM paths GROUP BY 1) SELECT area_id, coalesce(n_canals, 0) AS n_canals, CAST(round_even(round(coalesce(v0, 0), 4), 0) AS BIGINT) AS before_m3, CAST(round_even(round(coalesce(v1, 0), 4), 0) AS BIGINT) AS after_m3, round_even(100 * (1 - coalesce(v1, 0) / greatest(coalesce(v0, 0), 1)), 1) AS reduction_pct FROM areas LEFT JOIN x USING (area_id) LEFT JOIN n USING (area_id)")
 def _(v, spark, d):
-    return planning.canal_report(lines(v), v("areas")[0]).withColumn("n_points", F.size(F.split("path", ";")).cast("long")).drop("path")
+    runs, ponds = v("runs", "sinks")
+    depth = lambda k: runs.where(F.col("scenario_id") == k)
+    return planning.canal_effect(depth(1), depth(2), built(v), lines(v), ponds)
 
 
 MINIMA = f"{BUILT}, minima AS (SELECT area_id, r, c, pooled, row_number() OVER (PARTITION BY area_id ORDER BY pooled DESC, r, c) AS rank FROM (SELECT area_id, r, c, {OVER} AS pooled FROM runs JOIN built USING (area_id, r, c) WHERE scenario_id = 1 AND built = 1) WHERE pooled > 0), later AS (SELECT area_id, r, c, {OVER} AS later FROM runs WHERE scenario_id = 2)"

@@ -41,23 +41,39 @@ def to_geojson(points: DataFrame, key: str = "area_id", part: int | None = None)
     return listed.select(key, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("x", lambda e: e["f"]).alias("features"))).alias("geojson"))
 
 
-def read_reports(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Nested JSON reports, one a file, with the date in the file name."""
-    reader = spark.read.option("multiLine", True)
+def read_reports(spark: SparkSession, path: str, schema=None, whole_files: bool = False) -> DataFrame:
+    """Nested JSON reports with the date in the file's or its folder's name, null if there is none.
+
+    A report a line, as write_reports has it; ``whole_files``: one a file, over many lines.
+    """
+    reader = spark.read.option("multiLine", whole_files)
     rows = (reader.schema(schema) if schema else reader).json(path)
-    return rows.withColumn("report_date", F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})", 1))
+    date = F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})[^\d]*(?:/[^/]*)?$", 1)
+    return rows.withColumn("report_date", F.when(date != "", date))
 
 
 def write_reports(df: DataFrame, path: str) -> None:
-    """One JSON object a line."""
+    """One JSON object a line, in a folder whose name should hold the reports' date."""
     df.write.mode("overwrite").json(path)
 
 
+def collate(reports: DataFrame, key: str = "area_id", name: str = "scores") -> DataFrame:
+    """All dated reports of an area as one map from date to report; of several for one date the greatest counts."""
+    fields = [c for c in reports.columns if c not in (key, "report_date")]
+    one = reports.groupBy(key, "report_date").agg(F.max(F.struct(*fields)).alias("x"))
+    return one.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("report_date", "x")))).alias(name))
+
+
 def facts(key: str, **reports: DataFrame) -> DataFrame:
-    """An area's reports side by side, each as one struct named after it; all areas of any report."""
+    """An area's reports side by side, each as one struct named after it; all areas of any report.
+
+    A report has one row an area; collate() makes one of dated ones. More rows raise an error when the result is read.
+    """
     out = None
     for name, df in reports.items():
-        one = df.groupBy(key).agg(F.max(F.struct(*(c for c in df.columns if c != key))).alias(name))
+        x = F.struct(*(c for c in df.columns if c != key))
+        once = F.when(F.count("*") > 1, F.raise_error(F.lit(f"several {name} reports of one area"))).otherwise(F.max(x))
+        one = df.groupBy(key).agg(once.alias(name))
         out = one if out is None else out.join(one, key, "full")
     return out
 
