@@ -774,7 +774,7 @@ def _(v, spark, d):
     return planning.excavation_plan(where, planning.site_areas(planning.footprints(where, 8)), where.select("area_id", "site", (F.col("site") * 0.5).alias("depth_m")), v("areas")[0])
 
 
-@query("c7_excavation_totals", f"WITH {FOOT}, {BUILT}, m AS (SELECT area_id, site, count(*) * 3600.0e0 AS site_m2 FROM foot GROUP BY 1, 2), t AS (SELECT area_id, sum(CAST(round_even(site * 0.5e0 * site_m2, 0) AS BIGINT)) AS total FROM m GROUP BY 1), v AS (SELECT area_id, sum(CASE WHEN scenario_id = 1 THEN {OVER} ELSE 0 END) * 3600 AS a, sum(CASE WHEN scenario_id = 2 THEN {OVER} ELSE 0 END) * 3600 AS b, sum(CASE WHEN scenario_id = 3 THEN {OVER} ELSE 0 END) * 3600 AS o FROM runs JOIN built USING (area_id, r, c) WHERE built = 1 AND NOT EXISTS (SELECT 1 FROM foot WHERE foot.area_id = runs.area_id AND foot.r = runs.r AND foot.c = runs.c) GROUP BY 1) SELECT area_id, CAST(total AS BIGINT) AS total_excavation_m3, CAST(round_even(round(a, 4), 0) AS BIGINT) AS do_nothing_m3, CAST(round_even(round(b, 4), 0) AS BIGINT) AS equal_split_m3, CAST(round_even(round(o, 4), 0) AS BIGINT) AS optimal_m3, round_even(100 * (1 - o / greatest(a, 1)), 1) AS reduction_pct FROM t JOIN v USING (area_id)")
+@query("c7_excavation_totals", f"WITH {FOOT}, {BUILT}, m AS (SELECT area_id, site, count(*) * 3600.0e0 AS site_m2 FROM foot GROUP BY 1, 2), t AS (SELECT area_id, sum(CAST(round_even(site * 0.5e0 * site_m2, 0) AS BIGINT)) AS total FROM m GROUP BY 1), v AS (SELECT area_id, sum(CASE WHEN scenario_id = 1 THEN {OVER} ELSE 0 END) * 3600 AS a, sum(CASE WHEN scenario_id = 2 THEN {OVER} ELSE 0 END) * 3600 AS b, sum(CASE WHEN scenario_id = 3 THEN {OVER} ELSE 0 END) * 3600 AS o FROM runs JOIN built USING (area_id, r, c) WHERE built = 1 AND NOT EXISTS (SELECT 1 FROM foot WHERE foot.area_id = runs.area_id AND foot.r = runs.r AND foot.c = runs.c) GROUP BY 1) SELECT area_id, CAST(total AS BIGINT) AS total_excavation_m3, CAST(round_even(round(a, 4), 0) AS BIGINT) AS do_nothing_m3, CAST(round_even(round(b, 4), 0) AS BIGINT) AS equal_split_m3, CAST(round_even(round(o, 4), 0) AS BIGINT) AS optimal_m3, round_even(round(100 * (1 - o / greatest(a, 1)), 6), 1) AS reduction_pct FROM t JOIN v USING (area_id)")
 def _(v, spark, d):
     where = sites(v)
     foot = planning.footprints(where, 8)
@@ -843,7 +843,7 @@ def _(v, spark, d):
     return planning.canal_report(lines(v), v("areas")[0])
 
 
-@query("c12_canal_effect", f"WITH RECURSIVE {PATHS}, {BUILT}, streets AS (SELECT area_id, r, c FROM built b WHERE built = 1 AND NOT EXISTS (SELECT 1 FROM paths p WHERE p.area_id = b.area_id AND p.r = b.r AND p.c = b.c) AND NOT EXISTS (SELECT 1 FROM sinks s WHERE s.area_id = b.area_id AND s.r = b.r AND s.c = b.c)), x AS (SELECT area_id, coalesce(sum({OVER}) FILTER (scenario_id = 1), 0) * 3600 AS v0, coalesce(sum({OVER}) FILTER (scenario_id = 2), 0) * 3600 AS v1 FROM streets JOIN runs USING (area_id, r, c) GROUP BY 1), n AS (SELECT area_id, count(DISTINCT route_id) AS n_canals FROM paths GROUP BY 1) SELECT area_id, coalesce(n_canals, 0) AS n_canals, CAST(round_even(round(coalesce(v0, 0), 4), 0) AS BIGINT) AS before_m3, CAST(round_even(round(coalesce(v1, 0), 4), 0) AS BIGINT) AS after_m3, round_even(100 * (1 - coalesce(v1, 0) / greatest(coalesce(v0, 0), 1)), 1) AS reduction_pct FROM areas LEFT JOIN x USING (area_id) LEFT JOIN n USING (area_id)")
+@query("c12_canal_effect", f"WITH RECURSIVE {PATHS}, {BUILT}, streets AS (SELECT area_id, r, c FROM built b WHERE built = 1 AND NOT EXISTS (SELECT 1 FROM paths p WHERE p.area_id = b.area_id AND p.r = b.r AND p.c = b.c) AND NOT EXISTS (SELECT 1 FROM sinks s WHERE s.area_id = b.area_id AND s.r = b.r AND s.c = b.c)), x AS (SELECT area_id, coalesce(sum({OVER}) FILTER (scenario_id = 1), 0) * 3600 AS v0, coalesce(sum({OVER}) FILTER (scenario_id = 2), 0) * 3600 AS v1 FROM streets JOIN runs USING (area_id, r, c) GROUP BY 1), n AS (SELECT area_id, count(DISTINCT route_id) AS n_canals FROM paths GROUP BY 1) SELECT area_id, coalesce(n_canals, 0) AS n_canals, CAST(round_even(round(coalesce(v0, 0), 4), 0) AS BIGINT) AS before_m3, CAST(round_even(round(coalesce(v1, 0), 4), 0) AS BIGINT) AS after_m3, round_even(round(100 * (1 - coalesce(v1, 0) / greatest(coalesce(v0, 0), 1)), 6), 1) AS reduction_pct FROM areas LEFT JOIN x USING (area_id) LEFT JOIN n USING (area_id)")
 def _(v, spark, d):
     runs, ponds = v("runs", "sinks")
     depth = lambda k: runs.where(F.col("scenario_id") == k)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catchwater.operators import alerts, hydrology, planning, radar, sinks, terrain
+from catchwater.sources import tables
 
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
@@ -91,6 +92,60 @@ def test_routes_go_round_buildings(spark):
     assert all(mult[r, c] == 1 for _, r, c in path)
 
 
+def test_routes_follow_a_cheap_road(spark):
+    mult, z, end = np.ones((10, 40)), np.zeros((10, 40)), np.zeros((10, 40))
+    mult[1, :], end[8, 39] = 0.3, 1
+    costs = hydrology.cost_to_outfall(frame(spark, z=z, mult=mult, end=end).withColumn("is_outfall", F.col("end") == 1), tile=16)
+    source = spark.createDataFrame([(1, 7, 8, 0), (2, 8, 0, 0)], "area_id long, route_id int, r int, c int")
+    path = sorted((r.k, r.r, r.c) for r in hydrology.routes(hydrology.next_cells(costs), source).collect())
+    assert [k for k, _, _ in path] == list(range(len(path))) and path[-1][1:] == (8, 39)
+    assert sum(r == 1 for _, r, _ in path) > 20
+    assert all(max(abs(a[1] - b[1]), abs(a[2] - b[2])) == 1 for a, b in zip(path, path[1:]))
+
+
+@pytest.mark.parametrize("tile", [5, 64])
+def test_route_costs_match_a_heap(spark, dem, tile):
+    rng = np.random.default_rng(8)
+    mult, end = rng.choice([0.5, 1.0, 30.0], dem.shape), np.zeros(dem.shape)
+    end[2, 3] = end[11, 15] = 1
+    best, heap = np.where(end == 1, 0.0, np.inf), [(0.0, 2, 3), (0.0, 11, 15)]
+    while heap:
+        cost, i, j = heapq.heappop(heap)
+        if cost > best[i, j]:
+            continue
+        for a, b in EIGHT:
+            x, y = i + a, j + b
+            if 0 <= x < dem.shape[0] and 0 <= y < dem.shape[1]:
+                step = cost + 60.0 * (1.41421 if a and b else 1.0) * (1 + 40.0 * max(dem[i, j] - dem[x, y], 0)) * mult[i, j]
+                if step < best[x, y]:
+                    best[x, y] = step
+                    heapq.heappush(heap, (step, x, y))
+    got = hydrology.cost_to_outfall(frame(spark, z=dem, mult=mult, end=end).withColumn("is_outfall", F.col("end") == 1), tile=tile)
+    assert np.allclose(back(got, "cost", dem.shape), best)
+
+
+def test_reports_by_line_and_by_date(spark, tmp_path):
+    for day, rows in (("2024-06-01", [(1, 0.5), (2, 0.25)]), ("2024-06-03", [(1, 0.75)])):
+        tables.write_reports(spark.createDataFrame(rows, "area_id long, csi double").coalesce(1), str(tmp_path / day))
+    read = tables.read_reports(spark, str(tmp_path / "*"), "area_id long, csi double")
+    assert read.count() == 3
+    got = {r.area_id: {k: v.csi for k, v in r.scores.items()} for r in tables.collate(read).collect()}
+    assert got == {1: {"2024-06-01": 0.5, "2024-06-03": 0.75}, 2: {"2024-06-01": 0.25}}
+    (tmp_path / "twin_2024-07-01.json").write_text('{\n"area_id": 9,\n"csi": 1.0\n}')
+    assert [tuple(r) for r in tables.read_reports(spark, str(tmp_path / "twin_*.json"), "area_id long, csi double", whole_files=True).collect()] == [(9, 1.0, "2024-07-01")]
+    with pytest.raises(Exception, match="several scores reports"):
+        tables.facts("area_id", scores=read.drop("report_date")).collect()
+
+
+def test_wards_by_polygons_or_grid(spark):
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 1.5), (3, 9.0, 9.0)], "sink_id int, lat double, lon double")
+    square = lambda x: [{"lon": x + a, "lat": b} for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+    rings = lambda n: spark.createDataFrame([(f"w{i}", square(float(i))) for i in range(n)], "ward string, ring array<struct<lon: double, lat: double>>")
+    ward = lambda n: {r.sink_id: r.ward for r in alerts.assign_wards(points, rings(n), (0.0, 0.0, 2.0, 2.0)).collect()}
+    assert ward(5) == {1: "w0", 2: "w1", 3: None}
+    assert ward(4)[1] is None and ward(4)[3] is None  # on the grid's edges, and off it
+
+
 def test_perfect_threshold(spark):
     rows = [(1, 1 if i < 4 else 0, 5.0 if i < 4 else 0.0) for i in range(8) for _ in range(8)]
     df = spark.createDataFrame(rows, "event_id int, wet int, pred double")
