@@ -23,14 +23,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows that pass the adaptive rules."""
+    """Keeps the rows that pass the adaptive rules.
+
+    Null and empty texts have no words and leave; of rows that share an id each is judged by its own text; ties between
+    equal rows do not arise, as both stay or both leave. An empty table gives an empty table; other columns are left behind.
+    """
     docs = _keyed(docs)
     kept = judge(docs, ("row_key",)).where("kept").select("doc_id", "row_key")
     return docs.join(kept, ["doc_id", "row_key"], "left_semi").select(*COLUMNS)
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows that are not predicted toxic."""
+    """Keeps the rows that are not predicted toxic.
+
+    Null and empty texts have no evidence and stay; of rows that share an id each is judged by its own text. An empty
+    table gives an empty table; other columns are left behind.
+    """
     docs = _keyed(docs)
     kept = toxicity(docs, table(spark, sf_dir, "labels"), more=("row_key",)).where("predicted = 0").select("doc_id", "row_key")
     return docs.join(kept, ["doc_id", "row_key"], "left_semi").select(*COLUMNS)
@@ -45,20 +53,28 @@ def _row_of_each_id(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates, and one row of each id."""
+    """Keeps the document with the smallest id of each group of near duplicates, and one row of each id.
+
+    Null and empty texts are linked with nothing and stay. Of rows that share an id the one with the smallest key counts.
+    An empty table gives an empty table; other columns are left behind.
+    """
     docs = _row_of_each_id(docs)
     kept = near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts; a character that a removed run covers only in part stays whole."""
+    """Cuts repeated passages out of the texts; a character that a removed run covers only in part stays whole.
+
+    One row for each row: null texts become empty, rows that share an id take nothing from each other, n_chars is counted
+    anew. An empty table gives an empty table; other columns are left behind.
+    """
     texts = remove_repeats(docs, as_text=True, more=("lang", "source")).withColumn("text", F.col("kept").cast("string"))
     return texts.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences."""
+    """Packs the texts into sequences, one row for each piece; an empty text is one token, an empty table gives no rows."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
