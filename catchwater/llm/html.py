@@ -33,6 +33,8 @@ SUPPORT = 4
 WIDEST, LONGEST, DEEPEST = 12, 48, 48
 #: Wrappers aligned in one group, and hosts whose wrappers a task holds at once.
 FAN, HOSTS = 64, 2048
+#: Characters of all wrappers up to which they go whole to every task.
+BROADCAST = 16 << 20
 
 # Element names and usual class words.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -343,5 +345,8 @@ def extract(pages: DataFrame) -> DataFrame:
     gives an empty table; other columns are left behind.
     """
     rows = _hosts(pages)
-    # A plain join: wrappers are broadcast while they are small, and pages of a hot host are split beyond that.
-    return rows.join(wrappers(rows), "host").select("page_id", "url", "html", "host", "wrapper").mapInArrow(_extracted, "page_id long, url string, text string, host string")
+    found = wrappers(rows)
+    if (found.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= BROADCAST:
+        found = F.broadcast(found)
+    # Beyond that a plain join, in which pages of a hot host may be split, as nothing groups them.
+    return rows.join(found, "host").select("page_id", "url", "html", "host", "wrapper").mapInArrow(_extracted, "page_id long, url string, text string, host string")

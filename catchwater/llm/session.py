@@ -15,11 +15,15 @@ def release(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, so that later steps read files and not a long lineage.
 
-    The folder is spark.checkpoint.dir; only where a session sets none, as in tests, a temporary one serves.
+    The folder is spark.checkpoint.dir; only where a local session sets none, as in tests, a temporary one serves.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

@@ -253,3 +253,22 @@ def test_pipeline_with_repeated_ids(spark, make_docs, tmp_path):
     # Without an operator before it, cutting gives each row once, with its own text.
     whole = stages["repeated passages"](spark, clean, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.text, r.lang, r.source) for r in whole) == sorted((r.doc_id, r.text, r.lang, r.source) for r in clean.collect())
+
+
+def test_pipeline_with_odd_tables(spark, make_docs, tmp_path):
+    corpus = pytest.importorskip("corpus_pipeline")
+    import random
+
+    rng = random.Random(5)
+    say = lambda: " ".join("word%d" % rng.randrange(3000) for _ in range(90))
+    docs = make_docs([*((i, say()) for i in range(12)), (None, say()), (20, None), (21, ""), (22, say() + " é" * 200_000)])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).withColumns({n: F.lit("x") for n in ("kept", "row_key", "row", "score", "least", "starts")})
+    spark.createDataFrame([(0, 1, 1), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus.STAGES:
+        out = cut(stage(spark, docs, str(tmp_path)))
+        none = stage(spark, docs.where("doc_id < 0"), str(tmp_path))
+        assert none.count() == 0 and none.columns == out.columns
+        if name != "packing":
+            assert out.columns == corpus.COLUMNS and out.where("doc_id is null").count() == 0
+            assert out.where("doc_id between 0 and 11").count() == 12
+        assert (out.where("doc_id in (20, 21)").count() > 0) == (name != "quality rules")
