@@ -19,7 +19,7 @@ from catchwater.llm.session import cut, documents
 #: Labelled rows that the model is fitted on, at most.
 MAX_ROWS = 12_000
 #: Places of words and of shapes, and which neighbours count: the table of all vectors has a fixed size of 6 MB.
-PLACES, SHAPES, SIZE, ONES, WINDOW, NEAR, HIDDEN, THRESHOLD = 1 << 14, 64, 96, 8, 2, 4, 32, 0.7
+PLACES, SHAPES, SIZE, ONES, WINDOW, NEAR, HIDDEN, THRESHOLD = 1 << 14, 64, 96, 4, 2, 4, 32, 0.7
 
 _KIND = np.full(256, 2, np.uint8)  # signs
 _KIND[K.SPACE] = 0
@@ -80,9 +80,9 @@ def neighbours(batches):
             for d in range(1, WINDOW + 1):
                 same = np.flatnonzero(text[d:] == text[:-d])
                 for far, one, other in ((-d, same + d, same), (d, same, same + d)):
-                    spot = (at[word[other]] + far) % SIZE
-                    for place in (word[one], shape[one]):
-                        total += np.bincount((place[:, None] * SIZE + spot).reshape(-1), sign[word[other]].reshape(-1), len(total))
+                    spot, signs = (at[word[other]] + far) % SIZE, sign[word[other]].reshape(-1)
+                    key = [(place[one][:, None] * SIZE + spot).reshape(-1) for place in (word, shape)]
+                    total += np.bincount(np.concatenate(key), np.concatenate([signs, signs]), len(total))
     rows = total.reshape(-1, SIZE)
     some = np.flatnonzero(rows.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(some), K.list_array(rows[some].reshape(-1), np.arange(len(some) + 1) * SIZE)], ["place", "v"])
