@@ -2,11 +2,11 @@
 
 Four rates per text (symbols a character, repeated lines a line, repeated words a word, characters a word) feed one
 quantile sketch each per language and source, which merge into those of languages and of all. A fence is the median plus
-GROWTH times the group's reach. The reach starts with what one event makes in a long document of the group and walks out
-over the group's quantiles while each lies no further than GROWTH times what was reached so far: a clean group's whole
+GROWTH times the group's reach. The reach starts with what chance makes in a long document of the group (one event, or the
+counting error of the median rate, and so a few documents alike do not make a fence too close) and walks out over the group's quantiles while each lies no further than GROWTH times what was reached so far: a clean group's whole
 tail is within, and the jump to a minority of junk ends the walk. Fences of few documents are drawn towards those of their
-language, and these towards those of all, as if PRIOR more documents stood there. A document is never out for GROWTH
-events or fewer above the median.
+language, and these towards those of all, as if PRIOR more documents stood there. A document is never out for less than
+GROWTH times what chance makes at its own length.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -59,6 +59,12 @@ def _reach(walk: Column, start: Column) -> Column:
     return F.aggregate(walk, first, step, lambda now: now["r"])
 
 
+def chance(middle, of, unit: int) -> Column:
+    """What one event adds to a rate of so many, or the counting error of a rate of ``middle`` if that is more."""
+    n = F.greatest(of, F.lit(1.0))
+    return F.greatest(unit / n, F.sqrt(F.greatest(middle, F.lit(0.0)) * unit / n))
+
+
 def _fences(rows: DataFrame) -> DataFrame:
     """(lang, source) -> middle, floor and fence of each rate, from the merged sketches of source, language and all."""
     merged = {"source": ["lang", "source"], "lang": ["lang"], "all": []}
@@ -71,9 +77,9 @@ def _fences(rows: DataFrame) -> DataFrame:
     for rate, (_, of, unit) in RATES.items():
         for level in merged:
             up, down = ranks(f"{rate}_{level}", (0.5, *WALK)), ranks(f"{rate}_{level}", (0.5, *(1.0 - q for q in WALK)))
-            wide = wide.withColumns({"up": up, "down": down, "event": unit / F.greatest(ranks(f"{of}_{level}", (LONG,))[0], F.lit(1.0))})
+            wide = wide.withColumns({"up": up, "down": down, "long": ranks(f"{of}_{level}", (LONG,))[0]})
             middle = F.get("up", F.lit(0))
-            start = F.greatest("event", F.least(F.get("up", F.lit(1)) - middle, middle - F.get("down", F.lit(1))))
+            start = F.greatest(chance(middle, F.col("long"), unit), F.least(F.get("up", F.lit(1)) - middle, middle - F.get("down", F.lit(1))))
             higher, lower = (_reach(F.transform(F.slice(c, 2, len(WALK)), lambda q: F.abs(q - middle)), start) for c in ("up", "down"))
             wide = wide.withColumns({f"{rate}_middle_{level}": middle, f"{rate}_fence_{level}": middle + GROWTH * higher, f"{rate}_floor_{level}": middle - GROWTH * lower})
         for end in ("middle", "fence", "floor"):
@@ -94,6 +100,10 @@ def judge(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     rows = measure(docs, more).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     rows = cut(rows.withColumns({rate: F.col(events) / F.greatest(F.col(of), F.lit(1)) for rate, (events, of, _) in RATES.items()}))
     judged = rows.join(_fences(rows.where("not base_failed")), ["lang", "source"], "left")
-    # One part in a million allows for rounding.
-    within = F.expr(" and ".join(f"{r} <= greatest({r}_fence, {r}_middle + {GROWTH}D * {unit} / greatest({of}, 1)) + 1e-6 and {r} >= least({r}_floor, {r}_middle - {GROWTH}D * {unit} / greatest({of}, 1)) - 1e-6" for r, (_, of, unit) in RATES.items()))
+    within = F.lit(True)
+    for rate, (_, of, unit) in RATES.items():
+        x, middle = F.col(rate), F.col(f"{rate}_middle")
+        some = GROWTH * chance(middle, F.col(of).cast("double"), unit)
+        # One part in a million allows for rounding.
+        within = within & (x <= F.greatest(f"{rate}_fence", middle + some) + 1e-6) & (x >= F.least(f"{rate}_floor", middle - some) - 1e-6)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"), *more)

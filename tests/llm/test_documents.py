@@ -206,14 +206,17 @@ def test_rules_hold_in_a_source_with_much_junk(make_docs):
     assert all(got[i] for i in range(560)) and not any(got[i] for i in range(560, 809))
 
 
+def by_chance(middle, of, unit):
+    return max(unit / max(of, 1), (max(middle, 0) * unit / max(of, 1)) ** 0.5)
+
+
 def exact_fences(rates, units):
     """The walk over exact quantiles of one group: rates by name, each with its denominators."""
     out = {}
     for name, (values, of) in rates.items():
         at = lambda xs, q: sorted(xs)[max(0, int(np.ceil(round(q * len(xs), 9))) - 1)]
         middle = at(values, 0.5)
-        event = units[name] / max(at(of, rules.LONG), 1)
-        start = max(event, min(at(values, 0.75) - middle, middle - at(values, 0.25)))
+        start = max(by_chance(middle, at(of, rules.LONG), units[name]), min(at(values, 0.75) - middle, middle - at(values, 0.25)))
         ends = []
         for qs in (rules.WALK, [1 - q for q in rules.WALK]):
             reach = start
@@ -264,7 +267,7 @@ def test_rules_verdict_by_exact_quantiles(spark):
             for name, (_, d, unit) in rules.RATES.items():
                 middle, fence, floor = [(len(own) * s + rules.PRIOR * (len(tongue) * t + rules.PRIOR * e) / (len(tongue) + rules.PRIOR)) / (len(own) + rules.PRIOR) for s, t, e in zip(b[name], a[name], everything[name])]
                 differ.add((name, lang, round(fence, 9)))
-                some = rules.GROWTH * unit / max(of[i][d], 1)
+                some = rules.GROWTH * by_chance(middle, of[i][d], unit)
                 kept[i] &= min(floor, middle - some) - 1e-6 <= rate[i][name] <= max(fence, middle + some) + 1e-6
         kept[i] &= not got[i].base_failed
     assert {i: r.kept for i, r in got.items()} == kept and 0 < sum(kept.values()) < len(fine)
