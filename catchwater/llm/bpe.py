@@ -215,9 +215,14 @@ class Library(Replay):
 
     def __init__(self, ranks: dict[bytes, int], added: dict[bytes, int]):
         self.core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.added = added
+        self.added, self.bytes_of = added, {v: k for k, v in ranks.items()}
         self.find = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
+    @classmethod
+    @lru_cache(maxsize=None)
+    def of_ranks(cls, text: str) -> "Library":
+        return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in text.splitlines())}, {})
+
     @classmethod
     @lru_cache(maxsize=None)
     def of_json(cls, text: str) -> "Library":

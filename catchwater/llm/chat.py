@@ -16,7 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from catchwater.llm.bpe import RUN, Encoder, Replay, decode, rank_text
+from catchwater.llm.bpe import RUN, Encoder, Library, decode, rank_text
 from catchwater.llm.session import cut
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -91,7 +91,7 @@ def emit(conversations: list[tuple[str, list]], encode) -> dict:
 
 def _coder(ranks: str):
     """Ids of each of a list of texts; runs of texts are encoded together."""
-    encoder = Encoder(Replay.load(ranks))
+    encoder = Encoder(Library.of_ranks(ranks))
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         raw, out, i = [t.encode() for t in texts], [], 0
@@ -167,7 +167,7 @@ def _read(ranks):
     """Each path's digests, from the ids that its last segment attends to and that segment's own."""
 
     def apply(batches):
-        replay = Replay.load(ranks.value)
+        replay = Library.of_ranks(ranks.value)
         for batch in batches:
             rows = []
             for pack in batch.to_pylist():
