@@ -73,6 +73,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.metric import linked
+
+    return linked(table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
@@ -84,8 +102,18 @@ QUERIES = {
     "op6_suffix": op6_suffix,
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
+    "op11_metric": op11_metric,
+    "op12_repair": op12_repair,
+    "op13_importance": op13_importance,
 }
 
+#: CRC-32 of the strings of a table ``strings(x)``, as ``crcs(x, crc)``: bytewise over a table made by rule.
+_CRC = """
+    steps AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, b::BIGINT)) AS t),
+    spelt AS (SELECT x, hex(x) AS h FROM (SELECT DISTINCT x FROM strings)),
+    coded AS (SELECT x, list_transform(range(length(h) // 2), lambda i: (16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT) AS b FROM spelt),
+    crcs AS (SELECT x, xor(4294967295, list_reduce(b, lambda v, y: xor(t[(xor(v, y) & 255) + 1], v >> 8), 4294967295::BIGINT)) AS crc FROM coded, steps)"""
+
 ORACLE = {
     "op5_topk": """
         WITH v AS (
@@ -97,4 +125,65 @@ ORACLE = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_repair": rf"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS x FROM conversations
+        ), strings AS (SELECT x FROM keyed), {_CRC},
+        kinds AS (SELECT conv_id, turn, role, text, crc % 20 AS kind FROM keyed JOIN crcs USING (x)),
+        stand AS (
+            SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM kinds
+        ), placed AS (
+            SELECT *, row_number() OVER w - 1 AS k, lag(left(role, 1)) OVER w AS before, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final
+            FROM stand WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy)
+        ), faults AS (
+            SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed
+        ), told AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faults GROUP BY conv_id
+        ), closure(q, r, c, a) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (2, 3, 3, 'I'), (3, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')),
+        steps_of(q, x, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        edits AS (
+            SELECT conv_id, k, q, q AS r, 4 AS c, 'D' AS a FROM faults, (SELECT unnest([0, 1, 2, 3]) AS q)
+            UNION ALL SELECT conv_id, k, q, r, CASE WHEN x = left(role, 1) THEN 0 ELSE 3 END + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, CASE WHEN x = left(role, 1) THEN 'K' ELSE 'R' END
+            FROM faults, steps_of WHERE fault NOT IN ('blank', 'duplicate') AND (x = left(role, 1) OR x <> 's')
+        ), rules AS (SELECT e.conv_id, e.k, e.q, d.r, e.c + d.c AS c, e.a || d.a AS a FROM edits e JOIN closure d ON d.q = e.r),
+        best AS (
+            SELECT conv_id, 0::BIGINT AS k, r AS q, row(c, a) AS b FROM told, closure WHERE q = 0
+            UNION ALL SELECT p.conv_id, p.k + 1, s.r, min(row(p.b[1] + s.c, p.b[2] || s.a)) FROM best p JOIN rules s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.k = p.k AND s.q = p.q GROUP BY p.conv_id, p.k, s.r
+        ), plans AS (SELECT t.conv_id, min(b) AS b FROM told t JOIN best p ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.k = t.n AND q IN (0, 3) GROUP BY t.conv_id),
+        letters AS (SELECT conv_id, b[2] AS a, unnest(range(1, length(b[2]) + 1)) AS i FROM plans),
+        lines AS (
+            SELECT conv_id, i, a[i] AS e, length(regexp_replace(a[1:i - 1], 'I', '', 'g')) AS k,
+                   (length(regexp_replace(a[1:i - 1], 'D', '', 'g')) + length(regexp_replace(a, 'D', '', 'g'))) % 2 AS odd FROM letters
+        ), repaired AS (
+            SELECT l.conv_id, sha256(string_agg(CASE e WHEN 'K' THEN role ELSE CASE odd WHEN 1 THEN 'assistant' ELSE 'user' END END || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS h
+            FROM lines l LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.k = l.k WHERE e <> 'D' GROUP BY l.conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(p.b[1], 0)::BIGINT AS cost, coalesce(p.b[2], '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
+    "op13_importance": rf"""
+        WITH texts AS (
+            SELECT 0 AS target, doc_id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 1, NULL, text FROM benchmark
+        ), words AS (
+            SELECT target, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM texts
+        ), strings AS (SELECT x FROM words), {_CRC},
+        hits AS (SELECT target, doc_id, crc % 10000 AS bucket FROM words JOIN crcs USING (x)),
+        counts AS (SELECT bucket, sum(1 - target) AS s, sum(target) AS t FROM hits GROUP BY bucket),
+        totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts),
+        gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS g FROM counts, totals),
+        weights AS (SELECT doc_id, count(*) AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM hits JOIN gain USING (bucket) WHERE target = 0 GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM documents LEFT JOIN weights USING (doc_id) WHERE doc_id IS NOT NULL
+        ), placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN p.place <= 10 * p.n // 100 THEN p.place END AS rank
+        FROM scored s LEFT JOIN placed p USING (doc_id)
+    """,
 }
