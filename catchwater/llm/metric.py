@@ -5,10 +5,14 @@ Almost all other documents share no shingle and lie at distance 1, where no pivo
 apart along shingles: in one order of all shingles, rarer ones first, two linked documents have one in common among the first
 n - ceil(0.8 n) + 1 of each, whatever the order. Who shares such a shingle lies in one region.
 
+A profile bounds distances from below at a fraction of a set's size: how many shingles fall into each of PROFILE classes by
+hash. Sets differ in at least as many shingles as their profiles do, and linked sets differ in at most a ninth of their sizes'
+sum, so only what the profiles allow is compared shingle by shingle; no linked pair is lost.
+
 1. A region's pivot is its smallest document. Distances to it are taken once, and who is within RADIUS joins its ball: a
    region of copies of any size costs as many distances as it has members.
-2. Regions whose members are still in different components become one region for each lowest component and are joined
-   recursively. Within a task, pivots create Voronoi cells: each document belongs to its nearest pivot, and also visits each
+2. Regions whose members are still in different components become one region for each lowest component; members whose
+   profiles allow no link to another component leave, and the others are joined recursively. Within a task, pivots create Voronoi cells: each document belongs to its nearest pivot, and also visits each
    cell where the triangle inequality allows a linked member, that is, where it is no more than 2 RADIUS further from the
    cell's pivot than from its own, and no more than RADIUS beyond the cell's farthest member. What shares nothing with any
    pivot is one more cell, visited by all that are within RADIUS of that. Cells are cut again until they are small or pivots
@@ -31,6 +35,10 @@ THRESHOLD = 80
 RADIUS = 1 - THRESHOLD / 100
 #: Counters of shingles by their top bits.
 CELLS = 1 << 18
+#: Classes of shingles in a profile, counted to 255.
+PROFILE = 256
+#: Ids that are broadcast, at most; more of them are joined by a shuffle.
+SMALL = 1_000_000
 #: Members of a region that meet others in one task; documents that are joined pair by pair; pivots of one cut.
 BLOCK, LEAF, PIVOTS = 256, 24, 8
 
@@ -83,9 +91,22 @@ def _heads(docs: DataFrame) -> DataFrame:
                 begin = np.concatenate([[0], np.cumsum(take)])
                 spot = np.repeat(start[:-1] - begin[:-1], take) + np.arange(begin[-1])
                 keys = items[order[spot]].astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), *map(pa.array, _hashes(items, start)), K.list_array(keys, begin)], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+                kind = np.repeat(np.arange(j - i) * PROFILE, n) + ((items >> np.uint64(32)) % np.uint64(PROFILE)).astype(np.int64)
+                profile = np.minimum(np.bincount(kind, minlength=(j - i) * PROFILE), 255).astype(np.uint8)
+                profiles = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PROFILE), j - i, [None, pa.py_buffer(profile.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), *map(pa.array, _hashes(items, start)), K.list_array(keys, begin), profiles], ["doc_id", "n_shingles", "h1", "h2", "keys", "profile"])
+
+    return docs.mapInArrow(apply, "doc_id long, n_shingles long, h1 long, h2 long, keys array<int>, profile binary")
+
 
-    return docs.mapInArrow(apply, "doc_id long, n_shingles long, h1 long, h2 long, keys array<int>")
+def _profiles(column) -> np.ndarray:
+    return K.flat(column)[0].reshape(-1, PROFILE) if len(column) else np.zeros((0, PROFILE), np.uint8)
+
+
+def _may_link(profile: np.ndarray, size: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sizes and profiles leave it open that the sets are linked."""
+    least = np.abs(profile.astype(np.int16) - others).sum(-1, dtype=np.int64)
+    return (100 * np.minimum(size, sizes) >= THRESHOLD * np.maximum(size, sizes)) & (least * (100 + THRESHOLD) <= (100 - THRESHOLD) * (size + sizes))
 
 
 def _regions(batches):
@@ -117,8 +138,10 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
                 items, start = shingles(part, at)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *map(pa.array, _hashes(items, start)), K.list_array(items.view(np.int64), start)], ["doc_id", "h1", "h2", "items"])
 
-    named = wanted.join(reps.select("doc_id", "h1", "h2"), "doc_id")
-    texts = docs.join(wanted, "doc_id", "left_semi").mapInArrow(apply, "doc_id long, h1 long, h2 long, items array<long>")
+    named = cut(wanted.join(reps.select("doc_id", "h1", "h2"), "doc_id"))
+    if named.limit(SMALL + 1).count() <= SMALL:
+        named = F.broadcast(named)
+    texts = docs.join(named.select("doc_id"), "doc_id", "left_semi").mapInArrow(apply, "doc_id long, h1 long, h2 long, items array<long>")
     return cut(texts.join(named, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "items"))
 
 
@@ -201,32 +224,64 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[e] for x in links], pa.int64()) for e in (0, 1)], ["a", "b"])
 
 
+def _near(batches):
+    """Those pairs whose sizes and profiles allow a link."""
+    for batch in batches:
+        na, nb, x, y = batch.column("na").to_numpy(), batch.column("nb").to_numpy(), _profiles(batch.column("x")), _profiles(batch.column("y"))
+        yield batch.select(["a", "b"]).filter(pa.array(_may_link(x, na, y, nb)))
+
+
 def _balls(docs: DataFrame, reps: DataFrame, regions: DataFrame) -> DataFrame:
     """Links (a, b) between the pivots of regions and those members that are within RADIUS."""
     size = reps.select("doc_id", "n_shingles")
     pairs = regions.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
-    pairs = cut(pairs.select("a", "b"))
+    about = reps.select("doc_id", "profile")
+    pairs = cut(pairs.join(about.toDF("a", "x"), "a").join(about.toDF("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_near, "a long, b long"))
     sets = _sets(docs, reps, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(f"100 * n >= {THRESHOLD} * (m - n)").select("a", "b"))
 
 
+def _open(batches):
+    """Members of each row that may be linked with one of another component: low, doc_id, c."""
+    for batch in batches:
+        column = batch.column("members")
+        rows, field = column.offsets.to_numpy(), column.values.field
+        ids, side, group, size = (field(k).to_numpy(zero_copy_only=False) for k in ("id", "side", "c", "n"))
+        profiles, keep = _profiles(field("profile")), np.zeros(len(ids), bool)
+        for i, j in zip(rows[:-1], rows[1:]):
+            for p in range(i, j):
+                q = np.arange(i, j) if side[p] == 2 else np.flatnonzero(side[i:j] == 1) + i if side[p] == 0 else np.arange(0)
+                q = q[group[q] != group[p]]
+                q = q[_may_link(profiles[p], size[p], profiles[q], size[q])]
+                keep[q] = True
+                keep[p] |= len(q) > 0
+        low = np.repeat(batch.column("low").to_numpy(), np.diff(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (low, ids, group)], ["low", "doc_id", "c"])
+
+
+def _met(clusters: DataFrame, *more: str) -> DataFrame:
+    """low, members: blocks of each cluster's members, each two of them in one row."""
+    blocks = clusters.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    dealt = clusters.join(blocks, "low").withColumn("block", F.pmod(F.xxhash64("doc_id"), "nb"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side")
+    member = F.struct(F.col("doc_id").alias("id"), side, "c", *more)
+    return dealt.groupBy("low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(member).alias("members")).select("low", "members")
+
+
 def _ties(docs: DataFrame, reps: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
     """Links between components within regions, joined recursively."""
     members = regions.select("key", "doc_id").union(regions.select("key", F.col("pivot").alias("doc_id")).distinct())
     placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     clusters = cut(placed.join(mixed, "key").select("low", "doc_id", "c").distinct())
-    sets = _sets(docs, reps, clusters.select("doc_id").distinct())
-    blocks = clusters.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    dealt = clusters.join(blocks, "low").withColumn("block", F.pmod(F.xxhash64("doc_id"), "nb"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side")
-    member = F.struct(F.col("doc_id").alias("id"), side, "c", "items")
-    met = dealt.join(sets, "doc_id").groupBy("low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(member).alias("members"))
-    return cut(met.select("members").mapInArrow(_meet, "a long, b long").distinct())
+    about = reps.select("doc_id", F.col("n_shingles").alias("n"), "profile")
+    opened = cut(_met(clusters.join(about, "doc_id"), "n", "profile").mapInArrow(_open, "low long, doc_id long, c long").distinct())
+    sets = _sets(docs, reps, opened.select("doc_id").distinct())
+    return cut(_met(opened.join(sets, "doc_id"), "items").select("members").mapInArrow(_meet, "a long, b long").distinct())
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -238,12 +293,14 @@ def linked(docs: DataFrame) -> DataFrame:
     empty table; other columns are left behind.
     """
     docs = documents(docs)
-    heads = _heads(docs).select(F.struct("doc_id", "h1", "h2", "n_shingles", "keys").alias("r"))
+    heads = _heads(docs).select(F.struct("doc_id", "h1", "h2", "n_shingles", "keys", "profile").alias("r"))
     every = cut(heads.groupBy("r.doc_id").agg(F.min("r").alias("r")).select("r.*"))
-    same = every.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = cut(every.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    same = cut(every.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    reps = every.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     keyed = reps.select("doc_id", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "doc_id")
     regions = cut(keyed.mapInArrow(_regions, "key int, pivot long, doc_id long"))
+    reps = cut(reps.drop("keys"))
+    release(docs.sparkSession)
     links = _balls(docs, reps, regions)
     found = components(links)
     release(docs.sparkSession)
