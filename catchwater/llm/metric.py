@@ -9,7 +9,7 @@ A profile bounds distances from below at a fraction of a set's size: how many sh
 hash. Sets differ in at least as many shingles as their profiles do, and linked sets differ in at most a ninth of their sizes'
 sum, so only what the profiles allow is compared shingle by shingle; no linked pair is lost.
 
-1. A region's pivot is its smallest document. Distances to it are taken once, and who is within RADIUS joins its ball: a
+1. A region's pivot is its smallest document, and regions with the same pivot are one. Distances to it are taken once, and who is within RADIUS joins its ball: a
    region of copies of any size costs as many distances as it has members.
 2. Regions whose members are still in different components become one region for each lowest component; members whose
    profiles allow no link to another component leave, and the others are joined recursively. Within a task, pivots create Voronoi cells: each document belongs to its nearest pivot, and also visits each
@@ -109,8 +109,13 @@ def _may_link(profile: np.ndarray, size: np.ndarray, others: np.ndarray, sizes:
     return (100 * np.minimum(size, sizes) >= THRESHOLD * np.maximum(size, sizes)) & (least * (100 + THRESHOLD) <= (100 - THRESHOLD) * (size + sizes))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def _regions(batches):
-    """Rows sorted by key and id -> key, pivot, doc_id of each key that more than one document has."""
+    """Rows sorted by key and id -> pivot, doc_id for each other document that has a pivot's key."""
     last_key = pivot = None
     for batch in batches:
         key, ids = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
@@ -124,8 +129,8 @@ def _regions(batches):
         of = np.cumsum(new) - (1 if new[0] else 0)
         pivots = first[of]
         last_key, pivot = key[-1], pivots[-1]
-        some = ~new
-        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(pivots[some]), pa.array(ids[some])], ["key", "pivot", "doc_id"])
+        some = ids != pivots
+        yield pa.RecordBatch.from_arrays([pa.array(pivots[some]), pa.array(ids[some])], ["pivot", "doc_id"])
 
 
 def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -138,9 +143,7 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
                 items, start = shingles(part, at)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *map(pa.array, _hashes(items, start)), K.list_array(items.view(np.int64), start)], ["doc_id", "h1", "h2", "items"])
 
-    named = cut(wanted.join(reps.select("doc_id", "h1", "h2"), "doc_id"))
-    if named.limit(SMALL + 1).count() <= SMALL:
-        named = F.broadcast(named)
+    named = _small(cut(_small(wanted).join(reps.select("doc_id", "h1", "h2"), "doc_id")))
     texts = docs.join(named.select("doc_id"), "doc_id", "left_semi").mapInArrow(apply, "doc_id long, h1 long, h2 long, items array<long>")
     return cut(texts.join(named, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "items"))
 
@@ -233,12 +236,10 @@ def _near(batches):
 
 def _balls(docs: DataFrame, reps: DataFrame, regions: DataFrame) -> DataFrame:
     """Links (a, b) between the pivots of regions and those members that are within RADIUS."""
-    size = reps.select("doc_id", "n_shingles")
-    pairs = regions.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
-    about = reps.select("doc_id", "profile")
-    pairs = cut(pairs.join(about.toDF("a", "x"), "a").join(about.toDF("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_near, "a long, b long"))
-    sets = _sets(docs, reps, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    pairs = _small(regions.toDF("a", "b"))
+    size = reps.select("doc_id", "n_shingles", "profile")
+    pairs = cut(pairs.join(size.toDF("a", "na", "x"), "a").join(size.toDF("b", "nb", "y"), "b").where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)").mapInArrow(_near, "a long, b long"))
+    sets = _sets(docs, reps, cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(f"100 * n >= {THRESHOLD} * (m - n)").select("a", "b"))
@@ -274,13 +275,13 @@ def _met(clusters: DataFrame, *more: str) -> DataFrame:
 
 def _ties(docs: DataFrame, reps: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
     """Links between components within regions, joined recursively."""
-    members = regions.select("key", "doc_id").union(regions.select("key", F.col("pivot").alias("doc_id")).distinct())
-    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    clusters = cut(placed.join(mixed, "key").select("low", "doc_id", "c").distinct())
+    members = regions.union(regions.select("pivot", F.col("pivot").alias("doc_id")).distinct())
+    placed = cut(members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("pivot", "doc_id", F.coalesce("component_id", "doc_id").alias("c")))
+    mixed = placed.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    clusters = _small(cut(placed.join(mixed, "pivot").select("low", "doc_id", "c").distinct()))
     about = reps.select("doc_id", F.col("n_shingles").alias("n"), "profile")
     opened = cut(_met(clusters.join(about, "doc_id"), "n", "profile").mapInArrow(_open, "low long, doc_id long, c long").distinct())
-    sets = _sets(docs, reps, opened.select("doc_id").distinct())
+    sets = _sets(docs, reps, cut(opened.select("doc_id").distinct()))
     return cut(_met(opened.join(sets, "doc_id"), "items").select("members").mapInArrow(_meet, "a long, b long").distinct())
 
 
@@ -293,13 +294,14 @@ def linked(docs: DataFrame) -> DataFrame:
     empty table; other columns are left behind.
     """
     docs = documents(docs)
-    heads = _heads(docs).select(F.struct("doc_id", "h1", "h2", "n_shingles", "keys", "profile").alias("r"))
-    every = cut(heads.groupBy("r.doc_id").agg(F.min("r").alias("r")).select("r.*"))
+    heads = cut(_heads(docs))
+    every = cut(heads.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n_shingles")).alias("r"), F.count("*").alias("times")).select("doc_id", "r.*", "times"))
     same = cut(every.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = every.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = heads.join(_small(same.select(F.col("rep").alias("doc_id"), "h1", "h2")), ["doc_id", "h1", "h2"], "left_semi")
+    if every.where("times > 1").limit(1).count():
+        reps = cut(reps.dropDuplicates(["doc_id"]))
     keyed = reps.select("doc_id", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "doc_id")
-    regions = cut(keyed.mapInArrow(_regions, "key int, pivot long, doc_id long"))
-    reps = cut(reps.drop("keys"))
+    regions = cut(keyed.mapInArrow(_regions, "pivot long, doc_id long").distinct())
     release(docs.sparkSession)
     links = _balls(docs, reps, regions)
     found = components(links)
