@@ -12,7 +12,7 @@ sum, so only what the profiles allow is compared shingle by shingle; no linked p
 1. A region's pivot is its smallest document, and regions with the same pivot are one. Distances to it are taken once, and who is within RADIUS joins its ball: a
    region of copies of any size costs as many distances as it has members.
 2. Regions whose members are still in different components become one region for each lowest component; members whose
-   profiles allow no link to another component leave, and the others are joined recursively. Within a task, pivots create Voronoi cells: each document belongs to its nearest pivot, and also visits each
+   profiles, first coarse, then fine, allow no link to another component leave, and the others are joined recursively. Within a task, pivots create Voronoi cells: each document belongs to its nearest pivot, and also visits each
    cell where the triangle inequality allows a linked member, that is, where it is no more than 2 RADIUS further from the
    cell's pivot than from its own, and no more than RADIUS beyond the cell's farthest member. What shares nothing with any
    pivot is one more cell, visited by all that are within RADIUS of that. Cells are cut again until they are small or pivots
@@ -35,8 +35,8 @@ THRESHOLD = 80
 RADIUS = 1 - THRESHOLD / 100
 #: Counters of shingles by their top bits.
 CELLS = 1 << 18
-#: Classes of shingles in a profile, counted to 255.
-PROFILE = 256
+#: Classes of shingles in a profile, counted to 255, and in the finer one that only what is left by the first gets.
+PROFILE, FINE = 256, 4096
 #: Ids that are broadcast, at most; more of them are joined by a shuffle.
 SMALL = 1_000_000
 #: Members of a region that meet others in one task; documents that are joined pair by pair; pivots of one cut.
@@ -91,16 +91,32 @@ def _heads(docs: DataFrame) -> DataFrame:
                 begin = np.concatenate([[0], np.cumsum(take)])
                 spot = np.repeat(start[:-1] - begin[:-1], take) + np.arange(begin[-1])
                 keys = items[order[spot]].astype(np.uint32).view(np.int32)
-                kind = np.repeat(np.arange(j - i) * PROFILE, n) + ((items >> np.uint64(32)) % np.uint64(PROFILE)).astype(np.int64)
-                profile = np.minimum(np.bincount(kind, minlength=(j - i) * PROFILE), 255).astype(np.uint8)
-                profiles = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PROFILE), j - i, [None, pa.py_buffer(profile.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), *map(pa.array, _hashes(items, start)), K.list_array(keys, begin), profiles], ["doc_id", "n_shingles", "h1", "h2", "keys", "profile"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), *map(pa.array, _hashes(items, start)), K.list_array(keys, begin), _profiled(items, start, PROFILE)], ["doc_id", "n_shingles", "h1", "h2", "keys", "profile"])
 
     return docs.mapInArrow(apply, "doc_id long, n_shingles long, h1 long, h2 long, keys array<int>, profile binary")
 
 
 def _profiles(column) -> np.ndarray:
-    return K.flat(column)[0].reshape(-1, PROFILE) if len(column) else np.zeros((0, PROFILE), np.uint8)
+    data, off = K.flat(column)
+    return data[off[0] : off[-1]].reshape(len(column), -1) if len(column) else np.zeros((0, PROFILE), np.uint8)
+
+
+def _profiled(items: np.ndarray, at: np.ndarray, classes: int) -> pa.Array:
+    """How many shingles of each set fall into each class, by their upper bits."""
+    kind = np.repeat(np.arange(len(at) - 1) * classes, np.diff(at)) + ((items >> np.uint64(32)) % np.uint64(classes)).astype(np.int64)
+    profile = np.minimum(np.bincount(kind, minlength=(len(at) - 1) * classes), 255).astype(np.uint8)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(classes), len(at) - 1, [None, pa.py_buffer(profile.tobytes())]).cast(pa.binary())
+
+
+def _finer(batches):
+    """doc_id, n and the finer profile of whole sets."""
+    for batch in batches:
+        for i in range(0, len(batch), 512):
+            part = batch.slice(i, 512)
+            sets = part.column("items")
+            at = sets.offsets.to_numpy().astype(np.int64)
+            items = sets.values.to_numpy(zero_copy_only=False).view(np.uint64)[at[0] : at[-1]]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), _profiled(items, at - at[0], FINE)], ["doc_id", "n", "profile"])
 
 
 def _may_link(profile: np.ndarray, size: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -133,8 +149,8 @@ def _regions(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pivots[some]), pa.array(ids[some])], ["pivot", "doc_id"])
 
 
-def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and items: the whole shingle sets of the wanted ids."""
+def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """doc_id and items: the whole shingle sets of the wanted ids. repeated: rows may share an id."""
 
     def apply(batches):
         for batch in batches:
@@ -145,7 +161,8 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
 
     named = _small(cut(_small(wanted).join(reps.select("doc_id", "h1", "h2"), "doc_id")))
     texts = docs.join(named.select("doc_id"), "doc_id", "left_semi").mapInArrow(apply, "doc_id long, h1 long, h2 long, items array<long>")
-    return cut(texts.join(named, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "items"))
+    found = texts.join(named, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "items")
+    return cut(found.dropDuplicates(["doc_id"]) if repeated else found)
 
 
 class Space:
@@ -234,13 +251,13 @@ def _near(batches):
         yield batch.select(["a", "b"]).filter(pa.array(_may_link(x, na, y, nb)))
 
 
-def _balls(docs: DataFrame, reps: DataFrame, regions: DataFrame) -> DataFrame:
+def _balls(docs: DataFrame, reps: DataFrame, regions: DataFrame, repeated: bool) -> DataFrame:
     """Links (a, b) between the pivots of regions and those members that are within RADIUS."""
     pairs = _small(regions.toDF("a", "b"))
     size = reps.select("doc_id", "n_shingles", "profile")
     pairs = cut(pairs.join(size.toDF("a", "na", "x"), "a").join(size.toDF("b", "nb", "y"), "b").where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)").mapInArrow(_near, "a long, b long"))
-    sets = _sets(docs, reps, cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    sets = _sets(docs, reps, cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), repeated)
+    both = _small(pairs).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(f"100 * n >= {THRESHOLD} * (m - n)").select("a", "b"))
 
@@ -263,26 +280,29 @@ def _open(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (low, ids, group)], ["low", "doc_id", "c"])
 
 
-def _met(clusters: DataFrame, *more: str) -> DataFrame:
-    """low, members: blocks of each cluster's members, each two of them in one row."""
-    blocks = clusters.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+def _met(clusters: DataFrame, about: DataFrame, *more: str) -> DataFrame:
+    """low, members: blocks of each cluster's members, each two of them in one row, with columns of about."""
+    blocks = _small(cut(clusters.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))))
     dealt = clusters.join(blocks, "low").withColumn("block", F.pmod(F.xxhash64("doc_id"), "nb"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side")
     member = F.struct(F.col("doc_id").alias("id"), side, "c", *more)
-    return dealt.groupBy("low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(member).alias("members")).select("low", "members")
+    return _small(dealt).join(about, "doc_id").groupBy("low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(member).alias("members")).select("low", "members")
 
 
-def _ties(docs: DataFrame, reps: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
+def _ties(docs: DataFrame, reps: DataFrame, regions: DataFrame, found: DataFrame, repeated: bool) -> DataFrame:
     """Links between components within regions, joined recursively."""
     members = regions.union(regions.select("pivot", F.col("pivot").alias("doc_id")).distinct())
     placed = cut(members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("pivot", "doc_id", F.coalesce("component_id", "doc_id").alias("c")))
     mixed = placed.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    clusters = _small(cut(placed.join(mixed, "pivot").select("low", "doc_id", "c").distinct()))
+    clusters = cut(placed.join(mixed, "pivot").select("low", "doc_id", "c").distinct())
     about = reps.select("doc_id", F.col("n_shingles").alias("n"), "profile")
-    opened = cut(_met(clusters.join(about, "doc_id"), "n", "profile").mapInArrow(_open, "low long, doc_id long, c long").distinct())
-    sets = _sets(docs, reps, cut(opened.select("doc_id").distinct()))
-    return cut(_met(opened.join(sets, "doc_id"), "items").select("members").mapInArrow(_meet, "a long, b long").distinct())
+    opened = cut(_met(clusters, about, "n", "profile").mapInArrow(_open, "low long, doc_id long, c long").distinct())
+    release(docs.sparkSession)
+    sets = _sets(docs, reps, cut(opened.select("doc_id").distinct()), repeated)
+    fine = sets.mapInArrow(_finer, "doc_id long, n long, profile binary")
+    opened = cut(_met(opened, fine, "n", "profile").mapInArrow(_open, "low long, doc_id long, c long").distinct())
+    return cut(_met(opened, sets, "items").select("members").mapInArrow(_meet, "a long, b long").distinct())
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -298,15 +318,18 @@ def linked(docs: DataFrame) -> DataFrame:
     every = cut(heads.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n_shingles")).alias("r"), F.count("*").alias("times")).select("doc_id", "r.*", "times"))
     same = cut(every.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = heads.join(_small(same.select(F.col("rep").alias("doc_id"), "h1", "h2")), ["doc_id", "h1", "h2"], "left_semi")
-    if every.where("times > 1").limit(1).count():
+    repeated = every.where("times > 1").limit(1).count() > 0
+    if repeated:
         reps = cut(reps.dropDuplicates(["doc_id"]))
     keyed = reps.select("doc_id", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "doc_id")
     regions = cut(keyed.mapInArrow(_regions, "pivot long, doc_id long").distinct())
+    reps = cut(reps.drop("keys"))
+    del heads, keyed
     release(docs.sparkSession)
-    links = _balls(docs, reps, regions)
-    found = components(links)
+    links = _balls(docs, reps, regions, repeated)
     release(docs.sparkSession)
-    ties = _ties(docs, reps, regions, found)
+    found = components(links)
+    ties = _ties(docs, reps, regions, found, repeated)
     if ties.limit(1).count():
         found = components(links.union(ties))
     by_class = every.select("doc_id", "n_shingles", "h1", "h2").join(same, ["h1", "h2", "n_shingles"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
