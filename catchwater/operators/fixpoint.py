@@ -1,4 +1,4 @@
-"""Monotone relaxation over a grid: tiles are solved whole, many to a task, and hand one-cell halos on."""
+"""Monotone relaxation over a grid: tiles are solved whole, and only those whose neighbours' border fell are solved again."""
 
 from collections.abc import Callable
 
@@ -7,20 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from catchwater.checkpoints import cut
-
-TILE = 256
-#: Cells that a task solves at once, about.
-CELLS = 1 << 19
-
-EIGHT = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
-FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+from catchwater.operators.tiles import EIGHT, FOUR, TILE, TILE_KEY, Pack, by_tiles, on_rim, placed, small, towards  # noqa: F401
 
 Edge = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, bool], np.ndarray]
+#: Rows of a tile: its own cells, its neighbours' cells beside it, and values that have arrived for the latter.
+OWN, BESIDE, ARRIVED = 0, 1, 2
 
 
-def _spread(layers: dict[str, np.ndarray], v: np.ndarray, own: np.ndarray, width: np.ndarray, edge: Edge, around) -> None:
+def spread(layers: dict[str, np.ndarray], v: np.ndarray, own: np.ndarray, width: np.ndarray, edge: Edge, around, front: np.ndarray) -> None:
     """Lowers v in place over flat tiles: only cells beside one that has just fallen are looked at again."""
-    front = np.flatnonzero(np.isfinite(v))
     while len(front):
         fallen = []
         for a, b in around:
@@ -35,55 +30,90 @@ def _spread(layers: dict[str, np.ndarray], v: np.ndarray, own: np.ndarray, width
         front = np.unique(np.concatenate(fallen))
 
 
-def relax(cells: DataFrame, layers: list[str], edge: Edge, around=EIGHT, tile: int = TILE) -> DataFrame:
+def relax(cells: DataFrame, layers: list[str], edge: Edge, around=EIGHT, tile: int = TILE, start=None, finish=None, outputs: str = "", rounds: list[int] | None = None) -> DataFrame:
     """Lowers v (a double; inf where nothing reaches) until no neighbour lowers a cell any more.
 
-    cells: area_id, r, c, v and the layers. ``edge(layers, start, to, diagonal)`` gives the value that the cells ``to``
-    may fall to from their neighbours ``start``, indices into flat arrays of the layers and v. Areas of one tile are done
-    after one shuffle; larger areas go on while a cell beside another tile has fallen.
+    cells: area_id, r, c, v and the layers; ``start(layers, own, width)`` may give v instead. ``edge(layers, start, to,
+    diagonal)`` gives the value that the cells ``to`` may fall to from their neighbours ``start``, indices into flat arrays
+    of the layers and v. ``finish(layers, at, width, r, c)`` may add the columns ``outputs`` (all double) for the cells
+    ``at`` from the final v, their neighbours in other tiles included.
+
+    Cells are shuffled once; tiles that touch no other are done then. Of the others, border values travel from round to
+    round; a tile runs again only if a value beside it fell, and a last pass gives the cells. ``rounds`` gets the number of
+    tiles run in each round.
     """
-    names = ["area_id", "r", "c", "v", *layers]
-    schema = ", ".join(["area_id long, r int, c int", *(f"{x} double" for x in ["v", *layers]), "many boolean, moved boolean"])
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        key, at = np.unique(rows[["area_id", "tr", "tc"]].to_numpy(np.int64), axis=0, return_inverse=True)
-        at = at.reshape(-1)
-        r, c = rows["r"].to_numpy() - key[at, 1] * tile + 1, rows["c"].to_numpy() - key[at, 2] * tile + 1
-        high, wide = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)  # small areas fill only a corner of their tile
-        np.maximum.at(high, at, r + 2)
-        np.maximum.at(wide, at, c + 2)
-        begin = np.concatenate([[0], np.cumsum(high * wide)])
-        spot = begin[at] + r * wide[at] + c
-        flat = {x: np.full(begin[-1], np.nan) for x in layers}
-        for x in layers:
-            flat[x][spot] = rows[x].to_numpy()
-        v, own = np.full(begin[-1], np.inf), np.zeros(begin[-1], bool)
-        before = rows["v"].to_numpy()
-        v[spot] = before
-        mine = (r >= 1) & (r <= tile) & (c >= 1) & (c <= tile)
-        own[spot[mine]] = True
-        _spread(flat, v, own, np.repeat(wide, high * wide), edge, around)
-        rim = (r == 1) | (r == tile) | (c == 1) | (c == tile)
-        moved = rows["many"].to_numpy(bool) & rim & (v[spot] != before)
-        return rows.assign(v=v[spot], moved=moved)[mine][[*names, "many", "moved"]]
-
-    def near(x: str):
-        at = F.floor(F.col(x) / tile).cast("int")
-        low, high = F.col("many") & (F.col(x) % tile == 0) & (at > 0), F.col("many") & (F.col(x) % tile == tile - 1)
-        return F.array_compact(F.array(at, F.when(low, at - 1), F.when(high, at + 1)))
-
-    def once(now: DataFrame, tasks: int) -> DataFrame:
-        # tiles that only a halo names have no cells of their own and return none
-        spread = now.withColumn("tr", F.explode(near("r"))).withColumn("tc", F.explode(near("c")))
-        dealt = spread.withColumn("task", F.pmod(F.xxhash64("area_id", "tr", "tc"), F.lit(tasks)))
-        return cut(dealt.groupBy("task").applyInPandas(solve, schema))
-
-    start = cells.select(F.col("area_id").cast("long").alias("area_id"), "r", "c", *(F.col(x).cast("double").alias(x) for x in ["v", *layers]))
-    size = start.groupBy("area_id").agg(((F.max("r") >= tile) | (F.max("c") >= tile)).alias("many"))
-    now = cut(start.join(size, "area_id"))
-    tasks = max(1, -(-now.count() // CELLS))
-    now = once(now, tasks)
-    small = now.where("not many").select(*names)
-    while now.where("moved").limit(1).count():
-        now = once(now.where("many"), tasks)
-    return small.union(now.where("many").select(*names))
+    key = ["area_id", "r", "c"]
+    names = [x.split()[0] for x in outputs.split(",") if x]
+    extra = "".join(f", {n} double" for n in names)
+    schema = "area_id long, tr int, tc int, r int, c int, kind int, open boolean, v double" + "".join(f", {x} double" for x in layers) + extra
+
+    def solved(rows: pd.DataFrame, first: bool):
+        p, kind, before = Pack(rows, tile), rows["kind"].to_numpy(), rows["v"].to_numpy(np.float64)
+        flat = {x: p.flat(rows[x].to_numpy(np.float64), rows=kind != ARRIVED) for x in layers}
+        own = np.zeros(p.size, bool)
+        own[p.spot[kind == OWN]] = True
+        v = np.full(p.size, np.inf)
+        if first:
+            v[p.spot[kind == OWN]] = before[kind == OWN]
+            if start:
+                v = np.where(own, start(flat, own, p.width), np.inf)
+            front = np.flatnonzero(np.isfinite(v))
+        else:
+            use = kind != BESIDE
+            v[p.spot[use]] = before[use]
+            front = np.unique(p.spot[kind == ARRIVED])
+        spread(flat, v, own, p.width, edge, around, front)
+        return p, kind, flat | {"v": v}
+
+    def finished(rows: pd.DataFrame, p: Pack, flat: dict, at: np.ndarray) -> dict:
+        return finish(flat, p.spot[at], p.width, p.r[at], p.c[at]) if finish else {}
+
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        p, kind, flat = solved(rows, True)
+        opened = np.maximum.reduceat(kind, p.heads)[p.tile] > OWN
+        made = finished(rows, p, flat, np.arange(len(rows)))
+        alone = np.minimum.reduceat(kind, p.heads)[p.tile] == OWN  # a tile that only its neighbours name has no cells
+        return rows.assign(open=opened, v=flat["v"][p.spot], **made)[alone]
+
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
+        p, kind, flat = solved(rows, False)
+        k, c = (p.r - p.r0) % tile, (p.c - p.c0) % tile
+        rim = (kind == OWN) & ((k == 0) | (k == tile - 1) | (c == 0) | (c == tile - 1))
+        return rows.assign(v=flat["v"][p.spot])[rim][[*TILE_KEY, "r", "c", "v"]]
+
+    def last(rows: pd.DataFrame) -> pd.DataFrame:
+        p, kind, flat = solved(rows, False)
+        at = np.flatnonzero(kind == OWN)
+        return rows.iloc[at].assign(v=flat["v"][p.spot[at]], **finished(rows, p, flat, at))
+
+    def sent(border: DataFrame) -> DataFrame:
+        return towards(border.where("v < double('inf')").where(on_rim(tile)), tile).select(*TILE_KEY, "r", "c", "v")
+
+    own = cells.withColumn("v", F.lit(float("inf"))) if start else cells
+    own = placed(own.select(F.col("area_id").cast("long").alias("area_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), *(F.col(x).cast("double").alias(x) for x in ["v", *layers])), tile)
+    rows = own.withColumn("kind", F.lit(OWN)).unionByName(towards(own, tile).withColumn("kind", F.lit(BESIDE)))
+    now = cut(by_tiles(rows.select(*TILE_KEY, "r", "c", "kind", "v", *layers), first, schema))
+    done = now.where("not open").select(*key, "v", *layers, *names)
+    opened = now.where("open").drop("open", *names)
+    arriving = sent(opened.where(f"kind = {OWN}"))
+    if not arriving.limit(1).count() and not opened.limit(1).count():
+        return done
+
+    def dealt(tiles: DataFrame, values: DataFrame) -> DataFrame:
+        return tiles.unionByName(values.select(*TILE_KEY, "r", "c", "v").withColumn("kind", F.lit(ARRIVED)), allowMissingColumns=True)
+
+    homes = small(cut(opened.select(*TILE_KEY).distinct()))
+    known = cut(arriving.join(homes, TILE_KEY, "left_semi").groupBy(*TILE_KEY, "r", "c").agg(F.min("v").alias("v"))).withColumn("fell", F.lit(True))
+    while True:
+        active = small(cut(known.where("fell").select(*TILE_KEY).distinct()))
+        n = active.count()
+        if not n:
+            break
+        if rounds is not None:
+            rounds.append(n)
+        moved = by_tiles(dealt(opened.join(active, TILE_KEY, "left_semi"), known.join(active, TILE_KEY, "left_semi")), again, "area_id long, tr int, tc int, r int, c int, v double")
+        both = known.select(*TILE_KEY, "r", "c", "v", F.col("v").alias("old")).unionByName(sent(moved).join(homes, TILE_KEY, "left_semi"), allowMissingColumns=True)
+        told = both.groupBy(*TILE_KEY, "r", "c").agg(F.min("v").alias("v"), F.min("old").alias("old"))
+        known = cut(told.select(*TILE_KEY, "r", "c", "v", (F.col("old").isNull() | (F.col("v") < F.col("old"))).alias("fell")))
+    final = by_tiles(dealt(opened, known), last, schema.replace("open boolean, ", ""))
+    return done.unionByName(final.select(*key, "v", *layers, *names))

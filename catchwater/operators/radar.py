@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catchwater.operators.grid import KEY, pool
+from catchwater.operators.quantiles import quantiles
 from catchwater.operators.terrain import focal_mode
 from catchwater.params import DEFAULT
 
@@ -95,9 +96,9 @@ def best_threshold(swept: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantile_grid(rows: DataFrame, value: str, n: int = 25, low: float = 0.5, high: float = 0.99) -> DataFrame:
-    """Candidate thresholds at n evenly spaced quantiles."""
+    """Candidate thresholds at n evenly spaced quantiles, exact however many rows there are."""
     at = [low + (high - low) * k / (n - 1) for k in range(n)]
-    return rows.agg(F.percentile(value, F.array(*map(F.lit, at))).alias("q")).select(F.posexplode("q").alias("k", "t"))
+    return quantiles(rows, [], [value], at).select(F.posexplode(value).alias("k", "t"))
 
 
 def linear_grid(spark, low: float, high: float, n: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Raster-like inputs from the driver's relational tables, as SQL that Spark and other engines both read.
 
-Cells: a 16 x 16 grid per supplier; layers are whole-number arithmetic over its order lines, so any engine agrees.
+Cells: a 16 x 16 grid per supplier; layers are whole-number arithmetic over its order lines, so any engine agrees. Plain: one
+area of four cells an order, 480 columns wide, with flats, noise and ridges that have few gaps.
 """
 
 from functools import reduce
@@ -30,6 +31,13 @@ VIEWS = {
                    CAST((sum(disc) * 60) // count(*) AS INT) AS clay, CAST((sum(tax) * 80) // count(*) AS INT) AS sand, CAST(min(tax) * 10 AS INT) AS jrc,
                    greatest((sum(disc) * 100) // count(*) - 300, 0) / 1000.0e0 AS depth, CAST(count(*) + sum(qty) AS INT) AS acc
             FROM lines GROUP BY area_id, r, c) a ON a.area_id = s.s_suppkey AND a.r = g.r AND a.c = h.c""",
+    "plain": """
+        SELECT CAST(7 AS BIGINT) AS area_id, r, c, u, 40.0e0 + (CASE WHEN (r // 20 + c // 60) % 3 = 0 THEN 0 ELSE u END + CASE WHEN r % 40 = 39 AND c % 160 <> 80 THEN 3000 ELSE 0 END) / 100.0e0 AS dem,
+               CASE WHEN u % 100 < 60 THEN 16 + u % 50 ELSE 0 END / 100.0e0 AS depth, CASE WHEN u % 11 = 0 THEN 30.0e0 WHEN u % 3 = 0 THEN 0.5e0 ELSE 1.0e0 END AS mult, r % 32 = 16 AND c % 96 = 3 AS is_outfall
+        FROM (SELECT CAST((o_orderkey * 4 + k) // 480 AS INT) AS r, CAST((o_orderkey * 4 + k) % 480 AS INT) AS c, (CAST(round(o_totalprice * 100) AS BIGINT) // (k + 1)) % 700 AS u
+              FROM orders CROSS JOIN (VALUES (0), (1), (2), (3)) AS q(k)) AS p""",
+    "ponds": """
+        SELECT area_id, CAST(r * 480 + c AS BIGINT) AS sink_id, r, c, u * 1.0e0 AS volume_m3 FROM plain WHERE u % 50 = 7""",
     "sinks": """
         SELECT p_partkey % 5 + 5 * s_suppkey AS sink_id, s_suppkey AS area_id, CAST(max(p_partkey * 7 % 16) AS INT) AS r, CAST(max(p_partkey * 11 % 16) AS INT) AS c, max(p_size) * 100.0e0 AS volume_m3, max(p_size) / 20.0e0 AS max_depth_m
         FROM part JOIN supplier ON p_partkey % 50 = s_suppkey % 50 GROUP BY s_suppkey, p_partkey % 5""",

@@ -360,6 +360,12 @@ def _(v, spark, d):
 DOWN = f"{DIRECTION}, way AS (SELECT area_id, r AS r0, c AS c0, r, c, tr, tc FROM flow UNION ALL SELECT w.area_id, w.r0, w.c0, f.r, f.c, f.tr, f.tc FROM way w JOIN flow f ON f.area_id = w.area_id AND f.r = w.tr AND f.c = w.tc)"
 
 
+@query("t15_terrain_catchments", f"WITH RECURSIVE {DOWN}, {RANKED}, hit AS (SELECT w.area_id, w.r0 AS r, w.c0 AS c, min(k) AS k FROM way w JOIN ranked s ON s.area_id = w.area_id AND s.r = w.r AND s.c = w.c GROUP BY 1, 2, 3) SELECT f.area_id, f.r, f.c, s.sink_id FROM flow f LEFT JOIN hit h ON h.area_id = f.area_id AND h.r = f.r AND h.c = f.c LEFT JOIN ranked s ON s.area_id = h.area_id AND s.k = h.k")
+def _(v, spark, d):
+    cells, ponds = v("cells", "sinks")
+    return hydrology.catchments(directions(cells), ponds)
+
+
 @query("t14_terrain_accumulation", f"WITH RECURSIVE {DOWN} SELECT area_id, r, c, count(*) AS acc FROM way GROUP BY 1, 2, 3")
 def _(v, spark, d):
     return hydrology.accumulation(directions(v("cells")[0]))
@@ -644,12 +650,12 @@ def _best(rows: str, sign: str, grid_sql: str, method: str, window: str = "NULL"
     return f"SELECT '{method}' AS method, CAST({window} AS INT) AS window_days, round(arg_max(t, (round(mean_csi, 9), -t)), 6) AS threshold, round_even(max(round(mean_csi, 9)), 4) AS mean_csi FROM ({swept})"
 
 
-#: Depths after rain of a window are the area's depth scaled by it, as a stand-in for the simulator's grids.
-METHODS = f"""WITH {GRAD}, twi AS (SELECT area_id, r, c, round(ln((acc * 900.0e0 + 1) / ({HYP} + 1e-3)), 6) AS twi FROM g), {HAND}, dry AS (SELECT area_id, r, c, depth FROM cells WHERE jrc < 50), obs AS (SELECT area_id, r, c, event_id, wet FROM truth),
+#: Depths after rain are the area's depth scaled by the real total of the days before an event; the simulator's grids would be given.
+METHODS = f"""WITH {GRAD}, {DAILY}, {', '.join(f"ante{w} AS (SELECT d.area_id AS place, d.day, round(sum(e.mm), 4) AS rain_mm FROM daily d JOIN daily e ON e.area_id = d.area_id AND e.day BETWEEN d.day - {w} AND d.day GROUP BY 1, 2)" for w in (1, 3, 5))}, twi AS (SELECT area_id, r, c, round(ln((acc * 900.0e0 + 1) / ({HYP} + 1e-3)), 6) AS twi FROM g), {HAND}, dry AS (SELECT area_id, r, c, depth FROM cells WHERE jrc < 50), obs AS (SELECT area_id, r, c, event_id, wet FROM truth),
     found AS ({_best('SELECT event_id, wet, depth AS x FROM obs JOIN dry USING (area_id, r, c)', '>', DEPTHS, 'static depth')}
     UNION ALL {_best('SELECT event_id, wet, twi AS x FROM obs JOIN dry USING (area_id, r, c) JOIN twi USING (area_id, r, c)', '>', QUANTILES, 'wetness')}
     UNION ALL {_best('SELECT event_id, wet, round(hand, 6) AS x FROM obs JOIN dry USING (area_id, r, c) JOIN hand USING (area_id, r, c)', '<', HEIGHTS, 'height above drains')}
-    UNION ALL {' UNION ALL '.join(_best(f'SELECT event_id, wet, round(depth * (event_id + {w}) / 4.0e0, 6) AS x FROM obs JOIN dry USING (area_id, r, c)', '>', TAUS, 'depth after rain', str(w)) for w in (1, 3, 5))}),
+    UNION ALL {' UNION ALL '.join(_best(f"SELECT event_id, wet, round(depth * rain_mm / 400.0e0, 6) AS x FROM obs JOIN dry USING (area_id, r, c) JOIN ante{w} ON place = area_id % 10 AND day = DATE '2024-01-01' + CAST(4 * event_id AS INT)", '>', TAUS, 'depth after rain', str(w)) for w in (1, 3, 5))}),
     best AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY mean_csi DESC, window_days) AS k FROM found)"""
 
 
@@ -659,7 +665,9 @@ def _(v, spark, d):
     wet = truth.select(*KEY, "event_id", "wet").join(cells.where("jrc < 50").select(*KEY, "depth"), KEY)
     twi = terrain.wetness(cells).select(*KEY, F.round("twi", 6).alias("twi"))
     hand = terrain.hand_lite(cells).select(*KEY, F.round("hand", 6).alias("hand"))
-    after = {w: wet.withColumn("x", F.round(F.col("depth") * (F.col("event_id") + w) / 4.0, 6)) for w in (1, 3, 5)}
+    dated = wet.withColumns({"place": F.col("area_id") % 10, "day": F.date_add(F.lit("2024-01-01").cast("date"), (4 * F.col("event_id")).cast("int"))})
+    before = lambda w: rain.antecedent(v("rain")[0], w).select(F.col("area_id").alias("place"), "day", F.round("rain_mm", 4).alias("rain_mm"))
+    after = {w: dated.join(before(w), ["place", "day"]).withColumn("x", F.round(F.col("depth") * F.col("rain_mm") / 400.0, 6)) for w in (1, 3, 5)}
     taus = spark.createDataFrame([(t,) for t in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)], "t double")
     swept = [
         ("static depth", None, radar.sweep(wet, "depth", radar.linear_grid(spark, 0.05, 1.5, 30).select("t"))),
@@ -921,6 +929,11 @@ def _(v, spark, d):
     return exposure.road_exposure(*v("vertices", "areas"), hmax(v), 8)
 
 
+@query("e2_road_lines", f"WITH {HMAX}, p AS (SELECT feature_id, area_id, {DR} AS dr, {DC} AS dc FROM vertices JOIN areas USING (area_id)), x AS (SELECT area_id, feature_id, max(CASE WHEN dr IS NOT NULL THEN coalesce(h, 0) END) AS h FROM p LEFT JOIN hmax USING (area_id, dr, dc) GROUP BY 1, 2), s AS (SELECT area_id, feature_id, CASE WHEN h > 0.15e0 THEN 'flooded' ELSE 'dry' END AS state FROM x WHERE h IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY area_id, state ORDER BY feature_id) AS rank FROM s) SELECT area_id, feature_id, n, round(lat, 6) AS lat, round(lon, 6) AS lon, state, CAST(rank AS INT) AS rank FROM vertices JOIN k USING (area_id, feature_id) WHERE rank <= 1500")
+def _(v, spark, d):
+    return exposure.road_lines(*v("vertices", "areas"), hmax(v), 8)
+
+
 @query("e3_domain_box", "SELECT area_id, round(lat0, 6) AS north, round(lat0 + dlat * 16, 6) AS south, round(lon0, 6) AS west, round(lon0 + dlon * 16, 6) AS east FROM areas")
 def _(v, spark, d):
     return exposure.domain_box(v("areas")[0], 8)
@@ -938,3 +951,6 @@ def _(v, spark, d):
 def _(v, spark, d):
     readings, cells, catch, ponds = v("rain", "cells", "catch", "sinks")
     return live.live_alerts(readings, alerts.histogram(cells, catch), ponds)
+
+
+from catchwater.plans import one_area  # noqa: E402, F401

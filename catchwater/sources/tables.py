@@ -33,7 +33,7 @@ def cells_to_tiles(cells: DataFrame, layer: str, size: int, kind: str = "double"
     return got.select("area_id", F.lit(layer).alias("layer"), "tile_r", "tile_c", "row0", "col0", "nrows", "ncols", F.transform("x", lambda e: e["v"]).alias("values"))
 
 
-def to_geojson(points: DataFrame, key: str = "area_id", part: int | None = None) -> DataFrame:
+def to_geojson(points: DataFrame, key: str = "area_id") -> DataFrame:
     """One FeatureCollection per area; every column but lat, lon and the key is a property."""
     props = [c for c in points.columns if c not in ("lat", "lon", key)]
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(*props).alias("properties"))
