@@ -163,6 +163,7 @@ def focal_mode(cells: DataFrame, layer: str, keys: list[str], radius_m: float =
 
 def rescale(cells: DataFrame, *layers: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """clip((v - p2) / max(p98 - p2, 1e-9)) to [0, 1] per area as ``<layer>_n``, with exact percentiles of all layers at once."""
+    cells = cut(cells)
     stats = quantiles(cells, ["area_id"], list(layers), [low, high]).select("area_id", *(F.col(x).alias(f"_{x}") for x in layers))
     rows = cells.join(small(cut(stats)), "area_id")
     for x in layers:
@@ -215,7 +216,7 @@ def recharge_index(cells: DataFrame, areas: DataFrame, stations: DataFrame, para
     pervious = box_mean(cells, (~F.col("worldcover").isin(50, 80)).cast("int")).withColumnRenamed("box_mean", "pervious")
     rows = interpolate(to_lonlat(cells, areas), stations, "depth_to_water_m")
     rows = rows.withColumns({"gw": F.col("depth_to_water_m"), "ksat": C.ksat_mm_hr(F.col("sand"), F.col("clay")), "flow": F.log1p("acc")})
-    rows = rescale(cut(rows), "gw", "ksat", "flow")
+    rows = rescale(rows, "gw", "ksat", "flow")
     a, b, c, d = params.rsi_weights
     index = a * F.col("gw_n") + b * F.col("ksat_n") + c * F.col("pervious") + d * F.col("flow_n")
     return rows.join(pervious, KEY).select(*KEY, F.when(F.col("worldcover") == 80, 0.0).otherwise(index).alias("rsi"))
