@@ -7,12 +7,12 @@ equal group of items become one repeated group, and what only one side still has
 long after that becomes a repeated group of optional items, so a wrapper is no larger than its host's kinds of elements.
 
 A page's text is what the wrapper has slots for: the page is aligned with its host's wrapper, and texts at constants that
-SUPPORT pages with different other texts share are the template's and leave, inside an article as well. Element names
-and class words only label slots as menus, footers, adverts and the like; if a page has an article, only its slots count.
+SUPPORT pages with different other texts share are the template's and leave, inside an article only those at its ends that
+stand in elements of their own kind. Element names and class words only label slots as menus, footers, adverts and the like; if a page has an article, only its slots count.
 A page of which the template would take over half is a copy of its neighbours and keeps all.
 
-Tasks align the pages that they read, host by host, and pass on one wrapper a host; wrappers of one host are aligned in
-rounds of at most FAN, so neither a host's pages nor its wrappers meet in one task.
+Only pages' structures and hashes of their texts are dealt out, in groups of about FAN of one host; a group gives one wrapper,
+and wrappers go on in rounds, so a host's pages never meet in one task.
 """
 
 import difflib
@@ -31,8 +31,8 @@ from catchwater.llm.session import cut
 SUPPORT = 4
 #: Items of a group that may repeat, items in a sequence, nested elements; what is deeper belongs to the element there.
 WIDEST, LONGEST, DEEPEST = 12, 48, 48
-#: Wrappers aligned in one group, and hosts whose wrappers a task holds at once.
-FAN, HOSTS = 64, 2048
+#: Wrappers aligned in one group.
+FAN = 64
 #: Characters of all wrappers up to which they go whole to every task.
 BROADCAST = 16 << 20
 
@@ -48,8 +48,17 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|([^<]+|<)", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)|([^<]+|<)", re.S)
+_ATTR = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """class, id and role by name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for a in _ATTR.finditer(text):
+        if (name := a[1].lower()) in ("class", "id", "role"):
+            out.setdefault(name, html.unescape(a[2] or a[3] or a[4] or ""))
+    return out
 
 
 def _away(tag: str, attrs: dict[str, str], inside: bool) -> bool:
@@ -115,7 +124,7 @@ class Page:
                 continue
             if not m[4]:
                 break  # cut off inside a tag
-            attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3] else {}
+            attrs = _attributes(m[3]) if m[3] else {}
             inside = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
             away = _away(tag, attrs, any(x[2] for x in stack))
             if tag in ("script", "style", "textarea", "title", "noscript", "iframe"):
@@ -267,16 +276,26 @@ def _bare(content: list) -> list:
 
 
 def main_text(page: Page, wrapper: list) -> str:
-    """The texts at slots of the wrapper that are not away; of those in the article if there is one."""
-    fixed, todo = set(), [align(wrapper, page.content)]
+    """The texts at slots of the wrapper that are not away; of those in the article if there is one.
+
+    Inside an article a constant leaves only where its place says so too: before the first slot or after the last one, in a
+    kind of element that has no slots.
+    """
+    fixed, slotted, todo = {}, set(), [("", align(wrapper, page.content))]
     while todo:
-        for item in todo.pop():
+        kind, content = todo.pop()
+        for item in content:
             if item[0] != "#":
-                todo.append(item[2])
-            elif item[2] is not None and len(item[3]) >= SUPPORT:
-                fixed.update(item[4])
+                todo.append((kind if item[0] in ("+", "*") else item[0], item[2]))
+            elif item[2] is None:
+                slotted.add(kind)
+            elif len(item[3]) >= SUPPORT:
+                fixed.update(dict.fromkeys(item[4], kind))
     article = any(inside for _, inside, _ in page.texts)
     own = [(k, text) for k, (text, inside, away) in enumerate(page.texts) if (inside or not article) and not away]
+    if article:
+        free = [k for k, _ in own if k not in fixed]
+        fixed = {k: kind for k, kind in fixed.items() if kind not in slotted and free and not free[0] < k < free[-1]}
     taken = sum(len(text) for k, text in own if k in fixed)
     copies = 2 * taken > sum(len(text) for _, text in own)
     return "\n".join(text for k, text in own if copies or k not in fixed)
@@ -285,20 +304,14 @@ def main_text(page: Page, wrapper: list) -> str:
 _WRAPPERS = "host string, wrapper string"
 
 
-def _batch(found: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([json.dumps(_bare(x)) for x in found.values()], pa.string())], ["host", "wrapper"])
+def _batch(hosts: list, contents: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([json.dumps(_bare(x)) for x in contents], pa.string())], ["host", "wrapper"])
 
 
-def _infer(batches):
-    found: dict = {}
+def _contents(batches):
+    """Each page as a wrapper of its own."""
     for batch in batches:
-        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = Page(source or "").content
-            found[host] = align(found[host], own) if host in found else own
-        if len(found) >= HOSTS:
-            yield _batch(found)
-            found = {}
-    yield _batch(found)
+        yield _batch(batch.column("host").to_pylist(), [Page(source or "").content for source in batch.column("html").to_pylist()])
 
 
 def _aligned(table: pa.Table) -> pa.Table:
@@ -306,12 +319,16 @@ def _aligned(table: pa.Table) -> pa.Table:
     out = None
     for own in map(json.loads, sorted(table.column("wrapper").to_pylist())):
         out = own if out is None else align(out, own)
-    return pa.Table.from_batches([_batch({table.column("host")[0].as_py(): out})])
+    return pa.Table.from_batches([_batch([table.column("host")[0].as_py()], [out])])
 
 
 def wrappers(rows: DataFrame) -> DataFrame:
-    """host, html -> host, wrapper (JSON of items): one row a host."""
-    found = cut(rows.select("host", "html").mapInArrow(_infer, _WRAPPERS))
+    """host, html -> host, wrapper (JSON of items): one row a host.
+
+    Groups are dealt by the contents' hashes and aligned in the contents' order, so neither the order of the pages nor the
+    files they come in change a wrapper.
+    """
+    found = cut(rows.select("host", "html").mapInArrow(_contents, _WRAPPERS).distinct())
     while True:
         sizes = found.groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("parts"), F.count("*").alias("n"))
         most = sizes.agg(F.max("n")).first()[0] or 0

@@ -272,3 +272,58 @@ def test_pipeline_with_odd_tables(spark, make_docs, tmp_path):
             assert out.columns == corpus.COLUMNS and out.where("doc_id is null").count() == 0
             assert out.where("doc_id between 0 and 11").count() == 12
         assert (out.where("doc_id in (20, 21)").count() > 0) == (name != "quality rules")
+
+
+def texts_of(spark, sources, parts=2, host="h"):
+    """page_id -> text of pages of one host, in the given order and dealt to so many tasks."""
+    rows = [(i, f"http://{host}/{i}", x) for i, x in sources]
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).repartition(parts) if parts > 1 else spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+
+
+@pytest.mark.parametrize("source, want", [
+    ('<article><p>A one.</p><p data-role="banner">Kept.</p><p>B.</p></article>', "A one.\nKept.\nB."),
+    ('<article><p>A one.</p><p data-class="comments">Kept.</p><p>B.</p></article>', "A one.\nKept.\nB."),
+    ('<article><p>A one.</p><p title="class=share">Kept.</p><p>B.</p></article>', "A one.\nKept.\nB."),
+    ("<article><p><a href=/o'reilly>Link</a> text one.</p><p>It's two.</p><p>Don't.</p></article>", "Link text one.\nIt's two.\nDon't."),
+    ('<article><p title="open>A one.</p><p>B.</p></article>', "A one.\nB."),
+    ("<article><p CLASS = 'share' class=x>Gone.</p><p id=share>Gone.</p><p x-id=share>B.</p></article>", "B."),
+])
+def test_attributes_count_by_name(source, want):
+    page = html.Page(source)
+    assert html.main_text(page, page.content) == want
+
+
+def test_a_shared_paragraph_stays_however_many_pages_have_it(spark):
+    for n in range(1, 8):
+        pages = [(i, f"<html><body><nav>Menu</nav><article><h1>Title {i}</h1><p>This is the story of our series.</p><p class=by>By Ann Other</p><div>Body number {i} of it.</div><div class=x>More {i}</div></article></body></html>") for i in range(n)]
+        assert texts_of(spark, pages) == {i: f"Title {i}\nThis is the story of our series.\nBy Ann Other\nBody number {i} of it.\nMore {i}" for i in range(n)}
+
+
+def test_texts_do_not_depend_on_the_order_or_files_of_the_pages(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(html, "FAN", 3)
+    for seed in range(4):
+        rng, pages = random.Random(seed), []
+        for i in range(11):
+            blocks = [f"<h1>T{i}</h1>"]
+            blocks += [f"<p>P{i} {k}</p>" for k in range(rng.randrange(3))]
+            blocks += ["<div>Printed by N</div>"] * (rng.random() < 0.6) + ["<ul>" + "".join(f"<li>I{i} {k}</li>" for k in range(rng.randrange(4))) + "</ul>"] * (rng.random() < 0.7)
+            blocks += ["<span>Foot</span>"] * (rng.random() < 0.5) + ["<div class=a><b>Foot</b></div>"]
+            pages.append((i, "<body>" + "".join(blocks) + "</body>"))
+        first = texts_of(spark, pages, 1)
+        for parts in (1, 3):
+            rng.shuffle(pages)
+            assert texts_of(spark, pages, parts) == first
+
+
+def test_without_articles_the_wrapper_chooses(spark):
+    from itertools import cycle
+
+    words = cycle("alpha beta gamma delta epsilon zeta eta theta".split())
+    body = {i: [" ".join(next(words) for _ in range(9)) + f" {i} {k}" for k in range(2 + i % 3)] for i in range(9)}
+    page = lambda i: "<div><div><a href=/>Home</a> | <a href=/b>News</a></div><div>" + "".join(f"<p>{x}</p>" for x in body[i]) + "</div><div>All rights kept by Us</div></div>"
+    got = texts_of(spark, [(i, page(i)) for i in body])
+    assert got == {i: "\n".join(x) for i, x in body.items()}
+    plain = {i: html.main_text(html.Page(page(i)), html.Page(page(i)).content) for i in body}
+    assert all("Home | News" in t and "All rights" in t for t in plain.values())  # only inference takes them out
