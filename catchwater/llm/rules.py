@@ -1,23 +1,29 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Four rates per text (symbols a character, repeated lines a line, repeated words a word, characters a word) feed one
-quantile sketch each per language and source, which merge into those of languages and of all. A fence is the median plus
-GROWTH times the group's reach. The reach starts with what chance makes in a long document of the group (one event, or the
-counting error of the median rate, and so a few documents alike do not make a fence too close) and walks out over the group's quantiles while each lies no further than GROWTH times what was reached so far: a clean group's whole
-tail is within, and the jump to a minority of junk ends the walk. Fences of few documents are drawn towards those of their
-language, and these towards those of all, as if PRIOR more documents stood there. A document is never out for less than
-GROWTH times what chance makes at its own length.
+quantile sketch each per language and source, which merge into those of languages and of all. A sketch holds the count and
+the largest value of each bucket of a logarithmic scale, BUCKET wide: counts add up and maxima merge in any order, so the
+same rows give the same thresholds however they are dealt. A fence is the median plus GROWTH times the group's reach. The
+reach starts with what chance makes in a long document of the group (one event, or the counting error of the median rate, and
+so a few documents alike do not make a fence too close) and walks out over the group's quantiles while each lies no further
+than GROWTH times what was reached so far: a clean group's whole tail is within, and the jump to a minority of junk ends the
+walk. Fences of few documents are drawn towards those of their language, and these towards those of all, as if PRIOR more
+documents stood there. A document is never out for less than GROWTH times what chance makes at its own length. A line that is
+said twice is one event of repeated words too, and counts as many as two of the document's lines have.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catchwater.llm.session import cut
 
 #: Rates: events, of how many, and the events of one occurrence (a window that repeats marks two times three words).
 RATES = {"symbol_rate": ("n_symbols", "word_chars", 1), "dup_line_rate": ("n_dup_lines", "n_lines", 1), "repeat_rate": ("n_repeat_words", "n_words", 6), "word_length": ("word_chars", "n_words", 1)}
-GROWTH, PRIOR, SKETCH = 3.0, 200, 2048
+GROWTH, PRIOR, BUCKET = 3.0, 200, 1.0005
+#: Groups of language and source whose fences are broadcast, at most.
+SMALL = 100_000
 #: Ranks that the walk visits upwards, each with its mirror image downwards, and that of a long document.
 WALK, LONG = (0.75, 0.9, 0.95, 0.975, 0.99), 0.9
+RANKS = (0.5, *WALK, *(1.0 - q for q in WALK))
 
 
 def repeated_words(windows: str) -> Column:
@@ -69,11 +75,19 @@ def _fences(rows: DataFrame) -> DataFrame:
     """(lang, source) -> middle, floor and fence of each rate, from the merged sketches of source, language and all."""
     merged = {"source": ["lang", "source"], "lang": ["lang"], "all": []}
     columns = [*RATES, *dict.fromkeys(of for _, of, _ in RATES.values())]
-    at = {"source": rows.groupBy("lang", "source").agg(F.count("*").alias("n_source"), *(F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH)).alias(f"{c}_source") for c in columns))}
-    for level, below in (("lang", "source"), ("all", "lang")):
-        at[level] = at[below].groupBy(*merged[level]).agg(F.sum(f"n_{below}").alias(f"n_{level}"), *(F.kll_merge_agg_double(f"{c}_{below}").alias(f"{c}_{level}") for c in columns))
+    value = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns)))
+    bucket = F.when(F.col("v") > 0, F.floor(F.log("v") / F.log(F.lit(BUCKET)))).otherwise(-(1 << 40))
+    sketch = cut(rows.select("lang", "source", value.alias("x")).select("lang", "source", "x.*").groupBy("lang", "source", "name", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.max("v").alias("most")))
+    at = {}
+    for level, keys in merged.items():
+        sketch = sketch.groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "name").orderBy("bucket"))
+        ranked = sketch.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy(*keys, "name"))})
+        reached = lambda q: F.col("upto") >= F.greatest(F.ceil(F.round(q * F.col("total"), 9)), F.lit(1))
+        found = ranked.groupBy(*keys, "name").agg(F.first("total").alias("total"), F.array(*(F.min(F.when(reached(q), F.struct("bucket", "most")))["most"] for q in RANKS)).alias("q"))
+        at[level] = found.groupBy(*keys).agg(F.max("total").alias(f"n_{level}"), *(F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"{c}_{level}") for c in columns))
     wide = at["source"].join(at["lang"], "lang").join(F.broadcast(at["all"]), how="cross")  # one row
-    ranks = lambda sketch, qs: F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, qs)))
+    ranks = lambda quantiles, qs: F.array(*(F.col(quantiles)[RANKS.index(q)] for q in qs))
     for rate, (_, of, unit) in RATES.items():
         for level in merged:
             up, down = ranks(f"{rate}_{level}", (0.5, *WALK)), ranks(f"{rate}_{level}", (0.5, *(1.0 - q for q in WALK)))
@@ -99,11 +113,13 @@ def judge(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """
     rows = measure(docs, more).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     rows = cut(rows.withColumns({rate: F.col(events) / F.greatest(F.col(of), F.lit(1)) for rate, (events, of, _) in RATES.items()}))
-    judged = rows.join(_fences(rows.where("not base_failed")), ["lang", "source"], "left")
+    fences = cut(_fences(rows.where("not base_failed")))
+    judged = rows.join(F.broadcast(fences) if fences.limit(SMALL + 1).count() <= SMALL else fences, ["lang", "source"], "left")
     within = F.lit(True)
     for rate, (_, of, unit) in RATES.items():
         x, middle = F.col(rate), F.col(f"{rate}_middle")
-        some = GROWTH * chance(middle, F.col(of).cast("double"), unit)
+        event = F.greatest(F.lit(float(unit)), F.when(F.col("n_dup_lines") > 0, 2.0 * F.col("n_words") / F.col("n_lines")).otherwise(0.0)) if rate == "repeat_rate" else unit
+        some = GROWTH * chance(middle, F.col(of).cast("double"), event)
         # One part in a million allows for rounding.
         within = within & (x <= F.greatest(f"{rate}_fence", middle + some) + 1e-6) & (x >= F.least(f"{rate}_floor", middle - some) - 1e-6)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"), *more)

@@ -265,15 +265,45 @@ def test_rules_verdict_by_exact_quantiles(spark):
         if own:
             a, b = fences(tongue), fences(own)
             for name, (_, d, unit) in rules.RATES.items():
+                event = max(unit, 2 * of[i]["n_words"] / of[i]["n_lines"]) if name == "repeat_rate" and got[i].n_dup_lines else unit
                 middle, fence, floor = [(len(own) * s + rules.PRIOR * (len(tongue) * t + rules.PRIOR * e) / (len(tongue) + rules.PRIOR)) / (len(own) + rules.PRIOR) for s, t, e in zip(b[name], a[name], everything[name])]
                 differ.add((name, lang, round(fence, 9)))
-                some = rules.GROWTH * by_chance(middle, of[i][d], unit)
+                some = rules.GROWTH * by_chance(middle, of[i][d], event)
                 kept[i] &= min(floor, middle - some) - 1e-6 <= rate[i][name] <= max(fence, middle + some) + 1e-6
         kept[i] &= not got[i].base_failed
     assert {i: r.kept for i, r in got.items()} == kept and 0 < sum(kept.values()) < len(fine)
     assert all(len({f for n, _, f in differ if n == name}) > 5 for name in rules.RATES)
 
 
+def test_rules_are_the_same_however_rows_are_dealt(make_docs):
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join("w%d" % rng.randrange(900) for _ in range(rng.randrange(50, 200))) + "\nline" * rng.randrange(3) for _ in range(700)]
+    docs = make_docs(texts)
+    one, many = docs.coalesce(1), docs.repartition(13)
+    fences = lambda d: sorted(map(tuple, rules._fences(rated(d)).collect()))
+
+    def rated(d):
+        rows = rules.measure(d)
+        return rows.withColumns({rate: F.col(events) / F.greatest(F.col(of), F.lit(1)) for rate, (events, of, _) in rules.RATES.items()})
+
+    assert fences(one) == fences(many) == fences(one.orderBy("text"))
+    assert sorted(map(tuple, judge(one).collect())) == sorted(map(tuple, judge(many).collect()))
+
+
+def test_a_line_said_twice_is_no_reason_to_go(make_docs):
+    import random
+
+    rng = random.Random(4)
+    say = lambda n: " ".join("w%d" % rng.randrange(5000) for _ in range(n))
+    texts = ["\n".join(say(12) for _ in range(10)) for _ in range(400)]
+    texts += [t + "\n" + t.split("\n")[3] for t in texts[:8]]  # one line more, said before
+    texts += ["\n".join([t.split("\n")[0]] * 9 + t.split("\n")[1:]) for t in texts[:12]]
+    got = {r.doc_id: r.kept for r in judge(make_docs(texts)).collect()}
+    assert all(got[i] for i in range(408)) and not any(got[i] for i in range(408, 420))
+
+
 def test_empty_tables(make_docs):
     none = make_docs([(1, "x")]).where("doc_id < 0")
     path = public_tokenizers.path("byte_bpe_50k.json")
