@@ -108,7 +108,8 @@ def judge(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """documents -> doc_id, the measures, base_failed, kept, and the columns in ``more``; one row for each row of docs.
 
     base_failed: fewer than 50 words, or over half of the words repeated. Null texts have no words; a null language or
-    source is a group of its own; rows with a null doc_id are left out; repeated rows each count. Thresholds come only
+    source is a group of its own; rows with a null doc_id are left out; repeated rows each count. Whole texts are measured,
+    however long. Equal rates fall into one bucket and are judged alike; a rate at its fence stays. Thresholds come only
     from documents that pass the base rules; if none do, nothing is kept. An empty table gives an empty table.
     """
     rows = measure(docs, more).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))

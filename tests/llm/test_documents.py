@@ -292,6 +292,16 @@ def test_rules_are_the_same_however_rows_are_dealt(make_docs):
     assert sorted(map(tuple, judge(one).collect())) == sorted(map(tuple, judge(many).collect()))
 
 
+def test_rules_on_ties_and_very_long_texts(make_docs):
+    import random
+
+    rng = random.Random(6)
+    long = " ".join("w%d" % rng.randrange(50_000) for _ in range(150_000))
+    same = " ".join("w%d" % i for i in range(100, 200))
+    got = {r.doc_id: r for r in judge(make_docs([same] * 300 + [long])).collect()}
+    assert all(got[i].kept for i in range(300)) and got[300].n_words == 150_000 and not got[300].base_failed
+
+
 def test_a_line_said_twice_is_no_reason_to_go(make_docs):
     import random
 
