@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from catchwater.checkpoints import cut
-from catchwater.operators.tiles import EIGHT, FOUR, TILE, TILE_KEY, Pack, by_tiles, on_rim, placed, small, towards  # noqa: F401
+from catchwater.operators.tiles import EIGHT, TILE, TILE_KEY, Pack, by_tiles, on_rim, placed, small, towards
 
 Edge = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, bool], np.ndarray]
 #: Rows of a tile: its own cells, its neighbours' cells beside it, and values that have arrived for the latter.

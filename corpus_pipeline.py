@@ -74,7 +74,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences, one row for each piece; an empty text is one token, an empty table gives no rows."""
+    """Packs the texts into sequences, one row for each piece.
+
+    A null text is an empty one, and an empty text is one token; a very long one is cut into pieces. Rows that repeat an id
+    or a text are packed one by one; which of equally long pieces goes where is settled by a seeded order. An empty table
+    gives no rows; other columns are left behind.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

