@@ -88,13 +88,17 @@ def by_tiles(rows: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], sch
 
 
 class Pack:
-    """Rows of whole tiles in one flat array; ``spot`` is each row's place in it, neighbours are ``width`` apart by rows."""
+    """Rows of whole tiles in one flat array; ``spot`` is each row's place in it, neighbours are ``width`` apart by rows.
+
+    Each tile has an empty row before its first and after its last one, so that a step from any cell, the rim's included,
+    ends in the same tile, however wide the tiles beside it in the array are.
+    """
 
     def __init__(self, rows: pd.DataFrame, tile: int, keys: list[str] = TILE_KEY, rim: int = 1):
         self.tile, self.rim = numbered(rows, keys), rim
         self.r, self.c = rows["r"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
         self.r0, self.c0 = rows["tr"].to_numpy(np.int64) * tile, rows["tc"].to_numpy(np.int64) * tile
-        r, c = self.r - self.r0 + rim, self.c - self.c0 + rim
+        r, c = self.r - self.r0 + rim + 1, self.c - self.c0 + rim
         self.heads = np.flatnonzero(np.diff(self.tile, prepend=-1))
         high, wide = np.maximum.reduceat(r, self.heads) + rim + 1, np.maximum.reduceat(c, self.heads) + rim + 1  # small areas fill only a corner of their tile
         self.begin, self.wide, self.high = np.concatenate([[0], np.cumsum(high * wide)]), wide, high
@@ -109,6 +113,6 @@ class Pack:
 
     def find(self, r: np.ndarray, c: np.ndarray, tile: int) -> np.ndarray:
         """Places of the cells (r, c) seen from each row's tile; -1 where they are outside it."""
-        a, b = r - self.r0 + self.rim, c - self.c0 + self.rim
+        a, b = r - self.r0 + self.rim + 1, c - self.c0 + self.rim
         inside = (r >= self.r0) & (r < self.r0 + tile) & (c >= self.c0) & (c < self.c0 + tile) & (a < self.high[self.tile]) & (b < self.wide[self.tile])
         return np.where(inside, self.begin[self.tile] + a * self.wide[self.tile] + b, -1)

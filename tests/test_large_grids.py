@@ -1,10 +1,12 @@
 """Areas of many tiles against searches of the whole grid, and what the passes over them cost."""
 
+import functools
 import heapq
 
 import numpy as np
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from catchwater.operators import fixpoint, hydrology, spill, tiles
 from test_operators import EIGHT, back, flooded, frame
@@ -127,21 +129,26 @@ def test_components_over_tiles(spark, monkeypatch):
     assert len(calls) == 1  # cells meet in tasks once, whatever the shape
 
 
-def test_routes_run_only_tiles_that_change(spark):
-    mult = np.random.default_rng(4).choice([0.5, 1.0, 30.0], (64, 64))
-    z, end = np.random.default_rng(9).random((64, 64)), np.zeros((64, 64))
-    end[2, 3], mult[40, :] = 1, 30.0
-    best, heap = np.where(end == 1, 0.0, np.inf), [(0.0, 2, 3)]
+def cheapest(z, mult, end):
+    best = np.where(end == 1, 0.0, np.inf)
+    heap = [(0.0, *map(int, at)) for at in np.argwhere(end == 1)]
     while heap:
         cost, i, j = heapq.heappop(heap)
         if cost > best[i, j]:
             continue
         for a, b in EIGHT:
             x, y = i + a, j + b
-            if 0 <= x < 64 and 0 <= y < 64 and cost + (step := 60.0 * (1.41421 if a and b else 1.0) * (1 + 40.0 * max(z[i, j] - z[x, y], 0)) * mult[i, j]) < best[x, y]:
+            if 0 <= x < z.shape[0] and 0 <= y < z.shape[1] and cost + (step := 60.0 * (1.41421 if a and b else 1.0) * (1 + 40.0 * max(z[i, j] - z[x, y], 0)) * mult[i, j]) < best[x, y]:
                 best[x, y] = cost + step
                 heapq.heappush(heap, (best[x, y], x, y))
-    rounds = []
+    return best
+
+
+def test_routes_run_only_tiles_that_change(spark):
+    mult = np.random.default_rng(4).choice([0.5, 1.0, 30.0], (64, 64))
+    z, end = np.random.default_rng(9).random((64, 64)), np.zeros((64, 64))
+    end[2, 3], mult[40, :] = 1, 30.0
+    best, rounds = cheapest(z, mult, end), []
     cells = frame(spark, z=z, mult=mult, end=end).withColumn("is_outfall", F.col("end") == 1)
     assert np.allclose(back(hydrology.cost_to_outfall(cells, tile=8, rounds=rounds), "cost", z.shape), best)
     assert rounds[0] == 3 and max(rounds) < 64 and sum(rounds) < 0.4 * 64 * len(rounds)  # the first outfall's tile wakes its three neighbours
@@ -151,6 +158,31 @@ def test_routes_run_only_tiles_that_change(spark):
     assert np.isinf(got[34:]).all() and sum(rounds) < 32 * len(rounds)  # the lower half is never run again
 
 
+def test_steps_stay_in_their_tile():
+    places = [(area, tr, tc, r, c) for area, high, wide in [(1, 3, 2), (2, 9, 9), (3, 1, 5)] for tr in range(-(-high // 4)) for tc in range(-(-wide // 4)) for r in range(max(tr * 4 - 1, 0), min(tr * 4 + 5, high)) for c in range(max(tc * 4 - 1, 0), min(tc * 4 + 5, wide))]
+    p = tiles.Pack(pd.DataFrame(places, columns=["area_id", "tr", "tc", "r", "c"]), 4)
+    at = {spot: (p.tile[i], p.r[i], p.c[i]) for i, spot in enumerate(p.spot)}
+    assert len(at) == len(places)
+    for spot, (tile, r, c) in at.items():
+        for a, b in EIGHT:
+            assert 0 <= (to := spot + a * p.width[spot] + b) < p.size
+            assert at.get(to, (tile, r + a, c + b)) == (tile, r + a, c + b)
+
+
+@pytest.mark.parametrize("shapes", [[(64, 64), (3, 5)], [(5, 3), (20, 9), (9, 20), (1, 1), (17, 16)]])
+def test_route_costs_of_areas_of_many_shapes(spark, shapes):
+    rng, made, wanted = np.random.default_rng(len(shapes)), [], []
+    for area, shape in enumerate(shapes):
+        z, mult, end = rng.random(shape), rng.choice([0.5, 1.0, 30.0], shape), np.zeros(shape)
+        end[shape[0] // 2, 0] = 1
+        made.append(frame(spark, z=z, mult=mult, end=end).withColumn("area_id", F.lit(area).cast("long")))
+        wanted.append(cheapest(z, mult, end))
+    cells = functools.reduce(DataFrame.unionByName, made).withColumn("is_outfall", F.col("end") == 1)
+    got = hydrology.cost_to_outfall(cells, tile=8).cache()
+    for area, best in enumerate(wanted):
+        assert np.allclose(back(got.where(f"area_id = {area}"), "cost", best.shape), best)
+
+
 def test_tiles_come_whole(spark, monkeypatch):
     monkeypatch.setattr(tiles, "CELLS", 64)
     cells = grid(spark, 50, 50, dem="pmod(r * 31 + c * 17, 23)")
