@@ -6,8 +6,8 @@ A batch's texts lie end to end in one byte array; ``off[i]:off[i + 1]`` is text
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once, so that a task's working set stays a few hundred MB whatever the batch holds.
-GROUP = 4 << 20
+#: Bytes handled at once, so that a worker stays at about 200 MB whatever the batch holds; one less, for powers() has one more.
+GROUP = (2 << 20) - 1
 _P = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

@@ -26,9 +26,9 @@ from catchwater.llm.session import cut, documents, release
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 BACK, WIDE = SPAN - 1, SPAN - 1 + LENGTH
-CHUNK = 2 << 20
+CHUNK = K.GROUP
 #: Text bytes for each bucket, rows of one suffix array, and documents from which an anchor is split.
-PER_BUCKET, ROWS, HOT = 16 << 20, 40_000, 20_000
+PER_BUCKET, ROWS, HOT = 16 << 20, 10_000, 20_000
 
 _PACK = "chunk long, n_bytes long, ids array<long>, lens array<long>, blob binary"
 _MAIL = "bucket long, chunk long, blob binary"
@@ -243,7 +243,8 @@ def _distinct(key: np.ndarray, whole: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 def _opened(batch):
     """Of each chunk: id, document ids, bytes, offsets, and its answers by round, in order of buckets."""
-    for row in batch.to_pylist():
+    for k in range(len(batch)):  # one by one, for a batch holds all chunks of a file
+        row = batch.slice(k, 1).to_pylist()[0]
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["blob"]), np.uint8)
         off = np.concatenate([[0], np.cumsum(np.array(row["lens"], np.int64))])
         yield row["chunk"], np.array(row["ids"], np.int64), data, off, [[x["blob"] for x in sorted(row.get(k) or (), key=lambda x: x["bucket"])] for k in ("one", "two")]
@@ -260,12 +261,10 @@ def _codes(answers: list[bytes]) -> np.ndarray:
 def _ask_anchors(n):
     def ask(batches):
         for batch in batches:
-            rows = []
             for chunk, _, data, off, _ in _opened(batch):
                 h, _, docs = _known(*anchors(data, off)[1:], n)
                 cuts = np.searchsorted(_buckets(h, n), np.arange(n + 1))
-                rows += [(b, chunk, _squeeze(h[i:j], np.minimum(docs[i:j], 65535).astype(np.uint16))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
-            yield _mails(rows)
+                yield _mails([(b, chunk, _squeeze(h[i:j], np.minimum(docs[i:j], 65535).astype(np.uint16))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j])
 
     return ask
 
@@ -284,10 +283,10 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
 def _ask_contexts(n):
     def ask(batches):
         for batch in batches:
-            rows = []
             for chunk, ids, data, off, (one, _) in _opened(batch):
                 if not one:
                     continue
+                rows = []
                 at, h, doc = anchors(data, off)
                 p, d, back, ahead, key, whole = _contexts(data, off, _codes(one), at, h, doc, _known(h, doc, n)[1])
                 pick, where = _distinct(key, whole, n)
@@ -303,7 +302,7 @@ def _ask_contexts(n):
                         text = span[np.maximum(p[q, None] - BACK + cols, 0)]
                         text[(cols < BACK - back[q, None]) | (cols >= BACK + ahead[q, None])] = 0
                         rows.append((k, chunk, _squeeze(owner[i:j], back[q].astype(np.uint8), ahead[q].astype(np.uint8), text)))
-            yield _mails(rows)
+                yield _mails(rows)
 
     return ask
 

@@ -1,16 +1,18 @@
 """Document operators against brute force, with nulls, empties, ties, repeated rows, clashing columns and empty tables."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from catchwater.llm import bpe, minhash, packing, rules, suffix
+from catchwater.llm import bpe, kernel, minhash, packing, rules, suffix, toxicity
 from catchwater.llm.minhash import near_duplicates
 from catchwater.llm.packing import breed, pack
 from catchwater.llm.rules import judge
@@ -319,3 +321,29 @@ def test_empty_tables(make_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for out in (near_duplicates(none), remove_repeats(none), judge(none), pack(none, path), bpe.encode(none, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))):
         assert out.count() == 0
+
+
+def test_workers_stay_small(monkeypatch):
+    """Two workers share an executor with its JVM: what each allocates over large batches and buckets."""
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghij"), (3000, 6))])
+    texts = pa.RecordBatch.from_pydict({"doc_id": range(3000), "text": [" ".join(w) for w in rng.choice(words, (3000, 400))], "y": pa.array([0] * 3000, pa.int32())})
+    full = np.full(30_000, suffix.BACK, np.uint8), np.full(30_000, suffix.LENGTH, np.uint8)
+    mail = suffix._squeeze(np.arange(30_000), *full, rng.integers(97, 123, (30_000, suffix.WIDE), dtype=np.uint8))
+    bucket = pa.Table.from_batches([suffix._mails([(0, 1, mail)])])
+    for work in (lambda: list(toxicity._count([texts])), lambda: list(minhash._sketch([texts])), lambda: list(minhash._sets([texts])), lambda: suffix._answer_contexts(bucket)):
+        monkeypatch.setattr(kernel, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 110 << 20
+
+
+def test_chunks_of_a_batch_send_their_messages_one_by_one():
+    rng = np.random.default_rng(4)
+    texts = pa.RecordBatch.from_pydict({"doc_id": range(6), "text": ["".join(map(chr, rng.integers(97, 123, 400_000))) for _ in range(6)]})
+    data, off = kernel.flat(texts.column("text"))
+    chunks = pa.RecordBatch.from_pydict({"chunk": range(6), "ids": [[k] for k in range(6)], "lens": [[400_000]] * 6, "blob": [suffix.zstandard.compress(data[i:j].tobytes()) for i, j in zip(off, off[1:])]})
+    sent = [x.column("chunk").to_pylist() for x in suffix._ask_anchors(4)([chunks])]
+    assert sent == [[k] * 4 for k in range(6)]
