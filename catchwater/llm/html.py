@@ -21,6 +21,7 @@ import html
 import json
 import operator
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,6 +36,8 @@ WIDEST, LONGEST, DEEPEST = 12, 48, 48
 FAN = 64
 #: Characters of all wrappers up to which they go whole to every task.
 BROADCAST = 16 << 20
+#: Characters of a start tag up to which its meaning is remembered, for a template's tags come on every page.
+SHORT = 200
 
 # Element names and usual class words.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,7 +51,7 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=|[^>=]+)*+)(>|\Z)|([^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
 
@@ -78,6 +81,24 @@ def _away(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return False
 
 
+def _tag(name: str, attributes: str) -> tuple[str, str, bool, bool, bool]:
+    """Of a start tag: name, name in wrappers, whether it begins an article, whether it is away outside and inside one."""
+    tag, attrs = name.lower(), _attributes(attributes) if attributes else {}
+    inside = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
+    key = "<" + tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + ">"
+    return tag, key, inside, _away(tag, attrs, False), _away(tag, attrs, True)
+
+
+_known_tag = lru_cache(1 << 13)(_tag)
+
+
+def _last(stack: list, tag: str) -> int | None:
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k][0] == tag:
+            return k
+    return None
+
+
 def _code(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little") >> 12
 
@@ -92,15 +113,24 @@ class Page:
     def __init__(self, source: str):
         self.content: list = []
         self.texts: list[tuple[str, bool, bool]] = []
+        # Name, content, whether it or an element around it is an article, or away.
         stack: list[tuple[str, list, bool, bool]] = []
         words: list[str] = []
+        total = 0
 
         def flush():
+            nonlocal total
+            if not words:
+                return
             text = " ".join(html.unescape("".join(words)).split())
             words.clear()
             if text:
-                (stack[-1][1] if stack else self.content).append(["#", 0, _code(text), [], [len(self.texts)]])
-                self.texts.append((text, any(x[2] for x in stack), any(x[3] for x in stack)))
+                _, own, inside, away = stack[-1] if stack else ("", self.content, False, False)
+                code = _code(text)
+                own.append(["#", 0, code, [], [len(self.texts)]])
+                self.texts.append((text, inside, away))
+                if not away:
+                    total += code
 
         def close(at: int):
             flush()
@@ -109,24 +139,24 @@ class Page:
         pos = 0
         while m := _TOKEN.match(source, pos):
             pos = m.end()
-            if m[5] is not None:
-                words.append(m[5])
+            ends, name, attributes, closed, text = m.groups()
+            if text is not None:
+                words.append(text)
                 continue
-            if m[2] is None:
+            if name is None:
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if ends:
+                tag = name.lower()
+                at = _last(stack, tag)
                 if at is not None:
                     close(at)
                 elif tag not in INLINE:
                     flush()
                 continue
-            if not m[4]:
+            if not closed:
                 break  # cut off inside a tag
-            attrs = _attributes(m[3]) if m[3] else {}
-            inside = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
-            away = _away(tag, attrs, any(x[2] for x in stack))
+            tag, key, inside, *aways = (_known_tag if len(name) + len(attributes) <= SHORT else _tag)(name, attributes)
+            away = aways[bool(stack) and stack[-1][2]]
             if tag in ("script", "style", "textarea", "title", "noscript", "iframe"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, pos)
                 pos = end.end() if end else len(source)
@@ -139,7 +169,7 @@ class Page:
             if tag in VOID:
                 continue
             if tag in CLOSES_P:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
+                at = _last(stack, "p")
                 if at is not None and not any(x[0] in ("td", "th", "button", "object") for x in stack[at:]):
                     close(at)
             if tag in SIBLINGS:
@@ -151,14 +181,14 @@ class Page:
                         break
             own = stack[-1][1] if stack else self.content
             if len(stack) < DEEPEST:
-                item = ["<" + tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + ">", 0, []]
+                item = [key, 0, []]
                 own.append(item)
                 own = item[2]
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "path"):
-                stack.append((tag, own, inside and not away, away))
+            if tag not in ("svg", "path") or not attributes.rstrip().endswith("/"):
+                around = stack[-1] if stack else ("", own, False, False)
+                stack.append((tag, own, around[2] or inside and not away, around[3] or away))
         close(0)
-        codes = [_code(text) for text, _, away in self.texts if not away]
-        todo, total = [self.content], sum(codes)
+        todo = [self.content]
         while todo:
             for item in todo.pop():
                 if item[0] == "#":

@@ -327,3 +327,17 @@ def test_without_articles_the_wrapper_chooses(spark):
     assert got == {i: "\n".join(x) for i, x in body.items()}
     plain = {i: html.main_text(html.Page(page(i)), html.Page(page(i)).content) for i in body}
     assert all("Home | News" in t and "All rights" in t for t in plain.values())  # only inference takes them out
+
+
+def test_start_tags_that_come_again_are_read_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(html, "_attributes", lambda text, f=html._attributes: read.append(text) or f(text))
+    for k in range(50):
+        page = html.Page(f'<div class="once-outer"><p id=once>text {k}</p><article role="main" class="once-b once-a"><p id=once>own {k}</p></article></div>')
+        assert page.texts == [(f"text {k}", False, False), (f"own {k}", True, False)]
+        assert page.content[0][2][1][0] == "<article.once-a.once-b>"
+    assert sorted(read) == [' class="once-outer"', " id=once", ' role="main" class="once-b once-a"']
+    long = ' class="once-long" title="' + "x" * html.SHORT + '"'
+    for _ in range(2):
+        html.Page(f"<p{long}>text</p>")
+    assert read[3:] == [long, long]  # not remembered, so what is remembered stays small
