@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from catchwater.llm import kernel as K
 from catchwater.llm.graph import components
-from catchwater.llm.session import cut, documents, release
+from catchwater.llm.session import cut, documents, few, release
 
 SHINGLE, HASHES, BANDS, ROWS, BITS = 5, 256, 32, 4, 4
 THRESHOLD, SLACK = 75, 0.13
@@ -153,35 +153,38 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[e] for x in links], pa.int64()) for e in (0, 1)], ["a", "b"])
 
 
-def _sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     """doc_id and items: the whole shingle sets of the wanted ids."""
-    named = wanted.join(reps.select("doc_id", "h1", "h2"), "doc_id")
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    return cut(texts.mapInArrow(_sets, SETS).join(named, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "items"))
+    named = few(wanted.join(reps.select("doc_id", "h1", "h2"), "doc_id"), rows)
+    texts = few(docs.join(wanted, "doc_id", "left_semi"), rows)
+    sets = few(texts.mapInArrow(_sets, SETS).join(named, ["doc_id", "h1", "h2"], "left_semi"), rows)
+    return cut(few(sets.dropDuplicates(["doc_id"]).select("doc_id", "items"), rows))
 
 
-def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
     """Those (a, b) whose whole sets have 100 * intersection >= 75 * union."""
-    sets = _sets_of(docs, reps, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+    wanted = few(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), rows)
+    sets = _sets_of(docs, reps, wanted, rows)
+    both = few(pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a"), rows)
+    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(f"100 * n >= {THRESHOLD} * (m - n)").select("a", "b")
 
 
-def _ties(docs: DataFrame, reps: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+def _ties(docs: DataFrame, reps: DataFrame, members: DataFrame, found: DataFrame, rows: int) -> DataFrame:
     """The second pass: links between components of members that share a bucket."""
-    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    placed = few(members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component_id", "doc_id").alias("c")), rows)
     mixed = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    clusters = cut(placed.join(mixed, ["band", "key"]).select("low", "doc_id", "c").distinct())
-    sets = _sets_of(docs, reps, clusters.select("doc_id").distinct())
+    clusters = cut(few(few(placed.join(mixed, ["band", "key"]).select("low", "doc_id", "c"), rows).distinct(), rows))
+    sets = _sets_of(docs, reps, few(clusters.select("doc_id").distinct(), rows), rows)
     blocks = clusters.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    left = clusters.join(blocks, "low").withColumn("block", F.pmod(F.xxhash64("doc_id"), "nb"))
+    left = few(clusters.join(blocks, "low"), rows).withColumn("block", F.pmod(F.xxhash64("doc_id"), "nb"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side")
     full = left.join(reps.select("doc_id", F.col("n_shingles").alias("n"), "bits"), "doc_id").join(sets, "doc_id")
     member = F.struct(F.col("doc_id").alias("id"), side, "c", "n", "bits", "items")
     met = full.groupBy("low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(member).alias("members"))
-    return cut(met.select("members").mapInArrow(_meet, "a long, b long").distinct())
+    return cut(few(met.select("members").mapInArrow(_meet, "a long, b long").distinct(), rows))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -191,27 +194,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out. Of rows that repeat a doc_id the one with the smallest set hash counts. An empty table gives an empty table.
     """
     docs = documents(docs)
+    rows = docs.count()
     sketch = docs.mapInArrow(_sketch, SKETCH)
-    all_rows = cut(sketch.select(F.struct("doc_id", "h1", "h2", "n_shingles", "bands", "bits").alias("r")).groupBy("r.doc_id").agg(F.min("r").alias("r")).select("r.*"))
-    same = all_rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = all_rows.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    all_rows = cut(few(sketch.select(F.struct("doc_id", "h1", "h2", "n_shingles", "bands", "bits").alias("r")).groupBy("r.doc_id").agg(F.min("r").alias("r")).select("r.*"), rows))
+    same = cut(few(all_rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), rows))
+    reps = cut(few(all_rows.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), rows))
     bands = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
-    members = cut(bands.join(shared, ["band", "key"]))
+    members = cut(few(bands.join(shared, ["band", "key"]), rows))
     about = reps.select("doc_id", F.col("n_shingles").alias("size"), "bits")
 
     def of(name: str, end: str) -> DataFrame:
         return about.select(F.col("doc_id").alias(end), F.col("bits").alias(name), F.col("size").alias(f"n{name}"))
 
-    star = members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct().join(of("x", "a"), "a").join(of("y", "b"), "b")
+    star = few(members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), rows)
+    star = few(star.join(of("x", "a"), "a"), rows).join(of("y", "b"), "b")
     star = star.where(f"100 * least(nx, ny) >= {THRESHOLD} * greatest(nx, ny)").where(estimate("x", "y") >= THRESHOLD / 100 - SLACK)
-    links = cut(_confirm(docs, reps, cut(star.select("a", "b"))))
+    links = cut(few(_confirm(docs, reps, cut(few(star.select("a", "b"), rows)), rows), rows))
     found = components(links)
     release(docs.sparkSession)
-    ties = _ties(docs, reps, members, found)
+    ties = _ties(docs, reps, members, found, rows)
     if ties.limit(1).count():
         found = components(links.union(ties))
 
-    by_class = all_rows.select("doc_id", "n_shingles", "h1", "h2").join(same, ["h1", "h2", "n_shingles"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    out = by_class.select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
+    by_class = few(all_rows.select("doc_id", "n_shingles", "h1", "h2").join(same, ["h1", "h2", "n_shingles"], "left"), rows).join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    out = few(by_class.select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id")), rows)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -27,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, rows: int, each: int = 4096) -> DataFrame:
+    """df in as many partitions as so many rows fill, one a core at least; it never gets more than it has.
+
+    Small tables else take a task for each shuffle partition in every step, which may cost far more than their rows.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) of rows that have an id; other columns are left behind, so none can clash."""
     return df.selectExpr("cast(doc_id as bigint) as doc_id", "coalesce(text, '') as text", *more).where("doc_id is not null")

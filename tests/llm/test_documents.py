@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from catchwater.llm import bpe, kernel, minhash, packing, rules, suffix, toxicity
+from catchwater.llm import bpe, graph, kernel, minhash, packing, rules, suffix, toxicity
 from catchwater.llm.minhash import near_duplicates
 from catchwater.llm.packing import breed, pack
 from catchwater.llm.rules import judge
@@ -57,6 +57,31 @@ def test_near_duplicates(make_docs, odd_texts, block, monkeypatch):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_small_tables_take_few_tasks(spark, make_docs, monkeypatch):
+    """With many shuffle partitions the tables between steps don't get one task for each, and the groups stay the same."""
+    words = [f"w{i}" for i in range(60)]
+    docs = make_docs([(i, " ".join(words[:-1] + [f"x{i}"])) for i in range(0, 90, 3)] + [(i, f"{i} alone") for i in range(1, 90, 3)])
+    tasks, cut = [], minhash.cut
+
+    def counted(df):
+        tasks.append((out := cut(df)).rdd.getNumPartitions())
+        return out
+
+    for module in (minhash, graph):
+        monkeypatch.setattr(module, "cut", counted)
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 if i % 3 == 0 else i for i in got} and len(got) == 60
+    assert sum(n > 8 for n in tasks) <= 1  # only the links on the way to their count
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_remove_repeats(make_docs, odd_texts, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
