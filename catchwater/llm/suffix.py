@@ -322,30 +322,41 @@ def _row_hashes(text: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _answer_contexts(table: pa.Table) -> pa.Table:
-    chunks = table.column("chunk").to_pylist()
-    sent = [_spread(x, np.int64, np.uint8, np.uint8, np.uint8) for x in table.column("blob").to_pylist()]
+    chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
+    sent = []
+    for blob in table.column("blob"):  # copies, so that no message stays whole behind its parts
+        sent.append([x.copy() for x in _spread(blob.as_py(), np.int64, np.uint8, np.uint8, np.uint8)])
+    del table
+    cuts = np.cumsum([0] + [len(x[0]) for x in sent])
+    text = np.empty((cuts[-1], WIDE), np.uint8)
+    for x, i, j in zip(sent, cuts[:-1], cuts[1:]):
+        text[i:j] = x.pop().reshape(-1, WIDE)
     owner, back, ahead = (np.concatenate([x[k] for x in sent]) for k in range(3))
-    text = np.concatenate([x[3] for x in sent]).reshape(-1, WIDE)
+    del sent
     key, whole = _row_hashes(text, back)
     by = np.lexsort((whole, key))
     new = np.ones(len(by), bool)
-    new[1:] = whole[by][1:] != whole[by][:-1]
+    new[1:] = whole[by[1:]] != whole[by[:-1]]
+    del whole
     begin = np.flatnonzero(new)
     least = np.minimum.reduceat(owner[by], begin)
     pick = by[begin]
-    back, ahead, found = back[pick].astype(np.int64), ahead[pick].astype(np.int64), np.empty((len(pick), SPAN), np.int64)
-    heads = np.append(np.flatnonzero(np.concatenate([[True], key[pick][1:] != key[pick][:-1]])), len(pick))
+    heads = np.append(np.flatnonzero(np.concatenate([[True], key[pick[1:]] != key[pick[:-1]]])), len(pick))
+    del key
+    # First owners as places among all owners, in half the bytes; the last place stands for none.
+    owners = np.append(np.unique(least), _FAR)
+    found = np.empty((len(pick), SPAN), np.int32)
     i = 0
     while i < len(pick):  # whole anchors, about ROWS contexts at a time
         k = np.searchsorted(heads, i + ROWS, "right") - 1
         j = int(heads[k] if heads[k] > i else heads[k + 1])
-        found[i:j] = first_owners(text[pick[i:j]], least[i:j], BACK - back[i:j], BACK + ahead[i:j] - LENGTH)
+        q = pick[i:j]
+        found[i:j] = np.searchsorted(owners, first_owners(text[q], least[i:j], BACK - back[q].astype(np.int64), BACK + ahead[q].astype(np.int64) - LENGTH))
         i = j
+    del text, back, ahead
     place = np.empty(len(by), np.int64)
     place[by] = np.cumsum(new) - 1
-    cuts = np.cumsum([0] + [len(x[0]) for x in sent])
-    bucket = table.column("bucket")[0].as_py()
-    return pa.Table.from_batches([_mails([(bucket, c, _squeeze(found[place[i:j]] - owner[i:j, None])) for c, i, j in zip(chunks, cuts[:-1], cuts[1:])])])
+    return pa.Table.from_batches([_mails([(bucket, c, _squeeze(owners[found[place[i:j]]] - owner[i:j, None])) for c, i, j in zip(chunks, cuts[:-1], cuts[1:])])])
 
 
 def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:

@@ -372,3 +372,19 @@ def test_chunks_of_a_batch_send_their_messages_one_by_one():
     chunks = pa.RecordBatch.from_pydict({"chunk": range(6), "ids": [[k] for k in range(6)], "lens": [[400_000]] * 6, "blob": [suffix.zstandard.compress(data[i:j].tobytes()) for i, j in zip(off, off[1:])]})
     sent = [x.column("chunk").to_pylist() for x in suffix._ask_anchors(4)([chunks])]
     assert sent == [[k] * 4 for k in range(6)]
+
+
+def test_a_bucket_of_many_messages_stays_small():
+    """Messages go once their parts are copied, and first owners are places in 4 bytes; each context gets its least owner."""
+    rng = np.random.default_rng(3)
+    full = np.full(30_000, suffix.BACK, np.uint8), np.full(30_000, suffix.LENGTH, np.uint8)
+    texts, owners = rng.integers(97, 123, (30_000, suffix.WIDE), dtype=np.uint8), [rng.integers(0, 1 << 40, 30_000) for _ in range(5)]
+    bucket = pa.Table.from_batches([suffix._mails([(0, k, suffix._squeeze(owners[k], *full, texts if k % 2 else rng.permutation(texts.T).T)) for k in range(5)])])
+    tracemalloc.start()
+    out = suffix._answer_contexts(bucket)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    one, three = (suffix._spread(out.column("blob")[k].as_py(), np.int64)[0].reshape(-1, suffix.SPAN) for k in (1, 3))
+    least = np.minimum(owners[1], owners[3])
+    assert (one == (least - owners[1])[:, None]).all() and (three == (least - owners[3])[:, None]).all()
