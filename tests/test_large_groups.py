@@ -142,3 +142,13 @@ def test_wards_by_cell_cover_as_by_ray_casting(spark):
     cover = alerts.cell_cover(wards.where("ward = 'w3'"))
     assert cover.agg(F.sum(F.coalesce(F.size("sides"), F.lit(0)))).first()[0] < 10 * 900  # not the whole ring in each cell
     assert cover.where("sides is null and ends is null and odd = 1").count() > 20
+
+
+def test_a_site_strikes_out_only_cells_after_it_in_the_walk(spark):
+    h = np.zeros((16, 16))
+    for at in [(5, 7), (7, 2), (7, 15), (13, 5), (15, 13)]:
+        h[at] = 0.7
+    none = spark.createDataFrame([], "area_id long, sink_id int, r int, c int, volume_m3 double")
+    for tile in (8, 16):
+        got = planning.candidate_sites(none, frame(spark, h=h), 16, 4, 2, tile=tile).collect()
+        assert [(r.r, r.c) for r in sorted(got, key=lambda r: r.site)] == greedy(h, [], 4, 2, 16) == [(5, 7), (13, 5)]
