@@ -161,6 +161,20 @@ def test_storage_targets(spark):
     assert got[101.0].sites is None and got[101.0].note and got[5.0].sites == 100
 
 
+def test_storage_curve_sums_are_exact(spark):
+    h = [0.7 - 0.15] * 3
+    minima = spark.createDataFrame([(1, 0, j, x, j + 1) for j, x in enumerate(h)], "area_id long, r int, c int, pooled double, rank int")
+    got = planning.storage_curve(minima, minima.where("rank > 9"), [1], cell_m2=10.0).orderBy("sites").collect()
+    assert [(r.sites, r.storage_m3, r.median_site_m3) for r in got] == [(1, 6, 6), (3, 16, 6)]  # 5.5 and 16.5, halves to even
+    deep = [1000.1, 999.7, 0.8]  # the rest after two sites must not come from what is left of a large total
+    minima = spark.createDataFrame([(1, 0, j, x, j + 1) for j, x in enumerate(deep)], "area_id long, r int, c int, pooled double, rank int")
+    after = minima.select("area_id", "r", "c", F.when(F.col("rank") == 3, 0.25).otherwise(1000.3).alias("pooled"))
+    got = planning.storage_curve(minima, after, [2, 7]).orderBy("sites").collect()
+    assert [(r.sites, r.reduction_pct) for r in got] == [(2, 68.8), (3, 100.0)]
+    got = planning.storage_curve(minima, after.withColumn("pooled", F.lit(float("nan"))), [2]).orderBy("sites").collect()
+    assert [(r.sites, r.unstable) for r in got] == [(2, True), (3, False)]
+
+
 def test_bed_falls_and_stays_under_ground(spark):
     rows = [(1, 1, k, 0, k, float(z)) for k, z in enumerate([5, 5.2, 4.9, 6, 4.5])]
     out = planning.descending_bed(spark.createDataFrame(rows, "area_id long, route_id int, k int, r int, c int, z double"), 1.0).orderBy("k").collect()
