@@ -175,6 +175,13 @@ def test_storage_curve_sums_are_exact(spark):
     assert [(r.sites, r.unstable) for r in got] == [(2, True), (3, False)]
 
 
+def test_basins_of_equal_volume_tie(spark):
+    depth = np.zeros((6, 9))
+    depth[0, :4], depth[3, :3], depth[3, 3] = 0.25, 0.25, 0.2500000001
+    got = sinks.basins(frame(spark, depth=depth), "depth", F.lit(1.0)).collect()
+    assert [r.label for r in sorted(got, key=lambda r: r.rank)] == [1, 2]
+
+
 def test_bed_falls_and_stays_under_ground(spark):
     rows = [(1, 1, k, 0, k, float(z)) for k, z in enumerate([5, 5.2, 4.9, 6, 4.5])]
     out = planning.descending_bed(spark.createDataFrame(rows, "area_id long, route_id int, k int, r int, c int, z double"), 1.0).orderBy("k").collect()
