@@ -182,6 +182,14 @@ def test_basins_of_equal_volume_tie(spark):
     assert [r.label for r in sorted(got, key=lambda r: r.rank)] == [1, 2]
 
 
+def test_edge_cells_of_equal_height_tie(spark):
+    z = np.full((4, 4), 50.0)
+    z[0, 2], z[3, 1] = 40.325, 40.325 - 1e-14
+    none = spark.createDataFrame([], "area_id long, r int, c int, jrc double")
+    got = planning.outfalls(frame(spark, z=z), none, none).collect()
+    assert [(r.r, r.c, r.kind) for r in got] == [(0, 2, "edge")]
+
+
 def test_bed_falls_and_stays_under_ground(spark):
     rows = [(1, 1, k, 0, k, float(z)) for k, z in enumerate([5, 5.2, 4.9, 6, 4.5])]
     out = planning.descending_bed(spark.createDataFrame(rows, "area_id long, route_id int, k int, r int, c int, z double"), 1.0).orderBy("k").collect()
