@@ -63,6 +63,16 @@ VIEWS = {
         FROM lines JOIN supplier s ON l_orderkey % 50 = s.s_suppkey % 50""",
 }
 
+#: What Spark reads in place of a view: the same rows. The view of sinks joins each part with each supplier of its class and only
+#: then takes the greatest; here the parts of a class (50 rows in all) are taken together before they meet the suppliers.
+PLANS = {
+    "sinks": """
+        SELECT /*+ BROADCAST(p) */ p.k + 5 * s.s_suppkey AS sink_id, s.s_suppkey AS area_id, p.r, p.c, p.size * 100.0e0 AS volume_m3, p.size / 20.0e0 AS max_depth_m
+        FROM (SELECT DISTINCT s_suppkey FROM supplier) s JOIN (
+            SELECT p_partkey % 50 AS class, p_partkey % 5 AS k, CAST(max(p_partkey * 7 % 16) AS INT) AS r, CAST(max(p_partkey * 11 % 16) AS INT) AS c, max(p_size) AS size
+            FROM part GROUP BY p_partkey % 50, p_partkey % 5) p ON p.class = s.s_suppkey % 50""",
+}
+
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named views as DataFrames."""
@@ -70,7 +80,8 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
     def get(name: str) -> DataFrame:
         if name not in made:
-            sql, needed = spark_text(VIEWS[name]), {t for t in [*TABLES, *VIEWS] if reads(VIEWS[name], t)}
+            text = PLANS.get(name, VIEWS[name])
+            sql, needed = spark_text(text), {t for t in [*TABLES, *VIEWS] if reads(text, t)}
             for t in needed:
                 sql = substitute(sql, t, "{" + t + "}")
             made[name] = spark.sql(sql, **{t: get(t) for t in needed})
