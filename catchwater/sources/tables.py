@@ -2,10 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from catchwater.checkpoints import cut
+
 SINKS = T.StructType([T.StructField(n, t) for n, t in (("sink_id", T.IntegerType()), *((x, T.DoubleType()) for x in ("lat", "lon")), ("row", T.IntegerType()), ("col", T.IntegerType()), *((x, T.DoubleType()) for x in ("area_m2", "max_depth_m", "volume_m3", "catchment_m2")))])
 STATIONS = "station string, lat double, lon double, depth_to_water_m double"
 RECHARGE = T.StructType([*SINKS.fields, *(T.StructField(x, T.DoubleType()) for x in ("rsi", "gw_depth_m", "ksat_mm_hr", "recharge_score"))])
 ALERTS = "sink_id int, lat double, lon double, inflow_m3 bigint, capacity_m3 double, fill_ratio double, level string"
+#: Rows of an area's file, about.
+FILE_ROWS = 1_000_000
 RAIN = "hourly struct<time: array<string>, precipitation: array<double>>"
 
 
@@ -15,8 +19,16 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", by: str | None = "area_id") -> None:
-    """A folder per area."""
-    writer = df.write.mode("overwrite").option("header", True)
+    """A folder per area, with a file for each FILE_ROWS rows or so.
+
+    Small areas share all tasks, however few rows they are, and each task moves its own files to their folders when it ends
+    (the driver would move them one by one): so a failed job may leave some of them, without _SUCCESS.
+    """
+    if by:
+        df = cut(df)
+        most = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by, F.pmod(F.xxhash64(*df.columns), F.lit(most // FILE_ROWS + 1)))
+    writer = df.write.mode("overwrite").option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
     (writer.partitionBy(by) if by else writer).format(kind).save(path)
 
 

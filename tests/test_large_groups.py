@@ -1,10 +1,13 @@
 """Quantiles, ranks, filters, distances and interpolation at sizes where one task would not do, against numpy."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from catchwater.operators import alerts, planning, quantiles, radar, ranks, terrain
+from catchwater.plans import adapter
+from catchwater.sources import tables
 from test_operators import back, frame
 
 
@@ -152,3 +155,29 @@ def test_a_site_strikes_out_only_cells_after_it_in_the_walk(spark):
     for tile in (8, 16):
         got = planning.candidate_sites(none, frame(spark, h=h), 16, 4, 2, tile=tile).collect()
         assert [(r.r, r.c) for r in sorted(got, key=lambda r: r.site)] == greedy(h, [], 4, 2, 16) == [(5, 7), (13, 5)]
+
+
+def test_sinks_meet_the_parts_of_their_class_together(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS p_partkey", "CAST(id * 13 % 51 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(120).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    for t in adapter.TABLES:
+        if t not in ("part", "supplier"):
+            spark.range(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = adapter.views(spark, str(tmp_path), "sinks")[0]
+    rows = duckdb.sql(adapter.VIEWS["sinks"].replace("FROM part JOIN supplier", f"FROM '{tmp_path}/part.parquet/*.parquet' JOIN '{tmp_path}/supplier.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(rows) and len(rows) == 120
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        plan = adapter.views(spark, str(tmp_path), "sinks")[0]._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Aggregate" not in plan.split("Join")[0] and plan.count("Aggregate") >= 2  # nothing is left to group after the join
+
+
+def test_an_area_has_one_folder_and_few_areas_share_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 10)
+    df = spark.range(64).selectExpr("CASE WHEN id < 40 THEN 0 ELSE id END AS area_id", "id AS x").coalesce(1)
+    tables.write_table(df, f"{tmp_path}/t", "csv")
+    files = [p.relative_to(tmp_path / "t") for p in (tmp_path / "t").rglob("*.csv")]
+    assert len({f.parts[0] for f in files}) == 25 and len({f.name[:10] for f in files}) > 1  # part-00000, part-00001, ...
+    assert sorted(r.x for r in tables.read_table(spark, f"{tmp_path}/t", "x long, area_id long").collect()) == list(range(64))
