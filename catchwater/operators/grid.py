@@ -2,8 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from catchwater.checkpoints import cut
 from catchwater.functions import columns as C
 from catchwater import params as P
+from catchwater.operators.tiles import sizes, small
 
 KEY = ["area_id", "r", "c"]
 
@@ -15,11 +17,9 @@ def align_common(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def align_padded(cells: DataFrame, layer: str, rows: int, cols: int) -> DataFrame:
     """Exactly rows x cols cells an area; past the edge the last row or column repeats."""
-    size = cells.groupBy("area_id").agg(F.max("r").alias("mr"), F.max("c").alias("mc"))
-    grid = size.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    source = cells.select("area_id", F.col("r").alias("sr"), F.col("c").alias("sc"), layer)
-    grid = grid.withColumns({"sr": F.least("r", "mr"), "sc": F.least("c", "mc")})
-    return grid.join(source, ["area_id", "sr", "sc"]).select(*KEY, layer)
+    inside = cells.join(small(cut(sizes(cells))), "area_id").where((F.col("r") < rows) & (F.col("c") < cols))
+    reach = lambda x, most, n: F.explode(F.when(F.col(x) < F.col(most), F.array(x)).otherwise(F.sequence(F.col(x), F.lit(n - 1))))  # noqa: E731  where a cell is seen
+    return inside.select("area_id", reach("r", "mr", rows).alias("r"), "c", "mc", layer).select("area_id", "r", reach("c", "mc", cols).alias("c"), layer)
 
 
 def to_lonlat(cells: DataFrame, areas: DataFrame, centre: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catchwater.operators import alerts, planning, quantiles, radar, ranks, terrain
+from catchwater.operators import alerts, exposure, grid, planning, quantiles, radar, ranks, terrain
 from catchwater.plans import adapter
 from catchwater.sources import tables
 from test_operators import back, frame
@@ -181,3 +181,15 @@ def test_an_area_has_one_folder_and_few_areas_share_all_tasks(spark, tmp_path, m
     files = [p.relative_to(tmp_path / "t") for p in (tmp_path / "t").rglob("*.csv")]
     assert len({f.parts[0] for f in files}) == 25 and len({f.name[:10] for f in files}) > 1  # part-00000, part-00001, ...
     assert sorted(r.x for r in tables.read_table(spark, f"{tmp_path}/t", "x long, area_id long").collect()) == list(range(64))
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_padding_joins_before_it_spreads_cells(spark):
+    rows = [(a, i, j, float(100 * a + 10 * i + j)) for a, n, m in ((1, 3, 4), (2, 7, 2)) for i in range(n) for j in range(m)]
+    out = grid.align_padded(spark.createDataFrame(rows, "area_id long, r int, c int, dem double"), "dem", 5, 6)
+    got = {(r.area_id, r.r, r.c): r.dem for r in out.collect()}
+    assert got == {(a, i, j): 100.0 * a + 10 * min(i, n - 1) + min(j, m - 1) for a, n, m in ((1, 3, 4), (2, 7, 2)) for i in range(5) for j in range(6)}
+    assert "Generate" in physical(out).split("Join")[0]  # a padded grid, whose size Spark underrates, is never a side of a join
