@@ -193,3 +193,19 @@ def test_padding_joins_before_it_spreads_cells(spark):
     got = {(r.area_id, r.r, r.c): r.dem for r in out.collect()}
     assert got == {(a, i, j): 100.0 * a + 10 * min(i, n - 1) + min(j, m - 1) for a, n, m in ((1, 3, 4), (2, 7, 2)) for i in range(5) for j in range(6)}
     assert "Generate" in physical(out).split("Join")[0]  # a padded grid, whose size Spark underrates, is never a side of a join
+
+
+def test_points_are_not_dealt_to_tasks_to_meet_their_areas(spark):
+    areas = spark.createDataFrame([(1, 0.0, 1.0, 8.0, -1.0)], "area_id long, lon0 double, dlon double, lat0 double, dlat double")
+    points = spark.createDataFrame([(1, i, 8.0 - i % 5 - 0.5, i % 3 + 0.5) for i in range(60)], "area_id long, feature_id int, lat double, lon double")
+    depths = spark.createDataFrame([(1, 0, 0, 1.0)], "area_id long, r int, c int, h double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "Exchange hashpartitioning" not in physical(grid.to_domain(points, areas, 2))
+        plan = physical(exposure.building_exposure(points, areas, depths, 2))
+        assert plan.split("SortMergeJoin")[1].index("HashAggregate") < plan.split("SortMergeJoin")[1].index("BroadcastHashJoin")  # counted by cell first
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = exposure.building_exposure(points, areas, depths, 2).first()
+    assert (got.in_domain, got.at_risk) == (48, 16)
