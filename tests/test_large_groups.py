@@ -209,3 +209,11 @@ def test_points_are_not_dealt_to_tasks_to_meet_their_areas(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     got = exposure.building_exposure(points, areas, depths, 2).first()
     assert (got.in_domain, got.at_risk) == (48, 16)
+
+
+def test_equal_points_keep_one_ward_each(spark):
+    rings = [(f"w{k}", [{"lon": k + x, "lat": y} for x, y in ((0.0, 0.0), (0.02, 0.0), (0.02, 0.02), (0.0, 0.02))]) for k in range(5)]
+    wards = spark.createDataFrame(rings, "ward string, ring array<struct<lon: double, lat: double>>")
+    points = spark.createDataFrame([(1, 0.011, 2.013)] * 2 + [(2, 0.5, 0.5), (3, None, None)], "i int, lat double, lon double")
+    got = [(r.i, r.ward) for r in alerts.assign_wards(points, wards, (0.0, 0.0, 9.0, 9.0)).collect()]
+    assert sorted(got, key=str) == [(1, "w2"), (1, "w2"), (2, None), (3, None)]
